@@ -86,7 +86,7 @@ def _metadata(batch: pa.RecordBatch, columns: tuple[str, ...]) -> np.ndarray:
             text = column.cast(pa.string())
             data, offsets = B.text_buffers(text)
             code = B.span_hashes(B.prefix_hashes(data), offsets[:-1], offsets[1:])
-        out[:, k] = (B.mix(code + np.uint64(k + 1) * B.BASE) % np.uint64(BUCKETS)).astype(np.int64)
+        out[:, k] = (B.mix(code + np.uint64((k + 1) * int(B.BASE) % (1 << 64))) % np.uint64(BUCKETS)).astype(np.int64)
     return out
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from llm import blocks as B
 from llm.labelled import Adam, collected, sample, sigmoid
 
-BITS, MAX_ROWS, KEEP_AT, SCALE = 18, 3000, 0.5, 50.0
+BITS, MAX_ROWS, KEEP_AT, SCALE = 18, 3000, 0.25, 50.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 DIM = 3 << BITS
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))

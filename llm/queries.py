@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import quality_classifier, quality_rules
+from llm import decontamination, line_dedup, near_dedup, quality_classifier, quality_rules
 from llm.tables import read
 
 
@@ -16,6 +16,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, quality_rules.fit(documents, labels))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents", "doc_id", "text")
+    cleaned = line_dedup.without_lines(documents, line_dedup.removed_lines(documents), figures=True)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("kept", F.lit(""))).alias("kept_crc32"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     learns = quality_classifier.fold() != 0
@@ -26,6 +40,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
 }
 

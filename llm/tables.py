@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.blocks import BASE, mix
+
 #: Used only where the session names no folder of its own, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
@@ -42,3 +47,44 @@ def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Bits of a membership bitmap: fixed, so what is collected and broadcast has the same bound at every size.
+BITMAP_BITS = 1 << 23
+
+
+def bitmap_positions(*keys) -> np.ndarray:
+    """Place of each row's integer keys (arrays of one length) in a bitmap."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        h = mix(h * BASE + k.astype(np.int64).view(np.uint64))
+    return (h % np.uint64(BITMAP_BITS)).astype(np.int64)
+
+
+def membership(keys: DataFrame):
+    """Broadcast of a bitmap with the bits of all rows of integer columns: rows whose bit is unset are surely not in it.
+
+    It only prunes: an exact join follows. With many rows it fills up and prunes less, at the same size.
+    """
+
+    def per_batch(batches):
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(bitmap_positions(*columns)))], ["position"])
+
+    found = keys.mapInArrow(per_batch, "position long").distinct().toArrow()["position"].to_numpy()
+    bits = np.zeros(BITMAP_BITS, bool)
+    bits[found] = True
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def possibly_in(documents: DataFrame, bitmap, id_column: str = "doc_id") -> DataFrame:
+    """The rows of documents whose id may be in a bitmap of membership(); rows without an id go."""
+    at = documents.columns.index(id_column)
+
+    def per_batch(batches):
+        for batch in batches:
+            ids = batch.column(at)
+            yield batch.filter(pa.array(bitmap.value[bitmap_positions(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)))
+
+    return documents.mapInArrow(per_batch, documents.schema)
