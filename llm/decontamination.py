@@ -5,12 +5,14 @@ term's BM25 impact on an item, divided by the score of the item's own text, so t
 BM25 mass that a passage has, from 0 to 1. Postings are cut into blocks of BLOCK neighbouring items with the largest
 impact of each block.
 
-Search: passages of PASSAGE words, half of them shared with the next, cover every whole text. For all passages of an Arrow
+Search: passages cover every whole text, each sharing half of its words with the next. They have the power of two of words
+that holds the longest item, so that some passage has three quarters or more of any item that a text contains. For all passages of an Arrow
 batch at once:
  1. WAND pivot: a passage's terms in ascending order of their largest impact; as long as the running sum stays under the
     threshold, no item with only these terms can reach it. Passages whose whole sum stays under it end here.
  2. Only terms from the pivot on fetch blocks. A block stays if its block maxima for these terms, plus the running sum
-    before the pivot, reach the threshold.
+    before the pivot, reach the threshold. The terms before the pivot follow from the largest impact down, a few at a
+    time, each with its maximum in the block in place of its part of that sum; blocks go as soon as they fall short.
  3. Items of the blocks that stay are scored in full over all terms of the passage.
 All items at or above the threshold are retrieved; none is capped. They are verified on the passage and the words around
 it: shares of the question's and of the answer's distinct n-grams, and of both together, which decides.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from llm import blocks as B
 
-PASSAGE, BLOCK, NGRAM = 128, 8, 3
+MIN_PASSAGE, BLOCK, NGRAM, GROUP_BITS, STEP = 32, 8, 3, 16, 3
 K1, BETA = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
 SLICE_CHARS = 32 << 20
@@ -47,8 +49,11 @@ _APART[48:58] = _APART[97:123] = _APART[128:] = False
 
 class Index(NamedTuple):
     items: np.ndarray  # item ids
-    terms: np.ndarray  # ascending term hashes
-    most: np.ndarray  # each term's largest impact
+    passage: int  # words of a passage
+    sorted_hashes: np.ndarray  # ascending hashes of the terms
+    sorted_terms: np.ndarray  # their numbers
+    group_first: np.ndarray  # where each value of the hashes' leading bits begins
+    most: np.ndarray  # each term's largest impact, ascending: terms are numbered by it
     block_keys: np.ndarray  # ascending term * n_blocks + block
     block_most: np.ndarray
     block_first: np.ndarray  # of each term, into block_keys
@@ -87,8 +92,8 @@ def split_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
-def build_index(items: list[tuple[int, str, str]], frequency: dict[int, int] | None = None, n_items: int = 0, mean_length: float = 0.0) -> Index:
-    """Index of (item_id, question, answer); frequency, n_items and mean_length are those of all items if this is a slice."""
+def build_index(items: list[tuple[int, str, str]], frequency: dict[int, int] | None = None, n_items: int = 0, mean_length: float = 0.0, longest: int = 0) -> Index:
+    """Index of (item_id, question, answer); the figures are those of all items if this is a slice."""
     hashes, first = _tokens([f"{q} {a}" for _, q, a in items])
     sizes = np.diff(first)
     doc = np.repeat(np.arange(len(items)), sizes)
@@ -107,16 +112,24 @@ def build_index(items: list[tuple[int, str, str]], frequency: dict[int, int] | N
     impact = idf[of] * tf * (K1 + 1) / (tf + K1 * (1 - BETA + BETA * sizes[d] / mean_length))
     own = np.bincount(d, impact, len(items))
     impact /= np.maximum(own[d], 1e-12)
+    peaks = np.zeros(len(terms))
+    np.maximum.at(peaks, of, impact)
+    numbered = np.argsort(peaks, kind="stable")
+    number = np.argsort(numbered)
     n_blocks = len(items) // BLOCK + 1
-    key = of.astype(np.int64) * n_blocks + d // BLOCK  # ascending, as postings are in the order of terms, then items
+    key = number[of].astype(np.int64) * n_blocks + d // BLOCK
+    order = np.argsort(key, kind="stable")
+    key, d, impact = key[order], d[order], impact[order]
     keys, posting_first = np.unique(key, return_index=True)
-    starts = lambda a: np.searchsorted(keys // n_blocks, np.arange(a + 1))
-    peaks = lambda firsts: np.maximum.reduceat(impact, firsts) if len(impact) else impact
+    block_most = np.maximum.reduceat(impact, posting_first) if len(impact) else impact
+    block_first = np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1))
+    group_first = np.searchsorted((terms >> np.uint64(64 - GROUP_BITS)).astype(np.int64), np.arange((1 << GROUP_BITS) + 1))
+    passage = 1 << max(MIN_PASSAGE - 1, int(longest or sizes.max(initial=1)) - 1).bit_length()
     grams = []
     for _, question, answer in items:
         (qh, _), (ah, _) = _tokens([question]), _tokens([answer])
         grams.append(item_grams(qh, ah))
-    return Index(np.array([i for i, _, _ in items], np.int64), terms, peaks(np.searchsorted(of, np.arange(len(terms)))), keys, peaks(posting_first), starts(len(terms)), np.append(posting_first, len(d)), d, impact, n_blocks, grams)
+    return Index(np.array([i for i, _, _ in items], np.int64), passage, terms, number, group_first, peaks[numbered], keys, block_most, block_first, np.append(posting_first, len(d)), d, impact, n_blocks, grams)
 
 
 def _expand(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,52 +139,97 @@ def _expand(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.arange(n.sum()) + np.repeat(first[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(rows) else np.zeros(0, np.int64)
 
 
+def _lookup(index: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are terms, and their terms. Terms are grouped by leading bits: most words end there."""
+    group = (hashes >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+    at = index.group_first[group]
+    n = index.group_first[group + 1] - at
+    places, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = np.flatnonzero(n)
+    k = 0
+    while len(left):
+        place = at[left] + k
+        hit = index.sorted_hashes[place] == hashes[left]
+        places.append(left[hit])
+        terms.append(index.sorted_terms[place[hit]])
+        k += 1
+        left = left[~hit & (n[left] > k)]
+    return np.concatenate(places), np.concatenate(terms)
+
+
+def _find(index: Index, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in block_keys of those keys that are there, and a mask of these."""
+    k = np.minimum(np.searchsorted(index.block_keys, keys), len(index.block_keys) - 1)
+    hit = index.block_keys[k] == keys
+    return k[hit], hit
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def search(index: Index, hashes: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of passage, item, score) of all passages of texts, given by word hashes, that reach the threshold."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if not len(index.terms) or not len(hashes):
+    none, n_terms, half = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), len(index.most), index.passage // 2
+    at, term = _lookup(index, hashes) if n_terms else none[:2]
+    if not len(at):
         return none
-    term = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-    known = index.terms[term] == hashes
-    bound = np.concatenate([[0], np.cumsum(np.where(known, index.most[term], 0))])
-    half = PASSAGE // 2
-    n_passages = np.maximum(1, -(-np.diff(first) // half) - 1) * (np.diff(first) > 0)
-    doc = np.repeat(np.arange(len(n_passages)), n_passages)
-    begin = first[doc] + half * (np.arange(len(doc)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages))
-    end = np.minimum(begin + PASSAGE, first[doc + 1])
-    begin, end = (x[bound[end] - bound[begin] >= threshold - 1e-9] for x in (begin, end))
-    # distinct known terms of each passage, in ascending order of their largest impact
-    passage, at = _expand(np.append(begin, 0), np.zeros(0, np.int64)) if not len(begin) else (np.repeat(np.arange(len(begin)), end - begin), np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)]))
-    if not len(begin):
-        return none
-    passage, at = passage[known[at]], at[known[at]]
-    pair = np.unique(passage * np.int64(len(index.terms)) + term[at])
-    passage, term = pair // len(index.terms), pair % len(index.terms)
-    order = np.lexsort((index.most[term], passage))
-    passage, term = passage[order], term[order]
+    # halves of passages: text d has halves h0[d] onwards, and its passage k is made of its halves k and k + 1
+    sizes = np.diff(first)
+    halves = -(-sizes // half)
+    passages = np.maximum(halves - 1, halves > 0)
+    h0, p0 = np.cumsum(halves) - halves, np.cumsum(passages) - passages
+    doc = np.searchsorted(first, at, "right") - 1
+    key = _distinct((h0[doc] + (at - first[doc]) // half) * n_terms + term)
+    h, term = key // n_terms, key % n_terms
+    doc = np.repeat(np.arange(len(sizes)), halves)[h]
+    k = h - h0[doc]
+    key = _distinct(np.concatenate([((p0[doc] + j) * n_terms + term)[(j >= 0) & (j < passages[doc])] for j in (k, k - 1)]))
+    passage, term = key // n_terms, key % n_terms  # a passage's terms ascend by their largest impact, as they are numbered so
     total = np.concatenate([[0], np.cumsum(index.most[term])])
-    p_first = np.searchsorted(passage, np.arange(len(begin) + 1))
-    running = total[1:] - total[p_first[passage]]
-    essential = running >= threshold - 1e-9
-    before = total[p_first[:-1] + np.bincount(passage, ~essential, len(begin)).astype(np.int64)] - total[p_first[:-1]]
+    p_first = np.searchsorted(passage, np.arange(passages.sum() + 1))
+    start = total[p_first[:-1]]
+    essential = np.flatnonzero(total[1:] - start[passage] >= threshold - 1e-9)
+    if not len(essential):
+        return none
+    pivot = np.full(len(start), -1)
+    pivot[passage[essential[::-1]]] = essential[::-1]
+    before = np.where(pivot >= 0, total[pivot] - start, 0)
     # blocks of the terms from the pivot on
-    e = np.flatnonzero(essential)
-    owner, place = _expand(index.block_first, term[e])
-    pair, inverse = np.unique(passage[e][owner] * np.int64(index.n_blocks) + index.block_keys[place] % index.n_blocks, return_inverse=True)
-    reach = np.bincount(inverse, index.block_most[place], len(pair)) + before[pair // index.n_blocks]
-    pair = pair[reach >= threshold - 1e-9]
-    # full scores of the blocks that stay
+    owner, place = _expand(index.block_first, term[essential])
+    key = passage[essential][owner] * np.int64(index.n_blocks) + index.block_keys[place] % index.n_blocks
+    order = np.argsort(key)
+    key, most = key[order], index.block_most[place][order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    pair, reach = key[head], np.add.reduceat(most, head)
+    live = reach + before[pair // index.n_blocks] >= threshold - 1e-9
+    pair, reach = pair[live], reach[live]
+    # terms before the pivot, the largest impacts first: their block maxima take the place of their largest impacts
     p, block = pair // index.n_blocks, pair % index.n_blocks
+    place = pivot[p]
+    while len(going := np.flatnonzero(place > p_first[p])):
+        for _ in range(STEP):
+            going = going[place[going] > p_first[p[going]]]
+            place[going] -= 1
+            k, hit = _find(index, term[place[going]] * np.int64(index.n_blocks) + block[going])
+            reach[going[hit]] += index.block_most[k]
+        live = reach + total[place] - start[p] >= threshold - 1e-9
+        p, block, place, reach = p[live], block[live], place[live], reach[live]
+    # full scores of the blocks that stay
     owner, place = _expand(p_first, p)
-    key = term[place] * np.int64(index.n_blocks) + block[owner]
-    k = np.minimum(np.searchsorted(index.block_keys, key), len(index.block_keys) - 1)
-    hit = index.block_keys[k] == key
-    owner, k = owner[hit], k[hit]
+    k, hit = _find(index, term[place] * np.int64(index.n_blocks) + block[owner])
+    owner = owner[hit]
     post_owner, post = _expand(index.posting_first, k)
-    pair, inverse = np.unique(p[owner][post_owner] * np.int64(len(index.items)) + index.posting_item[post], return_inverse=True)
-    score = np.bincount(inverse, index.posting_impact[post], len(pair))
-    good = score >= threshold - 1e-9
-    return begin[pair[good] // len(index.items)], pair[good] % len(index.items), score[good]
+    item = index.posting_item[post]
+    cell = owner[post_owner] * BLOCK + item % BLOCK
+    score = np.bincount(cell, index.posting_impact[post], len(p) * BLOCK)
+    good = np.flatnonzero(score >= threshold - 1e-9)
+    found = p[good // BLOCK]
+    doc = np.searchsorted(p0, found, "right") - 1
+    while (empty := passages[doc] == 0).any():
+        doc = doc - empty
+    return first[doc] + half * (found - p0[doc]), block[good // BLOCK] * BLOCK + good % BLOCK, score[good]
 
 
 def _searched(documents: DataFrame, index: Index, text: str, threshold: float) -> DataFrame:
@@ -189,7 +247,7 @@ def _searched(documents: DataFrame, index: Index, text: str, threshold: float) -
                 for begin, item, score in zip(*search(index, hashes, words.first, threshold), strict=True):
                     doc = int(np.searchsorted(words.first, begin, "right")) - 1
                     n, question, answer = index.grams[item]
-                    around = grams_of(hashes[max(begin - PASSAGE, words.first[doc]) : min(begin + 2 * PASSAGE, words.first[doc + 1])], n)
+                    around = grams_of(hashes[max(begin - index.passage, words.first[doc]) : min(begin + 2 * index.passage, words.first[doc + 1])], n)
                     shares = [np.isin(g, around, assume_unique=True).sum() for g in (question, answer)]
                     now = (score, shares[0] / max(1, len(question)), shares[1] / max(1, len(answer)), sum(shares) / max(1, len(question) + len(answer)))
                     found[doc, item] = max(found.get((doc, item), now), now, key=lambda x: x[::-1])
@@ -215,7 +273,8 @@ def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", i
     """
     whole = F.concat_ws(" ", question, answer) if question is not None else F.coalesce(F.col(item_text), F.lit(""))
     parts = items.select("item_id", whole.alias("whole"), *([question.alias("question"), answer.alias("answer")] if question is not None else []))
-    n, chars, words = parts.agg(F.count("*"), F.coalesce(F.sum(F.length("whole")), F.lit(0)), F.coalesce(F.avg(F.size(F.split("whole", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))), F.lit(0.0))).first()
+    n_words = F.size(F.split("whole", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
+    n, chars, words, longest = parts.agg(F.count("*"), F.coalesce(F.sum(F.length("whole")), F.lit(0)), F.coalesce(F.avg(n_words), F.lit(0.0)), F.coalesce(F.max(n_words), F.lit(0))).first()
     slices = max(1, -(-chars // slice_chars))
     found = None
     for k in range(slices):
@@ -225,7 +284,7 @@ def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", i
         if slices > 1:
             term = lambda df: df.select("whole").mapInArrow(_term_rows, "term long")
             frequency = {r[0]: r[1] for r in term(parts).groupBy("term").count().join(term(rows).distinct(), "term").collect()}
-        index = build_index(listed, frequency, n, words)
+        index = build_index(listed, frequency, n, words, longest)
         part = _searched(documents, index, text, threshold)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap")).alias("best")
