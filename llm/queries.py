@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontamination, line_dedup, near_dedup, quality_classifier, quality_rules
+from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier, quality_rules, token_blocks
 from llm.tables import read
 
 
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary file; the operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.encoded(spark, read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return quality_rules.judge(documents, quality_rules.fit(documents, labels))
@@ -39,6 +54,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_blocks": op1_token_blocks,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
