@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier, quality_rules, token_blocks
+from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier, quality_rules, token_blocks, url_filter, warc
 from llm.tables import read
 
 
@@ -39,6 +39,31 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+#: The rules that op6 is asked to apply, by verdict.
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [*(url_filter.path_rule(*r) for r in URL_RULES), *url_filter.PATTERNS]
+    return url_filter.judge(read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def _op6_sql() -> str:
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for h, _, p in (r.partition("/") for r, _ in sorted(URL_RULES, key=lambda r: -len(r[0])))]
+    blocked = ", ".join(f"'{r}'" for r, v in URL_RULES if v == "block")
+    patterns = []
+    for rule in sorted(url_filter.PATTERNS):
+        body = ".*".join(f"(?:^|[^a-z0-9]){part}(?:[^a-z0-9].*|$)" for part in rule.name.split("*"))
+        patterns.append(f"WHEN regexp_matches(lower(host || path), '{body}') THEN '{rule.name}'")
+    return f"""
+WITH parts AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parts),
+split AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+ruled AS (SELECT *, CASE {' '.join(fits)} END AS rule, CASE {' '.join(patterns)} END AS pattern FROM split)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({blocked}) THEN 'block' WHEN rule IS NULL AND pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern
+FROM ruled"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents", "doc_id", "text")
     cleaned = line_dedup.without_lines(documents, line_dedup.removed_lines(documents), figures=True)
@@ -53,15 +78,23 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality_classifier.fold() == 0).alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivative_records(read(spark, sf_dir, "pages"))
+    size, checksum = F.octet_length("content").cast("long").alias("n_bytes"), F.crc32("content").alias("content_crc32")
+    return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "source_payload_digest", size, checksum)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_url_filter": _op6_sql()}
