@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier, quality_rules, token_blocks, url_filter, warc
+from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier, quality_rules, substring_dedup, token_blocks, url_filter, warc
 from llm.tables import read
 
 
@@ -78,6 +78,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality_classifier.fold() == 0).alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_spans(read(spark, sf_dir, "documents"))
+
+
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derivative_records(read(spark, sf_dir, "pages"))
     size, checksum = F.octet_length("content").cast("long").alias("n_bytes"), F.crc32("content").alias("content_crc32")
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
 
