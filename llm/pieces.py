@@ -19,22 +19,22 @@ Defined results: null and empty texts give no ids; a text that holds U+2581 deco
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from llm import blocks as B
+from llm.word_table import WordTable
 
 SPACE = "▁"
-#: Words kept by each Python worker between batches; beyond it the worker starts anew. It bounds memory, not results.
-CACHED_WORDS = 600_000
+#: Pairs of pieces whose answers a worker keeps.
 PAIR_SLOTS = 1 << 21
 _PAIRS: dict[str, np.ndarray] = {}
-_CACHES: dict[str, dict[str, np.ndarray]] = {}
+_TABLES: dict[str, WordTable] = {}
 
 
 class Model(NamedTuple):
@@ -262,24 +262,33 @@ def encode_words(model: Model, words: list[str]) -> list[np.ndarray]:
     return found
 
 
-def encode(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, and where each text's begin."""
-    cache = _CACHES.setdefault(model.name, {})
-    solo = re.escape(model.separators)
-    cut = re.compile(f" *[^ {solo}]+| +" + (f"|[{solo}]" if solo else ""))
-    words: list[str] = []
-    counts = [0]
-    for text in texts:
-        if text:
-            words += cut.findall(" " + text.replace(SPACE, " "))
-        counts.append(len(words))
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    new = list(set(words) - cache.keys())
-    cache.update(zip(new, encode_words(model, [w.replace(" ", SPACE) for w in new]), strict=True))
-    parts = list(map(cache.__getitem__, words))
-    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), ends[np.array(counts)]
+def _cut(model: Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, B.Words]:
+    """A block's bytes with a space before every text but empty ones, and its words.
+
+    A word is a run of spaces with what follows it, or one separator; what follows a separator starts a word too.
+    """
+    some = np.diff(starts) > 0
+    data = np.insert(data, starts[:-1][some], 0x20)
+    starts = starts + np.concatenate([[0], np.cumsum(some)])
+    alone = np.isin(np.arange(256), list(model.separators.encode()))[data]
+    space = data == 0x20
+    begins = alone.copy()
+    begins[1:] |= space[1:] & ~space[:-1] | alone[:-1]
+    begins[starts[:-1][some]] = True
+    begin = np.flatnonzero(begins)
+    return data, B.Words(begin, np.append(begin[1:], len(data)) if len(begin) else begin, np.searchsorted(begin, starts))
+
+
+def encode(model: Model, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a block end to end, and where each text's begin."""
+    data, starts = block.data, block.starts
+    if SPACE.encode() in data.tobytes():  # the model's own sign for a space counts as one
+        data, starts = B.text_buffers(pa.array([t.replace(SPACE, " ") for t in B.texts_of(block)], pa.string()))
+    if model.name not in _TABLES:
+        _TABLES[model.name] = WordTable()
+    data, words = _cut(model, data, starts)
+    ids, sizes = _TABLES[model.name].ids(data, words, lambda new: encode_words(model, [w.replace(" ", SPACE) for w in new]))
+    return ids, np.concatenate([[0], np.cumsum(B.sums_by_text(sizes, words.first))])
 
 
 def decode(model: Model, ids: np.ndarray, first: np.ndarray) -> list[str]:
@@ -299,12 +308,12 @@ def with_piece_ids(documents: DataFrame, path: str, text: str = "text", out: str
     """documents with a column of their texts' ids; a column of that name is replaced."""
     documents = documents.drop(out)
     model, at = shared_model(documents.sparkSession, path), documents.columns.index(text)
-    schema = documents.select("*").schema.add(out, "array<int>")
+    schema = T.StructType([*documents.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def per_batch(batches):
         for batch in batches:
             for block in B.blocks(batch.column(at)):
-                ids, first = encode(model.value, B.texts_of(block))
+                ids, first = encode(model.value, block)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(block.first, block.rows) for c in batch.columns), lists], schema.names)
 
@@ -315,7 +324,7 @@ def with_texts(encoded: DataFrame, path: str, ids: str = "piece_ids", out: str =
     """encoded with a column of the texts that its ids spell; null ids give an empty text. A column of that name is replaced."""
     encoded = encoded.drop(out)
     model, at = shared_model(encoded.sparkSession, path), encoded.columns.index(ids)
-    schema = encoded.select("*").schema.add(out, "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def per_batch(batches):
         for batch in batches:
@@ -337,7 +346,7 @@ def round_trips(documents: DataFrame, path: str, text: str = "text") -> DataFram
         for batch in batches:
             for block in B.blocks(batch.column(1)):
                 texts = B.texts_of(block)
-                ids, first = encode(model.value, texts)
+                ids, first = encode(model.value, block)
                 raw = ids.astype("<u4").tobytes()
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 same = [a.replace(SPACE, " ") == b for a, b in zip(texts, decode(model.value, ids, first), strict=True)]

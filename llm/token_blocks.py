@@ -29,16 +29,14 @@ from pyspark.sql import functions as F
 
 from llm import blocks as B
 from llm.tables import new_path
+from llm.word_table import WordTable
 
 MAGIC, VERSION, BLOCK, PERCENTILE = b"TPFR", 1, 4096, 95
 _HEAD, _BLOCK = struct.Struct("<4sIQQI"), struct.Struct("<IBHH")
 #: Documents go to files of at most this many bytes of text, or of one document.
 FILE_BYTES = 8 << 20
-CACHED_WORDS = 600_000
-_CACHE: dict[str, dict[str, list[int]]] = {}
+_TABLES: dict[str, WordTable] = {}
 _TOKENIZERS: dict[str, tuple] = {}
-#: White space in any reading; what only some readings count as such stays inside a word, for the tokenizer to judge.
-_BLANK = str.maketrans("\n\t\r", "   ")
 
 
 def pack_block(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
@@ -102,7 +100,7 @@ class Reader:
 
 
 def _tokenizer(spec: str):
-    """The tokenizer, and whether its ids of a text are those of its words (what space, tab and line ends separate) in turn.
+    """The tokenizer, and whether its ids of a text are those of its words (what bytes 0x20 and 0x09 to 0x0D separate) in turn.
 
     That holds where white space only separates: the pre-tokenizer's pattern takes none into a token, and no added token
     holds any or looks beyond its own characters. White space here is what the normaliser's pattern means by it.
@@ -123,24 +121,24 @@ def _tokenizer(spec: str):
     return _TOKENIZERS[spec]
 
 
-def encode(spec: str, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, each with end_id behind, and where each text's begin."""
+def encode(spec: str, block: B.Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a block end to end, each with end_id behind, and where each text's begin."""
     tokenizer, by_word = _tokenizer(spec)
-    if not by_word:
-        lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    batch = lambda texts: [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if by_word:
+        if spec not in _TABLES:
+            _TABLES[spec] = WordTable()
+        words = B.find_words(block.data, block.starts)
+        plain, sizes = _TABLES[spec].ids(block.data, words, batch)
+        counts = B.sums_by_text(sizes, words.first)
     else:
-        cache = _CACHE.setdefault(spec, {})
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        words = [t.translate(_BLANK).split(" ") for t in texts]
-        new = list(set().union(*words) - cache.keys())
-        cache.update(zip(new, (e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        lists = [[i for w in line for i in cache[w]] for line in words]
-    first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lists])]).astype(np.int64)
+        lists = batch(B.texts_of(block))
+        plain, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+    first = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int64)
     ids = np.full(first[-1], end_id, np.uint32)
     keep = np.ones(len(ids), bool)
     keep[first[1:] - 1] = False
-    ids[keep] = np.fromiter((i for x in lists for i in x), np.uint32, first[-1] - len(lists))
+    ids[keep] = plain
     return ids, first
 
 
@@ -174,7 +172,7 @@ def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
         for batch in batches:
             numbers = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             for block in B.blocks(batch.column(1)):
-                ids, first = encode(spec.value, B.texts_of(block), end_id)
+                ids, first = encode(spec.value, block, end_id)
                 held.append((numbers[block.first : block.first + block.rows], first, ids))
                 size += len(block.data)
                 if size >= FILE_BYTES:
