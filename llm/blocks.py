@@ -137,6 +137,12 @@ def ngram_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndar
     return mix(acc[at]), gram_first
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; a plain sort is the fastest way to them for integers."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[i]:first[i+1]] for every i; 0 for an empty run. Works along the first axis."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)

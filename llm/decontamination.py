@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import blocks as B
+from llm.tables import stored, without_ids
 
 MIN_PASSAGE, BLOCK, NGRAM, GROUP_BITS, STEP = 32, 8, 3, 16, 3
 K1, BETA = 1.2, 0.75
@@ -164,11 +165,6 @@ def _find(index: Index, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[hit], hit
 
 
-def _distinct(keys: np.ndarray) -> np.ndarray:
-    keys = np.sort(keys)
-    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-
-
 def search(index: Index, hashes: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of passage, item, score) of all passages of texts, given by word hashes, that reach the threshold."""
     none, n_terms, half = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), len(index.most), index.passage // 2
@@ -181,11 +177,11 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray, threshold: float
     passages = np.maximum(halves - 1, halves > 0)
     h0, p0 = np.cumsum(halves) - halves, np.cumsum(passages) - passages
     doc = np.searchsorted(first, at, "right") - 1
-    key = _distinct((h0[doc] + (at - first[doc]) // half) * n_terms + term)
+    key = B.distinct((h0[doc] + (at - first[doc]) // half) * n_terms + term)
     h, term = key // n_terms, key % n_terms
     doc = np.repeat(np.arange(len(sizes)), halves)[h]
     k = h - h0[doc]
-    key = _distinct(np.concatenate([((p0[doc] + j) * n_terms + term)[(j >= 0) & (j < passages[doc])] for j in (k, k - 1)]))
+    key = B.distinct(np.concatenate([((p0[doc] + j) * n_terms + term)[(j >= 0) & (j < passages[doc])] for j in (k, k - 1)]))
     passage, term = key // n_terms, key % n_terms  # a passage's terms ascend by their largest impact, as they are numbered so
     total = np.concatenate([[0], np.cumsum(index.most[term])])
     p_first = np.searchsorted(passage, np.arange(passages.sum() + 1))
@@ -293,5 +289,5 @@ def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", i
 
 def clean(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of documents, all columns, that no item contaminates."""
-    tainted = contaminations(documents, items, **options).select(F.col("doc_id").alias("__tainted")).distinct()
-    return documents.join(tainted, documents["doc_id"] == F.col("__tainted"), "left_anti")
+    tainted = stored(contaminations(documents, items, **options).select("doc_id").distinct(), "contaminated")
+    return without_ids(documents, tainted)

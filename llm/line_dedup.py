@@ -8,7 +8,7 @@ fewer than MIN_WORDS distinct words always stay.
    logarithm. Any order that all lines share keeps the join exact; this one puts rare words first.
 2. Lines with equal sets form classes; only the earliest of a class takes part in the join, the others are removed.
 3. Prefix filter: two lines that match share a word among the first n - ceil(t n) + 1 of each, rarest first. Words that
-   occur once in the corpus need no posting.
+   occur once in the corpus, or in one prefix, need no posting.
 4. Postings of a word meet in the order of lines. Pairs pass the length filter, the positional filter (words left behind
    the shared one must suffice for the overlap needed) and a filter on 64-bit parity maps, whose differing bits are a
    lower bound of the sets' symmetric difference.
@@ -22,7 +22,6 @@ line number; rows without doc_id stay as they are. A document whose lines all go
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import blocks as B
-from llm.tables import bitmap_positions, cut, membership, stored
+from llm.tables import bitmap_positions, groups, membership, possibly_in, release, stored
 
 PERCENT, MIN_WORDS = 75, 3
 RARITY_BITS, HASH_BITS, CODE_BITS = 24, 40, 6
-CHUNK_LINES, CHUNK_PAIRS = 1 << 17, 1 << 21
+CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS = 1 << 17, 1 << 20, 200_000
 _NOT_NEWLINE = np.zeros(256, bool)
 _NOT_NEWLINE[10] = True
 LINES = "high long, low long, doc_id long, line int, n int, common int, parity long, words array<int>"
@@ -49,31 +48,62 @@ def _read(column: pa.Array):
         yield block, data, words, B.word_hashes(data, words)
 
 
-def word_rarity(documents: DataFrame, text: str) -> Broadcast:
-    """Code of every hash bucket: 0 for at most one occurrence in the corpus, growing with twice their logarithm."""
+def _table(rows: DataFrame, buckets_of, least: int = 2) -> Broadcast:
+    """Codes of 2^RARITY_BITS buckets, one byte each at any size: 0 under `least`, else growing with the count's logarithm.
+
+    buckets_of(batch) yields arrays of buckets. A task hands on its counts as one row for each 2^16 buckets.
+    """
 
     def count(batches):
         counts = np.zeros(1 << RARITY_BITS, np.uint32)
         for batch in batches:
-            for *_, hashes in _read(batch.column(0)):
-                bucket, n = np.unique((hashes >> np.uint64(64 - RARITY_BITS)).astype(np.uint32), return_counts=True)
+            for buckets in buckets_of(batch):
+                bucket, n = np.unique(buckets, return_counts=True)
                 counts[bucket] += n.astype(np.uint32)
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(counts[at[k : k + (1 << 16)]].astype(np.int64))], ["bucket", "n"])
+        for chunk, part in enumerate(counts.reshape(-1, 1 << 16)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["chunk", "buckets", "counts"])
+
+    def unite(batches):
+        for chunk, buckets, counts in groups(batches, 1):
+            total = np.zeros(1 << 16, np.int64)
+            for at, n in zip(buckets, counts, strict=True):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+            codes = np.where(total >= least, np.clip(np.ceil(2 * np.log2(np.maximum(total, 1))), 1, (1 << CODE_BITS) - 1), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[:1].astype(np.int32)), pa.array([codes.tobytes()], pa.binary())], ["chunk", "codes"])
+
+    dealt = rows.mapInArrow(count, "chunk int, buckets binary, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    found = dealt.mapInArrow(unite, "chunk int, codes binary").toArrow()
+    table = np.zeros((1 << (RARITY_BITS - 16), 1 << 16), np.uint8)
+    for chunk, codes in zip(found["chunk"].to_pylist(), found["codes"].to_pylist(), strict=True):
+        table[chunk] = np.frombuffer(codes, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(table.ravel())
+
+
+def word_rarity(documents: DataFrame, text: str) -> Broadcast:
+    """Codes of the occurrences of all words of all texts."""
+
+    def buckets(batch):
+        for *_, hashes in _read(batch.column(0)):
+            yield (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.uint32)
+
+    return _table(documents.select(text), buckets)
+
+
+def _short_bucket(words: np.ndarray) -> np.ndarray:
+    """Buckets of the 32-bit words of postings."""
+    return (B.mix(words.view(np.uint32).astype(np.uint64)) >> np.uint64(64 - RARITY_BITS)).astype(np.uint32)
+
+
+def _prefix_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All prefix words of a batch of lines, the last column, and how many each line has."""
+    lists = batch.column(batch.num_columns - 1)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
 
-    def code(batches):
-        for batch in batches:
-            n = batch.column(1).to_numpy()
-            codes = np.minimum(np.ceil(2 * np.log2(n)), (1 << CODE_BITS) - 1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(np.int32).tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], ["buckets", "codes"])
 
-    counted = documents.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
-    found = counted.mapInArrow(code, "buckets binary, codes binary").toArrow()
-    table = np.zeros(1 << RARITY_BITS, np.uint8)
-    for buckets, codes in zip(found["buckets"].to_pylist(), found["codes"].to_pylist(), strict=True):
-        table[np.frombuffer(buckets, np.int32)] = np.frombuffer(codes, np.uint8)
-    return documents.sparkSession.sparkContext.broadcast(table)
+def _prefix_buckets(batch: pa.RecordBatch):
+    yield _short_bucket(_prefix_words(batch)[0])
 
 
 def line_words(block: B.Block, data: np.ndarray, words: B.Words, hashes: np.ndarray, rarity: np.ndarray):
@@ -90,7 +120,7 @@ def line_words(block: B.Block, data: np.ndarray, words: B.Words, hashes: np.ndar
     for low in range(0, len(doc), CHUNK_LINES):
         high = min(low + CHUNK_LINES, len(doc))
         part = slice(*np.searchsorted(line, [low, high]))
-        keys = np.unique((line[part] - low).astype(np.uint64) << np.uint64(HASH_BITS + CODE_BITS) | key[part])
+        keys = B.distinct((line[part] - low).astype(np.uint64) << np.uint64(HASH_BITS + CODE_BITS) | key[part])
         first = np.searchsorted(keys >> np.uint64(HASH_BITS + CODE_BITS), np.arange(high - low + 1).astype(np.uint64))
         yield doc[low:high], number[low:high], first, keys & np.uint64((1 << (HASH_BITS + CODE_BITS)) - 1)
 
@@ -127,17 +157,58 @@ def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int,
     return documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(per_batch, LINES)
 
 
+#: A posting: a prefix word, its line's place, sizes (the line's words, and how many from this one on occur again) and map.
+_POSTING = np.dtype([("word", "<i4"), ("line", "<i4"), ("n", "<i4"), ("left", "<i4"), ("doc", "<i8"), ("parity", "<i8"), ("open", "i1")])
+
+
+def postings_of(lines: DataFrame, useful: Broadcast, parts: int) -> DataFrame:
+    """(part, postings) of all prefix words of lines whose bucket in the table is not 0, packed column by column.
+
+    Every word belongs to one part. lines has doc_id, line, n, common, parity, open (whether it looks for partners), words.
+    """
+
+    def per_batch(batches):
+        for batch in batches:
+            words, counts = _prefix_words(batch)
+            bucket = _short_bucket(words)
+            keep = np.flatnonzero(useful.value[bucket] > 0)
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+            doc, line, n, common, parity, is_open = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            part = bucket[keep].astype(np.int64) % parts
+            keep = keep[np.argsort(part, kind="stable")]
+            part.sort()
+            row = row[keep]
+            columns = {"word": words[keep], "line": line[row], "n": n[row], "left": common[row] - place[keep], "doc": doc[row], "parity": parity[row], "open": is_open[row]}
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(1, int)
+            blobs = [b"".join(columns[c][a:b].astype(_POSTING[c]).tobytes() for c in _POSTING.names) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "postings"])
+
+    return lines.select("doc_id", "line", "n", "common", "parity", "open", "words").mapInArrow(per_batch, "part int, postings binary")
+
+
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    """Columns of all postings of a part."""
+    columns = [[] for _ in _POSTING.names]
+    for blob in blobs:
+        n, at = len(blob) // _POSTING.itemsize, 0
+        for k, name in enumerate(_POSTING.names):
+            columns[k].append(np.frombuffer(blob, _POSTING[name], n, at))
+            at += n * _POSTING[name].itemsize
+    return [np.concatenate(c) for c in columns]
+
+
 def _group_pairs(columns: list[np.ndarray], percent: int, every: bool):
     """Pairs (later line, earlier line) of postings of equal words that pass all filters.
 
-    columns: word, doc, line, n, left (words from this one on that occur again), parity, open; sorted by word, doc and line.
-    Only open lines look for partners.
     With `every` all pairs that pass are returned, else the nearest of each line and word, and how many others passed.
     """
-    word, doc, line, n, left, parity, is_open = columns
+    word, line, n, left, doc, parity, is_open = columns
+    order = np.lexsort((line, doc, word))
+    word, line, n, left, doc, parity, is_open = (c[order] for c in (word, line, n.astype(np.int64), left, doc, parity, is_open))
     start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     before = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
-    before = np.where(is_open, before, 0)
+    before = before * is_open
     total = np.concatenate([[0], np.cumsum(before)])
     done = 0
     while done < len(word):
@@ -167,28 +238,13 @@ def _group_pairs(columns: list[np.ndarray], percent: int, every: bool):
 
 
 def candidate_pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame:
-    """PAIRS from postings (word, doc_id, line, n, left, parity, open), each word's postings in order of their lines."""
+    """PAIRS from packed postings; all postings of a word meet in its part."""
 
     def per_partition(batches):
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            word = columns[0]
-            cut_at = int(np.searchsorted(word, word[-1]))  # the last word may go on in the next batch
-            if held and (cut_at or held[-1][0][-1] != word[0]):
-                head = [np.concatenate(parts) for parts in zip(*held, [c[:cut_at] for c in columns], strict=True)]
-                held = []
-                yield from _group_pairs(head, percent, every)
-            elif cut_at:
-                yield from _group_pairs([c[:cut_at] for c in columns], percent, every)
-            held.append([c[cut_at:] for c in columns])
-        if held:
-            yield from _group_pairs([np.concatenate(parts) for parts in zip(*held, strict=True)], percent, every)
-
-    dealt = postings.repartition("word").sortWithinPartitions("word", "doc_id", "line")
-    return dealt.select("word", "doc_id", "line", "n", "left", "parity", "open").mapInArrow(per_partition, PAIRS)
+        for _, blobs in groups(batches, 1):
+            yield from _group_pairs(_unpacked(blobs), percent, every)
+
+    return postings.repartition("part").sortWithinPartitions("part").mapInArrow(per_partition, PAIRS)
 
 
 def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
@@ -227,26 +283,34 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
 
 def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line) of every line to remove; lines that hold a character are numbered from 0 in each document."""
+    spark = documents.sparkSession
     lines = stored(line_sets(documents, text, word_rarity(documents, text), percent, min_words), "line-dedup-lines")
-    place = F.min(F.struct("doc_id", "line")).alias("at")
-    classes = lines.groupBy("high", "low").agg(place, *(F.first(c).alias(c) for c in ("n", "common", "parity", "words")))
-    firsts = classes.select("at.doc_id", "at.line", "n", "common", "parity", F.posexplode("words").alias("place", "word"))
-    postings = firsts.select("word", "doc_id", "line", "n", (F.col("common") - F.col("place")).alias("left"), "parity", F.lit(True).alias("open"))
-    pairs = cut(candidate_pairs(postings, percent, False).groupBy("doc_id", "line", "doc_x", "line_x").agg(F.max("others").alias("others")))
-    matched = cut(verified(pairs, documents, text, percent))
-    open_lines = pairs.where("others > 0").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti")
-    open_lines = cut(open_lines)
-    if not open_lines.isEmpty():
-        marked = postings.drop("open").join(open_lines.withColumn("open", F.lit(True)), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        words = marked.where("open").select("word").distinct()
-        more = candidate_pairs(marked.join(words, "word", "left_semi"), percent, True)
-        more = cut(more.select("doc_id", "line", "doc_x", "line_x").distinct().join(pairs, ["doc_id", "line", "doc_x", "line_x"], "left_anti"))
-        matched = matched.unionByName(verified(more, documents, text, percent))
-    near = lines.join(matched, ["doc_id", "line"], "left_semi").select("high", "low", F.lit(True).alias("near")).distinct()
-    decided = lines.groupBy("high", "low").agg(place, F.count("*").alias("copies"))
-    decided = decided.join(near, ["high", "low"], "left").where("copies > 1 OR near").select("high", "low", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    first = F.min(F.struct("doc_id", "line")).alias("at")
+    classes = lines.groupBy("high", "low").agg(first, *(F.first(c).alias(c) for c in ("n", "common", "parity", "words")))
+    classes = stored(classes.select("high", "low", "at.doc_id", "at.line", "n", "common", "parity", "words"), "line-dedup-classes")
+    release(spark)
+    useful = _table(classes.select("words"), _prefix_buckets)  # words in the prefixes of several lines
+    parts = 64 + (classes.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_POSTINGS
+    pairs = candidate_pairs(postings_of(classes.withColumn("open", F.lit(1)), useful, parts), percent, False)
+    pairs = stored(pairs.groupBy("doc_id", "line", "doc_x", "line_x").agg(F.max("others").alias("others")), "line-dedup-pairs")
+    release(spark)
+    matched = stored(verified(pairs, documents, text, percent), "line-dedup-matched")
+    release(spark)
+    undecided = stored(pairs.where("others > 0").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"), "line-dedup-undecided")
+    if not undecided.isEmpty():
+        marked = classes.join(undecided.withColumn("open", F.lit(1)), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+        sought = _table(marked.where("open = 1").select("words"), _prefix_buckets, least=1)
+        more = candidate_pairs(postings_of(marked, sought, parts), percent, True)
+        more = stored(more.select("doc_id", "line", "doc_x", "line_x").distinct().join(pairs, ["doc_id", "line", "doc_x", "line_x"], "left_anti"), "line-dedup-more")
+        release(spark)
+        matched = stored(matched.unionByName(verified(more, documents, text, percent)), "line-dedup-all")
+    release(spark)
+    decided = classes.select("high", "low", "doc_id", "line").join(matched.withColumn("near", F.lit(True)), ["doc_id", "line"], "left")
+    decided = decided.select("high", "low", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("near", F.lit(False)).alias("near"))
     found = lines.select("high", "low", "doc_id", "line").join(decided, ["high", "low"])
-    return found.where("near OR doc_id <> at.doc_id OR line <> at.line").select("doc_id", "line").distinct()
+    found = stored(found.where("near OR doc_id <> first_doc OR line <> first_line").select("doc_id", "line").distinct(), "line-dedup-removed")
+    release(spark)
+    return found
 
 
 def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text", figures: bool = False) -> DataFrame:
@@ -255,7 +319,9 @@ def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text",
     With figures it is (doc_id, n_lines, n_removed, kept) instead; n_lines counts lines that hold a character.
     """
     rows = removed.groupBy(F.col("doc_id").alias("__removed_of")).agg(F.collect_list("line").alias("__removed"))
-    joined = documents.join(rows, documents["doc_id"] == F.col("__removed_of"), "left").drop("__removed_of")
+    bitmap = membership(rows.select("__removed_of"))  # texts that surely keep all lines are not shuffled
+    joined = possibly_in(documents, bitmap).join(rows, F.col("doc_id") == F.col("__removed_of"), "left").drop("__removed_of")
+    joined = joined.unionByName(possibly_in(documents, bitmap, outside=True), allowMissingColumns=True)
     at, schema = documents.columns.index(text), documents.schema
     count_at = documents.columns.index("n_chars") if "n_chars" in documents.columns and text != "n_chars" else None
 

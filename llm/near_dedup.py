@@ -7,11 +7,11 @@ that no member reaches are filled from further hash passes, so that small sets h
 two sets agrees with the probability of their Jaccard similarity J.
 
 1. Equal sets form classes by a 128-bit digest; from here on only a class's least document counts.
-2. Registers are banded in ROWS; representatives that share a band meet. A band's members are compared with its least
-   member, never with each other, so that a group of near copies costs one comparison a member.
-3. Where a band holds several components after that, members of different components are compared too, unless their
-   distances to the least member differ by more than 1 - threshold (the Jaccard distance is a metric, so such a pair
-   cannot link). With that no pair that shares a band is lost.
+2. Registers are banded in ROWS; representatives that share a band meet. A band's members are compared with its hub, the
+   member that meets most others over all bands, and not with each other: a group of near copies costs a few comparisons
+   a member, and the text that the copies were made from, being nearest to all, is the hub of most of their bands.
+3. Where a band holds several components after that, members of different components are compared too, on larger
+   sketches and in blocks. With that no pair that shares a band is lost.
 4. Before texts move, agreement of the registers, less its expected share of chance collisions, estimates J; pairs whose
    estimate lies MARGIN under the threshold go.
 5. Links are confirmed on full sets, as 100 * intersection >= percent * union.
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from llm import blocks as B
 from llm.components import components
-from llm.tables import cut, membership, possibly_in, stored
+from llm.tables import cut, groups, membership, possibly_in, release, stored, without_ids
 
 SHINGLE, PERCENT = 5, 75
 BUCKETS, ROWS, MANTISSA = 160, 4, 10
-#: Six standard deviations of the share of agreeing registers at J = 0.75 and 160 registers.
-MARGIN = 0.2
+#: Six standard deviations of the share of agreeing registers at J = 0.75 and 160 registers, and at 1024.
+MARGIN, FINE, FINE_MARGIN, BLOCK_ROWS = 0.2, 1024, 0.082, 2048
 SIGNED = "doc_id long, n_shingles long, high long, low long, registers binary"
 _VALUE_BITS = 40
 
@@ -61,10 +61,10 @@ def shingle_sets(block: B.Block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return grams, np.searchsorted(doc, np.arange(block.rows + 1))
 
 
-def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers, (texts, BUCKETS) of 16 bits: leading zeros above MANTISSA bits. Empty sets keep zeros."""
+def sketches(sets: np.ndarray, first: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """HyperMinHash registers, (texts, buckets) of 16 bits: leading zeros above MANTISSA bits. Empty sets keep zeros."""
     n_docs = len(first) - 1
-    out, filled = np.zeros((n_docs, BUCKETS), np.uint16), np.zeros((n_docs, BUCKETS), bool)
+    out, filled = np.zeros((n_docs, buckets), np.uint16), np.zeros((n_docs, buckets), bool)
     open_docs = np.flatnonzero(np.diff(first))
     step = 0
     while len(open_docs):
@@ -72,20 +72,20 @@ def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
         local = np.concatenate([[0], np.cumsum(sizes)])
         h = sets[np.arange(local[-1]) + np.repeat(first[open_docs] - local[:-1], sizes)]
         h = B.mix(h + np.uint64(step * int(B.BASE) % (1 << 64)))
-        bucket = (h >> np.uint64(_VALUE_BITS)) % np.uint64(BUCKETS)
+        bucket = (h >> np.uint64(_VALUE_BITS)) % np.uint64(buckets)
         value = h & np.uint64((1 << _VALUE_BITS) - 1)
         doc = np.repeat(np.arange(len(open_docs), dtype=np.uint64), sizes)
-        cell = doc * np.uint64(BUCKETS) + bucket
-        for low in range(0, len(open_docs), 1 << 14):  # a cell number must fit above the value's bits
-            part = slice(*local[[low, min(low + (1 << 14), len(open_docs))]])
-            keys = np.sort(((cell[part] - np.uint64(low * BUCKETS)) << np.uint64(_VALUE_BITS)) | value[part])
+        cell = doc * np.uint64(buckets) + bucket
+        for low in range(0, len(open_docs), 1 << 13):  # a cell number must fit above the value's bits
+            part = slice(*local[[low, min(low + (1 << 13), len(open_docs))]])
+            keys = np.sort(((cell[part] - np.uint64(low * buckets)) << np.uint64(_VALUE_BITS)) | value[part])
             cells = (keys >> np.uint64(_VALUE_BITS)).astype(np.int64)
             least = np.ones(len(keys), bool)
             least[1:] = cells[1:] != cells[:-1]
             cells, v = cells[least], (keys[least] & np.uint64((1 << _VALUE_BITS) - 1)).astype(np.float64)
             mantissa, exponent = np.frexp(np.maximum(v, 0.5))  # v = mantissa * 2^exponent, mantissa in [0.5, 1)
             register = ((_VALUE_BITS - exponent).astype(np.uint16) << MANTISSA) | ((mantissa * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
-            row, column = open_docs[low + cells // BUCKETS], cells % BUCKETS
+            row, column = open_docs[low + cells // buckets], cells % buckets
             empty = ~filled[row, column]
             out[row[empty], column[empty]] = register[empty]
             filled[row[empty], column[empty]] = True
@@ -154,21 +154,72 @@ def _similarities(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(per_batch, "a long, b long, both long, either long")
 
 
-def compared(pairs: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
-    """(a, b, distance, linked) for every pair (a, b): exact where the estimate comes near the threshold, else estimated."""
+def _texts(documents: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """One text of each doc_id in ids."""
+    found = possibly_in(documents.select("doc_id", text), membership(ids)).join(ids, "doc_id", "left_semi")
+    return found.dropDuplicates(["doc_id"])
+
+
+def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a band of rest(band, number, n, doc_id, component) that may be similar enough.
+
+    Members are compared on FINE registers, of which the low byte is kept, and whose error is FINE_MARGIN at most, in blocks
+    of at most BLOCK_ROWS: each pair of a band's blocks is one group, so that no task holds more than two blocks of a band,
+    whatever its size. A pair counts in the first band that it shares: in an earlier one it was compared with the hub.
+    """
+
+    def fine(batches):
+        for batch in batches:
+            for block in B.blocks(batch.column(1)):
+                raw = [r.astype(np.uint8).tobytes() for r in sketches(*shingle_sets(block), FINE)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(raw, pa.binary())], ["doc_id", "fine"])
+
+    def group(rows):
+        _, low_block, high_block, doc, component, side, number, coarse, fine = rows
+        coarse = np.frombuffer(b"".join(coarse), np.uint64).reshape(len(doc), -1)  # a band is one integer
+        fine = np.frombuffer(b"".join(fine), np.uint8).reshape(len(doc), -1)
+        left, right = np.flatnonzero(side == low_block), np.flatnonzero(side == high_block)
+        for low in range(0, len(left), 8):
+            i, j = np.repeat(left[low : low + 8], len(right)), np.tile(right, len(left[low : low + 8]))
+            ok = (component[i] != component[j]) & (doc[i] < doc[j] if low_block[0] == high_block[0] else doc[i] != doc[j])
+            i, j = i[ok], j[ok]
+            ok = (coarse[i] == coarse[j]).argmax(axis=1) == number[0]
+            i, j = i[ok], j[ok]
+            ok = (fine[i] == fine[j]).mean(axis=1) >= percent / 100 - FINE_MARGIN
+            i, j = i[ok], j[ok]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
+
+    def per_partition(batches):
+        for rows in groups(batches, 3):
+            yield from group(rows)
+
+    sketched = stored(_texts(documents, rest.select("doc_id").distinct(), text).mapInArrow(fine, "doc_id long, fine binary"), "near-dedup-fine")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    dealt = rest.withColumn("side", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "doc_id", "component", "side", "number")
+    dealt = dealt.join(representatives.select("doc_id", "registers").join(sketched, "doc_id"), "doc_id").select("band", "low", "high", "doc_id", "component", "side", "number", "registers", "fine")
+    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(per_partition, "a long, b long").distinct()
+
+
+def near_enough(pairs: DataFrame, representatives: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose estimate is not more than MARGIN under the threshold."""
     registers = representatives.select("doc_id", "registers")
-    with_registers = (
-        pairs.join(registers.toDF("b", "registers_b"), "b").join(registers.toDF("a", "registers_a"), "a").select("a", "b", "registers_a", "registers_b")
-    )
-    guessed = cut(_estimate_pairs(with_registers))
-    close = guessed.where(F.col("estimate") >= percent / 100 - MARGIN).select("a", "b")
-    ids = close.select(F.col("b").alias("doc_id")).union(close.select(F.col("a").alias("doc_id"))).distinct()
-    texts = possibly_in(documents.select("doc_id", text), membership(ids)).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = stored(texts, "near-dedup-texts")
-    exact = _similarities(close.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b"))
-    far = guessed.where(F.col("estimate") < percent / 100 - MARGIN).select("a", "b", (1 - F.col("estimate")).alias("distance"), F.lit(False).alias("linked"))
-    near = exact.select("a", "b", (1 - F.col("both") / F.col("either")).alias("distance"), (100 * F.col("both") >= percent * F.col("either")).alias("linked"))
-    return stored(near.unionByName(far), "near-dedup-compared")
+    sketched = pairs.join(registers.toDF("b", "registers_b"), "b").join(registers.toDF("a", "registers_a"), "a")
+    guessed = _estimate_pairs(sketched.select("a", "b", "registers_a", "registers_b"))
+    return guessed.where(F.col("estimate") >= percent / 100 - MARGIN).select("a", "b")
+
+
+def links(pairs: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that link, on full sets of the whole texts."""
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("b").alias("doc_id")).union(pairs.select(F.col("a").alias("doc_id"))).distinct()
+    texts = stored(_texts(documents, ids, text), "near-dedup-texts")
+    joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    exact = _similarities(joined.select("a", "b", "text_a", "text_b"))
+    result = stored(exact.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "near-dedup-links")
+    release(documents.sparkSession)
+    return result
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -180,23 +231,31 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = PER
     signed = stored(signatures(documents, text), "near-dedup-signatures")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
     classes = stored(classes, "near-dedup-classes")
-    bands = classes.select("doc_id", F.explode(F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), i -> xxhash64(i, substring(registers, 1 + {2 * ROWS} * i, {2 * ROWS})))")).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band", "least")
-    members = cut(bands.join(shared, "band"))  # those that share a band, with its least member
-    stars = members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = compared(stars, classes, documents, text, percent)
-    found = components(first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    bands = classes.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), i -> xxhash64(i, substring(registers, 1 + {2 * ROWS} * i, {2 * ROWS})))")).alias("number", "band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(bands.join(shared, "band"))
+    reach = met.groupBy("doc_id").agg(F.sum("n").alias("reach"))
+    ranked = met.select("band", "number", "doc_id").join(reach, "doc_id")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("low"))).alias("top")).select("band", (-F.col("top.low")).alias("hub"))
+    members = cut(ranked.select("band", "number", "doc_id").join(hubs, "band"))
+    stars = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = links(near_enough(stars, classes, percent), documents, text, percent)
+    found = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # what a band still holds apart
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.countDistinct("doc_id").alias("n")).where("c0 < c1 AND n > 2").select("band")
-    rest = placed.join(several, "band").join(first.select(F.col("a").alias("least"), F.col("b").alias("doc_id"), "distance"), ["least", "doc_id"]).select("band", "doc_id", "component", "distance")
-    slack = 1 - percent / 100 + MARGIN
-    left, right = (rest.select(*(F.col(c).alias(c + side) if c != "band" else F.col(c) for c in rest.columns)) for side in "xy")
-    apart = left.join(right, "band").where((F.col("doc_idx") < F.col("doc_idy")) & (F.col("componentx") != F.col("componenty")) & (F.abs(F.col("distancex") - F.col("distancey")) <= slack))
-    second = compared(cut(apart.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")).distinct()), classes, documents, text, percent)
-    links = first.unionByName(second).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = components(links).withColumnRenamed("node", "least")
+    several = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 AND n > 2").select("band", "n")
+    rest = cut(placed.where("doc_id <> hub").join(several, "band").select("band", "number", "n", "doc_id", "component"))
+    second = links(_apart(rest, classes, documents, text, percent), documents, text, percent)
+    found = components(first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "least")
     by_class = classes.select("high", "low", F.col("doc_id").alias("least")).join(found, "least", "left").select("high", "low", F.coalesce("component", "least").alias("component_id"))
     rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "high", "low").join(by_class, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
     rows = rows.unionByName(signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(documents: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """documents, all columns, with one document of each group: the one of least doc_id. Of equal rows one stays."""
+    rows = stored(near_duplicates(documents, text, percent), "near-dedup-rows").where("doc_id IS NOT NULL")
+    ids = rows.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    ids = stored(ids.select("doc_id", (~F.col("kept")).alias("gone")), "near-dedup-gone")
+    return without_ids(documents, ids, repeated=["doc_id", text])

@@ -9,7 +9,8 @@ Earlier: in a document of smaller doc_id, or in the same document before. String
 3. Runs whose anchors occur once have no equal. A table of fixed size tells most of them: one bit for each of 2^TABLE_BITS
    hash buckets, set where two runs or more fall. Runs that pass go to the task of their anchor with their bytes; of a
    task's runs with equal bytes only the earliest goes, as the others are surely covered.
-4. Where an anchor has several different runs, a Burrows-Wheeler transform is built over the runs of many anchors, and
+4. Of an anchor's runs, windows that agree with no other in the bytes nearest to the anchor have no equal and end here.
+   Where several different runs stay, a Burrows-Wheeler transform is built over the runs of many anchors, and
    intervals expand breadth first: an interval of suffixes that share l bytes, extended backward by each byte before it,
    gives intervals that share l + 1; the right ends not seen before are where the common prefix is l. So common prefixes
    come in increasing value. It stops at LENGTH: suffixes with no end between them share LENGTH bytes or more.
@@ -34,18 +35,20 @@ from llm.tables import cut, groups, membership, possibly_in, release, stored
 
 LENGTH, GRAM = 100, 16
 TABLE_BITS, CHUNK_BITS = 28, 16
+#: Parts that the windows of an anchor are taken in.
+PARTS = 4
 #: Positions of one pass are numbered in 24 bits below 40 bits of hash.
 PASS_WINDOWS = 1 << 22
-POOL_BYTES = 1 << 20
-RUNS = "anchor long, doc_id long, high long, start int, windows int, content binary"
+POOL_BYTES, BLOCK_BYTES = 1 << 18, 1 << 20
+RUNS = "anchor long, doc_id long, high long, start int, windows int, place int, content binary"
 SPANS = "doc_id long, high long, begin int, end int"
 NO_ID = -(1 << 63)
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) of every run in a block; windows are places in its bytes."""
+def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, its place, first window, number of windows) of every run in a block, by places in its bytes."""
     n, width = len(data), length - GRAM + 1
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    out = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
     for low in range(0, max(0, n - length + 1), PASS_WINDOWS):
         part = data[low : low + PASS_WINDOWS + length - 1]
         prefix = B.prefix_hashes(part)
@@ -66,7 +69,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple
         new[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new & inside)
         ends = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
-        out.append((grams[owner[at]], window[at], ends - at + 1))
+        out.append((grams[owner[at]], owner[at] + low, window[at], ends - at + 1))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -80,7 +83,7 @@ def repeated_buckets(documents: DataFrame, text: str) -> Broadcast:
     def seen(batches):
         once, twice = (np.zeros(1 << (TABLE_BITS - 3), np.uint8) for _ in range(2))
         for batch in batches:
-            for block in B.blocks(batch.column(0)):
+            for block in B.blocks(batch.column(0), BLOCK_BYTES):
                 buckets, counts = np.unique(_bucket(anchors(block.data, block.starts)[0]), return_counts=True)
                 place, bit = buckets >> 3, np.uint8(1) << (buckets & 7).astype(np.uint8)
                 again = (counts > 1) | ((once[place] & bit) > 0)
@@ -116,11 +119,11 @@ def runs(documents: DataFrame, text: str, table: Broadcast) -> DataFrame:
     def per_batch(batches):
         for batch in batches:
             ids, high = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for block in B.blocks(batch.column(2)):
-                anchor, window, count = anchors(block.data, block.starts)
+            for block in B.blocks(batch.column(2), BLOCK_BYTES):
+                anchor, place, window, count = anchors(block.data, block.starts)
                 bucket = _bucket(anchor)
                 keep = np.flatnonzero(table.value[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1)
-                anchor, window, count = anchor[keep], window[keep], count[keep]
+                anchor, place, window, count = (x[keep] for x in (anchor, place, window, count))
                 row = np.searchsorted(block.starts, window, "right") - 1
                 start, doc, top = window - block.starts[row], ids[block.first + row], high[block.first + row]
                 end = window + count - 1 + LENGTH
@@ -133,7 +136,7 @@ def runs(documents: DataFrame, text: str, table: Broadcast) -> DataFrame:
                 raw = block.data.tobytes()
                 content = [None if c else raw[x:y] for c, x, y in zip(same, window[order], end[order], strict=True)]
                 spread = np.where(same, B.mix(doc[order].view(np.uint64) + start[order].astype(np.uint64)), a).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc[order]), pa.array(top[order]), pa.array(start[order].astype(np.int32)), pa.array(count[order].astype(np.int32)), pa.array(content, pa.binary())], [x.split()[0] for x in RUNS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(doc[order]), pa.array(top[order]), pa.array(start[order].astype(np.int32)), pa.array(count[order].astype(np.int32)), pa.array((place - window)[order].astype(np.int32)), pa.array(content, pa.binary())], [x.split()[0] for x in RUNS.split(", ")])
 
     return documents.select("doc_id", "high", text).mapInArrow(per_batch, RUNS)
 
@@ -229,45 +232,74 @@ def covered_windows(pool: list[tuple[tuple[int, int, int], int, bytes]], length:
     return [(int(place[o, 0]), int(place[o, 1]), int(a), int(b)) for o, a, b in zip(owner[opens], begin, end, strict=True)]
 
 
+def by_context(seen: dict[bytes, tuple[tuple[int, int, int], int, int]]) -> tuple[list, list]:
+    """(SPANS, pool) of the different runs of one anchor, the earliest first.
+
+    Windows are taken in PARTS by how far the anchor lies behind their start. All windows of a part share the bytes around
+    the anchor that each of them has; runs in whose shared bytes no other run agrees have no equal window there.
+    """
+    spans, pool = [], []
+    width = LENGTH - GRAM + 1
+    for part in range(PARTS):
+        near, far = width * part // PARTS, width * (part + 1) // PARTS
+        alike: dict[bytes, dict[bytes, tuple[tuple[int, int, int], int]]] = {}
+        for content, ((doc, high, start), windows, place) in seen.items():
+            first, last = max(0, place - far + 1), min(windows - 1, place - near)
+            if first > last:
+                continue
+            runs_here = alike.setdefault(content[place - near : place + GRAM + width - far], {})
+            own = content[first : last + LENGTH]
+            if own in runs_here:
+                spans.append((doc, high, start + first, start + last + LENGTH))
+            else:
+                runs_here[own] = (doc, high, start + first), last - first + 1
+        pool += [(place, n, c) for runs_here in alike.values() if len(runs_here) > 1 for c, (place, n) in runs_here.items()]
+    return spans, pool
+
+
 def covered(found: DataFrame) -> DataFrame:
     """SPANS of bytes that windows of RUNS cover which have an earlier equal."""
 
     def per_partition(batches):
-        anchor, pool, held = None, [], 0
-        seen: dict[bytes, tuple[tuple[int, int, int], int]] = {}
-
-        def batch_of(spans):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*spans, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "high", "begin", "end"])
+        anchor, out, pool, held = None, [], [], 0
+        seen: dict[bytes, tuple[tuple[int, int, int], int, int]] = {}
+
+        def close(last: bool) -> None:
+            nonlocal out, pool, held
+            if len(seen) > 1:
+                spans, more = by_context(seen)
+                out += spans
+                pool += more
+                held += sum(len(c) for *_, c in more)
+            if pool and (last or held >= POOL_BYTES):
+                out += covered_windows(pool)
+                pool, held = [], 0
 
         for batch in batches:
-            out = []
-            for a, doc, high, start, windows, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if content is None:
+            for a, doc, high, start, windows, place, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if content is None or content in seen and a == anchor:  # rows come in order: what was seen is earlier
                     out.append((doc, high, start, start + windows - 1 + LENGTH))
                     continue
                 if a != anchor:
-                    if len(seen) > 1:
-                        pool += [(place, n, c) for c, (place, n) in seen.items()]
-                        held += sum(map(len, seen))
-                        if held >= POOL_BYTES:
-                            out += covered_windows(pool)
-                            pool, held = [], 0
+                    close(False)
                     anchor, seen = a, {}
-                if content in seen:  # rows come in order, so that the first is the earliest
-                    out.append((doc, high, start, start + windows - 1 + LENGTH))
-                else:
-                    seen[content] = (doc, high, start), windows
+                seen[content] = (doc, high, start), windows, place
             if out:
-                yield batch_of(out)
-        if len(seen) > 1:
-            pool += [(place, n, c) for c, (place, n) in seen.items()]
-        if pool and (spans := covered_windows(pool)):
-            yield batch_of(spans)
+                yield spans_of(out)
+                out = []
+        close(True)
+        if out:
+            yield spans_of(out)
 
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "high", "start")
     return dealt.mapInArrow(per_partition, SPANS)
 
 
+def spans_of(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "high", "begin", "end"])
+
+
 def removed_spans(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents' digests, spans): rows (doc_id, high, low, n_bytes, whole_sha256, copy) and SPANS of the rest, not merged."""
     keyed = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce(text, F.lit("")).alias(text))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm.blocks import BASE, mix
 
@@ -43,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps now, not at the driver's next collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -78,13 +86,57 @@ def membership(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def possibly_in(documents: DataFrame, bitmap, id_column: str = "doc_id") -> DataFrame:
-    """The rows of documents whose id may be in a bitmap of membership(); rows without an id go."""
+def possibly_in(documents: DataFrame, bitmap, id_column: str = "doc_id", outside: bool = False) -> DataFrame:
+    """The rows of documents whose id may be in a bitmap of membership(), or with outside=True all others.
+
+    Rows without an id are others.
+    """
     at = documents.columns.index(id_column)
 
     def per_batch(batches):
         for batch in batches:
             ids = batch.column(at)
-            yield batch.filter(pa.array(bitmap.value[bitmap_positions(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)))
+            inside = bitmap.value[bitmap_positions(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(inside != outside))
 
     return documents.mapInArrow(per_batch, documents.schema)
+
+
+def without_ids(documents: DataFrame, ids: DataFrame, id_column: str = "doc_id", repeated: list[str] | None = None) -> DataFrame:
+    """documents whose id is not in ids(doc_id). Only rows that a bitmap cannot tell from those are shuffled.
+
+    With `repeated`, ids has a column `gone` too: rows go where it is true, and of other rows named in ids that are equal in
+    the columns of `repeated` one stays.
+    """
+    gone = ids.where("gone") if repeated else ids
+    bitmap = membership(ids.select("doc_id"))
+    left = possibly_in(documents, bitmap, id_column).join(gone.select(F.col("doc_id").alias("__gone")).distinct(), F.col(id_column) == F.col("__gone"), "left_anti")
+    left = left.dropDuplicates(repeated) if repeated else left
+    return possibly_in(documents, bitmap, id_column, outside=True).unionByName(left)
+
+
+def groups(batches, n_keys: int):
+    """Column arrays of each run of rows with equal values in the first n_keys integer columns, across Arrow batches.
+
+    Integer columns come as numpy arrays and others as lists. Only the run at hand is held.
+    """
+    held: list[list] = []
+    key = None
+    joined = lambda parts: [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for p in c for x in p] for c in zip(*parts, strict=True)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else c.to_pylist() for c in batch.columns]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns[:n_keys]:
+            change[1:] |= c[1:] != c[:-1]
+        bounds = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            now = tuple(c[a] for c in columns[:n_keys])
+            if held and now != key:
+                yield joined(held)
+                held = []
+            key = now
+            held.append([c[a:b] for c in columns])
+    if held:
+        yield joined(held)

@@ -21,6 +21,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -60,7 +61,7 @@ def one_line(value: str) -> str:
 def read_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     """(fields, block) of every record in the bytes of a WARC file, gzipped or not."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)  # all members
+        data = b"".join(unzipped(data))
     at = 0
     while at < len(data):
         if data.startswith(_CRLF, at):
@@ -82,6 +83,17 @@ def read_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         at = end + 4 + size
 
 
+def unzipped(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The contents of all gzip members, fed in small steps: what follows a member is copied each time that one ends."""
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data):
+        yield member.decompress(data[at : at + step])
+        at += step
+        if member.eof:
+            at = min(at, len(data)) - len(member.unused_data)
+            member = zlib.decompressobj(31)
+
+
 def field(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
