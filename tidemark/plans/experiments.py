@@ -1,0 +1,187 @@
+"""Whole analyses: fits on each series' first part, filters and backtests on the rest, and their comparison tables."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import numerics as N
+from tidemark.operators import backtest as BT
+from tidemark.operators import hmm as H
+from tidemark.operators import prep as P
+from tidemark.operators import regimes as R
+from tidemark.operators import signals as S
+from tidemark.operators import statespace as SS
+from tidemark.operators import statistics as ST
+from tidemark.sources import market as M
+
+
+def daily_log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.log_returns(P.sequenced(M.daily(spark, sf_dir), "dt"), "close")
+
+
+def regime_signals(df: DataFrame, k: int = 3, fraction: float = 0.7, restarts: int = 3, max_iter: int = 40, seed: int = 42) -> DataFrame:
+    """Test rows of df (symbol, seq, ret) with prediction, state and signal (weighted vote), the model fitted on each series' train rows.
+
+    Fit and filter happen in one group per series: the model never leaves its task.
+    """
+    split = P.train_test_split(df, fraction)
+    names = df.columns
+
+    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable")
+        train = rows.loc[rows["is_train"], "ret"].to_numpy(float)
+        test = rows[~rows["is_train"]]
+        m = N.baum_welch(train, k, restarts, max_iter, seed=H.seed_of(seed, rows["symbol"].iloc[0], k))
+        log_b = N.emissions(test["ret"].to_numpy(float), m["mu"], m["sigma2"])
+        probs, _ = N.forward(log_b, m["A"], m["pi"])
+        path = N.viterbi(log_b, m["A"], m["pi"])[0]
+        prior = np.vstack([m["pi"], probs[:-1] @ m["A"]])
+        vote = np.clip(probs @ np.sign(m["mu"]), -1, 1)
+        return test[names].assign(prediction=prior @ m["mu"], neutral=probs[:, int(np.abs(m["mu"]).argmin())], state=path, signal=vote)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return split.groupBy("symbol").applyInPandas(per_series, f"{fields}, prediction double, neutral double, state int, signal double").withColumn("seq", F.row_number().over(P.by_time()))
+
+
+def strategies(test: DataFrame, cost_bps: float = 5) -> DataFrame:
+    """Metrics of the vote, of the prediction's sign and of holding, for each series."""
+    named = {"vote": (F.col("signal"), cost_bps), "sign": (F.signum("prediction"), cost_bps), "hold": (F.lit(1.0), 0.0)}
+    out = None
+    for name, (signal, cost) in named.items():
+        one = BT.metrics(BT.backtest(test.withColumn("signal", signal), cost)).withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def exploration(spark, d):
+    df = daily_log_returns(spark, d)
+    vol = S.ewma_volatility(df).groupBy("symbol").agg(*(f(F.sqrt(252 * F.col("variance"))).alias(f"vol_{n}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))))
+    return ST.moments(df).join(ST.extremes(df, "dt"), "symbol").join(ST.percentiles(df), "symbol").join(vol, "symbol")
+
+
+def model_selection(spark, d):
+    df = H.select_k(daily_log_returns(spark, d), [1, 2, 3, 4], restarts=1, max_iter=30)
+    return df.withColumn("bic_gap", F.col("bic") - F.min("bic").over(Window.partitionBy("symbol")))
+
+
+def training(spark, d):
+    models = H.fit(daily_log_returns(spark, d), 3, 3, 40)
+    states = models.select("symbol", "ll", F.posexplode(F.arrays_zip("mu", "sigma2")).alias("state", "m")).select("symbol", "ll", "state", "m.mu", F.sqrt("m.sigma2").alias("sigma"))
+    return states.join(H.expected_durations(models), ["symbol", "state"])
+
+
+def regime_detection(spark, d):
+    test = regime_signals(daily_log_returns(spark, d))
+    return R.state_stats(test, 3).join(R.average_durations(test), ["symbol", "state"], "left").join(R.transition_counts(test), "symbol")
+
+
+def backtest_comparison(spark, d):
+    return strategies(regime_signals(daily_log_returns(spark, d)))
+
+
+def em_and_gibbs(spark, d):
+    df = daily_log_returns(spark, d)
+    em = H.fit(df, 3, 2, 30).select("symbol", F.posexplode("mu").alias("state", "mu_em"))
+    return H.posterior_summary(H.gibbs(df, 3, 15, 15, 1)).join(em, ["symbol", "state"])
+
+
+def multi_asset(spark, d):
+    test = regime_signals(daily_log_returns(spark, d))
+    portfolio = BT.equal_weight(BT.backtest(test)).withColumn("symbol", F.lit("portfolio"))
+    own = BT.backtest(test).groupBy("symbol").agg(BT.sharpe(F.col("net")).alias("sharpe"))
+    return own.unionByName(portfolio.groupBy("symbol").agg(BT.sharpe(F.col("net")).alias("sharpe")))
+
+
+def three_or_four_states(spark, d):
+    df = daily_log_returns(spark, d)
+    three, four = (regime_signals(df, k).select("symbol", "dt", F.col("state").alias(f"s{k}")) for k in (3, 4))
+    return R.crosstab(three.join(four, ["symbol", "dt"]), "s3", "s4", [0, 1, 2, 3])
+
+
+def rolling_backtest(spark, d):
+    """Expanding windows: each (series, window) is a group of its own."""
+    rows = R.expanding_windows(daily_log_returns(spark, d), "dt", 36, 12)
+    keyed = rows.withColumn("series", F.concat_ws("#", "symbol", "window_id")).select(F.col("series").alias("symbol"), "dt", "seq", "ret", (F.col("part") == "train").alias("is_train"))
+
+    def per_window(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq", kind="stable")
+        train, test = group[group["is_train"]], group[~group["is_train"]]
+        if len(train) < 30 or test.empty:
+            return test[["symbol", "dt", "seq", "ret"]].iloc[:0].assign(signal=0.0)
+        m = N.baum_welch(train["ret"].to_numpy(float), 2, 1, 15, seed=H.seed_of(42, group["symbol"].iloc[0]))
+        probs, _ = N.forward(N.emissions(test["ret"].to_numpy(float), m["mu"], m["sigma2"]), m["A"], m["pi"])
+        return test[["symbol", "dt", "seq", "ret"]].assign(signal=np.clip(probs @ np.sign(m["mu"]), -1, 1))
+
+    test = keyed.groupBy("symbol").applyInPandas(per_window, "symbol string, dt date, seq int, ret double, signal double")
+    own = BT.metrics(BT.backtest(test)).select("symbol", "sharpe", "max_drawdown")
+    held = BT.metrics(BT.backtest(test.withColumn("signal", F.lit(1.0)), 0)).select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("max_drawdown").alias("benchmark_drawdown"))
+    return own.join(held, "symbol")
+
+
+def signal_refinement(spark, d):
+    """No-trade thresholds by smoothing factors, each cell a backtest; the five best by mean Sharpe ratio. Chosen on test rows."""
+    test = regime_signals(daily_log_returns(spark, d))
+    grid = R.parameter_grid(spark, threshold=[0.4, 0.6, 0.8], alpha=[0.1, 0.5, 1.0])
+    cells = test.join(F.broadcast(grid)).withColumn("signal", F.when(F.col("neutral") < F.col("threshold"), F.col("signal")).otherwise(0.0))
+    cells = cells.withColumn("symbol", F.concat_ws("#", "symbol", "grid_idx"))
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable")
+        a, s = float(rows["alpha"].iloc[0]), rows["signal"].to_numpy(float)
+        return rows[["symbol", "grid_idx", "threshold", "alpha", "seq", "ret"]].assign(signal=np.clip(S.linear_recurrence(s[0], 1 - a, a * s[1:]), -1, 1))
+
+    smoothed = cells.select("symbol", "grid_idx", "threshold", "alpha", "seq", "ret", "signal").groupBy("symbol").applyInPandas(smooth, "symbol string, grid_idx int, threshold double, alpha double, seq int, ret double, signal double")
+    scored = BT.metrics(BT.backtest(smoothed), "symbol", "grid_idx", "threshold", "alpha")
+    return R.top_k(scored.groupBy("grid_idx", "threshold", "alpha").agg(F.avg("sharpe").alias("sharpe")), "sharpe", 5, "grid_idx")
+
+
+def robustness(spark, d):
+    rows = strategies(regime_signals(daily_log_returns(spark, d)))
+    vote = rows.where("strategy = 'vote'").select("symbol", "sharpe", "max_drawdown")
+    hold = rows.where("strategy = 'hold'").select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("max_drawdown").alias("benchmark_drawdown"))
+    return R.window_summary(vote.join(hold, "symbol"))
+
+
+_PATHS = {"theta": -0.2, "sigma": 0.3, "sigma_obs": 0.3, "lambda_J": 0.05, "mu_J": 0.0, "sigma_J": 2.0}
+
+
+def jump_detection(spark, d):
+    paths = SS.simulated(spark, 4, 300, _PATHS)
+    found = S.jumps(SS.particle_filters(paths, _PATHS, 100, value="obs"), "trend").where("is_jump").select("symbol", "seq")
+    true = paths.where("jumped").select("symbol", "seq")
+    count = lambda df, name: df.groupBy("symbol").agg(F.count("*").alias(name))
+    parts = [count(true, "true"), count(found, "found"), count(R.jump_hits(true, found), "hits"), count(R.jump_false_positives(true, found), "false")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "symbol", "full")
+    return out.na.fill(0)
+
+
+def particle_trading(spark, d, kind: str = "rbpf", n: int = 30):
+    """Filter, soft sign of the trend, backtest; parameters by moments of all series together."""
+    df = P.log_returns(P.sequenced(M.ticks(spark, d, "user_id"), "ts", "event_id"))
+    p = {"theta": -0.5, "sigma": 5.0, "sigma_obs": 10.0, "lambda_J": 0.05, "mu_J": 0.0, "sigma_J": 10.0}
+    filtered = SS.particle_filters(df, p, n, kind)
+    return BT.metrics(BT.backtest(S.soft_sign(filtered, "trend", 5.0)))
+
+
+def autocorrelation(spark, d):
+    ticks = M.ticks(spark, d)
+    out = None
+    for freq in ("5min", "1h", "1D"):
+        bars = P.resample_bars(ticks.select("symbol", "ts", "event_id", F.col("price").alias("close")), freq, order=("ts", "event_id"))
+        rets = P.log_returns(P.sequenced(bars, "ts"), "close")
+        one = ST.ljung_box(rets, 10).join(ST.variance_ratio(rets, 5), "symbol").join(ST.snr(rets, freq), "symbol").withColumn("freq", F.lit(freq))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+PLANS = {
+    "plan_exploration": exploration, "plan_model_selection": model_selection, "plan_training": training, "plan_regime_detection": regime_detection,
+    "plan_backtest_comparison": backtest_comparison, "plan_em_and_gibbs": em_and_gibbs, "plan_multi_asset": multi_asset,
+    "plan_three_or_four_states": three_or_four_states, "plan_rolling_backtest": rolling_backtest, "plan_signal_refinement": signal_refinement,
+    "plan_robustness": robustness, "plan_jump_detection": jump_detection, "plan_particle_trading": particle_trading, "plan_autocorrelation": autocorrelation,
+}
