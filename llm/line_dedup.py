@@ -14,7 +14,7 @@ fewer than MIN_WORDS distinct words always stay.
    lower bound of the sets' symmetric difference.
 5. A line is compared with its nearest earlier candidate of each shared word first, so that a group of near copies costs
    a few comparisons a line. Lines that this leaves undecided are compared with all their other candidates.
-6. Jaccard similarity is verified on the whole lines.
+6. Jaccard similarity is verified on the whole lines, after a second look at maps of WIDE bits that spares most of them.
 
 Defined results: null and empty texts stay as they are; blank lines stay; rows with equal doc_id share their removals by
 line number; rows without doc_id stay as they are. A document whose lines all go stays as a row with what is left.
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import blocks as B
-from llm.tables import bitmap_positions, groups, membership, possibly_in, release, stored
+from llm.tables import bitmap_positions, groups, membership, possibly_in, release, stored, workspace
 
 PERCENT, MIN_WORDS = 75, 3
 RARITY_BITS, HASH_BITS, CODE_BITS = 24, 40, 6
-CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS = 1 << 17, 1 << 20, 200_000
+CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, WIDE = 1 << 17, 1 << 20, 200_000, 512
 _NOT_NEWLINE = np.zeros(256, bool)
 _NOT_NEWLINE[10] = True
 LINES = "high long, low long, doc_id long, line int, n int, common int, parity long, words array<int>"
@@ -204,37 +204,41 @@ def _group_pairs(columns: list[np.ndarray], percent: int, every: bool):
     With `every` all pairs that pass are returned, else the nearest of each line and word, and how many others passed.
     """
     word, line, n, left, doc, parity, is_open = columns
-    order = np.lexsort((line, doc, word))
+    order = np.lexsort((n, word))
     word, line, n, left, doc, parity, is_open = (c[order] for c in (word, line, n.astype(np.int64), left, doc, parity, is_open))
-    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    before = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
-    before = before * is_open
+    # of one word's postings in order of size, those before that are large enough
+    new = np.concatenate([[True], word[1:] != word[:-1]])
+    group = np.cumsum(new) - 1
+    place = group * (int(n.max(initial=0)) + 1) + n  # ascends
+    low = np.searchsorted(place, group * (int(n.max(initial=0)) + 1) - (-n * percent // 100))
+    before = np.arange(len(word)) - low
     total = np.concatenate([[0], np.cumsum(before)])
     done = 0
     while done < len(word):
         until = max(done + 1, int(np.searchsorted(total, total[done] + CHUNK_PAIRS, "right")) - 1)
         rows = np.arange(done, until)
-        y = np.repeat(rows, before[rows])
-        x = y - 1 - (np.arange(len(y)) - np.repeat(total[rows] - total[done], before[rows]))
+        a = np.repeat(rows, before[rows])
+        b = a - 1 - (np.arange(len(a)) - np.repeat(total[rows] - total[done], before[rows]))
         done = until
-        ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-        x, y = x[ok], y[ok]
-        need = -(-percent * (n[x] + n[y]) // (100 + percent))
-        ok = np.minimum(left[x], left[y]) >= need  # holds at the rarest word that a matching pair shares
-        x, y, need = x[ok], y[ok], need[ok]
-        apart = np.bitwise_count((parity[x] ^ parity[y]).view(np.uint64)).astype(np.int64)
-        ok = apart <= n[x] + n[y] - 2 * need
+        both = n[a] + n[b]
+        need = -(-percent * both // (100 + percent))
+        ok = np.flatnonzero(np.minimum(left[a], left[b]) >= need)  # holds at the rarest word that a matching pair shares
+        a, b, spare = a[ok], b[ok], (both - 2 * need)[ok]
+        apart = np.bitwise_count((parity[a] ^ parity[b]).view(np.uint64)).astype(np.int64)
+        ok = np.flatnonzero(apart <= spare)
+        a, b, apart = a[ok], b[ok], apart[ok]
+        later = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
+        y, x = np.where(later, a, b), np.where(later, b, a)
+        ok = np.flatnonzero((is_open[y] > 0) & ((doc[x] != doc[y]) | (line[x] != line[y])))
         x, y, apart = x[ok], y[ok], apart[ok]
         others = np.zeros(len(y), np.int64)
         if not every and len(y):
-            order = np.lexsort((x, apart, y))
+            order = np.lexsort((line[x], doc[x], apart, y))
             head = np.flatnonzero(np.concatenate([[True], y[order][1:] != y[order][:-1]]))
             others = np.diff(np.append(head, len(y))) - 1
             x, y = x[order][head], y[order][head]
-        same = (doc[x] == doc[y]) & (line[x] == line[y])
-        x, y, others = x[~same], y[~same], others[~same]
         if len(y):
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (doc[y], line[y], doc[x], line[x], others)], [c.split()[0] for c in PAIRS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[y], line[y], doc[x], line[x], others)], [c.split()[0] for c in PAIRS.split(", ")])
 
 
 def candidate_pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -261,12 +265,27 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
                 number = np.arange(len(doc)) - lines.first[doc]
                 at = np.flatnonzero(wanted.value[bitmap_positions(values[block.first + doc], number)])
                 raw = block.data.tobytes()
-                found = [raw[a:b] for a, b in zip(lines.begin[at], lines.end[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(block.first + doc[at])), pa.array(number[at].astype(np.int32)), pa.array(found, pa.binary())], ["doc_id", "line", "content"])
+                found = pa.array([raw[a:b] for a, b in zip(lines.begin[at], lines.end[at], strict=True)], pa.binary())
+                maps = pa.array([wide_map(s) for s in sets(found)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(block.first + doc[at])), pa.array(number[at].astype(np.int32)), found, maps], ["doc_id", "line", "content", "map"])
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         return [np.unique(h[w.first[i] : w.first[i + 1]]) for b, _, w, h in _read(column.cast(pa.string())) for i in range(b.rows)]
 
+    def wide_map(words: np.ndarray) -> bytes:
+        bits = np.bincount((B.mix(words) & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
+        return len(words).to_bytes(4, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
+
+    def sieve(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
+            both = sum(np.ascontiguousarray(m[:, :4]).view("<u4")[:, 0].astype(np.int64) for m in (a, b))
+            apart = np.bitwise_count(a[:, 4:] ^ b[:, 4:]).sum(axis=1, dtype=np.int64)
+            good = pa.array(apart <= both - 2 * -(-percent * both // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in range(4)], ["doc_id", "line", "doc_x", "line_x"])
+
     def verify(batches):
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
@@ -275,8 +294,12 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
                 good[k] = 100 * both >= percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["doc_id", "line"])
 
-    content = documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(pick, "doc_id long, line int, content binary")
+    content = documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(pick, "doc_id long, line int, content binary, map binary")
     content = stored(content.dropDuplicates(["doc_id", "line"]), "line-dedup-content")
+    maps, content = content.select("doc_id", "line", "map"), content.select("doc_id", "line", "content")
+    mapped = pairs.select("doc_id", "line", "doc_x", "line_x").join(maps, ["doc_id", "line"]).withColumnRenamed("map", "map_y").join(maps.toDF("doc_x", "line_x", "map_x"), ["doc_x", "line_x"])
+    pairs = stored(mapped.select("doc_id", "line", "doc_x", "line_x", "map_y", "map_x").mapInArrow(sieve, "doc_id long, line int, doc_x long, line_x int"), "line-dedup-sieved")
+    release(documents.sparkSession)
     joined = pairs.join(content, ["doc_id", "line"]).withColumnRenamed("content", "y").join(content.toDF("doc_x", "line_x", "x"), ["doc_x", "line_x"])
     return joined.select("doc_id", "line", "x", "y").mapInArrow(verify, "doc_id long, line int").distinct()
 
@@ -284,33 +307,33 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
 def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line) of every line to remove; lines that hold a character are numbered from 0 in each document."""
     spark = documents.sparkSession
-    lines = stored(line_sets(documents, text, word_rarity(documents, text), percent, min_words), "line-dedup-lines")
-    first = F.min(F.struct("doc_id", "line")).alias("at")
-    classes = lines.groupBy("high", "low").agg(first, *(F.first(c).alias(c) for c in ("n", "common", "parity", "words")))
-    classes = stored(classes.select("high", "low", "at.doc_id", "at.line", "n", "common", "parity", "words"), "line-dedup-classes")
-    release(spark)
-    useful = _table(classes.select("words"), _prefix_buckets)  # words in the prefixes of several lines
-    parts = 64 + (classes.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_POSTINGS
-    pairs = candidate_pairs(postings_of(classes.withColumn("open", F.lit(1)), useful, parts), percent, False)
-    pairs = stored(pairs.groupBy("doc_id", "line", "doc_x", "line_x").agg(F.max("others").alias("others")), "line-dedup-pairs")
-    release(spark)
-    matched = stored(verified(pairs, documents, text, percent), "line-dedup-matched")
-    release(spark)
-    undecided = stored(pairs.where("others > 0").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"), "line-dedup-undecided")
-    if not undecided.isEmpty():
-        marked = classes.join(undecided.withColumn("open", F.lit(1)), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
-        sought = _table(marked.where("open = 1").select("words"), _prefix_buckets, least=1)
-        more = candidate_pairs(postings_of(marked, sought, parts), percent, True)
-        more = stored(more.select("doc_id", "line", "doc_x", "line_x").distinct().join(pairs, ["doc_id", "line", "doc_x", "line_x"], "left_anti"), "line-dedup-more")
+    with workspace(spark):
+        lines = stored(line_sets(documents, text, word_rarity(documents, text), percent, min_words), "line-dedup-lines")
+        first = F.min(F.struct("doc_id", "line")).alias("at")
+        classes = lines.groupBy("high", "low").agg(first, *(F.first(c).alias(c) for c in ("n", "common", "parity", "words")))
+        classes = stored(classes.select("high", "low", "at.doc_id", "at.line", "n", "common", "parity", "words"), "line-dedup-classes")
+        release(spark)
+        useful = _table(classes.select("words"), _prefix_buckets)  # words in the prefixes of several lines
+        parts = 64 + (classes.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_POSTINGS
+        pairs = candidate_pairs(postings_of(classes.withColumn("open", F.lit(1)), useful, parts), percent, False)
+        pairs = stored(pairs.groupBy("doc_id", "line", "doc_x", "line_x").agg(F.max("others").alias("others")), "line-dedup-pairs")
+        release(spark)
+        matched = stored(verified(pairs, documents, text, percent), "line-dedup-matched")
+        release(spark)
+        undecided = stored(pairs.where("others > 0").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"), "line-dedup-undecided")
+        if not undecided.isEmpty():
+            marked = classes.join(undecided.withColumn("open", F.lit(1)), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+            sought = _table(marked.where("open = 1").select("words"), _prefix_buckets, least=1)
+            more = candidate_pairs(postings_of(marked, sought, parts), percent, True)
+            more = stored(more.select("doc_id", "line", "doc_x", "line_x").distinct().join(pairs, ["doc_id", "line", "doc_x", "line_x"], "left_anti"), "line-dedup-more")
+            release(spark)
+            matched = stored(matched.unionByName(verified(more, documents, text, percent)), "line-dedup-all")
         release(spark)
-        matched = stored(matched.unionByName(verified(more, documents, text, percent)), "line-dedup-all")
-    release(spark)
-    decided = classes.select("high", "low", "doc_id", "line").join(matched.withColumn("near", F.lit(True)), ["doc_id", "line"], "left")
-    decided = decided.select("high", "low", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("near", F.lit(False)).alias("near"))
-    found = lines.select("high", "low", "doc_id", "line").join(decided, ["high", "low"])
-    found = stored(found.where("near OR doc_id <> first_doc OR line <> first_line").select("doc_id", "line").distinct(), "line-dedup-removed")
-    release(spark)
-    return found
+        decided = classes.select("high", "low", "doc_id", "line").join(matched.withColumn("near", F.lit(True)), ["doc_id", "line"], "left")
+        decided = decided.select("high", "low", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("near", F.lit(False)).alias("near"))
+        found = lines.select("high", "low", "doc_id", "line").join(decided, ["high", "low"])
+        found = stored(found.where("near OR doc_id <> first_doc OR line <> first_line").select("doc_id", "line").distinct(), "line-dedup-removed", keep=True)
+        return found
 
 
 def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text", figures: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from llm import blocks as B
 from llm.components import components
-from llm.tables import cut, groups, membership, possibly_in, release, stored, without_ids
+from llm.tables import cut, groups, membership, possibly_in, release, stored, without_ids, workspace
 
 SHINGLE, PERCENT = 5, 75
 BUCKETS, ROWS, MANTISSA = 160, 4, 10
@@ -228,34 +228,36 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = PER
     component_id is the least doc_id that links reach. Rows with the same doc_id count as one document only where their
     texts are equal too; rows without doc_id get a null component and are kept.
     """
-    signed = stored(signatures(documents, text), "near-dedup-signatures")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
-    classes = stored(classes, "near-dedup-classes")
-    bands = classes.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), i -> xxhash64(i, substring(registers, 1 + {2 * ROWS} * i, {2 * ROWS})))")).alias("number", "band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(bands.join(shared, "band"))
-    reach = met.groupBy("doc_id").agg(F.sum("n").alias("reach"))
-    ranked = met.select("band", "number", "doc_id").join(reach, "doc_id")
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("low"))).alias("top")).select("band", (-F.col("top.low")).alias("hub"))
-    members = cut(ranked.select("band", "number", "doc_id").join(hubs, "band"))
-    stars = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = links(near_enough(stars, classes, percent), documents, text, percent)
-    found = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # what a band still holds apart
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 AND n > 2").select("band", "n")
-    rest = cut(placed.where("doc_id <> hub").join(several, "band").select("band", "number", "n", "doc_id", "component"))
-    second = links(_apart(rest, classes, documents, text, percent), documents, text, percent)
-    found = components(first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "least")
-    by_class = classes.select("high", "low", F.col("doc_id").alias("least")).join(found, "least", "left").select("high", "low", F.coalesce("component", "least").alias("component_id"))
-    rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "high", "low").join(by_class, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
-    rows = rows.unionByName(signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with workspace(documents.sparkSession):
+        signed = stored(signatures(documents, text), "near-dedup-signatures")
+        classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
+        classes = stored(classes, "near-dedup-classes")
+        bands = classes.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), i -> xxhash64(i, substring(registers, 1 + {2 * ROWS} * i, {2 * ROWS})))")).alias("number", "band"))
+        shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        met = cut(bands.join(shared, "band"))
+        reach = met.groupBy("doc_id").agg(F.sum("n").alias("reach"))
+        ranked = met.select("band", "number", "doc_id").join(reach, "doc_id")
+        hubs = ranked.groupBy("band").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("low"))).alias("top")).select("band", (-F.col("top.low")).alias("hub"))
+        members = cut(ranked.select("band", "number", "doc_id").join(hubs, "band"))
+        stars = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+        first = links(near_enough(stars, classes, percent), documents, text, percent)
+        found = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        # what a band still holds apart
+        placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 AND n > 2").select("band", "n")
+        rest = cut(placed.where("doc_id <> hub").join(several, "band").select("band", "number", "n", "doc_id", "component"))
+        second = links(_apart(rest, classes, documents, text, percent), documents, text, percent)
+        found = components(first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "least")
+        by_class = classes.select("high", "low", F.col("doc_id").alias("least")).join(found, "least", "left").select("high", "low", F.coalesce("component", "least").alias("component_id"))
+        rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "high", "low").join(by_class, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
+        rows = rows.unionByName(signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        return stored(rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-dedup-rows", keep=True)
 
 
 def keep_one(documents: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """documents, all columns, with one document of each group: the one of least doc_id. Of equal rows one stays."""
-    rows = stored(near_duplicates(documents, text, percent), "near-dedup-rows").where("doc_id IS NOT NULL")
-    ids = rows.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
-    ids = stored(ids.select("doc_id", (~F.col("kept")).alias("gone")), "near-dedup-gone")
+    with workspace(documents.sparkSession):
+        rows = near_duplicates(documents, text, percent).where("doc_id IS NOT NULL")
+        ids = rows.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+        ids = stored(ids.select("doc_id", (~F.col("kept")).alias("gone")), "near-dedup-gone", keep=True)
     return without_ids(documents, ids, repeated=["doc_id", text])

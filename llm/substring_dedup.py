@@ -5,7 +5,7 @@ Earlier: in a document of smaller doc_id, or in the same document before. String
 1. Equal texts: only the document with the least id takes part; the others are covered whole. Equal means equal MD5.
 2. Anchors: each window of LENGTH bytes belongs to the leftmost of its GRAM-byte strings with the least hash. Equal windows
    have equal anchors in the same place, so equal windows meet wherever their anchors meet. Consecutive windows of one
-   anchor are a run, about 40 windows on average.
+   anchor are a run, about 33 windows on average.
 3. Runs whose anchors occur once have no equal. A table of fixed size tells most of them: one bit for each of 2^TABLE_BITS
    hash buckets, set where two runs or more fall. Runs that pass go to the task of their anchor with their bytes; of a
    task's runs with equal bytes only the earliest goes, as the others are surely covered.
@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from llm import blocks as B
 from llm.tables import cut, groups, membership, possibly_in, release, stored
 
-LENGTH, GRAM = 100, 16
+#: A string of 36 bytes seldom occurs twice by chance, even in text of little variety; shorter ones do.
+LENGTH, GRAM = 100, 36
 TABLE_BITS, CHUNK_BITS = 28, 16
 #: Parts that the windows of an anchor are taken in.
 PARTS = 4
 #: Positions of one pass are numbered in 24 bits below 40 bits of hash.
 PASS_WINDOWS = 1 << 22
-POOL_BYTES, BLOCK_BYTES = 1 << 18, 1 << 20
+POOL_BYTES, BLOCK_BYTES = 1 << 18, 1 << 19
 RUNS = "anchor long, doc_id long, high long, start int, windows int, place int, content binary"
 SPANS = "doc_id long, high long, begin int, end int"
 NO_ID = -(1 << 63)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 
@@ -17,7 +18,12 @@ from llm.blocks import BASE, mix
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
+#: Rows of one Arrow batch, so that a batch of ordinary texts takes a few MB on either side.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
@@ -37,10 +43,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends and a lost executor loses nothing."""
+#: Paths of stored tables, by workspace, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession):
+    """Within it, tables that stored() writes are scratch: they go when it ends, but for those stored with keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        release(spark)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage ends and a lost executor loses nothing.
+
+    With keep it outlives its workspace, and belongs to the one around that, if there is one.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
