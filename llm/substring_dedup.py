@@ -75,7 +75,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple
 
 
 def _bucket(anchor: np.ndarray) -> np.ndarray:
-    return (anchor >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    """Anchors are least hashes, so small numbers: mixed again, they spread over all buckets."""
+    return (B.mix(anchor) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def repeated_buckets(documents: DataFrame, text: str) -> Broadcast:
@@ -315,6 +316,7 @@ def removed_spans(documents: DataFrame, text: str = "text") -> tuple[DataFrame,
     table = repeated_buckets(rest, text)
     release(documents.sparkSession)
     spans = stored(covered(runs(rest, text, table)), "substring-dedup-spans")
+    table.destroy()
     release(documents.sparkSession)
     return marked, spans
 
