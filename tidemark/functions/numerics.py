@@ -60,6 +60,14 @@ def forward(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarra
     return filtered, gain
 
 
+def predict_update(probs: np.ndarray, A: np.ndarray, mu: np.ndarray, sigma2: np.ndarray, y: float) -> tuple[np.ndarray, float]:
+    """One step of the filter: the probabilities after y, and the prediction made before it."""
+    prior = probs @ A
+    log_b = log_normal(y, mu, sigma2)
+    joint = prior * np.exp(log_b - log_b.max())
+    return joint / joint.sum(), float(prior @ mu)
+
+
 def backward(log_b: np.ndarray, A: np.ndarray) -> np.ndarray:
     """log beta, (..., T, K), with zeros in the last row."""
     out = np.zeros(log_b.shape)

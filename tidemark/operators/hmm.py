@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numerics as N
@@ -45,6 +45,35 @@ def likelihoods(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str =
     return infer(df, A, pi, mu, sigma2, value, key).groupBy(key).agg(F.sum("ll").alias("ll"), F.count("*").alias("n"))
 
 
+def log_alpha(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
+    """df with log_alpha, the joint log-density of the rows so far and each state: filtered probabilities plus gains so far."""
+    so_far = F.sum("ll").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return infer(df, A, pi, mu, sigma2, value, key).withColumn("__so_far", so_far).withColumn("log_alpha", F.transform("probs", lambda p: F.log(p) + F.col("__so_far"))).drop("__so_far", "prediction", "probs", "ll")
+
+
+def transition_posteriors(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
+    """(key, i, j, xi): expected moves from state i to j in each series, summed over time in its task."""
+    A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
+    k = len(mu)
+
+    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
+        log_b = N.emissions(rows.sort_values("seq", kind="stable")[value].to_numpy(float), mu, sigma2)
+        xi = N.smoothed(log_b, A, N.forward(log_b, A, pi)[0])[1]
+        return pd.DataFrame({key: rows[key].iloc[0], "i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "xi": xi.ravel()})
+
+    return df.groupBy(key).applyInPandas(per_series, f"{key} {df.schema[key].dataType.simpleString()}, i int, j int, xi double")
+
+
+def stationary(models: DataFrame, key: str = "symbol") -> DataFrame:
+    """(key, state, share): each model's long-run shares of its states."""
+
+    def per_model(rows: pd.DataFrame) -> pd.DataFrame:
+        share = N.stationary(np.array([list(r) for r in rows["A"].iloc[0]]))
+        return pd.DataFrame({key: rows[key].iloc[0], "state": np.arange(len(share)), "share": share})
+
+    return models.select(key, "A").groupBy(key).applyInPandas(per_model, f"{key} {models.schema[key].dataType.simpleString()}, state int, share double")
+
+
 def backward(df: DataFrame, A, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
     """df with log_beta, an array over states."""
     A, _, mu, sigma2 = N.checked_model(A, np.full(len(mu), 1 / len(mu)), mu, sigma2)

@@ -286,6 +286,12 @@ def _(spark, d):
     return H.likelihoods(user_returns(spark, d), A2, PI2, MU2, S2).select("symbol", r("ll", 5, "ll"), "n")
 
 
+@query("hmm_log_alpha", f"{_HMM} SELECT symbol, event_id, {rnd('ln(f0) + sum(gain) OVER w', 'log_alpha0', 5)}, {rnd('ln(1 - f0) + sum(gain) OVER w', 'log_alpha1', 5)} FROM fwd WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+def _(spark, d):
+    out = H.log_alpha(user_returns(spark, d), A2, PI2, MU2, S2)
+    return out.select("symbol", "event_id", r(F.element_at("log_alpha", 1), 5, "log_alpha0"), r(F.element_at("log_alpha", 2), 5, "log_alpha1"))
+
+
 @query("hmm_backward", f"""{_F} {USERS}, c AS MATERIALIZED (SELECT *, max(seq) OVER (PARTITION BY symbol) - seq AS back, {_NORMAL(MU2[0], S2[0])} AS b0, {_NORMAL(MU2[1], S2[1])} AS b1 FROM rets c),
 bwd AS (SELECT symbol, event_id, back, CAST(0 AS DOUBLE) AS l0, CAST(0 AS DOUBLE) AS l1 FROM c WHERE back = 0
 UNION ALL SELECT c.symbol, c.event_id, c.back, ln(0.92 * n.b0 + 0.08 * n.b1 * exp(w.l1 - w.l0)) + w.l0, ln(0.15 * n.b0 * exp(w.l0 - w.l1) + 0.85 * n.b1) + w.l1
@@ -307,6 +313,14 @@ def _(spark, d):
     return H.posteriors(user_returns(spark, d), A2, PI2, MU2, S2).select("symbol", "event_id", r(F.element_at("gamma", 1), 6, "g0"))
 
 
+@query("transition_posteriors", f"""{_SMOOTHED}, nx AS (SELECT f.symbol, f.f0, s.g0 AS n0 FROM fwd f JOIN sm s ON s.symbol = f.symbol AND s.seq = f.seq + 1),
+pr AS (SELECT symbol, f0, n0, f0 * 0.92 + (1 - f0) * 0.15 AS p0 FROM nx),
+x AS (SELECT symbol, sum(f0 * 0.92 * n0 / p0) AS x00, sum(f0 * 0.08 * (1 - n0) / (1 - p0)) AS x01, sum((1 - f0) * 0.15 * n0 / p0) AS x10, sum((1 - f0) * 0.85 * (1 - n0) / (1 - p0)) AS x11 FROM pr GROUP BY 1)
+SELECT symbol, 0 AS i, 0 AS j, {rnd('x00', 'xi', 5)} FROM x UNION ALL SELECT symbol, 0, 1, {rnd('x01', 'xi', 5)} FROM x UNION ALL SELECT symbol, 1, 0, {rnd('x10', 'xi', 5)} FROM x UNION ALL SELECT symbol, 1, 1, {rnd('x11', 'xi', 5)} FROM x""")
+def _(spark, d):
+    return rounded(H.transition_posteriors(user_returns(spark, d), A2, PI2, MU2, S2), digits=5)
+
+
 @query("m_step", f"""{_SMOOTHED}, w AS (SELECT symbol, 0 AS state, g0 AS g, ret FROM sm JOIN c USING (symbol, seq) UNION ALL SELECT symbol, 1, 1 - g0, ret FROM sm JOIN c USING (symbol, seq)),
 m AS (SELECT symbol, state, sum(g) AS weight, sum(g * ret) / sum(g) AS mu, sum(g * ret * ret) / sum(g) AS yy FROM w GROUP BY 1, 2)
 SELECT symbol, state, {rnd('weight', 'weight')}, {rnd('mu', 'mu', 8)}, {rnd('greatest(yy - mu * mu, 1e-8)', 'sigma2', 8)} FROM m""")
@@ -634,6 +648,11 @@ def _(spark, d):
     return H.expected_durations(H.fit(user_returns(spark, d), 2, restarts=2, max_iter=20))
 
 
+@query("stationary")
+def _(spark, d):
+    return H.stationary(H.fit(user_returns(spark, d), 2, restarts=2, max_iter=20))
+
+
 @query("particle_filter")
 def _(spark, d):
     return SS.particle_filters(user_returns(spark, d), LANGEVIN, 50, "bootstrap").select("symbol", "event_id", "level", "trend", "ll")
