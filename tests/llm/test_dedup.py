@@ -106,6 +106,24 @@ def test_near_lines_in_a_large_group(spark):
     assert found == brute_lines(rows)
 
 
+def test_long_lines(spark):
+    """Lines of 40 to 400 words, some changed in up to a sixth of their words, that share a small vocabulary."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"t{k}" for k in range(1500)]
+    lines = [rng.sample(vocabulary, rng.choice((40, 63, 64, 65, 100, 127, 128, 129, 130, 200, 400))) for _ in range(40)]
+    for line in lines[:30]:
+        changed = line[:]
+        for k in rng.sample(range(len(line)), len(line) // rng.choice((4, 6, 7, 12, 30))):
+            changed[k] = rng.choice(vocabulary)
+        lines.append(changed[: len(changed) - rng.choice((0, 0, 2, len(line) // 10))])
+    rows = [(k // 3, "\n".join(" ".join(line) for line in lines[k : k + 3])) for k in range(0, len(lines), 3)]
+    found = {tuple(r) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = brute_lines(rows)
+    assert found == expected and 10 < len(expected) < 30
+
+
 def test_texts_without_their_lines(documents, rows):
     removed = brute_lines(rows)
     out = line_dedup.without_lines(documents, line_dedup.removed_lines(documents))
