@@ -10,8 +10,8 @@ fewer than MIN_WORDS distinct words always stay.
 3. Prefix filter: two lines that match share a word among the first n - ceil(t n) + 1 of each, rarest first. Words that
    occur once in the corpus, or in one prefix, need no posting.
 4. Postings of a word meet in the order of lines. Pairs pass the length filter, the positional filter (words left behind
-   the shared one must suffice for the overlap needed) and a filter on 64-bit parity maps, whose differing bits are a
-   lower bound of the sets' symmetric difference.
+   the shared one must suffice for the overlap needed) and a filter on parity maps of 64 bits, or 128 or 256 for lines of
+   many words, whose differing bits are a lower bound of the sets' symmetric difference.
 5. A line is compared with its nearest earlier candidate of each shared word first, so that a group of near copies costs
    a few comparisons a line. Lines that this leaves undecided are compared with all their other candidates.
 6. Jaccard similarity is verified on the whole lines, after a second look at maps of WIDE bits that spares most of them.
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import blocks as B
-from llm.tables import bitmap_positions, groups, membership, possibly_in, release, stored, workspace
+from llm.tables import bitmap_positions, groups, has_bit, membership, possibly_in, release, stored, workspace
 
 PERCENT, MIN_WORDS = 75, 3
 RARITY_BITS, HASH_BITS, CODE_BITS = 24, 40, 6
-CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, WIDE = 1 << 17, 1 << 20, 200_000, 512
+CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, WIDE, LONG = 1 << 17, 1 << 20, 200_000, 512, 64
 _NOT_NEWLINE = np.zeros(256, bool)
 _NOT_NEWLINE[10] = True
-LINES = "high long, low long, doc_id long, line int, n int, common int, parity long, words array<int>"
+LINES = "high long, low long, doc_id long, line int, n int, common int, parity long, wide binary, words array<int>"
 PAIRS = "doc_id long, line int, doc_x long, line_x int, others long"
 
 
@@ -48,8 +48,9 @@ def _read(column: pa.Array):
         yield block, data, words, B.word_hashes(data, words)
 
 
-def _table(rows: DataFrame, buckets_of, least: int = 2) -> Broadcast:
+def _table(rows: DataFrame, buckets_of, least: int = 2, packed: bool = False) -> Broadcast:
     """Codes of 2^RARITY_BITS buckets, one byte each at any size: 0 under `least`, else growing with the count's logarithm.
+    Packed, a bit for each says whether its code is not 0.
 
     buckets_of(batch) yields arrays of buckets. A task hands on its counts as one row for each 2^16 buckets.
     """
@@ -78,7 +79,7 @@ def _table(rows: DataFrame, buckets_of, least: int = 2) -> Broadcast:
     table = np.zeros((1 << (RARITY_BITS - 16), 1 << 16), np.uint8)
     for chunk, codes in zip(found["chunk"].to_pylist(), found["codes"].to_pylist(), strict=True):
         table[chunk] = np.frombuffer(codes, np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(table.ravel())
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(table.ravel() > 0, bitorder="little") if packed else table.ravel())
 
 
 def word_rarity(documents: DataFrame, text: str) -> Broadcast:
@@ -125,6 +126,24 @@ def line_words(block: B.Block, data: np.ndarray, words: B.Words, hashes: np.ndar
         yield doc[low:high], number[low:high], first, keys & np.uint64((1 << (HASH_BITS + CODE_BITS)) - 1)
 
 
+def _maps(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity of each line's words in 256 bits, as four integers; the maps of half the bits are the halves' difference."""
+    h = B.mix(words)
+    bit, word = np.uint64(1) << (h & np.uint64(63)), h >> np.uint64(6) & np.uint64(3)
+    out = np.zeros((len(first) - 1, 4), np.uint64)
+    for k in range(4):
+        total = np.zeros(len(h) + 1, np.uint64)
+        total[1:] = np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))
+        out[:, k] = total[first[1:]] ^ total[first[:-1]]
+    return out
+
+
+def _wide(n: np.ndarray, maps: np.ndarray) -> list[bytes | None]:
+    """What lines of many words carry besides their 64 bits: over LONG the rest of 128 bits, over 2 * LONG that of 256."""
+    half, rest = maps[:, 0] ^ maps[:, 2], np.ascontiguousarray(maps[:, :3])
+    return [None if k <= LONG else half[i].tobytes() if k <= 2 * LONG else rest[i].tobytes() for i, k in enumerate(n.tolist())]
+
+
 def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int, min_words: int) -> DataFrame:
     """LINES: digest of every line's set, its place, size, parity map and the prefix words that can meet others."""
 
@@ -138,10 +157,8 @@ def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int,
                     sums = np.zeros((len(keys) + 1, 2), np.uint64)
                     np.cumsum(np.stack([B.mix(plain + B.BASE), B.mix(plain ^ B.BASE)], axis=1), axis=0, out=sums[1:])
                     digest = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
-                    bit = np.uint64(1) << (B.mix(plain) & np.uint64(63))
-                    parity = np.zeros(len(keys) + 1, np.uint64)
-                    parity[1:] = np.bitwise_xor.accumulate(bit)
-                    parity = (parity[first[1:]] ^ parity[first[:-1]]).view(np.int64)
+                    maps = _maps(plain, first)
+                    parity = np.bitwise_xor.reduce(maps, axis=1).view(np.int64)
                     prefix = n - -(-n * percent // 100) + 1
                     place = np.arange(len(keys)) - np.repeat(first[:-1], n)
                     again = keys >> np.uint64(HASH_BITS) > 0  # words that occur once come first and meet nothing
@@ -151,7 +168,7 @@ def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int,
                     short = pa.array((plain[useful] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), short)
                     rows = ids.slice(block.first, block.rows).take(pa.array(doc[chosen]))
-                    columns = [pa.array(digest[chosen, 0].copy()), pa.array(digest[chosen, 1].copy()), rows, *(pa.array(x.astype(np.int32)) for x in (number[chosen], n[chosen], common)), pa.array(parity[chosen]), lists]
+                    columns = [pa.array(digest[chosen, 0].copy()), pa.array(digest[chosen, 1].copy()), rows, *(pa.array(x.astype(np.int32)) for x in (number[chosen], n[chosen], common)), pa.array(parity[chosen]), pa.array(_wide(n[chosen], maps[chosen]), pa.binary()), lists]
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LINES.split(", ")])
 
     return documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(per_batch, LINES)
@@ -162,16 +179,16 @@ _POSTING = np.dtype([("word", "<i4"), ("line", "<i4"), ("n", "<i4"), ("left", "<
 
 
 def postings_of(lines: DataFrame, useful: Broadcast, parts: int) -> DataFrame:
-    """(part, postings) of all prefix words of lines whose bucket in the table is not 0, packed column by column.
+    """(part, postings) of all prefix words of lines whose bucket has its bit in the table, packed column by column.
 
-    Every word belongs to one part. lines has doc_id, line, n, common, parity, open (whether it looks for partners), words.
+    Every word belongs to one part. lines has doc_id, line, n, common, parity, open (whether it looks for partners), wide, words.
     """
 
     def per_batch(batches):
         for batch in batches:
             words, counts = _prefix_words(batch)
             bucket = _short_bucket(words)
-            keep = np.flatnonzero(useful.value[bucket] > 0)
+            keep = np.flatnonzero(has_bit(useful.value, bucket.astype(np.int64)))
             row = np.repeat(np.arange(batch.num_rows), counts)
             place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
             doc, line, n, common, parity, is_open = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
@@ -180,32 +197,60 @@ def postings_of(lines: DataFrame, useful: Broadcast, parts: int) -> DataFrame:
             part.sort()
             row = row[keep]
             columns = {"word": words[keep], "line": line[row], "n": n[row], "left": common[row] - place[keep], "doc": doc[row], "parity": parity[row], "open": is_open[row]}
+            wide = np.zeros((batch.num_rows, 3), np.uint64)
+            for k, held in enumerate(batch.column(6).to_pylist()):
+                if held:
+                    wide[k, : len(held) // 8] = np.frombuffer(held, np.uint64)
             bounds = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(1, int)
-            blobs = [b"".join(columns[c][a:b].astype(_POSTING[c]).tobytes() for c in _POSTING.names) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            blobs = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                size, own = columns["n"][a:b], wide[row[a:b]]
+                some, most = own[(size > LONG) & (size <= 2 * LONG), 0], own[size > 2 * LONG]
+                blobs.append(b"".join([np.uint32(b - a).tobytes(), *(columns[c][a:b].astype(_POSTING[c]).tobytes() for c in _POSTING.names), some.tobytes(), most.tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "postings"])
 
-    return lines.select("doc_id", "line", "n", "common", "parity", "open", "words").mapInArrow(per_batch, "part int, postings binary")
+    return lines.select("doc_id", "line", "n", "common", "parity", "open", "wide", "words").mapInArrow(per_batch, "part int, postings binary")
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    """Columns of all postings of a part."""
-    columns = [[] for _ in _POSTING.names]
+    """Columns of all postings of a part, and their wide maps, zero where a line has none."""
+    columns = [[] for _ in [*_POSTING.names, "wide"]]
     for blob in blobs:
-        n, at = len(blob) // _POSTING.itemsize, 0
+        n, at = int(np.frombuffer(blob, np.uint32, 1)[0]), 4
         for k, name in enumerate(_POSTING.names):
             columns[k].append(np.frombuffer(blob, _POSTING[name], n, at))
             at += n * _POSTING[name].itemsize
+        size, wide = columns[2][-1], np.zeros((n, 3), np.uint64)
+        some, most = np.flatnonzero((size > LONG) & (size <= 2 * LONG)), np.flatnonzero(size > 2 * LONG)
+        wide[some, 0] = np.frombuffer(blob, np.uint64, len(some), at)
+        wide[most] = np.frombuffer(blob, np.uint64, 3 * len(most), at + 8 * len(some)).reshape(-1, 3)
+        columns[-1].append(wide)
     return [np.concatenate(c) for c in columns]
 
 
+def _apart(n: np.ndarray, parity: np.ndarray, wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the widest maps that both lines of a pair have: at most the sizes' symmetric difference."""
+    folded = (parity[a] ^ parity[b]).view(np.uint64)
+    out = np.bitwise_count(folded).astype(np.int64)
+    shorter = np.minimum(n[a], n[b])
+    k = np.flatnonzero((shorter > LONG) & (shorter <= 2 * LONG))
+    halves = [np.where(n[r] > 2 * LONG, wide[r, 0] ^ wide[r, 2], wide[r, 0]) for r in (a[k], b[k])]
+    half = halves[0] ^ halves[1]
+    out[k] = np.bitwise_count(half).astype(np.int64) + np.bitwise_count(half ^ folded[k])
+    k = np.flatnonzero(shorter > 2 * LONG)
+    rest = wide[a[k]] ^ wide[b[k]]
+    out[k] = np.bitwise_count(rest).sum(axis=1, dtype=np.int64) + np.bitwise_count(np.bitwise_xor.reduce(rest, axis=1) ^ folded[k])
+    return out
+
+
 def _group_pairs(columns: list[np.ndarray], percent: int, every: bool):
     """Pairs (later line, earlier line) of postings of equal words that pass all filters.
 
     With `every` all pairs that pass are returned, else the nearest of each line and word, and how many others passed.
     """
-    word, line, n, left, doc, parity, is_open = columns
+    word, line, n, left, doc, parity, is_open, wide = columns
     order = np.lexsort((n, word))
-    word, line, n, left, doc, parity, is_open = (c[order] for c in (word, line, n.astype(np.int64), left, doc, parity, is_open))
+    word, line, n, left, doc, parity, is_open, wide = (c[order] for c in (word, line, n.astype(np.int64), left, doc, parity, is_open, wide))
     # of one word's postings in order of size, those before that are large enough
     new = np.concatenate([[True], word[1:] != word[:-1]])
     group = np.cumsum(new) - 1
@@ -224,7 +269,7 @@ def _group_pairs(columns: list[np.ndarray], percent: int, every: bool):
         need = -(-percent * both // (100 + percent))
         ok = np.flatnonzero(np.minimum(left[a], left[b]) >= need)  # holds at the rarest word that a matching pair shares
         a, b, spare = a[ok], b[ok], (both - 2 * need)[ok]
-        apart = np.bitwise_count((parity[a] ^ parity[b]).view(np.uint64)).astype(np.int64)
+        apart = _apart(n, parity, wide, a, b)
         ok = np.flatnonzero(apart <= spare)
         a, b, apart = a[ok], b[ok], apart[ok]
         later = (doc[a] > doc[b]) | (doc[a] == doc[b]) & (line[a] > line[b])
@@ -263,7 +308,7 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
                 lines = B.find_words(block.data, block.starts, _NOT_NEWLINE)
                 doc = lines.docs()
                 number = np.arange(len(doc)) - lines.first[doc]
-                at = np.flatnonzero(wanted.value[bitmap_positions(values[block.first + doc], number)])
+                at = np.flatnonzero(has_bit(wanted.value, bitmap_positions(values[block.first + doc], number)))
                 raw = block.data.tobytes()
                 found = pa.array([raw[a:b] for a, b in zip(lines.begin[at], lines.end[at], strict=True)], pa.binary())
                 maps = pa.array([wide_map(s) for s in sets(found)], pa.binary())
@@ -294,40 +339,42 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
                 good[k] = 100 * both >= percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["doc_id", "line"])
 
-    content = documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(pick, "doc_id long, line int, content binary, map binary")
-    content = stored(content.dropDuplicates(["doc_id", "line"]), "line-dedup-content")
-    maps, content = content.select("doc_id", "line", "map"), content.select("doc_id", "line", "content")
-    mapped = pairs.select("doc_id", "line", "doc_x", "line_x").join(maps, ["doc_id", "line"]).withColumnRenamed("map", "map_y").join(maps.toDF("doc_x", "line_x", "map_x"), ["doc_x", "line_x"])
-    pairs = stored(mapped.select("doc_id", "line", "doc_x", "line_x", "map_y", "map_x").mapInArrow(sieve, "doc_id long, line int, doc_x long, line_x int"), "line-dedup-sieved")
-    release(documents.sparkSession)
-    joined = pairs.join(content, ["doc_id", "line"]).withColumnRenamed("content", "y").join(content.toDF("doc_x", "line_x", "x"), ["doc_x", "line_x"])
-    return joined.select("doc_id", "line", "x", "y").mapInArrow(verify, "doc_id long, line int").distinct()
+    with workspace(documents.sparkSession):
+        content = documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(pick, "doc_id long, line int, content binary, map binary")
+        content = stored(content.dropDuplicates(["doc_id", "line"]), "line-dedup-content")
+        maps, content = content.select("doc_id", "line", "map"), content.select("doc_id", "line", "content")
+        mapped = pairs.select("doc_id", "line", "doc_x", "line_x").join(maps, ["doc_id", "line"]).withColumnRenamed("map", "map_y").join(maps.toDF("doc_x", "line_x", "map_x"), ["doc_x", "line_x"])
+        pairs = stored(mapped.select("doc_id", "line", "doc_x", "line_x", "map_y", "map_x").mapInArrow(sieve, "doc_id long, line int, doc_x long, line_x int"), "line-dedup-sieved")
+        release(documents.sparkSession)
+        joined = pairs.join(content, ["doc_id", "line"]).withColumnRenamed("content", "y").join(content.toDF("doc_x", "line_x", "x"), ["doc_x", "line_x"])
+        return stored(joined.select("doc_id", "line", "x", "y").mapInArrow(verify, "doc_id long, line int").distinct(), "line-dedup-matched", keep=True)
 
 
 def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line) of every line to remove; lines that hold a character are numbered from 0 in each document."""
     spark = documents.sparkSession
     with workspace(spark):
-        lines = stored(line_sets(documents, text, word_rarity(documents, text), percent, min_words), "line-dedup-lines")
+        rarity = word_rarity(documents, text)
+        lines = stored(line_sets(documents, text, rarity, percent, min_words), "line-dedup-lines")
+        rarity.destroy()
         first = F.min(F.struct("doc_id", "line")).alias("at")
-        classes = lines.groupBy("high", "low").agg(first, *(F.first(c).alias(c) for c in ("n", "common", "parity", "words")))
-        classes = stored(classes.select("high", "low", "at.doc_id", "at.line", "n", "common", "parity", "words"), "line-dedup-classes")
+        classes = lines.groupBy("high", "low").agg(first, *(F.first(c).alias(c) for c in ("n", "common", "parity", "wide", "words")))
+        classes = stored(classes.select("high", "low", "at.doc_id", "at.line", "n", "common", "parity", "wide", "words"), "line-dedup-classes")
         release(spark)
-        useful = _table(classes.select("words"), _prefix_buckets)  # words in the prefixes of several lines
+        useful = _table(classes.select("words"), _prefix_buckets, packed=True)  # words in the prefixes of several lines
         parts = 64 + (classes.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_POSTINGS
         pairs = candidate_pairs(postings_of(classes.withColumn("open", F.lit(1)), useful, parts), percent, False)
         pairs = stored(pairs.groupBy("doc_id", "line", "doc_x", "line_x").agg(F.max("others").alias("others")), "line-dedup-pairs")
         release(spark)
-        matched = stored(verified(pairs, documents, text, percent), "line-dedup-matched")
-        release(spark)
+        matched = verified(pairs, documents, text, percent)
         undecided = stored(pairs.where("others > 0").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"), "line-dedup-undecided")
         if not undecided.isEmpty():
             marked = classes.join(undecided.withColumn("open", F.lit(1)), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
-            sought = _table(marked.where("open = 1").select("words"), _prefix_buckets, least=1)
+            sought = _table(marked.where("open = 1").select("words"), _prefix_buckets, least=1, packed=True)
             more = candidate_pairs(postings_of(marked, sought, parts), percent, True)
             more = stored(more.select("doc_id", "line", "doc_x", "line_x").distinct().join(pairs, ["doc_id", "line", "doc_x", "line_x"], "left_anti"), "line-dedup-more")
             release(spark)
-            matched = stored(matched.unionByName(verified(more, documents, text, percent)), "line-dedup-all")
+            matched = matched.unionByName(verified(more, documents, text, percent))
         release(spark)
         decided = classes.select("high", "low", "doc_id", "line").join(matched.withColumn("near", F.lit(True)), ["doc_id", "line"], "left")
         decided = decided.select("high", "low", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("near", F.lit(False)).alias("near"))

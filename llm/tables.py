@@ -111,7 +111,11 @@ def membership(keys: DataFrame):
     found = keys.mapInArrow(per_batch, "position long").distinct().toArrow()["position"].to_numpy()
     bits = np.zeros(BITMAP_BITS, bool)
     bits[found] = True
-    return keys.sparkSession.sparkContext.broadcast(bits)
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+
+def has_bit(packed: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    return (packed[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def possibly_in(documents: DataFrame, bitmap, id_column: str = "doc_id", outside: bool = False) -> DataFrame:
@@ -124,7 +128,7 @@ def possibly_in(documents: DataFrame, bitmap, id_column: str = "doc_id", outside
     def per_batch(batches):
         for batch in batches:
             ids = batch.column(at)
-            inside = bitmap.value[bitmap_positions(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)
+            inside = has_bit(bitmap.value, bitmap_positions(ids.fill_null(0).to_numpy(zero_copy_only=False))) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(inside != outside))
 
     return documents.mapInArrow(per_batch, documents.schema)
