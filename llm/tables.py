@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import threading
 import uuid
 
 import numpy as np
@@ -43,18 +44,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of stored tables, by workspace, the innermost last.
-_open: list[list[str]] = []
+#: In each thread, paths of stored tables by workspace, the innermost last.
+_thread = threading.local()
+
+
+def _open() -> list[list[str]]:
+    if not hasattr(_thread, "workspaces"):
+        _thread.workspaces = []
+    return _thread.workspaces
 
 
 @contextlib.contextmanager
 def workspace(spark: SparkSession):
     """Within it, tables that stored() writes are scratch: they go when it ends, but for those stored with keep."""
-    _open.append([])
+    _open().append([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        for path in _open().pop():
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         release(spark)
@@ -67,8 +74,8 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if len(_open) > keep:
-        _open[-1 - keep].append(path)
+    if len(_open()) > keep:
+        _open()[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
