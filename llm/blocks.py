@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_BYTES = 1 << 20
+MAX_BYTES = 1 << 19
 #: Seeds of all hashes. Fixed, so that every task of every run agrees.
 SEED, BASE = 0x5EED, np.uint64(0x9E3779B97F4A7C15)
 

@@ -56,11 +56,11 @@ def _table(rows: DataFrame, buckets_of, least: int = 2, packed: bool = False) ->
     """
 
     def count(batches):
-        counts = np.zeros(1 << RARITY_BITS, np.uint32)
+        counts = np.zeros(1 << RARITY_BITS, np.uint16)  # up to 65,535 in a task, which the code cannot tell from more
         for batch in batches:
             for buckets in buckets_of(batch):
                 bucket, n = np.unique(buckets, return_counts=True)
-                counts[bucket] += n.astype(np.uint32)
+                counts[bucket] = np.minimum(counts[bucket] + n, 65_535)
         for chunk, part in enumerate(counts.reshape(-1, 1 << 16)):
             at = np.flatnonzero(part)
             if len(at):
@@ -70,7 +70,7 @@ def _table(rows: DataFrame, buckets_of, least: int = 2, packed: bool = False) ->
         for chunk, buckets, counts in groups(batches, 1):
             total = np.zeros(1 << 16, np.int64)
             for at, n in zip(buckets, counts, strict=True):
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
             codes = np.where(total >= least, np.clip(np.ceil(2 * np.log2(np.maximum(total, 1))), 1, (1 << CODE_BITS) - 1), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(chunk[:1].astype(np.int32)), pa.array([codes.tobytes()], pa.binary())], ["chunk", "codes"])
 
@@ -391,7 +391,9 @@ def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text",
     rows = removed.groupBy(F.col("doc_id").alias("__removed_of")).agg(F.collect_list("line").alias("__removed"))
     bitmap = membership(rows.select("__removed_of"))  # texts that surely keep all lines are not shuffled
     joined = possibly_in(documents, bitmap).join(rows, F.col("doc_id") == F.col("__removed_of"), "left").drop("__removed_of")
-    joined = joined.unionByName(possibly_in(documents, bitmap, outside=True), allowMissingColumns=True)
+    others = possibly_in(documents, bitmap, outside=True)
+    if figures:
+        joined = joined.unionByName(others, allowMissingColumns=True)
     at, schema = documents.columns.index(text), documents.schema
     count_at = documents.columns.index("n_chars") if "n_chars" in documents.columns and text != "n_chars" else None
 
@@ -421,4 +423,6 @@ def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text",
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     ids = documents.columns.index("doc_id")
-    return joined.mapInArrow(per_batch, "doc_id long, n_lines long, n_removed long, kept string" if figures else schema)
+    if figures:
+        return joined.mapInArrow(per_batch, "doc_id long, n_lines long, n_removed long, kept string")
+    return joined.mapInArrow(per_batch, schema).unionByName(others)

@@ -20,7 +20,7 @@ LOCAL_SHARED = "/tmp/checkpoints"
 
 
 #: Rows of one Arrow batch, so that a batch of ordinary texts takes a few MB on either side.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
