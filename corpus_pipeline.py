@@ -24,7 +24,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are similar to an earlier line leave the texts; every document stays."""
-    return line_dedup.without_lines(docs, line_dedup.removed_lines(docs))
+    return line_dedup.without_lines(docs, line_dedup.removed_lines(docs, min_words=line_dedup.ALL_LINES))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

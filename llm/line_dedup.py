@@ -2,11 +2,13 @@
 
 A line's set is its distinct words (A-Z lower-cased). A line is removed if an earlier line of the corpus, in the order of
 (doc_id, line), has 100 * intersection >= percent * union; all lines are judged on the input, removed or not. Lines of
-fewer than MIN_WORDS distinct words always stay.
+fewer than min_words distinct words always stay: op7_line_dedup and the pipeline pass ALL_LINES, so that every line with a
+word is judged; MIN_WORDS is what removed_lines takes where its caller names none.
 
 1. Rarity: occurrences of all words of all texts, counted in 2^24 hash buckets (a table of fixed size) and kept as their
    logarithm. Any order that all lines share keeps the join exact; this one puts rare words first.
-2. Lines with equal sets form classes; only the earliest of a class takes part in the join, the others are removed.
+2. Lines with equal sets form classes; only the earliest of a class takes part in the join, the others are removed. Sets
+   so small that only an equal one can match (1 and 2 words at 75 %) are settled here and have no postings.
 3. Prefix filter: two lines that match share a word among the first n - ceil(t n) + 1 of each, rarest first. Words that
    occur once in the corpus, or in one prefix, need no posting.
 4. Postings of a word meet in the order of lines. Pairs pass the length filter, the positional filter (words left behind
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from llm import blocks as B
 from llm.tables import bitmap_positions, groups, has_bit, membership, possibly_in, release, stored, workspace
 
-PERCENT, MIN_WORDS = 75, 3
+PERCENT, MIN_WORDS, ALL_LINES = 75, 3, 1
 RARITY_BITS, HASH_BITS, CODE_BITS = 24, 40, 6
 CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, WIDE, LONG = 1 << 17, 1 << 20, 200_000, 512, 64
 _NOT_NEWLINE = np.zeros(256, bool)
@@ -108,9 +110,9 @@ def _prefix_buckets(batch: pa.RecordBatch):
 
 
 def line_words(block: B.Block, data: np.ndarray, words: B.Words, hashes: np.ndarray, rarity: np.ndarray):
-    """Chunks of lines with words: (lines' documents, numbers in their document, first key of each, distinct keys).
+    """Chunks of lines: (lines' documents, numbers in their document, first key of each, distinct keys, ends).
 
-    A key is a word's rarity code above HASH_BITS of its hash; a line's keys ascend, so its rarest words come first.
+    ends are the least and the greatest whole hash of each line's words, 0 where it has none. A key is a word's rarity code above HASH_BITS of its hash; a line's keys ascend, so its rarest words come first.
     """
     lines = B.find_words(data, block.starts, _NOT_NEWLINE)
     doc = lines.docs()
@@ -123,7 +125,11 @@ def line_words(block: B.Block, data: np.ndarray, words: B.Words, hashes: np.ndar
         part = slice(*np.searchsorted(line, [low, high]))
         keys = B.distinct((line[part] - low).astype(np.uint64) << np.uint64(HASH_BITS + CODE_BITS) | key[part])
         first = np.searchsorted(keys >> np.uint64(HASH_BITS + CODE_BITS), np.arange(high - low + 1).astype(np.uint64))
-        yield doc[low:high], number[low:high], first, keys & np.uint64((1 << (HASH_BITS + CODE_BITS)) - 1)
+        ends = np.zeros((high - low, 2), np.uint64)
+        start = np.flatnonzero(np.diff(line[part], prepend=-1))
+        if len(start):
+            ends[line[part][start] - low] = np.stack([f.reduceat(hashes[part], start) for f in (np.minimum, np.maximum)], axis=1)
+        yield doc[low:high], number[low:high], first, keys & np.uint64((1 << (HASH_BITS + CODE_BITS)) - 1), ends
 
 
 def _maps(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -151,19 +157,20 @@ def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int,
         for batch in batches:
             ids = batch.column(0)
             for block, data, words, hashes in _read(batch.column(1)):
-                for doc, number, first, keys in line_words(block, data, words, hashes, rarity.value):
+                for doc, number, first, keys, ends in line_words(block, data, words, hashes, rarity.value):
                     n = np.diff(first)
                     plain = keys & np.uint64((1 << HASH_BITS) - 1)
                     sums = np.zeros((len(keys) + 1, 2), np.uint64)
                     np.cumsum(np.stack([B.mix(plain + B.BASE), B.mix(plain ^ B.BASE)], axis=1), axis=0, out=sums[1:])
-                    digest = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+                    digest = np.where((n <= 2)[:, None], ends, sums[first[1:]] - sums[first[:-1]]).view(np.int64)  # HASH_BITS alone do not tell single words apart
                     maps = _maps(plain, first)
                     parity = np.bitwise_xor.reduce(maps, axis=1).view(np.int64)
                     prefix = n - -(-n * percent // 100) + 1
                     place = np.arange(len(keys)) - np.repeat(first[:-1], n)
                     again = keys >> np.uint64(HASH_BITS) > 0  # words that occur once come first and meet nothing
                     chosen = n >= min_words
-                    useful = (place < np.repeat(prefix, n)) & again & np.repeat(chosen, n)
+                    meets = chosen & (100 * n >= percent * (n + 1))  # smaller sets match equal ones only
+                    useful = (place < np.repeat(prefix, n)) & again & np.repeat(meets, n)
                     counts, common = (B.sums_by_text(x.astype(np.int64), first)[chosen] for x in (useful, again))
                     short = pa.array((plain[useful] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), short)

@@ -66,7 +66,7 @@ FROM ruled"""
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents", "doc_id", "text")
-    cleaned = line_dedup.without_lines(documents, line_dedup.removed_lines(documents), figures=True)
+    cleaned = line_dedup.without_lines(documents, line_dedup.removed_lines(documents, min_words=line_dedup.ALL_LINES), figures=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("kept", F.lit(""))).alias("kept_crc32"))
 
 

@@ -99,6 +99,36 @@ def test_removed_lines(documents, rows):
     assert found == brute_lines(rows)
 
 
+def test_lines_of_one_or_two_words(spark, documents, rows):
+    found = {tuple(r) for r in line_dedup.removed_lines(documents, min_words=line_dedup.ALL_LINES).collect()}
+    assert found == brute_lines(rows, least=1) and (4, 0) in found
+    short = [(1, "Read more\nmenu\na b c\na b c d\n \t"), (2, "read MORE read\nMenu menu menu\nmore\n漢字漢字\nc b a"), (3, "more read\n漢字漢字\n漢字\nmenu more\nMore"), (None, "menu")]
+    found = {tuple(r) for r in line_dedup.removed_lines(spark.createDataFrame(short, "doc_id long, text string"), min_words=line_dedup.ALL_LINES).collect()}
+    assert found == brute_lines(short[:3], least=1) == {(1, 3), (2, 0), (2, 1), (2, 4), (3, 0), (3, 1), (3, 4)}
+
+
+def test_single_words_are_told_apart_by_their_whole_hash():
+    """Two words whose hashes agree in the HASH_BITS of a key, but not above."""
+    low = np.uint64(12345)
+    rarity = np.zeros(1 << line_dedup.RARITY_BITS, np.uint8)
+    block = next(line_dedup.B.blocks(line_dedup.pa.array(["x\ny"])))
+    data = line_dedup.B.LOWER[block.data]
+    words = line_dedup.B.find_words(data, block.starts)
+    hashes = np.array([low, low | np.uint64(1 << 60)])
+    *_, keys, ends = next(line_dedup.line_words(block, data, words, hashes, rarity))
+    assert keys[0] == keys[1] and ends.tolist() == [[int(h)] * 2 for h in hashes]
+
+
+def test_queries_judge_all_lines(spark, monkeypatch):
+    import corpus_pipeline
+    from llm import queries
+
+    docs = spark.createDataFrame([(1, "Read more"), (2, "read more\nsome other text")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "read", lambda *_: docs)
+    assert {(r.doc_id, r.n_removed) for r in queries.op7_line_dedup(spark, "").collect()} == {(1, 0), (2, 1)}
+    assert {r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {"Read more", "some other text"}
+
+
 def test_near_lines_in_a_large_group(spark):
     words = [f"v{k}" for k in range(24)]
     rows = [(k, " ".join(w if (i * 7 + k) % 24 > k % 5 else f"q{k}_{i}" for i, w in enumerate(words))) for k in range(60)]
