@@ -34,7 +34,15 @@ RECORDS = "page_id long, record binary"
 PARSED = "page_id long, type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_payload_digest string, fields map<string,string>, content binary"
 DATE, FILE_BYTES = "2020-01-01T00:00:00Z", 32 << 20
 _CRLF = b"\r\n"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(head)(?=[\s/>])[^>]*>|<(noscript|template)\b[^>]*>", re.S | re.I)
+#: What HTML lets stand in a head. All else ends it, closed or not.
+_IN_HEAD = re.compile(
+    r"\s+|<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(title|noscript|template|noframes)\b[^>]*>(?:(?!</?(?:\2|head|body)\b).)*</\2\s*>"
+    r"|<title\b[^>]*>[^<]*|</?(?:meta|link|base|basefont|bgsound|noscript|template|noframes|title|html)\b[^>]*>|<head(?=[\s/>])[^>]*>|<[!?][^>]*>",
+    re.S | re.I,
+)
+_HEAD_END = re.compile(r"</head\s*>", re.I)
+_CLOSED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("noscript", "template")}
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|title|main|aside|form|dd|dt|dl|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>|<[!?][^>]*>")
 _TITLE, _LANG = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I), re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
@@ -117,9 +125,27 @@ def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return [("status", status), *((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines))], payload
 
 
+def without_hidden(page: str) -> str:
+    """page without comments, scripts, styles, its head, and noscript and template; of one that is never closed only the tag goes."""
+    out, at, open_ended = [], 0, set()
+    while found := _HIDDEN.search(page, at):
+        out += [page[at : found.start()], " "]
+        at, name = found.end(), (found[3] or "").lower()
+        if found[2]:
+            while part := _IN_HEAD.match(page, at):
+                at = part.end()
+            closed = _HEAD_END.match(page, at)
+        else:
+            closed = _CLOSED[name].search(page, at) if name and name not in open_ended else None
+            if name and not closed:
+                open_ended.add(name)  # nor is a later one closed
+        at = closed.end() if closed else at
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """A page's visible text: one line for each block of the page, white space collapsed, without empty lines."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", without_hidden(page))))
     return "\n".join(line for raw in text.split("\n") if (line := " ".join(raw.split())))
 
 

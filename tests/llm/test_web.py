@@ -54,6 +54,19 @@ def test_plain_text_and_links():
     assert conversion[1].decode() == warc.plain_text(PAGE)
 
 
+def test_text_of_pages_that_leave_out_closing_tags():
+    head = '<html><head lang="x"><title>x < y</title>\n<meta a="b"><!-- c --><style>p{}</style><script>s("<p></head>")</script><noscript><link></noscript>'
+    for end in ("</head><body>", "<body>", "</HEAD >", "", "<noscript>", "</head><template>"):
+        assert warc.plain_text(f"{head}{end}<p>All the text<div>more</head></div>") == "All the text\nmore", end
+    assert warc.plain_text("<html><head><title>x</title><body><p>All the text...") == "All the text..."
+    assert warc.plain_text("<head><title>x</title>text at once") == "text at once"
+    assert warc.plain_text("<head><title>x</head><body>a<svg><title>b</title></svg>") == "a\nb"
+    assert warc.plain_text("<head><noscript></head><body>a <noscript>no</noscript> b") == "a b"
+    assert warc.plain_text("a<noscript>b</noscript>c<noscript>d<template>e<p>f") == "a c d e\nf"
+    assert warc.plain_text("<header>a</header>b<!-- c") == "a\nb" and warc.plain_text("a<script>b") == "a" and warc.plain_text("a<style>b") == "a"
+    assert warc.plain_text("<noscript>" * 50_000 + "a" + "<head><title>" * 20_000 + "<p>b") == "a\nb"
+
+
 def test_derivatives_keep_identifiers_and_digests():
     source = warc.response_record(1, "http://h.example/", PAGE)
     fields, block = next(warc.read_records(source))
