@@ -101,3 +101,22 @@ def test_grid_search_covers_every_point(spark):
     paths = SS.simulated(spark, 2, 80, p).withColumnRenamed("obs", "price")
     out = SS.grid_search(paths, R.parameter_grid(spark, theta=[-0.1, -1.0], lambda_J=[0.0, 0.5]), p, n=5)
     assert out.count() == 8 and out.where("train_sharpe IS NULL").count() == 0
+
+
+def test_particle_trading_learns_from_training_rows(spark):
+    """The filter starts at the last training row, has its series' own moments, and does not see the scale of prices."""
+    from tidemark.operators import prep as P
+    from tidemark.operators import statistics as ST
+    from tidemark.plans import experiments as E
+
+    steps = np.random.default_rng(3).normal(0, [[0.01], [0.05]], (2, 60))
+    prices = [(s, k + 1, float(scale * np.exp(x))) for s, i, scale in (("a", 0, 1), ("b", 1, 1)) for k, x in enumerate(np.cumsum(steps[i]))]
+    df = P.log_returns(spark.createDataFrame(prices, "symbol string, seq int, price double"))
+    found = E.filtered_on_test(df, n=20).toPandas()
+    train = ST.langevin_moments(df.where("seq <= 41")).toPandas().set_index("symbol")
+    for symbol, rows in found.groupby("symbol"):
+        assert sorted(rows["seq"]) == list(range(41, 60))
+        assert all(np.allclose(rows[c], train.loc[symbol, c]) for c in ("theta", "sigma", "sigma_obs", "lambda_J", "sigma_J"))
+    scaled = E.filtered_on_test(df.withColumn("price", df["price"] * 1000), n=20).toPandas()
+    both = found.merge(scaled, on=["symbol", "seq"])
+    assert np.allclose(both["trend_x"], both["trend_y"], atol=1e-6) and np.allclose(both["level_x"] + np.log(1000), both["level_y"])

@@ -33,13 +33,17 @@ def _prior(obs: np.ndarray, p: dict[str, float]) -> tuple[np.ndarray, np.ndarray
     return np.array([obs[0], 0.0]), np.diag([p["sigma_obs"] ** 2 + 1e-12, p["sigma"] ** 2 + 1e-12])
 
 
-def particle_filters(df: DataFrame, parameters: dict[str, float], n: int = 100, kind: str = "rbpf", seed: int = 42, value: str = "price", key: str = "symbol") -> DataFrame:
-    """df with level, trend, their deviations and ll, by a Rao-Blackwellised ('rbpf') or a bootstrap ('bootstrap') filter."""
+def particle_filters(df: DataFrame, parameters: dict[str, float] | None, n: int = 100, kind: str = "rbpf", seed: int = 42, value: str = "price", key: str = "symbol") -> DataFrame:
+    """df with level, trend, their deviations and ll, by a Rao-Blackwellised ('rbpf') or a bootstrap ('bootstrap') filter.
+
+    Without parameters, each series has its own in df's columns PARAMETERS, the same in all its rows.
+    """
     run = {"rbpf": N.rbpf, "bootstrap": N.particle_filter}[kind]
 
     def per_series(rows: pd.DataFrame) -> pd.DataFrame:
         obs = rows[value].to_numpy(float)
-        out = run(obs, parameters, n, *_prior(obs, parameters), seed_of(seed, rows[key].iloc[0]))
+        p = parameters or {c: float(rows[c].iloc[0]) for c in PARAMETERS}
+        out = run(obs, p, n, *_prior(obs, p), seed_of(seed, rows[key].iloc[0]))
         return rows.assign(level=out["mean"][:, 0], trend=out["mean"][:, 1], level_std=out["std"][:, 0], trend_std=out["std"][:, 1], ll=out["ll"])
 
     return _with_columns(df, "level double, trend double, level_std double, trend_std double, ll double", per_series, key)

@@ -160,12 +160,21 @@ def jump_detection(spark, d):
     return out.na.fill(0)
 
 
-def particle_trading(spark, d, kind: str = "rbpf", n: int = 30):
-    """Filter, soft sign of the trend, backtest; parameters by moments of all series together."""
+def filtered_on_test(df: DataFrame, kind: str = "rbpf", n: int = 200, fraction: float = 0.7) -> DataFrame:
+    """Filter of log prices over each series' test rows and the row before them, by moments of its own training rows.
+
+    A series of fewer than 3 training rows has no moments and no rows here.
+    """
+    split = P.train_test_split(df, fraction).withColumn("log_price", F.log("price"))
+    moments = ST.langevin_moments(split.where("is_train"))
+    bridge = split.withColumn("__next", F.lead("is_train").over(P.by_time())).where("NOT is_train OR NOT __next").drop("__next", "is_train")
+    return SS.particle_filters(bridge.join(moments, "symbol"), None, n, kind, value="log_price")
+
+
+def particle_trading(spark, d, kind: str = "rbpf", n: int = 200):
+    """Filter of the test rows, soft sign of the trend's changes, backtest; parameters by moments of each series' training rows."""
     df = P.log_returns(P.sequenced(M.ticks(spark, d, "user_id"), "ts", "event_id"))
-    p = {"theta": -0.5, "sigma": 5.0, "sigma_obs": 10.0, "lambda_J": 0.05, "mu_J": 0.0, "sigma_J": 10.0}
-    filtered = SS.particle_filters(df, p, n, kind)
-    return BT.metrics(BT.backtest(S.soft_sign(filtered, "trend", 5.0)))
+    return BT.metrics(BT.backtest(S.soft_sign(filtered_on_test(df, kind, n), "trend", 0.001)))
 
 
 def autocorrelation(spark, d):
