@@ -129,7 +129,8 @@ def encode(spec: str, block: B.Block, end_id: int) -> tuple[np.ndarray, np.ndarr
         if spec not in _TABLES:
             _TABLES[spec] = WordTable()
         words = B.find_words(block.data, block.starts)
-        plain, sizes = _TABLES[spec].ids(block.data, words, batch)
+        flat = lambda lists: (np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists)))
+        plain, sizes = _TABLES[spec].ids(block.data, words, lambda new: flat(batch(new)))
         counts = B.sums_by_text(sizes, words.first)
     else:
         lists = batch(B.texts_of(block))

@@ -39,13 +39,12 @@ class WordTable:
             going = going[~hit & (key != 0)]
         return out
 
-    def add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Distinct hashes that are not there yet, with their words' ids."""
+    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct hashes that are not there yet, with their words' ids end to end and how many each has."""
         n = len(h)
-        sizes = np.fromiter(map(len, ids), np.int64, n)
         while self.used + sizes.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + sizes.sum()] = np.concatenate(ids) if n else 0
+        self.flat[self.used : self.used + sizes.sum()] = ids
         self.start[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
         self.size[self.count : self.count + n] = sizes
         slot, place = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(self.count, self.count + n, dtype=np.int32)
@@ -59,7 +58,7 @@ class WordTable:
             slot[going] = (slot[going] + 1) & (SLOTS - 1)
         self.count, self.used = self.count + n, self.used + int(sizes.sum())
 
-    def ids(self, data: np.ndarray, words: B.Words, encode: Callable[[list[str]], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, data: np.ndarray, words: B.Words, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each has; encode gives those of words not met before."""
         h = np.maximum(B.word_hashes(data, words), np.uint64(1))
         place = self.find(h)
@@ -71,7 +70,7 @@ class WordTable:
             found, at = np.unique(h[new], return_index=True)
             raw = data.tobytes()
             at = new[at]
-            self.add(found, encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.begin[at].tolist(), words.end[at].tolist(), strict=True)]))
+            self.add(found, *encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.begin[at].tolist(), words.end[at].tolist(), strict=True)]))
             place[new] = self.find(h[new])
         size = self.size[place].astype(np.int64)
         ends = np.cumsum(size)

@@ -93,7 +93,7 @@ def test_text_comes_back(model, rows):
     texts = [t or "" for _, t in rows] + SPECIAL
     ids = encoded(model, texts)
     first = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    assert pieces.decode(model, np.array(list(itertools.chain(*ids)), np.int64), first) == texts
+    assert pieces.decode(model, np.array(list(itertools.chain(*ids)), np.int64), first).to_pylist() == texts
 
 
 @settings(max_examples=40, deadline=None)
@@ -104,6 +104,28 @@ def test_any_text(model, text):
     assert encoded(model, [text])[0] == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
 
 
+def test_long_words_and_runs_of_spaces(model):
+    """Words and runs far longer than any piece, in time that grows with them."""
+    import random
+    import sentencepiece
+    import time
+
+    rng, library = random.Random(3), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["x" * 20_000, "".join(rng.choices("aehinorst", k=30_000)), " " * 9000 + "a" + " " * 31 + "漢" + " " * 17, "漢字かな交じり文" * 900, "é" * 3000 + "🎉" * 3000]
+    assert encoded(model, texts) == library.encode(texts, num_threads=1)
+    for n in range(1, 70):
+        assert encoded(model, [" " * n + w for w in ("", "the", "漢", "🎉", "\n x")]) == library.encode([" " * n + w for w in ("", "the", "漢", "🎉", "\n x")]), n
+    began = time.perf_counter()
+    encoded(model, ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), " " * 100_000 + "x"])
+    assert time.perf_counter() - began < 60
+
+
+def test_words_swept_alone_equal_words_together(model):
+    words = ["▁" + w for t in SPECIAL for w in t.split()] + ["▁international", "x" * 64, "▁" + "ab漢" * 21]
+    flat, sizes = pieces.viterbi(model, words)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [pieces.swept(model, w).tolist() for w in words]
+
+
 def test_unigram_path_is_the_best_of_all(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as format_of
 
@@ -123,7 +145,7 @@ def test_unigram_path_is_the_best_of_all(tmp_path):
             if all(p in model.scores for p in parts):
                 paths.append((sum(model.scores[p][0] for p in parts), parts))
         best = max(paths)[1]
-        assert pieces.encode_words(model, [word])[0].tolist() == [model.scores[p][1] for p in best]
+        assert pieces.encode_words(model, [word])[0].tolist() == [model.scores[p][1] for p in best] == pieces.swept(model, word).tolist()
 
 
 def test_columns_of_ids_and_texts(documents, rows, nothing):
