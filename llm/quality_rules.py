@@ -27,7 +27,7 @@ DIM = 3 << BITS
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _NOT_NEWLINE = np.zeros(256, bool)
 _NOT_NEWLINE[10] = True
-BASE_COLUMNS = ("n_words", "base_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RESULT = ", ".join(f"{x} long" for x in ("doc_id", *BASE_COLUMNS)) + ", base_failed boolean, kept boolean, probability double"
 
 
