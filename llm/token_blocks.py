@@ -1,7 +1,7 @@
 """Token ids in binary blocks: patched frame of reference.
 
 File (all integers little-endian):
-    magic "TPFR" | u32 version | u64 documents | u64 ids | u32 blocks
+    magic "TPFR" | u32 version | u64 documents | u64 of them without doc_id, the first ones | u64 ids | u32 blocks
     index: for each block u64 byte offset of the block from the end of the index
     documents: for each i64 doc_id and u64 ids before it in the file (one more entry for the end)
     blocks of BLOCK ids: u32 minimum | u8 width | u16 ids | u16 exceptions | packed deltas | exceptions (u16 place, u32 high bits)
@@ -31,8 +31,8 @@ from llm import blocks as B
 from llm.tables import new_path
 from llm.word_table import WordTable
 
-MAGIC, VERSION, BLOCK, PERCENTILE = b"TPFR", 1, 4096, 95
-_HEAD, _BLOCK = struct.Struct("<4sIQQI"), struct.Struct("<IBHH")
+MAGIC, VERSION, BLOCK, PERCENTILE = b"TPFR", 2, 4096, 95
+_HEAD, _BLOCK = struct.Struct("<4sIQQQI"), struct.Struct("<IBHH")
 #: Documents go to files of at most this many bytes of text, or of one document.
 FILE_BYTES = 8 << 20
 _TABLES: dict[str, WordTable] = {}
@@ -65,20 +65,20 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     return (deltas + np.uint64(low)).astype(np.uint32)
 
 
-def pack_file(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
-    """A file of documents whose ids are ids[first[i]:first[i+1]]."""
+def pack_file(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, percentile: int = PERCENTILE, unnamed: int = 0) -> bytes:
+    """A file of documents whose ids are ids[first[i]:first[i+1]]; the first `unnamed` of them have no doc_id."""
     packed = [pack_block(ids[k : k + BLOCK], percentile) for k in range(0, len(ids), BLOCK)]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in packed])])[:-1] if packed else np.zeros(0)
     documents = np.zeros(len(first), np.dtype([("id", "<i8"), ("before", "<u8")]))
     documents["id"][:-1], documents["before"] = doc_ids, first
-    return _HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), len(packed)) + starts.astype("<u8").tobytes() + documents.tobytes() + b"".join(packed)
+    return _HEAD.pack(MAGIC, VERSION, len(doc_ids), unnamed, len(ids), len(packed)) + starts.astype("<u8").tobytes() + documents.tobytes() + b"".join(packed)
 
 
 class Reader:
     """Random access to the documents of one file's bytes."""
 
     def __init__(self, data: bytes):
-        magic, version, n_docs, self.n_ids, n_blocks = _HEAD.unpack_from(data)
+        magic, version, n_docs, self.unnamed, self.n_ids, n_blocks = _HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a file of token blocks")
         self.data, at = data, _HEAD.size
@@ -144,7 +144,7 @@ def encode(spec: str, block: B.Block, end_id: int) -> tuple[np.ndarray, np.ndarr
 
 
 def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, percentile: int = PERCENTILE, text: str = "text") -> DataFrame:
-    """Writes documents to folder and returns it as (file, content): the stored files, with names in doc_id order.
+    """Writes documents to folder and returns it as (file, content, ids): the stored files, with names in doc_id order, and how many ids each holds.
 
     Documents are range-partitioned by doc_id and sorted within the ranges; a range makes one or more files.
     """
@@ -159,22 +159,25 @@ def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, number = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        unnamed = 0
 
         def file():
-            nonlocal held, number
+            nonlocal held, number, unnamed
             ids = np.concatenate([x for _, _, x in held])
             sizes = np.concatenate([np.diff(f) for _, f, _ in held])
-            data = pack_file(np.concatenate([d for d, _, _ in held]), np.concatenate([[0], np.cumsum(sizes)]), ids, percentile)
-            row = pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{number:06d}"]), pa.array([data], pa.binary())], ["file", "content"])
-            held, number = [], number + 1
+            data = pack_file(np.concatenate([d for d, _, _ in held]), np.concatenate([[0], np.cumsum(sizes)]), ids, percentile, unnamed)
+            row = pa.RecordBatch.from_arrays([pa.array([f"{part:08d}-{number:06d}"]), pa.array([data], pa.binary()), pa.array([len(ids)], pa.int64())], ["file", "content", "ids"])
+            held, number, unnamed = [], number + 1, 0
             return row
 
         size = 0
         for batch in batches:
-            numbers = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            numbers = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for block in B.blocks(batch.column(1)):
                 ids, first = encode(spec.value, block, end_id)
                 held.append((numbers[block.first : block.first + block.rows], first, ids))
+                unnamed += int((~named[block.first : block.first + block.rows]).sum())
                 size += len(block.data)
                 if size >= FILE_BYTES:
                     yield file()
@@ -182,18 +185,13 @@ def write_files(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
         if held:
             yield file()
 
-    files = documents.select("doc_id", text).repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(per_range, "file string, content binary")
+    files = documents.select("doc_id", text).repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(per_range, "file string, content binary, ids long")
     files.write.option("compression", "uncompressed").parquet(folder)
     return documents.sparkSession.read.schema(files.schema).parquet(folder)
 
 
-def _counted(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_HEAD.unpack_from(x)[3] for x in batch.column(1).to_pylist()], pa.int64())], ["file", "ids"])
-
-
 def read_files(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in files(file, content)."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in files(file, content, ids)."""
 
     def per_file(batches):
         for batch in batches:
@@ -202,11 +200,10 @@ def read_files(files: DataFrame) -> DataFrame:
                 ids = reader.span(0, reader.n_ids).astype("<u4").tobytes()
                 sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(reader.first[:-1], reader.first[1:], strict=True)]
                 n = len(sums)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(reader.doc_ids), pa.array(reader.first[:-1]), pa.array(np.diff(reader.first)), pa.array(sums, pa.int64())], ["file", "doc_id", "within", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(reader.doc_ids, mask=np.arange(n) < reader.unnamed), pa.array(reader.first[:-1]), pa.array(np.diff(reader.first)), pa.array(sums, pa.int64())], ["file", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    rows = files.mapInArrow(per_file, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
-    sizes = files.select("file", "content").mapInArrow(_counted, "file string, ids long")
-    before = _running(sizes)
+    rows = files.select("file", "content").mapInArrow(per_file, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    before = _running(files.select("file", "ids"))
     return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

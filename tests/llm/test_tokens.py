@@ -59,6 +59,13 @@ def test_token_files(spark, documents, rows, nothing):
     assert token_blocks.encoded(spark, nothing, path).count() == 0
 
 
+def test_rows_without_id_come_first_and_stay_without(spark):
+    df = spark.createDataFrame([(-1, "one two"), (None, "three"), (-5, "four five six"), (None, None), (3, "")], "doc_id long, text string")
+    found = sorted(map(tuple, token_blocks.encoded(spark, df, tokenizer_file("word_bpe_49k.json")).select("start", "doc_id", "n_tokens").collect()))
+    assert [i for _, i, _ in found] == [None, None, -5, -1, 3]
+    assert [s for s, *_ in found] == [sum(n for *_, n in found[:k]) for k in range(5)]
+
+
 def test_tokenizers_that_keep_white_space_get_whole_texts():
     with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as file:
         spec = file.read()
