@@ -15,7 +15,8 @@ batch at once:
     time, each with its maximum in the block in place of its part of that sum; blocks go as soon as they fall short.
  3. Items of the blocks that stay are scored in full over all terms of the passage.
 All items at or above the threshold are retrieved; none is capped. They are verified on the passage and the words around
-it: shares of the question's and of the answer's distinct n-grams, and of both together, which decides.
+it: shares of the question's and of the answer's distinct n-grams. Both must reach their thresholds; a side without n-grams
+of its own counts as found. A question without its answer is no match, nor an answer without its question.
 
 The index is sent to executors in slices of items with at most SLICE_CHARS characters of text, one pass of the documents
 for each slice; document frequencies are those of all items, so that slicing changes no score.
@@ -33,6 +34,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ from llm.tables import stored, without_ids
 
 MIN_PASSAGE, BLOCK, NGRAM, GROUP_BITS, STEP = 32, 8, 3, 16, 3
 K1, BETA = 1.2, 0.75
-THRESHOLD, OVERLAP = 0.5, 0.5
-SLICE_CHARS = 32 << 20
+THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
+SLICE_CHARS = 8 << 20
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[97:123] = _APART[128:] = False
@@ -228,9 +230,7 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray, threshold: float
     return first[doc] + half * (found - p0[doc]), block[good // BLOCK] * BLOCK + good % BLOCK, score[good]
 
 
-def _searched(documents: DataFrame, index: Index, text: str, threshold: float) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(index)
-
+def _searched(documents: DataFrame, shared: Broadcast, text: str, threshold: float) -> DataFrame:
     def per_batch(batches):
         index = shared.value
         for batch in batches:
@@ -245,8 +245,9 @@ def _searched(documents: DataFrame, index: Index, text: str, threshold: float) -
                     n, question, answer = index.grams[item]
                     around = grams_of(hashes[max(begin - index.passage, words.first[doc]) : min(begin + 2 * index.passage, words.first[doc + 1])], n)
                     shares = [np.isin(g, around, assume_unique=True).sum() for g in (question, answer)]
-                    now = (score, shares[0] / max(1, len(question)), shares[1] / max(1, len(answer)), sum(shares) / max(1, len(question) + len(answer)))
-                    found[doc, item] = max(found.get((doc, item), now), now, key=lambda x: x[::-1])
+                    parts = [s / len(g) if len(g) else 1.0 for s, g in zip(shares, (question, answer), strict=True)]
+                    now = (score, *parts, sum(shares) / max(1, len(question) + len(answer)))
+                    found[doc, item] = max(found.get((doc, item), now), now, key=lambda x: (min(x[1], x[2]), *x[::-1]))
                 out += [(ids[block.first + doc].as_py(), int(index.items[item]), *map(float, x)) for (doc, item), x in found.items()]
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], [x.split()[0] for x in FOUND.split(", ")])
@@ -262,8 +263,8 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy())], ["term"])
 
 
-def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", question: Column | None = None, answer: Column | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """FOUND for every document and item whose passages reach the threshold and whose n-grams overlap by at least `overlap`.
+def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", question: Column | None = None, answer: Column | None = None, threshold: float = THRESHOLD, question_share: float = QUESTION, answer_share: float = ANSWER, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """FOUND for every document and item whose passages reach the threshold and hold these shares of the question's and of the answer's n-grams.
 
     items has item_id and either item_text or columns for question and answer.
     """
@@ -281,10 +282,14 @@ def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", i
             term = lambda df: df.select("whole").mapInArrow(_term_rows, "term long")
             frequency = {r[0]: r[1] for r in term(parts).groupBy("term").count().join(term(rows).distinct(), "term").collect()}
         index = build_index(listed, frequency, n, words, longest)
-        part = _searched(documents, index, text, threshold)
+        shared = documents.sparkSession.sparkContext.broadcast(index)
+        part = _searched(documents, shared, text, threshold).where((F.col("question_overlap") >= question_share) & (F.col("answer_overlap") >= answer_share))
+        if slices > 1:  # one slice's index at a time
+            part = stored(part, "decontamination-slice")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
-    best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap")).alias("best")
-    return found.where(F.col("overlap") >= overlap).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap", "best.overlap")
+    best = F.max(F.struct(F.least("question_overlap", "answer_overlap").alias("both"), "overlap", "score", "question_overlap", "answer_overlap")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap", "best.overlap")
 
 
 def clean(documents: DataFrame, items: DataFrame, **options) -> DataFrame:

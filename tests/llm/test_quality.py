@@ -37,7 +37,7 @@ def test_base_figures(documents, rows, small):
     assert len(found) == len(rows)
     for r in found:
         f = figures(dict(rows)[r.doc_id])
-        assert tuple(r)[1:6] == f
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == f
         assert r.base_failed == (f[0] < 50 or 100 * f[4] > 50 * f[0]) and not (r.base_failed and r.kept)
 
 
@@ -122,6 +122,37 @@ def test_planted_items(spark, documents, rows, nothing):
     assert decontamination.contaminations(nothing, table).count() == 0 and decontamination.contaminations(documents, table.limit(0)).count() == 0
 
 
+def test_a_question_without_its_answer_is_no_match(spark, rows):
+    """An item whose question is much longer than its answer, so that both together reach any threshold without the answer."""
+    words = dict(rows)[9].split()
+    question, answer, other = " ".join(words[:30]), " ".join(words[40:46]), " ".join(words[60:110])
+    table = spark.createDataFrame([(1, question, answer)], "item_id long, q string, a string")
+    texts = [(1, f"{other} {question} {other}"), (2, f"{other} {question} {answer} {other}"), (3, f"{other} {answer} {other}"), (4, f"{question}. {answer}")]
+    found = decontamination.contaminations(spark.createDataFrame(texts, "doc_id long, text string"), table, question=F.col("q"), answer=F.col("a"))
+    assert sorted(r.doc_id for r in found.collect()) == [2, 4]
+    whole = spark.createDataFrame([(1, f"{question}. {answer}")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.contaminations(spark.createDataFrame(texts, "doc_id long, text string"), whole).collect()) == [2, 4]
+
+
+def test_items_against_every_passage(spark, rows):
+    """The whole query against trying every item on every text: items that lie in a text, in part, or not at all."""
+    texts = [(i, t) for i, t in rows if t and len(t) < 5000]
+    sources = [t.split() for _, t in texts if len(t.split()) > 60]
+    items = [(k, " ".join(w[10:30]) + ". " + " ".join(w[30:40])) for k, w in enumerate(sources)] + [(100 + k, " ".join(w[5:20]) + ". " + " ".join(reversed(w[20:30]))) for k, w in enumerate(sources)]
+    grams = lambda words: {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+    tokens = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    expected = set()
+    for d, t in texts:
+        have = grams(tokens(t))
+        for i, item in items:
+            q, a = (tokens(x) for x in decontamination.split_answer(item))
+            asked, answered = grams(q), grams(q[-2:] + a) - grams(q)
+            if len(asked & have) >= 0.5 * len(asked) and len(answered & have) >= 0.5 * len(answered):
+                expected.add((d, i))
+    found = decontamination.contaminations(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold=0.3)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and len(expected) > 20
+
+
 def test_question_and_answer_columns(spark, documents, rows):
     words = dict(rows)[9].split()
     table = spark.createDataFrame([(1, " ".join(words[:25]), " ".join(words[25:40]))], "item_id long, q string, a string")
