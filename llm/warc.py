@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -34,19 +35,17 @@ RECORDS = "page_id long, record binary"
 PARSED = "page_id long, type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, source_payload_digest string, fields map<string,string>, content binary"
 DATE, FILE_BYTES = "2020-01-01T00:00:00Z", 32 << 20
 _CRLF = b"\r\n"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(head)(?=[\s/>])[^>]*>|<(noscript|template)\b[^>]*>", re.S | re.I)
+#: Where markup begins: a comment, a tag or a declaration. A `<` before anything else is text.
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[/!?])")
+#: Elements whose contents are no text: to their closing tag or the end of the page, and those that hide only if they are closed.
+_RAW, _CLOSABLE = frozenset(("script", "style")), frozenset(("noscript", "template"))
 #: What HTML lets stand in a head. All else ends it, closed or not.
-_IN_HEAD = re.compile(
-    r"\s+|<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(title|noscript|template|noframes)\b[^>]*>(?:(?!</?(?:\2|head|body)\b).)*</\2\s*>"
-    r"|<title\b[^>]*>[^<]*|</?(?:meta|link|base|basefont|bgsound|noscript|template|noframes|title|html)\b[^>]*>|<head(?=[\s/>])[^>]*>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_HEAD_END = re.compile(r"</head\s*>", re.I)
-_CLOSED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("noscript", "template")}
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|title|main|aside|form|dd|dt|dl|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>|<[!?][^>]*>")
-_TITLE, _LANG = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I), re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_IN_HEAD = frozenset(("title", "meta", "link", "base", "basefont", "bgsound", "noscript", "template", "noframes", "script", "style", "html", "head"))
+_BREAKS = frozenset(("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "header", "footer", "blockquote", "pre", "title", "main", "aside", "form", "dd", "dt", "dl", "hr"))
+_CLOSED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("noscript", "template", "script", "style", "title", "noframes")}
+#: What such an element in a head cannot go beyond.
+_HEAD_PART = {x: re.compile(rf"</?({x}|head|body)(?=[\s/>])", re.I) for x in ("noscript", "template", "title", "noframes")}
+_LANG, _HREF = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I), re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s>]+))", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -125,28 +124,99 @@ def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return [("status", status), *((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines))], payload
 
 
-def without_hidden(page: str) -> str:
-    """page without comments, scripts, styles, its head, and noscript and template; of one that is never closed only the tag goes."""
-    out, at, open_ended = [], 0, set()
-    while found := _HIDDEN.search(page, at):
-        out += [page[at : found.start()], " "]
-        at, name = found.end(), (found[3] or "").lower()
-        if found[2]:
-            while part := _IN_HEAD.match(page, at):
-                at = part.end()
-            closed = _HEAD_END.match(page, at)
+class Page(NamedTuple):
+    """What a page holds: its visible text with marks taken out, title (or None), language (or None) and links as they stand."""
+
+    text: str
+    title: str | None
+    language: str | None
+    links: list[str]
+
+
+def scanned(page: str) -> Page:
+    """A single pass over the page, each search of which goes on where the last one ended.
+
+    Comments, scripts and styles hide what they hold, to the page's end if they are not closed; noscript and template hide it
+    if they are closed. A head hides what only a head can hold; what cannot stand in one ends it, closed or not.
+    """
+    out: list[str] = []
+    links: list[str] = []
+    title = language = None
+    at, head, absent = 0, False, set()  # absent: elements that are not closed any more
+
+    def closing(name: str, begin: int):
+        found = None if name in absent else _CLOSED[name].search(page, begin)
+        if found is None:
+            absent.add(name)
+        return found
+
+    while found := _OPEN.search(page, at):
+        before = page[at : found.start()]
+        out.append(before)
+        head = head and not before.strip()
+        if found[0] == "<!--":
+            end = page.find("-->", found.end())
+            if end < 0:
+                at = len(page)
+                break
+            out.append(" ")
+            at = end + 3
+            continue
+        end = page.find(">", found.start() + 1)
+        if end < 0:  # no tag is closed from here on: the rest is text
+            at = found.start()
+            break
+        at, closes, name = end + 1, found[1] == "/", (found[2] or "").lower()
+        if closes:
+            if name == "head":
+                head = False
+            head = head and name in _IN_HEAD
+            out.append("\n" if name in _BREAKS else "")
+            continue
+        if name == "head":
+            head = True
+        elif name and head and name not in _IN_HEAD:
+            head = False
+        if name in _RAW:
+            closed = closing(name, at)
+            out.append(" ")
+            at = closed.end() if closed else len(page)
+        elif head and name in _HEAD_PART:
+            closed = closing(name, at) if name == "title" and title is None else None
+            if closed:
+                title = page[at : closed.start()]
+            limit = _HEAD_PART[name].search(page, at)
+            if limit and limit[0].lower() == f"</{name}":
+                end = page.find(">", limit.end())
+                at = end + 1 if end >= 0 else len(page)
+            elif name == "title":
+                end = page.find("<", at)
+                at = end if end >= 0 else len(page)
+            out.append("\n")
+        elif name in _CLOSABLE:
+            closed = closing(name, at)
+            out.append(" ")
+            at = closed.end() if closed else at
+        elif name == "title" and title is None and (closed := closing(name, at)):
+            title = page[at : closed.start()]
+            out.append("\n")
         else:
-            closed = _CLOSED[name].search(page, at) if name and name not in open_ended else None
-            if name and not closed:
-                open_ended.add(name)  # nor is a later one closed
-        at = closed.end() if closed else at
-    return "".join([*out, page[at:]])
+            if name == "a" and (href := _HREF.search(page, found.end(), end)):
+                links.append(href[href.lastindex])
+            elif name == "html" and language is None and (lang := _LANG.search(page, found.end(), end)):
+                language = lang[1]
+            out.append("\n" if name in _BREAKS else "")
+    out.append(page[at:])
+    return Page("".join(out), title, language, links)
+
+
+def visible(text: str) -> str:
+    """One line for each block of the page, white space collapsed, without empty lines."""
+    return "\n".join(line for raw in html.unescape(text).split("\n") if (line := " ".join(raw.split())))
 
 
 def plain_text(page: str) -> str:
-    """A page's visible text: one line for each block of the page, white space collapsed, without empty lines."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", without_hidden(page))))
-    return "\n".join(line for raw in text.split("\n") if (line := " ".join(raw.split())))
+    return visible(scanned(page).text)
 
 
 def derivatives(record: bytes) -> list[bytes]:
@@ -162,13 +232,13 @@ def derivatives(record: bytes) -> list[bytes]:
             page = payload.decode(charset[1] if charset else "utf-8", "replace")
         except LookupError:
             page = payload.decode("utf-8", "replace")
-        links = [urljoined(uri or "", html.unescape(next(x for x in m if x or x == m[-1]))) for m in _LINK.findall(page)]
-        title, lang = _TITLE.search(page), _LANG.search(page)
-        about = [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-        about += [("language", lang[1])] if lang else []
+        found = scanned(page)
+        links = [urljoined(uri or "", html.unescape(x)) for x in found.links]
+        about = [("title", " ".join(html.unescape(found.title).split()))] if found.title is not None else []
+        about += [("language", found.language)] if found.language else []
         about += [(f"http-{k}", v) for k, v in http] + [("outlink", link) for link in links]
         metadata = "".join(f"{k}: {one_line(v)}\r\n" for k, v in about).encode()
-        text = plain_text(page).encode("utf-8", "replace")
+        text = visible(found.text).encode("utf-8", "replace")
         kept = [(f"Source-{k}", v) for k, v in fields if k.lower() not in ("content-length", "warc-record-id", "warc-target-uri", "warc-date")]
         for kind, content_type, content in (("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", text)):
             own = [("WARC-Type", kind), ("WARC-Record-ID", derived_id(source, kind)), ("WARC-Date", date), ("WARC-Refers-To", source), ("WARC-Refers-To-Date", date)]

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import base64
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,13 @@ def test_text_of_pages_that_leave_out_closing_tags():
     assert warc.plain_text("<noscript>" * 50_000 + "a" + "<head><title>" * 20_000 + "<p>b") == "a\nb"
 
 
+@pytest.mark.parametrize("part", ["<a ", "<title>", "<noscript>", "<!--", "<", "<a href='", "<head><title>", "<script>", "</title>", "<template><a>", "<html lang=", "<p <", "&lt;<x"])
+def test_long_pages_take_time_that_grows_with_them(part):
+    began = time.perf_counter()
+    warc.derivatives(warc.response_record(1, "http://h.example/", part * (1_000_000 // len(part))))
+    assert time.perf_counter() - began < 20
+
+
 def test_derivatives_keep_identifiers_and_digests():
     source = warc.response_record(1, "http://h.example/", PAGE)
     fields, block = next(warc.read_records(source))
