@@ -29,6 +29,24 @@ def test_stages(spark):
     assert 0 < corpus_pipeline.run(spark, DATA).count() == before
 
 
+#: Columns that the contracts name, in their order, and their kinds.
+CONTRACTS = {
+    "op1_token_blocks": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op3_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op5_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op6_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op8_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_substring_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_columns_of_contracts(spark, name):
+    kinds = [f"{c} {k}" for c, k in entry.queries()[name](spark, DATA).dtypes]
+    expected = CONTRACTS[name].split(", ")
+    assert kinds[: len(expected)] == expected
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):
     df = entry.queries()[name](spark, DATA)
