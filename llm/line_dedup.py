@@ -1,22 +1,28 @@
 """Line dedup by an exact set-similarity join: of lines whose word sets are similar, only the earliest stays.
 
 A line's set is its distinct words (A-Z lower-cased). A line is removed if an earlier line of the corpus, in the order of
-(doc_id, line), has 100 * intersection >= percent * union; all lines are judged on the input, removed or not. Lines of
-fewer than min_words distinct words always stay: op7_line_dedup and the pipeline pass ALL_LINES, so that every line with a
-word is judged; MIN_WORDS is what removed_lines takes where its caller names none.
+(doc_id, line), has 100 * intersection >= percent * union; all lines with a word are judged, and all on the input, removed
+or not.
 
-1. Rarity: occurrences of all words of all texts, counted in 2^24 hash buckets (a table of fixed size) and kept as their
-   logarithm. Any order that all lines share keeps the join exact; this one puts rare words first.
+1. Rarity: occurrences of all words of all texts, counted in 2^24 hash buckets and kept as their logarithm. Any order that
+   all lines share keeps the join exact; this one puts rare words first.
 2. Lines with equal sets form classes; only the earliest of a class takes part in the join, the others are removed. Sets
-   so small that only an equal one can match (1 and 2 words at 75 %) are settled here and have no postings.
+   so small that only an equal one can match (1 and 2 words at 75 %) are settled here and have no postings. Sets are equal
+   if the 128-bit digests of their 64-bit word hashes are.
 3. Prefix filter: two lines that match share a word among the first n - ceil(t n) + 1 of each, rarest first. Words that
    occur once in the corpus, or in one prefix, need no posting.
-4. Postings of a word meet in the order of lines. Pairs pass the length filter, the positional filter (words left behind
+4. Words in the prefixes of very many lines: two lines that match share a second word too, one place further at most. Such
+   a word is posted as its pairs with the words behind it in the prefix and one more, so that no list of a common word
+   gathers in one task.
+5. Postings of a word meet in the order of lines. Pairs pass the length filter, the positional filter (words left behind
    the shared one must suffice for the overlap needed) and a filter on parity maps of 64 bits, or 128 or 256 for lines of
    many words, whose differing bits are a lower bound of the sets' symmetric difference.
-5. A line is compared with its nearest earlier candidate of each shared word first, so that a group of near copies costs
+6. A line is compared with its NEAREST earlier candidates of each shared word first, so that a group of near copies costs
    a few comparisons a line. Lines that this leaves undecided are compared with all their other candidates.
-6. Jaccard similarity is verified on the whole lines, after a second look at maps of WIDE bits that spares most of them.
+7. Jaccard similarity is verified on the whole lines, after a second look at maps of WIDE bits that spares most of them.
+
+Tables of hash buckets only order words and spare postings that meet nothing. Where a corpus fills them, up to
+n - ceil(t n) + 1 postings of 37 bytes a line are shuffled, at 75 % about 1.6 times the text before compression.
 
 Defined results: null and empty texts stay as they are; blank lines stay; rows with equal doc_id share their removals by
 line number; rows without doc_id stay as they are. A document whose lines all go stays as a row with what is left.
@@ -24,22 +30,25 @@ line number; rows without doc_id stay as they are. A document whose lines all go
 
 from __future__ import annotations
 
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import blocks as B
-from llm.tables import bitmap_positions, groups, has_bit, membership, possibly_in, release, stored, workspace
+from llm.tables import groups, near, release, stored, workspace
 
-PERCENT, MIN_WORDS, ALL_LINES = 75, 3, 1
-RARITY_BITS, HASH_BITS, CODE_BITS = 24, 40, 6
-CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, WIDE, LONG = 1 << 17, 1 << 20, 200_000, 512, 64
+PERCENT = 75
+RARITY_BITS, KEY_BITS, CODE_BITS = 24, 41, 6
+CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, HELD_POSTINGS, WIDE, LONG = 1 << 17, 1 << 20, 200_000, 1 << 19, 512, 64
+#: Candidates of a line and word that are verified at once; prefixes of how many lines make a word common.
+NEAREST, COMMON = 4, 1 << 14
 _NOT_NEWLINE = np.zeros(256, bool)
 _NOT_NEWLINE[10] = True
-LINES = "high long, low long, doc_id long, line int, n int, common int, parity long, wide binary, words array<int>"
+LINES = "high long, low long, doc_id long, line int, lead boolean, n int, common int, parity long, wide binary, words array<int>"
 PAIRS = "doc_id long, line int, doc_x long, line_x int, others long"
 
 
@@ -50,9 +59,19 @@ def _read(column: pa.Array):
         yield block, data, words, B.word_hashes(data, words)
 
 
-def _table(rows: DataFrame, buckets_of, least: int = 2, packed: bool = False) -> Broadcast:
+class Prefixes(NamedTuple):
+    """Of the buckets of prefix words: a bit whether postings are wanted, and which hold the words of very many lines."""
+
+    bits: np.ndarray
+    common: np.ndarray
+
+
+def _code(count):
+    return np.clip(np.ceil(2 * np.log2(np.maximum(count, 1))), 1, (1 << CODE_BITS) - 1).astype(np.uint8)
+
+
+def _table(rows: DataFrame, buckets_of, least: int = 2) -> np.ndarray:
     """Codes of 2^RARITY_BITS buckets, one byte each at any size: 0 under `least`, else growing with the count's logarithm.
-    Packed, a bit for each says whether its code is not 0.
 
     buckets_of(batch) yields arrays of buckets. A task hands on its counts as one row for each 2^16 buckets.
     """
@@ -73,7 +92,7 @@ def _table(rows: DataFrame, buckets_of, least: int = 2, packed: bool = False) ->
             total = np.zeros(1 << 16, np.int64)
             for at, n in zip(buckets, counts, strict=True):
                 total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
-            codes = np.where(total >= least, np.clip(np.ceil(2 * np.log2(np.maximum(total, 1))), 1, (1 << CODE_BITS) - 1), 0).astype(np.uint8)
+            codes = np.where(total >= least, _code(total), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(chunk[:1].astype(np.int32)), pa.array([codes.tobytes()], pa.binary())], ["chunk", "codes"])
 
     dealt = rows.mapInArrow(count, "chunk int, buckets binary, counts binary").repartition("chunk").sortWithinPartitions("chunk")
@@ -81,7 +100,17 @@ def _table(rows: DataFrame, buckets_of, least: int = 2, packed: bool = False) ->
     table = np.zeros((1 << (RARITY_BITS - 16), 1 << 16), np.uint8)
     for chunk, codes in zip(found["chunk"].to_pylist(), found["codes"].to_pylist(), strict=True):
         table[chunk] = np.frombuffer(codes, np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(table.ravel() > 0, bitorder="little") if packed else table.ravel())
+    return table.ravel()
+
+
+def _prefixes(rows: DataFrame, least: int = 2) -> Prefixes:
+    """Of rows(words): prefix words, the last one of each list excepted, that lie in `least` lists or more."""
+    codes = _table(rows, _prefix_buckets, least)
+    return Prefixes(np.packbits(codes > 0, bitorder="little"), np.flatnonzero(codes >= _code(COMMON)))
+
+
+def has_bit(packed: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    return (packed[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def word_rarity(documents: DataFrame, text: str) -> Broadcast:
@@ -91,7 +120,7 @@ def word_rarity(documents: DataFrame, text: str) -> Broadcast:
         for *_, hashes in _read(batch.column(0)):
             yield (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.uint32)
 
-    return _table(documents.select(text), buckets)
+    return documents.sparkSession.sparkContext.broadcast(_table(documents.select(text), buckets))
 
 
 def _short_bucket(words: np.ndarray) -> np.ndarray:
@@ -100,36 +129,40 @@ def _short_bucket(words: np.ndarray) -> np.ndarray:
 
 
 def _prefix_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All prefix words of a batch of lines, the last column, and how many each line has."""
+    """All words of the lists of a batch's last column end to end, and how many each list has."""
     lists = batch.column(batch.num_columns - 1)
     return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
 
 
 def _prefix_buckets(batch: pa.RecordBatch):
-    yield _short_bucket(_prefix_words(batch)[0])
+    words, counts = _prefix_words(batch)
+    proper = np.ones(len(words), bool)
+    proper[np.cumsum(counts)[counts > 0] - 1] = False
+    yield _short_bucket(words[proper])
 
 
 def line_words(block: B.Block, data: np.ndarray, words: B.Words, hashes: np.ndarray, rarity: np.ndarray):
-    """Chunks of lines: (lines' documents, numbers in their document, first key of each, distinct keys, ends).
+    """Chunks of lines: (lines' documents, numbers in their document, first word of each, hashes and codes of their distinct words).
 
-    ends are the least and the greatest whole hash of each line's words, 0 where it has none. A key is a word's rarity code above HASH_BITS of its hash; a line's keys ascend, so its rarest words come first.
+    A line's words are in the order of their rarity codes, the rarest first, and of equal ones by KEY_BITS of their hashes.
     """
     lines = B.find_words(data, block.starts, _NOT_NEWLINE)
     doc = lines.docs()
     number = np.arange(len(doc)) - lines.first[doc]
     code = rarity[(hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)].astype(np.uint64)
-    key = (code << np.uint64(HASH_BITS)) | (hashes & np.uint64((1 << HASH_BITS) - 1))
+    key = (code << np.uint64(KEY_BITS)) | (hashes & np.uint64((1 << KEY_BITS) - 1))
     line = np.searchsorted(lines.begin, words.begin, "right") - 1
     for low in range(0, len(doc), CHUNK_LINES):
         high = min(low + CHUNK_LINES, len(doc))
         part = slice(*np.searchsorted(line, [low, high]))
-        keys = B.distinct((line[part] - low).astype(np.uint64) << np.uint64(HASH_BITS + CODE_BITS) | key[part])
-        first = np.searchsorted(keys >> np.uint64(HASH_BITS + CODE_BITS), np.arange(high - low + 1).astype(np.uint64))
-        ends = np.zeros((high - low, 2), np.uint64)
-        start = np.flatnonzero(np.diff(line[part], prepend=-1))
-        if len(start):
-            ends[line[part][start] - low] = np.stack([f.reduceat(hashes[part], start) for f in (np.minimum, np.maximum)], axis=1)
-        yield doc[low:high], number[low:high], first, keys & np.uint64((1 << (HASH_BITS + CODE_BITS)) - 1), ends
+        keys = (line[part] - low).astype(np.uint64) << np.uint64(KEY_BITS + CODE_BITS) | key[part]
+        order = np.argsort(keys)
+        keys, whole = keys[order], hashes[part][order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+        keys, whole = keys[new], whole[new]
+        first = np.searchsorted(keys >> np.uint64(KEY_BITS + CODE_BITS), np.arange(high - low + 1).astype(np.uint64))
+        yield doc[low:high], number[low:high], first, whole, (keys >> np.uint64(KEY_BITS)) & np.uint64((1 << CODE_BITS) - 1)
 
 
 def _maps(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -150,32 +183,39 @@ def _wide(n: np.ndarray, maps: np.ndarray) -> list[bytes | None]:
     return [None if k <= LONG else half[i].tobytes() if k <= 2 * LONG else rest[i].tobytes() for i, k in enumerate(n.tolist())]
 
 
-def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int, min_words: int) -> DataFrame:
-    """LINES: digest of every line's set, its place, size, parity map and the prefix words that can meet others."""
+def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int) -> DataFrame:
+    """LINES: digest of every line's set, its place, size, parity map and the words that can meet others: those of its prefix
+    and one more. Of equal sets at hand only the first is `lead` and has them.
+    """
 
     def per_batch(batches):
         for batch in batches:
             ids = batch.column(0)
             for block, data, words, hashes in _read(batch.column(1)):
-                for doc, number, first, keys, ends in line_words(block, data, words, hashes, rarity.value):
+                for doc, number, first, whole, codes in line_words(block, data, words, hashes, rarity.value):
                     n = np.diff(first)
-                    plain = keys & np.uint64((1 << HASH_BITS) - 1)
-                    sums = np.zeros((len(keys) + 1, 2), np.uint64)
-                    np.cumsum(np.stack([B.mix(plain + B.BASE), B.mix(plain ^ B.BASE)], axis=1), axis=0, out=sums[1:])
-                    digest = np.where((n <= 2)[:, None], ends, sums[first[1:]] - sums[first[:-1]]).view(np.int64)  # HASH_BITS alone do not tell single words apart
-                    maps = _maps(plain, first)
+                    sums = np.zeros((len(whole) + 1, 2), np.uint64)
+                    np.cumsum(np.stack([B.mix(whole + B.BASE), B.mix(whole ^ B.BASE)], axis=1), axis=0, out=sums[1:])
+                    digest = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+                    chosen = np.flatnonzero(n > 0)
+                    order = chosen[np.lexsort((number[chosen], ids.fill_null(0).to_numpy(zero_copy_only=False)[block.first + doc[chosen]], digest[chosen, 1], digest[chosen, 0]))]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(axis=1)
+                    lead = np.zeros(len(n), bool)
+                    lead[order[new]] = True
+                    maps = _maps(whole, first)
                     parity = np.bitwise_xor.reduce(maps, axis=1).view(np.int64)
                     prefix = n - -(-n * percent // 100) + 1
-                    place = np.arange(len(keys)) - np.repeat(first[:-1], n)
-                    again = keys >> np.uint64(HASH_BITS) > 0  # words that occur once come first and meet nothing
-                    chosen = n >= min_words
-                    meets = chosen & (100 * n >= percent * (n + 1))  # smaller sets match equal ones only
-                    useful = (place < np.repeat(prefix, n)) & again & np.repeat(meets, n)
-                    counts, common = (B.sums_by_text(x.astype(np.int64), first)[chosen] for x in (useful, again))
-                    short = pa.array((plain[useful] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), short)
+                    place = np.arange(len(whole)) - np.repeat(first[:-1], n)
+                    again = codes > 0  # words that occur once come first and meet nothing
+                    meets = lead & (100 * n >= percent * (n + 1))  # smaller sets match equal ones only
+                    useful = (place <= np.repeat(prefix, n)) & again & np.repeat(meets, n)
+                    counts, common = (B.sums_by_text(x.astype(np.int64), first) for x in (useful, again))
+                    short = pa.array((whole[useful] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[chosen])]).astype(np.int32)), short)
                     rows = ids.slice(block.first, block.rows).take(pa.array(doc[chosen]))
-                    columns = [pa.array(digest[chosen, 0].copy()), pa.array(digest[chosen, 1].copy()), rows, *(pa.array(x.astype(np.int32)) for x in (number[chosen], n[chosen], common)), pa.array(parity[chosen]), pa.array(_wide(n[chosen], maps[chosen]), pa.binary()), lists]
+                    kept = np.where(lead, n, 0)[chosen]
+                    columns = [pa.array(digest[chosen, 0].copy()), pa.array(digest[chosen, 1].copy()), rows, pa.array(number[chosen].astype(np.int32)), pa.array(lead[chosen]), *(pa.array(x.astype(np.int32)) for x in (n[chosen], common[chosen])), pa.array(parity[chosen]), pa.array(_wide(kept, maps[chosen]), pa.binary()), lists]
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LINES.split(", ")])
 
     return documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(per_batch, LINES)
@@ -185,38 +225,59 @@ def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int,
 _POSTING = np.dtype([("word", "<i4"), ("line", "<i4"), ("n", "<i4"), ("left", "<i4"), ("doc", "<i8"), ("parity", "<i8"), ("open", "i1")])
 
 
-def postings_of(lines: DataFrame, useful: Broadcast, parts: int) -> DataFrame:
-    """(part, postings) of all prefix words of lines whose bucket has its bit in the table, packed column by column.
+def postings_of(lines: DataFrame, wanted: Broadcast, common_words: Broadcast, parts: int) -> DataFrame:
+    """(part, postings) of all prefix words of lines that are wanted, packed column by column.
 
-    Every word belongs to one part. lines has doc_id, line, n, common, parity, open (whether it looks for partners), wide, words.
+    Every word belongs to one part, and so does every pair that stands for a common word. lines has doc_id, line, n, common,
+    parity, open (whether it looks for partners), wide, words.
     """
 
-    def per_batch(batches):
+    def per_partition(batches):
+        held, size = [], 0
         for batch in batches:
             words, counts = _prefix_words(batch)
-            bucket = _short_bucket(words)
-            keep = np.flatnonzero(has_bit(useful.value, bucket.astype(np.int64)))
+            bucket = _short_bucket(words).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), counts)
-            place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+            ends = np.repeat(np.cumsum(counts), counts)
+            at = np.arange(len(words))
+            keep = np.flatnonzero((at < ends - 1) & has_bit(wanted.value.bits, bucket))
+            often = np.isin(bucket[keep], common_words.value.common)
+            # a common word goes out once with each of the words behind it
+            lone, several = keep[~often], keep[often]
+            n = ends[several] - 1 - several
+            second = np.repeat(several + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            several = np.repeat(several, n)
+            pair = B.mix((words[several].view(np.uint32).astype(np.uint64) << np.uint64(32)) | words[second].view(np.uint32)) & np.uint64(0xFFFFFFFF)
+            word = np.concatenate([words[lone], pair.astype(np.uint32).view(np.int32)])
+            keep = np.concatenate([lone, several])
+            row, place = row[keep], keep - (ends - np.repeat(counts, counts))[keep]
             doc, line, n, common, parity, is_open = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            part = bucket[keep].astype(np.int64) % parts
-            keep = keep[np.argsort(part, kind="stable")]
-            part.sort()
-            row = row[keep]
-            columns = {"word": words[keep], "line": line[row], "n": n[row], "left": common[row] - place[keep], "doc": doc[row], "parity": parity[row], "open": is_open[row]}
             wide = np.zeros((batch.num_rows, 3), np.uint64)
-            for k, held in enumerate(batch.column(6).to_pylist()):
-                if held:
-                    wide[k, : len(held) // 8] = np.frombuffer(held, np.uint64)
-            bounds = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(1, int)
-            blobs = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                size, own = columns["n"][a:b], wide[row[a:b]]
-                some, most = own[(size > LONG) & (size <= 2 * LONG), 0], own[size > 2 * LONG]
-                blobs.append(b"".join([np.uint32(b - a).tobytes(), *(columns[c][a:b].astype(_POSTING[c]).tobytes() for c in _POSTING.names), some.tobytes(), most.tobytes()]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "postings"])
-
-    return lines.select("doc_id", "line", "n", "common", "parity", "open", "wide", "words").mapInArrow(per_batch, "part int, postings binary")
+            for k, x in enumerate(batch.column(6).to_pylist()):
+                if x:
+                    wide[k, : len(x) // 8] = np.frombuffer(x, np.uint64)
+            held.append((word, line[row], n[row], common[row] - place, doc[row], parity[row], is_open[row], wide[row]))
+            size += len(row)
+            if size >= HELD_POSTINGS:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held) -> pa.RecordBatch:
+        *columns, wide = (np.concatenate(c) for c in zip(*held, strict=True))
+        part = (_short_bucket(columns[0]) % np.uint32(parts)).astype(np.uint32)
+        order = np.argsort(part, kind="stable")
+        part, wide = part[order], wide[order]
+        columns = [c[order].astype(_POSTING[name]) for c, name in zip(columns, _POSTING.names, strict=True)]
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(1, int)
+        blobs, sizes = [], columns[2]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own, n = wide[a:b], sizes[a:b]
+            blobs.append(b"".join([np.uint32(b - a).tobytes(), *(c[a:b].tobytes() for c in columns), own[(n > LONG) & (n <= 2 * LONG), 0].tobytes(), own[n > 2 * LONG].tobytes()]))
+        return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "postings"])
+
+    return lines.select("doc_id", "line", "n", "common", "parity", "open", "wide", "words").mapInArrow(per_partition, "part int, postings binary")
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
@@ -253,7 +314,7 @@ def _apart(n: np.ndarray, parity: np.ndarray, wide: np.ndarray, a: np.ndarray, b
 def _group_pairs(columns: list[np.ndarray], percent: int, every: bool):
     """Pairs (later line, earlier line) of postings of equal words that pass all filters.
 
-    With `every` all pairs that pass are returned, else the nearest of each line and word, and how many others passed.
+    With `every` all pairs that pass are returned, else the NEAREST of each line and word, and how many others passed.
     """
     word, line, n, left, doc, parity, is_open, wide = columns
     order = np.lexsort((n, word))
@@ -286,9 +347,12 @@ def _group_pairs(columns: list[np.ndarray], percent: int, every: bool):
         others = np.zeros(len(y), np.int64)
         if not every and len(y):
             order = np.lexsort((line[x], doc[x], apart, y))
-            head = np.flatnonzero(np.concatenate([[True], y[order][1:] != y[order][:-1]]))
-            others = np.diff(np.append(head, len(y))) - 1
-            x, y = x[order][head], y[order][head]
+            x, y = x[order], y[order]
+            head = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+            n_own = np.diff(np.append(head, len(y)))
+            near_ones = np.flatnonzero(np.arange(len(y)) - np.repeat(head, n_own) < NEAREST)
+            others = np.repeat(np.maximum(n_own - NEAREST, 0), n_own)[near_ones]
+            x, y = x[near_ones], y[near_ones]
         if len(y):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[y], line[y], doc[x], line[x], others)], [c.split()[0] for c in PAIRS.split(", ")])
 
@@ -304,22 +368,26 @@ def candidate_pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame
 
 
 def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
-    """(doc_id, line) of pairs (doc_id, line, doc_x, line_x) whose whole lines reach the threshold."""
-    wanted = membership(pairs.select("doc_id", "line").union(pairs.select("doc_x", "line_x")))
+    """(doc_id, line) of pairs (doc_id, line, doc_x, line_x), a stored table, whose whole lines reach the threshold."""
+    ends = pairs.select("doc_id", "line").union(pairs.select("doc_x", "line_x")).groupBy(F.col("doc_id").alias("__wanted_of")).agg(F.collect_set("line").alias("__wanted"))
 
     def pick(batches):
         for batch in batches:
-            ids = batch.column(0)
-            values = ids.to_numpy(zero_copy_only=False)
+            ids, lists = batch.column(0), batch.column(2)
+            offsets, wanted = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+            offsets = offsets - offsets[0]
             for block in B.blocks(batch.column(1)):
                 lines = B.find_words(block.data, block.starts, _NOT_NEWLINE)
-                doc = lines.docs()
-                number = np.arange(len(doc)) - lines.first[doc]
-                at = np.flatnonzero(has_bit(wanted.value, bitmap_positions(values[block.first + doc], number)))
+                low, high = offsets[block.first], offsets[block.first + block.rows]
+                doc = np.repeat(np.arange(block.rows), np.diff(offsets[block.first : block.first + block.rows + 1]))
+                number = wanted[low:high]
+                inside = number < np.diff(lines.first)[doc]  # of rows with one id only some may have the line
+                doc, number = doc[inside], number[inside]
+                at = lines.first[doc] + number
                 raw = block.data.tobytes()
-                found = pa.array([raw[a:b] for a, b in zip(lines.begin[at], lines.end[at], strict=True)], pa.binary())
+                found = pa.array([raw[a:b] for a, b in zip(lines.begin[at].tolist(), lines.end[at].tolist(), strict=True)], pa.binary())
                 maps = pa.array([wide_map(s) for s in sets(found)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(block.first + doc[at])), pa.array(number[at].astype(np.int32)), found, maps], ["doc_id", "line", "content", "map"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(block.first + doc)), pa.array(number), found, maps], ["doc_id", "line", "content", "map"])
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         return [np.unique(h[w.first[i] : w.first[i + 1]]) for b, _, w, h in _read(column.cast(pa.string())) for i in range(b.rows)]
@@ -347,7 +415,9 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["doc_id", "line"])
 
     with workspace(documents.sparkSession):
-        content = documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(pick, "doc_id long, line int, content binary, map binary")
+        ends = near(stored(ends, "line-dedup-wanted"), "1 + size(__wanted) / 4")
+        asked = documents.select("doc_id", text).join(ends, F.col("doc_id") == F.col("__wanted_of")).select("doc_id", text, "__wanted")
+        content = asked.mapInArrow(pick, "doc_id long, line int, content binary, map binary")
         content = stored(content.dropDuplicates(["doc_id", "line"]), "line-dedup-content")
         maps, content = content.select("doc_id", "line", "map"), content.select("doc_id", "line", "content")
         mapped = pairs.select("doc_id", "line", "doc_x", "line_x").join(maps, ["doc_id", "line"]).withColumnRenamed("map", "map_y").join(maps.toDF("doc_x", "line_x", "map_x"), ["doc_x", "line_x"])
@@ -357,28 +427,29 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
         return stored(joined.select("doc_id", "line", "x", "y").mapInArrow(verify, "doc_id long, line int").distinct(), "line-dedup-matched", keep=True)
 
 
-def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, line) of every line to remove; lines that hold a character are numbered from 0 in each document."""
     spark = documents.sparkSession
+    share = spark.sparkContext.broadcast
     with workspace(spark):
         rarity = word_rarity(documents, text)
-        lines = stored(line_sets(documents, text, rarity, percent, min_words), "line-dedup-lines")
+        lines = stored(line_sets(documents, text, rarity, percent), "line-dedup-lines")
         rarity.destroy()
-        first = F.min(F.struct("doc_id", "line")).alias("at")
-        classes = lines.groupBy("high", "low").agg(first, *(F.first(c).alias(c) for c in ("n", "common", "parity", "wide", "words")))
-        classes = stored(classes.select("high", "low", "at.doc_id", "at.line", "n", "common", "parity", "wide", "words"), "line-dedup-classes")
+        earliest = F.lag(F.lit(1)).over(Window.partitionBy("high", "low").orderBy("doc_id", "line")).isNull()
+        classes = lines.where("lead").withColumn("first", earliest).where("first").drop("first", "lead")
+        classes = stored(classes, "line-dedup-classes")
         release(spark)
-        useful = _table(classes.select("words"), _prefix_buckets, packed=True)  # words in the prefixes of several lines
+        useful = share(_prefixes(classes.select("words")))
         parts = 64 + (classes.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_POSTINGS
-        pairs = candidate_pairs(postings_of(classes.withColumn("open", F.lit(1)), useful, parts), percent, False)
+        pairs = candidate_pairs(postings_of(classes.withColumn("open", F.lit(1)), useful, useful, parts), percent, False)
         pairs = stored(pairs.groupBy("doc_id", "line", "doc_x", "line_x").agg(F.max("others").alias("others")), "line-dedup-pairs")
         release(spark)
         matched = verified(pairs, documents, text, percent)
         undecided = stored(pairs.where("others > 0").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"), "line-dedup-undecided")
         if not undecided.isEmpty():
-            marked = classes.join(undecided.withColumn("open", F.lit(1)), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
-            sought = _table(marked.where("open = 1").select("words"), _prefix_buckets, least=1, packed=True)
-            more = candidate_pairs(postings_of(marked, sought, parts), percent, True)
+            marked = classes.join(near(undecided.withColumn("open", F.lit(1))), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+            sought = share(_prefixes(marked.where("open = 1").select("words"), least=1))
+            more = candidate_pairs(postings_of(marked, sought, useful, parts), percent, True)
             more = stored(more.select("doc_id", "line", "doc_x", "line_x").distinct().join(pairs, ["doc_id", "line", "doc_x", "line_x"], "left_anti"), "line-dedup-more")
             release(spark)
             matched = matched.unionByName(verified(more, documents, text, percent))
@@ -390,46 +461,56 @@ def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCE
         return found
 
 
+def n_lines(text: Column) -> Column:
+    """How many lines of a text hold a character."""
+    return F.when(text.isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, "\n"), ""))).cast("long")
+
+
 def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text", figures: bool = False) -> DataFrame:
     """documents with their removed lines cut out of the text, and n_chars, if there is one, set to the new length.
 
-    With figures it is (doc_id, n_lines, n_removed, kept) instead; n_lines counts lines that hold a character.
+    With figures it is (doc_id, n_lines, n_removed, kept) instead; n_lines counts lines that hold a character. Texts that
+    keep all their lines do not go through Python.
     """
-    rows = removed.groupBy(F.col("doc_id").alias("__removed_of")).agg(F.collect_list("line").alias("__removed"))
-    bitmap = membership(rows.select("__removed_of"))  # texts that surely keep all lines are not shuffled
-    joined = possibly_in(documents, bitmap).join(rows, F.col("doc_id") == F.col("__removed_of"), "left").drop("__removed_of")
-    others = possibly_in(documents, bitmap, outside=True)
-    if figures:
-        joined = joined.unionByName(others, allowMissingColumns=True)
+    rows = removed.groupBy(F.col("doc_id").alias("__removed_of")).agg(F.collect_set("line").alias("__removed"))
+    rows = near(stored(rows, "line-dedup-removed-of"), "1 + size(__removed) / 4")
+    mine = F.col("doc_id") == F.col("__removed_of")
+    joined, others = documents.join(rows, mine).drop("__removed_of"), documents.join(rows, mine, "left_anti")
     at, schema = documents.columns.index(text), documents.schema
-    count_at = documents.columns.index("n_chars") if "n_chars" in documents.columns and text != "n_chars" else None
-
-    def kept(content: str | None, gone: list[int] | None) -> tuple[str | None, int]:
-        parts = content.split("\n") if content else []
-        gone, out, number = set(gone or ()), [], 0
-        for part in parts:
-            if part:
-                number += 1
-            if not part or number - 1 not in gone:
-                out.append(part)
-        return "\n".join(out) if gone else content, number
 
-    def per_batch(batches):
+    def kept(batches):
         for batch in batches:
-            gone = batch.column(batch.num_columns - 1).to_pylist()
-            found = [kept(t, g) for t, g in zip(batch.column(at).to_pylist(), gone, strict=True)]
-            texts = pa.array([t for t, _ in found], pa.string())
-            if figures:
-                yield pa.RecordBatch.from_arrays([batch.column(ids), pa.array([n for _, n in found], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64()), texts], ["doc_id", "n_lines", "n_removed", "kept"])
-                continue
+            texts, lists = [], batch.column(batch.num_columns - 1).to_pylist()
+            for block in B.blocks(batch.column(at)):
+                lines = B.find_words(block.data, block.starts, _NOT_NEWLINE)
+                doc = np.repeat(np.arange(block.rows), [len(x) for x in lists[block.first : block.first + block.rows]])
+                number = np.array([k for x in lists[block.first : block.first + block.rows] for k in x], np.int64)
+                inside = number < np.diff(lines.first)[doc]
+                gone = (lines.first[doc] + number)[inside]
+                begin, end = lines.begin[gone], lines.end[gone]
+                final = end == block.starts[np.searchsorted(block.starts, begin, "right")]  # no newline ends it: the one before goes with it
+                cut = np.zeros(len(block.data) + 1, np.int8)
+                np.add.at(cut, begin, 1)
+                np.add.at(cut, np.where(final, end, end + 1), -1)
+                out = np.cumsum(cut[:-1], dtype=np.int8) == 0
+                stops = np.concatenate([[0], np.cumsum(out)])[block.starts]
+                raw = block.data[out].tobytes()
+                for row in range(block.rows):
+                    left = raw[stops[row] : stops[row + 1]]
+                    texts.append(left.decode("utf-8", "replace"))
+                for row in np.unique(doc[inside][final]).tolist():
+                    k = block.first + row
+                    texts[k] = texts[k].removesuffix("\n")
             columns = list(batch.columns[:-1])
-            columns[at] = texts
-            if count_at is not None:
-                counts = [len(t) if g and t is not None else old for (t, _), g, old in zip(found, gone, columns[count_at].to_pylist(), strict=True)]
-                columns[count_at] = pa.array(counts, columns[count_at].type)
+            columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    ids = documents.columns.index("doc_id")
     if figures:
-        return joined.mapInArrow(per_batch, "doc_id long, n_lines long, n_removed long, kept string")
-    return joined.mapInArrow(per_batch, schema).unionByName(others)
+        rest = others.select("doc_id", n_lines(F.col(text)).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col(text).alias("kept"))
+        counted = joined.select("doc_id", text, n_lines(F.col(text)).alias("__n"), F.size("__removed").cast("long").alias("__gone"), "__removed")
+        at, schema = 1, counted.drop("__removed").schema
+        return counted.mapInArrow(kept, schema).toDF("doc_id", "kept", "n_lines", "n_removed").select("doc_id", "n_lines", "n_removed", "kept").unionByName(rest)
+    changed = joined.mapInArrow(kept, schema)
+    if "n_chars" in documents.columns and text != "n_chars":
+        changed = changed.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)).select(documents.columns)
+    return changed.unionByName(others)

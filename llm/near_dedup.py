@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from llm import blocks as B
 from llm.components import components
-from llm.tables import cut, groups, membership, possibly_in, release, stored, without_ids, workspace
+from llm.tables import cut, groups, near, release, stored, without_ids, workspace
 
 SHINGLE, PERCENT = 5, 75
 BUCKETS, ROWS, MANTISSA = 160, 4, 10
 #: Six standard deviations of the share of agreeing registers at J = 0.75 and 160 registers, and at 1024.
 MARGIN, FINE, FINE_MARGIN, BLOCK_ROWS = 0.2, 1024, 0.082, 2048
-SIGNED = "doc_id long, n_shingles long, high long, low long, registers binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, high long, low long, registers binary"
 _VALUE_BITS = 40
 
 
@@ -110,20 +110,20 @@ def estimated(registers_a: np.ndarray, registers_b: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, text: str = "text") -> DataFrame:
-    """SIGNED: set size, 128-bit digest of the set and registers of every row."""
+    """SIGNED: a hash of the text, set size, 128-bit digest of the set and registers of every row."""
 
     def per_batch(batches):
         for batch in batches:
-            for block in B.blocks(batch.column(1)):
+            for block in B.blocks(batch.column(2)):
                 sets, first = shingle_sets(block)
                 registers = sketches(sets, first)
                 total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([B.mix(sets ^ B.BASE), B.mix(sets + B.BASE)], axis=1), axis=0, dtype=np.uint64)])
                 digest = (total[first[1:]] - total[first[:-1]]).view(np.int64)
                 raw = [r.tobytes() for r in registers]
-                columns = [batch.column(0).slice(block.first, block.rows), pa.array(np.diff(first)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "registers"])
+                columns = [*(batch.column(k).slice(block.first, block.rows) for k in range(2)), pa.array(np.diff(first)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "high", "low", "registers"])
 
-    return documents.select("doc_id", text).mapInArrow(per_batch, SIGNED)
+    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text).mapInArrow(per_batch, SIGNED)
 
 
 def _estimate_pairs(pairs: DataFrame) -> DataFrame:
@@ -154,14 +154,26 @@ def _similarities(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(per_batch, "a long, b long, both long, either long")
 
 
-def _texts(documents: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """One text of each doc_id in ids."""
-    found = possibly_in(documents.select("doc_id", text), membership(ids)).join(ids, "doc_id", "left_semi")
-    return found.dropDuplicates(["doc_id"])
+def _texts(documents: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """(node, text) of each of nodes(node, doc_id, text_hash), a stored table."""
+    found = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(near(nodes), ["doc_id", "text_hash"])
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
+def with_nodes(classes: DataFrame) -> DataFrame:
+    """classes, a stored table, with node: the doc_id of its representative where no other class has the same, else a hash.
+
+    Ids repeat with different texts in faulty tables only; there each text is a node of its own.
+    """
+    shared = stored(classes.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"), "near-dedup-repeated")
+    if shared.isEmpty():
+        return classes.withColumn("node", F.col("doc_id"))
+    marked = classes.join(near(shared.withColumn("__shared", F.lit(True))), "doc_id", "left")
+    return stored(marked.withColumn("node", F.when(F.col("__shared"), F.xxhash64("high", "low")).otherwise(F.col("doc_id"))).drop("__shared"), "near-dedup-nodes")
 
 
 def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in a band of rest(band, number, n, doc_id, component) that may be similar enough.
+    """Pairs (a, b) of different components in a band of rest(band, number, n, node, component) that may be similar enough.
 
     Members are compared on FINE registers, of which the low byte is kept, and whose error is FINE_MARGIN at most, in blocks
     of at most BLOCK_ROWS: each pair of a band's blocks is one group, so that no task holds more than two blocks of a band,
@@ -172,7 +184,7 @@ def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, te
         for batch in batches:
             for block in B.blocks(batch.column(1)):
                 raw = [r.astype(np.uint8).tobytes() for r in sketches(*shingle_sets(block), FINE)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(raw, pa.binary())], ["doc_id", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(raw, pa.binary())], ["node", "fine"])
 
     def group(rows):
         _, low_block, high_block, doc, component, side, number, coarse, fine = rows
@@ -194,27 +206,29 @@ def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, te
         for rows in groups(batches, 3):
             yield from group(rows)
 
-    sketched = stored(_texts(documents, rest.select("doc_id").distinct(), text).mapInArrow(fine, "doc_id long, fine binary"), "near-dedup-fine")
+    wanted = stored(rest.select("node").distinct().join(representatives.select("node", "doc_id", "text_hash"), "node"), "near-dedup-wanted")
+    sketched = stored(_texts(documents, wanted, text).mapInArrow(fine, "node long, fine binary"), "near-dedup-fine")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    dealt = rest.withColumn("side", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "doc_id", "component", "side", "number")
-    dealt = dealt.join(representatives.select("doc_id", "registers").join(sketched, "doc_id"), "doc_id").select("band", "low", "high", "doc_id", "component", "side", "number", "registers", "fine")
+    dealt = rest.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "component", "side", "number")
+    dealt = dealt.join(representatives.select("node", "registers").join(sketched, "node"), "node").select("band", "low", "high", "node", "component", "side", "number", "registers", "fine")
     return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(per_partition, "a long, b long").distinct()
 
 
 def near_enough(pairs: DataFrame, representatives: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose estimate is not more than MARGIN under the threshold."""
-    registers = representatives.select("doc_id", "registers")
+    registers = representatives.select("node", "registers")
     sketched = pairs.join(registers.toDF("b", "registers_b"), "b").join(registers.toDF("a", "registers_a"), "a")
     guessed = _estimate_pairs(sketched.select("a", "b", "registers_a", "registers_b"))
     return guessed.where(F.col("estimate") >= percent / 100 - MARGIN).select("a", "b")
 
 
-def links(pairs: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that link, on full sets of the whole texts."""
+def links(pairs: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of nodes that link, on full sets of the whole texts."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("b").alias("doc_id")).union(pairs.select(F.col("a").alias("doc_id"))).distinct()
-    texts = stored(_texts(documents, ids, text), "near-dedup-texts")
+    ids = pairs.select(F.col("b").alias("node")).union(pairs.select(F.col("a").alias("node"))).distinct()
+    wanted = stored(ids.join(representatives.select("node", "doc_id", "text_hash"), "node"), "near-dedup-linked")
+    texts = stored(_texts(documents, wanted, text), "near-dedup-texts")
     joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     exact = _similarities(joined.select("a", "b", "text_a", "text_b"))
     result = stored(exact.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "near-dedup-links")
@@ -230,25 +244,27 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = PER
     """
     with workspace(documents.sparkSession):
         signed = stored(signatures(documents, text), "near-dedup-signatures")
-        classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
-        classes = stored(classes, "near-dedup-classes")
-        bands = classes.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), i -> xxhash64(i, substring(registers, 1 + {2 * ROWS} * i, {2 * ROWS})))")).alias("number", "band"))
+        classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.first("registers").alias("registers"))
+        classes = with_nodes(stored(classes, "near-dedup-classes"))
+        bands = classes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), i -> xxhash64(i, substring(registers, 1 + {2 * ROWS} * i, {2 * ROWS})))")).alias("number", "band"))
         shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         met = cut(bands.join(shared, "band"))
-        reach = met.groupBy("doc_id").agg(F.sum("n").alias("reach"))
-        ranked = met.select("band", "number", "doc_id").join(reach, "doc_id")
-        hubs = ranked.groupBy("band").agg(F.max(F.struct("reach", (-F.col("doc_id")).alias("low"))).alias("top")).select("band", (-F.col("top.low")).alias("hub"))
-        members = cut(ranked.select("band", "number", "doc_id").join(hubs, "band"))
-        stars = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-        first = links(near_enough(stars, classes, percent), documents, text, percent)
+        reach = met.groupBy("node").agg(F.sum("n").alias("reach"))
+        ranked = met.select("band", "number", "node").join(reach, "node")
+        hubs = ranked.groupBy("band").agg(F.max(F.struct("reach", (-F.col("node")).alias("low"))).alias("top")).select("band", (-F.col("top.low")).alias("hub"))
+        members = cut(ranked.select("band", "number", "node").join(hubs, "band"))
+        stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        first = links(near_enough(stars, classes, percent), classes, documents, text, percent)
         found = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
         # what a band still holds apart
-        placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 AND n > 2").select("band", "n")
-        rest = cut(placed.where("doc_id <> hub").join(several, "band").select("band", "number", "n", "doc_id", "component"))
-        second = links(_apart(rest, classes, documents, text, percent), documents, text, percent)
-        found = components(first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "least")
-        by_class = classes.select("high", "low", F.col("doc_id").alias("least")).join(found, "least", "left").select("high", "low", F.coalesce("component", "least").alias("component_id"))
+        rest = cut(placed.where("node <> hub").join(several, "band").select("band", "number", "n", "node", "component"))
+        second = links(_apart(rest, classes, documents, text, percent), classes, documents, text, percent)
+        found = components(first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        grouped = stored(classes.select("high", "low", "doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-dedup-grouped")
+        least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        by_class = grouped.join(least, "component").select("high", "low", "component_id")
         rows = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "high", "low").join(by_class, ["high", "low"]).select("doc_id", "n_shingles", "component_id")
         rows = rows.unionByName(signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
         return stored(rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-dedup-rows", keep=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier, quality_rules, substring_dedup, token_blocks, url_filter, warc
-from llm.tables import read
+from llm.tables import bounded, read
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,7 +66,7 @@ FROM ruled"""
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents", "doc_id", "text")
-    cleaned = line_dedup.without_lines(documents, line_dedup.removed_lines(documents, min_words=line_dedup.ALL_LINES), figures=True)
+    cleaned = line_dedup.without_lines(documents, line_dedup.removed_lines(documents), figures=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("kept", F.lit(""))).alias("kept_crc32"))
 
 
@@ -88,17 +88,25 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "source_payload_digest", size, checksum)
 
 
+def _query(operator: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded(spark)
+        return operator(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_blocks": op1_token_blocks,
-    "op2_sentencepiece": op2_sentencepiece,
-    "op3_quality_rules": op3_quality_rules,
-    "op4_benchmark_decontamination": op4_benchmark_decontamination,
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op6_url_filter": op6_url_filter,
-    "op7_line_dedup": op7_line_dedup,
-    "op8_quality_classifier": op8_quality_classifier,
-    "op9_substring_dedup": op9_substring_dedup,
-    "op10_warc_derivatives": op10_warc_derivatives,
+    "op1_token_blocks": _query(op1_token_blocks),
+    "op2_sentencepiece": _query(op2_sentencepiece),
+    "op3_quality_rules": _query(op3_quality_rules),
+    "op4_benchmark_decontamination": _query(op4_benchmark_decontamination),
+    "op5_minhash_near_dedup": _query(op5_minhash_near_dedup),
+    "op6_url_filter": _query(op6_url_filter),
+    "op7_line_dedup": _query(op7_line_dedup),
+    "op8_quality_classifier": _query(op8_quality_classifier),
+    "op9_substring_dedup": _query(op9_substring_dedup),
+    "op10_warc_derivatives": _query(op10_warc_derivatives),
 }
 
 #: DuckDB SQL of the queries that SQL can express.

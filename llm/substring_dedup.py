@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import blocks as B
-from llm.tables import cut, groups, membership, possibly_in, release, stored
+from llm.tables import cut, groups, near, release, stored
 
 #: A string of 36 bytes seldom occurs twice by chance, even in text of little variety; shorter ones do.
 LENGTH, GRAM = 100, 36
@@ -312,7 +312,7 @@ def removed_spans(documents: DataFrame, text: str = "text") -> tuple[DataFrame,
     firsts = digests.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
     marked = cut(digests.join(firsts, ["high", "low"]).withColumn("copy", F.col("doc_id") > F.col("first")))
     able = marked.where(f"NOT copy AND n_bytes >= {LENGTH}").select("doc_id", "high").distinct()
-    rest = possibly_in(keyed.select("doc_id", "high", text), membership(able.select("doc_id")))
+    rest = keyed.select("doc_id", "high", text).join(near(stored(able, "substring-dedup-able")), ["doc_id", "high"], "left_semi")
     table = repeated_buckets(rest, text)
     release(documents.sparkSession)
     spans = stored(covered(runs(rest, text, table)), "substring-dedup-spans")
@@ -330,7 +330,8 @@ def without_spans(documents: DataFrame, text: str = "text", with_text: bool = Fa
     listed = spans.groupBy("doc_id", "high").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     keyed = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce(text, F.lit("")).alias(text))
     keyed = keyed.withColumn("high", F.conv(F.substring(F.md5(F.col(text).cast("binary")), 2, 15), 16, 10).cast("long"))
-    touched = possibly_in(keyed.select("doc_id", "high", text), membership(spans.select("doc_id"))).dropDuplicates(["doc_id", "high"]).join(listed, ["doc_id", "high"])
+    listed = near(stored(listed, "substring-dedup-listed"), "1 + size(spans) / 2")
+    touched = keyed.select("doc_id", "high", text).join(listed, ["doc_id", "high"]).dropDuplicates(["doc_id", "high"])
 
     def apply(batches):
         for batch in batches:

@@ -4,37 +4,37 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import tempfile
 import threading
 import uuid
 
 import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.blocks import BASE, mix
-
-#: Used only where the session names no folder of its own, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints"
-
-
 #: Rows of one Arrow batch, so that a batch of ordinary texts takes a few MB on either side.
 BATCH_ROWS = 500
 
 
-def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+def bounded(spark: SparkSession) -> None:
+    """Session setting that bounds what a Python worker holds; each query and each stage of the pipeline makes it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session has none, one is set."""
+    """The folder in spark.checkpoint.dir, or the one that setCheckpointDir was given; one on this machine only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else LOCAL_SHARED
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = current.get() if current.isDefined() else f"{tempfile.gettempdir()}/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -92,66 +92,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Bits of a membership bitmap: fixed, so what is collected and broadcast has the same bound at every size.
-BITMAP_BITS = 1 << 23
-
-
-def bitmap_positions(*keys) -> np.ndarray:
-    """Place of each row's integer keys (arrays of one length) in a bitmap."""
-    h = np.zeros(len(keys[0]), np.uint64)
-    for k in keys:
-        h = mix(h * BASE + k.astype(np.int64).view(np.uint64))
-    return (h % np.uint64(BITMAP_BITS)).astype(np.int64)
+#: Rows that may be broadcast: at most about 40 MB on the driver and on each executor.
+BROADCAST_ROWS = 1 << 20
 
 
-def membership(keys: DataFrame):
-    """Broadcast of a bitmap with the bits of all rows of integer columns: rows whose bit is unset are surely not in it.
+def near(keys: DataFrame, weight: str = "1") -> DataFrame:
+    """keys, to be joined with a large table: broadcast if its rows, by weight, are no more than BROADCAST_ROWS.
 
-    It only prunes: an exact join follows. With many rows it fills up and prunes less, at the same size.
+    With more rows Spark shuffles both sides and splits what is skewed; results are the same. keys should be a stored table,
+    as it is counted here.
     """
-
-    def per_batch(batches):
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(bitmap_positions(*columns)))], ["position"])
-
-    found = keys.mapInArrow(per_batch, "position long").distinct().toArrow()["position"].to_numpy()
-    bits = np.zeros(BITMAP_BITS, bool)
-    bits[found] = True
-    return keys.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-
-
-def has_bit(packed: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    return (packed[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def possibly_in(documents: DataFrame, bitmap, id_column: str = "doc_id", outside: bool = False) -> DataFrame:
-    """The rows of documents whose id may be in a bitmap of membership(), or with outside=True all others.
-
-    Rows without an id are others.
-    """
-    at = documents.columns.index(id_column)
-
-    def per_batch(batches):
-        for batch in batches:
-            ids = batch.column(at)
-            inside = has_bit(bitmap.value, bitmap_positions(ids.fill_null(0).to_numpy(zero_copy_only=False))) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(inside != outside))
-
-    return documents.mapInArrow(per_batch, documents.schema)
+    size = keys.agg(F.sum(F.expr(weight))).first()[0] or 0
+    return F.broadcast(keys) if size <= BROADCAST_ROWS else keys
 
 
 def without_ids(documents: DataFrame, ids: DataFrame, id_column: str = "doc_id", repeated: list[str] | None = None) -> DataFrame:
-    """documents whose id is not in ids(doc_id). Only rows that a bitmap cannot tell from those are shuffled.
+    """documents whose id is not in ids(doc_id), a stored table. Rows without an id stay.
 
     With `repeated`, ids has a column `gone` too: rows go where it is true, and of other rows named in ids that are equal in
     the columns of `repeated` one stays.
     """
-    gone = ids.where("gone") if repeated else ids
-    bitmap = membership(ids.select("doc_id"))
-    left = possibly_in(documents, bitmap, id_column).join(gone.select(F.col("doc_id").alias("__gone")).distinct(), F.col(id_column) == F.col("__gone"), "left_anti")
-    left = left.dropDuplicates(repeated) if repeated else left
-    return possibly_in(documents, bitmap, id_column, outside=True).unionByName(left)
+    named = ids.select(F.col("doc_id").alias("__named"), *(["gone"] if repeated else []))
+    others = documents.join(near(named.select("__named").distinct()), F.col(id_column) == F.col("__named"), "left_anti")
+    if not repeated:
+        return others
+    left = documents.join(near(named.where("NOT gone").select("__named").distinct()), F.col(id_column) == F.col("__named"), "left_semi")
+    return others.unionByName(left.dropDuplicates(repeated))
 
 
 def groups(batches, n_keys: int):

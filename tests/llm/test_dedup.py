@@ -63,6 +63,16 @@ def test_one_of_each_group_stays(documents, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in expected.items() if i == c)
 
 
+def test_texts_of_one_id_stay_apart(spark):
+    """Rows of one id with different texts: each has its own links, and its group is named by the least id in it."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (2, a + " x"), (9, b + " tail"), (7, c), (7, c), (8, c)]
+    found = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(2, 2), (5, 2), (5, 5), (7, 7), (7, 7), (8, 7), (9, 5)]
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " tail")]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_estimates_are_near_and_need_no_densification_bias():
     rng = np.random.default_rng(5)
     for size in (4, 12, 200):
@@ -79,7 +89,7 @@ def test_components_of_a_long_path(spark):
     assert {r.component for r in components(edges).collect()} == {0}
 
 
-def brute_lines(rows, percent=75, least=3):
+def brute_lines(rows, percent=75, least=1):
     lines = []
     for i, text in sorted({r for r in rows}, key=lambda r: r[0]):
         number = 0
@@ -100,23 +110,35 @@ def test_removed_lines(documents, rows):
 
 
 def test_lines_of_one_or_two_words(spark, documents, rows):
-    found = {tuple(r) for r in line_dedup.removed_lines(documents, min_words=line_dedup.ALL_LINES).collect()}
-    assert found == brute_lines(rows, least=1) and (4, 0) in found
+    found = {tuple(r) for r in line_dedup.removed_lines(documents).collect()}
+    assert found == brute_lines(rows) and (4, 0) in found
     short = [(1, "Read more\nmenu\na b c\na b c d\n \t"), (2, "read MORE read\nMenu menu menu\nmore\n漢字漢字\nc b a"), (3, "more read\n漢字漢字\n漢字\nmenu more\nMore"), (None, "menu")]
-    found = {tuple(r) for r in line_dedup.removed_lines(spark.createDataFrame(short, "doc_id long, text string"), min_words=line_dedup.ALL_LINES).collect()}
+    found = {tuple(r) for r in line_dedup.removed_lines(spark.createDataFrame(short, "doc_id long, text string")).collect()}
     assert found == brute_lines(short[:3], least=1) == {(1, 3), (2, 0), (2, 1), (2, 4), (3, 0), (3, 1), (3, 4)}
 
 
-def test_single_words_are_told_apart_by_their_whole_hash():
-    """Two words whose hashes agree in the HASH_BITS of a key, but not above."""
+def test_words_are_told_apart_by_their_whole_hash():
+    """Two words whose hashes agree in the KEY_BITS of a key, but not above."""
     low = np.uint64(12345)
     rarity = np.zeros(1 << line_dedup.RARITY_BITS, np.uint8)
-    block = next(line_dedup.B.blocks(line_dedup.pa.array(["x\ny"])))
+    block = next(line_dedup.B.blocks(line_dedup.pa.array(["x y\nx"])))
     data = line_dedup.B.LOWER[block.data]
     words = line_dedup.B.find_words(data, block.starts)
-    hashes = np.array([low, low | np.uint64(1 << 60)])
-    *_, keys, ends = next(line_dedup.line_words(block, data, words, hashes, rarity))
-    assert keys[0] == keys[1] and ends.tolist() == [[int(h)] * 2 for h in hashes]
+    hashes = np.array([low, low | np.uint64(1 << 60), low])
+    _, _, first, whole, _ = next(line_dedup.line_words(block, data, words, hashes, rarity))
+    assert first.tolist() == [0, 2, 3] and set(whole[:2].tolist()) == set(hashes.tolist()) and whole[2] == low
+
+
+def test_common_words_are_posted_as_pairs(spark, monkeypatch):
+    """Lines made of few words, all of which count as common."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "COMMON", 3)
+    rng = random.Random(8)
+    rows = [(k, "\n".join(" ".join(rng.sample([f"c{i}" for i in range(14)], rng.choice((3, 4, 5, 6, 8, 11)))) for _ in range(6))) for k in range(40)]
+    found = {tuple(r) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = brute_lines(rows)
+    assert found == expected and 20 < len(expected) < 220
 
 
 def test_queries_judge_all_lines(spark, monkeypatch):
@@ -129,6 +151,27 @@ def test_queries_judge_all_lines(spark, monkeypatch):
     assert {r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {"Read more", "some other text"}
 
 
+def test_figures_of_the_query(spark, documents, rows):
+    """The registered columns against texts cut by hand."""
+    import zlib
+
+    from llm import queries
+
+    removed = brute_lines(rows)
+    cleaned = line_dedup.without_lines(documents.select("doc_id", "text"), line_dedup.removed_lines(documents), figures=True)
+    found = cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("kept", F.lit(""))).alias("kept_crc32")).collect()
+    assert len(found) == len(rows) and queries.op7_line_dedup
+    for r in found:
+        text = dict(rows)[r.doc_id] or ""
+        gone = {n for i, n in removed if i == r.doc_id}
+        parts, number = [], 0
+        for line in text.split("\n"):
+            number += bool(line)
+            if not line or number - 1 not in gone:
+                parts.append(line)
+        assert (r.n_lines, r.n_removed, r.kept_crc32) == (number, len(gone), zlib.crc32("\n".join(parts).encode()))
+
+
 def test_near_lines_in_a_large_group(spark):
     words = [f"v{k}" for k in range(24)]
     rows = [(k, " ".join(w if (i * 7 + k) % 24 > k % 5 else f"q{k}_{i}" for i, w in enumerate(words))) for k in range(60)]
