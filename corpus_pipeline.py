@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier
 from llm.queries import tokenizer_file
-from llm.tables import read, stored
+from llm.tables import bounded, read, stored
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the classifier's threshold go. It learns from rows outside the held-out fold."""
+    bounded(spark)
     labels, metadata = read(spark, sf_dir, "labels"), ("n_chars",)
     machine = quality_classifier.fit(docs, labels, metadata=metadata, where=quality_classifier.fold() != 0)
     return quality_classifier.keep(docs, machine, metadata=metadata)
@@ -24,21 +25,25 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are similar to an earlier line leave the texts; every document stays."""
-    return line_dedup.without_lines(docs, line_dedup.removed_lines(docs, min_words=line_dedup.ALL_LINES))
+    bounded(spark)
+    return line_dedup.without_lines(docs, line_dedup.removed_lines(docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    bounded(spark)
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded(spark)
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts' piece ids join the columns."""
+    bounded(spark)
     return pieces.with_piece_ids(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
