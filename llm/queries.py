@@ -44,17 +44,17 @@ URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [*(url_filter.path_rule(*r) for r in URL_RULES), *url_filter.PATTERNS]
-    return url_filter.judge(read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "pattern")
+    rules = url_filter.table_of(spark, URL_RULES, ((p, "block") for p in url_filter.SPAM))
+    return url_filter.judge(read(spark, sf_dir, "pages"), rules)
 
 
 def _op6_sql() -> str:
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for h, _, p in (r.partition("/") for r, _ in sorted(URL_RULES, key=lambda r: -len(r[0])))]
     blocked = ", ".join(f"'{r}'" for r, v in URL_RULES if v == "block")
     patterns = []
-    for rule in sorted(url_filter.PATTERNS):
-        body = ".*".join(f"(?:^|[^a-z0-9]){part}(?:[^a-z0-9].*|$)" for part in rule.name.split("*"))
-        patterns.append(f"WHEN regexp_matches(lower(host || path), '{body}') THEN '{rule.name}'")
+    for rule in sorted(url_filter.SPAM):
+        body = ".*".join(f"(?:^|[^a-z0-9]){part}(?:[^a-z0-9].*|$)" for part in rule.split("*"))
+        patterns.append(f"WHEN regexp_matches(lower(host || path), '{body}') THEN '{rule}'")
     return f"""
 WITH parts AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parts),

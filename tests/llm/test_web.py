@@ -11,36 +11,64 @@ from pyspark.sql import functions as F
 
 from llm import url_filter, warc
 
-RULES = [url_filter.path_rule(*r) for r in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"), ("a.com/X/", "block"))] + list(url_filter.PATTERNS)
+PATHS = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"), ("a.com/X/", "block"))
+PATTERNS = tuple((p, "block") for p in url_filter.SPAM)
 URLS = ["http://example.org/es/1", "HTTPS://Www.Example.ORG/es/", "http://notexample.org/es/", "http://example.org/en/12?x#y", "http://example.org/en/2", "http://b.com/fr/", "http://b.com/FR/", "http://b.com/de/x", "http://a.com/X/", "http://a.com/x/",
-        "http://casino.b.net/", "http://b.net/p/free-software/download/x-crack", "http://b.net/decasino/", "http://casino.org/", "http://org", "http://org/", None, "", "no scheme/es/", "x://", "http://h.com?de/", "http://É.com/de/é", "a://b://example.org/es/"]
+        "http://casino.b.net/", "http://b.net/p/free-software/download/x-crack", "http://b.net/decasino/", "http://casino.org/", "http://org", "http://org/", None, "", "no scheme/es/", "x://", "http://h.com?de/", "http://É.com/de/é", "a://b://example.org/es/", "http://a.com/X/\n?x", "line\n://casino.net"]
 
 
-def brute(url):
+def brute(url, paths=PATHS, patterns=PATTERNS):
     """(host, path, rule, verdict) by trying every rule."""
     rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
     host = re.match("[^/?#]*", rest)[0]
     path = re.match("[^?#]*", rest[len(host) :])[0]
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
-    fits = [r for r in RULES if r.is_path and (host == r.name.split("/")[0] or host.endswith("." + r.name.split("/")[0])) and path.startswith("/" + r.name.split("/", 1)[1])]
-    rule = max(fits, key=lambda r: len(r.name), default=None)
-    spam = any(not r.is_path and re.match(r.expression, host + path, re.S) for r in RULES)
-    return host, path, rule and rule.name, rule.verdict if rule else "block" if spam and (host or path) else "allow"
+    fits = [(r, v) for r, v in paths if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    rule = max(fits, key=lambda r: (len(r[0]), r[0]), default=None)
+    words = []
+    for p, v in patterns:
+        at, place = 0, (host + path).lower()
+        for part in p.split("*"):
+            m = re.compile(rf"(?<![a-z0-9]){re.escape(part)}(?![a-z0-9])").search(place, at) if at is not None else None
+            at = m and m.end()
+        if at and place:
+            words.append((v != "allow", p, v))
+    return host, path, rule and rule[0], rule[1] if rule else min(words)[2] if words else "allow"
 
 
 def test_every_rule_that_fits_is_fetched(spark):
     pages = spark.createDataFrame([(k, u, "z", "z") for k, u in enumerate(URLS)] * 2, "page_id long, url string, rule string, verdict string")
-    found = url_filter.judge(pages, RULES).collect()
+    rules = url_filter.table_of(spark, PATHS, PATTERNS)
+    found = url_filter.judge(pages, rules).collect()
     assert len(found) == 2 * len(URLS)
     for r in found:
         assert (r.host, r.path, r.rule, r.verdict) == brute(URLS[r.page_id]), URLS[r.page_id]
-    assert url_filter.judge(pages.limit(0), RULES).count() == 0 and url_filter.judge(pages, []).where("verdict <> 'allow'").count() == 0
-
-
-def test_rules_are_filed_under_their_rarest_token():
-    rules = [url_filter.pattern_rule("common*rare", "block"), url_filter.pattern_rule("common", "block"), url_filter.pattern_rule("*", "allow")]
-    index, always = url_filter.build_index(rules, {"common": 50, "rare": 2})
-    assert index == {"rare": [0], "common": [1]} and always == [2]
+    assert url_filter.judge(pages.limit(0), rules).count() == 0 and url_filter.judge(pages, rules.limit(0)).where("verdict <> 'allow'").count() == 0
+
+
+def test_thousands_of_rules_against_trying_every_one(spark):
+    """Rules of few words, so that URLs fit several; in one slice and in many."""
+    import random
+
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("news", "shop", "blog", "cdn", "img", "forum") for b in range(40)]
+    paths = sorted({(f"{rng.choice(words)}.{rng.choice(('com', 'net'))}/{'/'.join(rng.sample(words, rng.randrange(3)))}", rng.choice(("allow", "block"))) for _ in range(1500)})
+    paths = [(r, v) for k, (r, v) in enumerate(paths) if not k or paths[k - 1][0] != r]
+    patterns = [(p, rng.choice(("allow", "block"))) for p in sorted({"*".join(rng.sample(words, rng.choice((1, 2, 2, 3)))) for _ in range(2000)})]
+    urls = [f"http://{rng.choice(('', 'www.', rng.choice(words) + '.'))}{rng.choice(words)}.{rng.choice(('com', 'net'))}/{'/'.join(rng.sample(words, rng.randrange(6)))}" for _ in range(250)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.table_of(spark, paths, patterns)
+    expected = [brute(u, paths, patterns) for u in urls]
+    assert len({e[2] for e in expected}) > 20 and {e[3] for e in expected} == {"allow", "block"}
+    for slice_chars in (1 << 20, 6000):
+        found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, rules, slice_chars=slice_chars).collect()}
+        assert [found[k] for k in range(len(urls))] == expected
+
+
+def test_rules_are_filed_under_their_rarest_token(spark):
+    urls = url_filter.located(spark.createDataFrame([(k, f"http://common.org/{'rare' if k < 2 else 'x'}") for k in range(9)], "page_id long, url string"))
+    rules = url_filter.table_of(spark, [], [("common*rare", "block"), ("common", "block"), ("*", "allow")])
+    assert {(r.rule, r.token) for r in url_filter.filed(urls, rules).collect()} == {("common*rare", "rare"), ("common", "common"), ("*", None)}
 
 
 PAGE = """<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><style>p{}</style></head><body><script>x("</p>")</script><!-- no -->
