@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 
@@ -43,21 +44,91 @@ def emissions(obs: np.ndarray, mu: np.ndarray, sigma2: np.ndarray) -> np.ndarray
     return log_normal(obs[:, None], mu[..., None, :], sigma2[..., None, :])
 
 
+#: Doubles of one array of messages that restarts are worked on together for.
+WORKING_SET = 1 << 22
+
+
+class Messages(NamedTuple):
+    """Emissions and block transitions of one or more models of a series, time cut into blocks.
+
+    Arrays are (K, steps of a block, models * blocks), so that a step of all blocks and models is one operation on contiguous
+    numbers; the last block is padded with rows that say nothing. products: (K, K, models * blocks), each block's transitions
+    and emissions multiplied, up to a factor.
+    """
+
+    b: np.ndarray
+    top: np.ndarray
+    A: np.ndarray
+    products: np.ndarray
+    n: int
+    models: int
+
+
+def messages(log_b: np.ndarray, A: np.ndarray) -> Messages:
+    """Of log_b (models, T, K) and A (models, K, K)."""
+    models, n, k = log_b.shape
+    steps = max(1, int(math.isqrt(n)))
+    blocks = -(-n // steps)
+    top = log_b.max(axis=-1)
+    b = np.ones((models, blocks * steps, k))
+    np.exp(log_b - top[..., None], out=b[:, :n])
+    b = np.ascontiguousarray(b.reshape(models, blocks, steps, k).transpose(3, 2, 0, 1)).reshape(k, steps, models * blocks)
+    A = np.repeat(A.transpose(1, 2, 0), blocks, axis=2)
+    products = np.repeat(np.eye(k)[:, :, None], models * blocks, axis=2)
+    for t in range(steps if blocks > 1 else 0):
+        products = (products[:, :, None] * A[None]).sum(axis=1) * b[None, :, t]
+        if t % 8 == 7:
+            products /= products.max(axis=(0, 1))
+    return Messages(b, top, A, products, n, models)
+
+
+def filtered_messages(m: Messages, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered probabilities (K, steps, models * blocks), and totals of each step (steps, models * blocks)."""
+    k, steps, width = m.b.shape
+    blocks = width // m.models
+    # what each block begins with: the first one pi itself, the others what the block before ends with
+    start = np.empty((k, m.models, blocks))
+    start[..., 0] = pi.T
+    per_block, A = m.products.reshape(k, k, m.models, blocks), m.A.reshape(k, k, m.models, blocks)[..., 0]
+    if blocks > 1:
+        end = pi.T  # the first block has no transition before its first row
+        first = m.b.reshape(k, steps, m.models, blocks)[..., 0]
+        for t in range(steps):
+            end = ((end[:, None] * A).sum(axis=0) if t else end) * first[:, t]
+            end = end / np.maximum(end.sum(axis=0), 1e-300)
+        for j in range(1, blocks):
+            start[..., j] = (end[:, None] * A).sum(axis=0)
+            end = (end[:, None] * per_block[..., j]).sum(axis=0)
+            end = end / np.maximum(end.sum(axis=0), 1e-300)
+    prior = start.reshape(k, width)
+    filtered, total = np.empty(m.b.shape), np.empty((steps, width))
+    for t in range(steps):
+        joint = prior * m.b[:, t]
+        total[t] = joint.sum(axis=0)
+        np.maximum(total[t], 1e-300, out=total[t])
+        filtered[:, t] = joint / total[t]
+        prior = (filtered[:, t, None] * m.A).sum(axis=0)
+    return filtered, total
+
+
+def _in_time(x: np.ndarray, m: Messages) -> np.ndarray:
+    """(..., steps, models * blocks) as (models, T, ...)."""
+    *lead, steps, width = x.shape
+    x = np.moveaxis(x.reshape(*lead, steps, m.models, width // m.models), (-2, -1, -3), (0, 1, 2))
+    return x.reshape(m.models, -1, *lead)[:, : m.n]
+
+
 def forward(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered probabilities and the log-likelihood gained at each step; scaled, so that only log-densities overflow."""
-    shape = log_b.shape
-    top = log_b.max(axis=-1, keepdims=True)
-    b = np.exp(log_b - top)
-    filtered, gain = np.empty(shape), np.empty(shape[:-1])
-    prior = pi
-    for t in range(shape[-2]):
-        joint = prior * b[..., t, :]
-        total = joint.sum(axis=-1)
-        total = np.where(total > 0, total, 1e-300)
-        filtered[..., t, :] = joint / total[..., None]
-        gain[..., t] = np.log(total) + top[..., t, 0]
-        prior = (filtered[..., t, None, :] @ A)[..., 0, :]
-    return filtered, gain
+    """Filtered probabilities and the log-likelihood gained at each step, of one model or of several on a leading axis.
+
+    Time is cut into about sqrt(T) blocks: the products of each block's transitions give what it begins with, and then all
+    blocks advance together, so that the number of numpy steps grows with sqrt(T).
+    """
+    single = log_b.ndim == 2
+    m = messages(*((x[None] for x in (log_b, A)) if single else (log_b, A)))
+    filtered, total = filtered_messages(m, pi[None] if single else pi)
+    filtered, gain = _in_time(filtered, m), np.log(_in_time(total, m)) + m.top
+    return (filtered[0], gain[0]) if single else (filtered, gain)
 
 
 def predict_update(probs: np.ndarray, A: np.ndarray, mu: np.ndarray, sigma2: np.ndarray, y: float) -> tuple[np.ndarray, float]:
@@ -77,18 +148,38 @@ def backward(log_b: np.ndarray, A: np.ndarray) -> np.ndarray:
     return out
 
 
-def smoothed(log_b: np.ndarray, A: np.ndarray, filtered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """State posteriors, and the sum over time of the posteriors of transitions (never all of them at once)."""
-    gamma = np.empty(filtered.shape)
-    gamma[..., -1, :] = filtered[..., -1, :]
-    xi = np.zeros(A.shape)
-    for t in range(filtered.shape[-2] - 2, -1, -1):
-        joint = filtered[..., t, :, None] * A
-        predicted = joint.sum(axis=-2)
-        pair = joint * (gamma[..., t + 1, :] / np.maximum(predicted, 1e-300))[..., None, :]
-        xi += pair
-        gamma[..., t, :] = pair.sum(axis=-1)
-    return gamma, xi
+def smoothed_messages(m: Messages, filtered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State posteriors (models, T, K), and the sums over time of the posteriors of transitions (models, K, K)."""
+    k, steps, width = m.b.shape
+    blocks = width // m.models
+    end = np.ones((k, m.models, blocks))  # each block's backward message at its last row
+    per_block = m.products.reshape(k, k, m.models, blocks)
+    for j in range(blocks - 1, 0, -1):
+        x = (per_block[..., j] * end[None, :, :, j]).sum(axis=1)
+        end[..., j - 1] = x / np.maximum(x.max(axis=0), 1e-300)
+    beta = end.reshape(k, width)
+    gamma, ahead = np.empty(m.b.shape), np.empty(m.b.shape)
+    for t in range(steps - 1, -1, -1):
+        joint = filtered[:, t] * beta
+        gamma[:, t] = joint / np.maximum(joint.sum(axis=0), 1e-300)
+        ahead[:, t] = w = m.b[:, t] * beta
+        beta = (m.A * w[None]).sum(axis=1)
+        beta = beta / np.maximum(beta.max(axis=0), 1e-300)
+    gamma, f, w = (_in_time(x, m) for x in (gamma, filtered, ahead))
+    f, w = f[:, :-1], w[:, 1:]
+    A = m.A.reshape(k, k, m.models, blocks)[..., 0].transpose(2, 0, 1)
+    norm = np.maximum(((f @ A) * w).sum(axis=-1, keepdims=True), 1e-300)
+    return gamma, A * ((f / norm).transpose(0, 2, 1) @ w)
+
+
+def smoothed(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State posteriors, the sum over time of the posteriors of transitions (never all of them at once), and the log-likelihood."""
+    single = log_b.ndim == 2
+    m = messages(*((x[None] for x in (log_b, A)) if single else (log_b, A)))
+    filtered, total = filtered_messages(m, pi[None] if single else pi)
+    gamma, xi = smoothed_messages(m, filtered)
+    ll = (np.log(_in_time(total, m)) + m.top).sum(axis=-1)
+    return (gamma[0], xi[0], ll[0]) if single else (gamma, xi, ll)
 
 
 def m_step(obs: np.ndarray, gamma: np.ndarray, xi: np.ndarray, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
@@ -99,38 +190,76 @@ def m_step(obs: np.ndarray, gamma: np.ndarray, xi: np.ndarray, min_variance: flo
     return A / A.sum(axis=-1, keepdims=True), gamma[..., 0, :] / gamma[..., 0, :].sum(axis=-1, keepdims=True), mu, sigma2
 
 
-def baum_welch(obs: np.ndarray, k: int, restarts: int = 10, max_iter: int = 100, tol: float = 1e-6, seed: int | list[int] = 42, min_variance: float = 1e-8) -> dict:
-    """EM from random starts, all restarts advancing together; the best final likelihood wins, the first of equal ones.
+def started(obs: np.ndarray, k: int, seeds: list, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
+    """Random A, pi, mu, sigma2 of a model for each seed."""
+    A, mu, sigma2 = [], [], []
+    for seed in seeds:
+        rng = np.random.default_rng(seed)
+        a = np.maximum(rng.dirichlet(np.ones(k), k) * 0.2 + 0.8 * np.eye(k) if k > 1 else np.ones((1, 1)), FLOOR)
+        A.append(a / a.sum(axis=-1, keepdims=True))
+        mu.append(np.sort(rng.choice(obs, k)))
+        sigma2.append(max(obs.var(), min_variance) * rng.uniform(0.5, 1.5, k))
+    return np.array(A), np.full((len(seeds), k), 1 / k), np.array(mu), np.array(sigma2)
+
+
+def em(obs: np.ndarray, k: int, seeds: list, max_iter: int = 200, tol: float = 1e-6, min_variance: float = 1e-8) -> list[dict]:
+    """EM from a random start for each seed, all advancing together; one that moves its likelihood by less than tol stops.
 
     Parameters are those after the last M-step; history holds the likelihoods before each, so its last entry belongs to
     the parameters before.
     """
     if len(obs) < 2 or k < 1:
         raise ValueError("there must be two observations and one state at least")
-    rng = np.random.default_rng(seed)
-    A = rng.dirichlet(np.ones(k), (restarts, k)) * 0.2 + 0.8 * np.eye(k) if k > 1 else np.ones((restarts, 1, 1))
-    A = np.maximum(A, FLOOR)
-    A /= A.sum(axis=-1, keepdims=True)
-    pi = np.full((restarts, k), 1 / k)
-    mu = np.sort(rng.choice(obs, (restarts, k)), axis=-1)
-    sigma2 = np.full((restarts, k), max(obs.var(), min_variance)) * rng.uniform(0.5, 1.5, (restarts, k))
-    history: list[list[float]] = [[] for _ in range(restarts)]
-    active = np.arange(restarts)
+    together = max(1, WORKING_SET // (len(obs) * k))
+    if len(seeds) > together:
+        return [x for low in range(0, len(seeds), together) for x in em(obs, k, seeds[low : low + together], max_iter, tol, min_variance)]
+    A, pi, mu, sigma2 = started(obs, k, seeds, min_variance)
+    history: list[list[float]] = [[] for _ in seeds]
+    active = np.arange(len(seeds))
     for _ in range(max_iter):
-        log_b = emissions(obs, mu[active], sigma2[active])
-        filtered, gain = forward(log_b, A[active], pi[active])
-        for r, ll in zip(active, gain.sum(axis=-1), strict=True):
-            history[r].append(float(ll))
-        gamma, xi = smoothed(log_b, A[active], filtered)
+        gamma, xi, ll = smoothed(emissions(obs, mu[active], sigma2[active]), A[active], pi[active])
+        for r, x in zip(active.tolist(), ll.tolist(), strict=True):
+            history[r].append(x)
         A[active], pi[active], mu[active], sigma2[active] = m_step(obs, gamma, xi, min_variance)
-        active = np.array([r for r in active if len(history[r]) < 2 or abs(history[r][-1] - history[r][-2]) >= tol], int)
+        active = np.array([r for r in active.tolist() if len(history[r]) < 2 or abs(history[r][-1] - history[r][-2]) >= tol], int)
         if not len(active):
             break
-    final = np.array([h[-1] if np.isfinite(h[-1]) else -np.inf for h in history])
-    if not np.isfinite(final).any():
+    return [{"A": A[r], "pi": pi[r], "mu": mu[r], "sigma2": sigma2[r], "ll": h[-1], "history": h, "n_iter": len(h)} for r, h in enumerate(history)]
+
+
+def usable(model: dict) -> bool:
+    """Whether a fit ended at a finite likelihood and finite parameters. Probabilities that vanished are lifted when states are sorted."""
+    return bool(np.isfinite(model["ll"]) and all(np.isfinite(model[c]).all() for c in ("A", "pi", "mu", "sigma2")))
+
+
+def best_of(models: list[dict]) -> dict:
+    """The model of the greatest final likelihood, the first of equal ones, its states in order."""
+    finite = [m for m in models if np.isfinite(m["ll"])]
+    if not finite:
         raise RuntimeError("no restart reached a finite likelihood")
-    best = int(final.argmax())
-    return sorted_states({"A": A[best], "pi": pi[best], "mu": mu[best], "sigma2": sigma2[best]}) | {"ll": float(final[best]), "history": history[best], "n_iter": len(history[best])}
+    best = max(finite, key=lambda m: m["ll"])
+    return sorted_states(best) | {c: best[c] for c in ("ll", "history", "n_iter")}
+
+
+def seed_list(seed: int | list[int], n: int, first: int = 0) -> list[list[int]]:
+    return [[*(seed if isinstance(seed, list) else [seed]), r] for r in range(first, first + n)]
+
+
+def baum_welch(obs: np.ndarray, k: int, restarts: int = 10, max_iter: int = 100, tol: float = 1e-6, seed: int | list[int] = 42, min_variance: float = 1e-8) -> dict:
+    return best_of(em(obs, k, seed_list(seed, restarts), max_iter, tol, min_variance))
+
+
+def retried(obs: np.ndarray, k: int, successes: int = 10, attempts: int = 150, max_iter: int = 200, tol: float = 1e-6, seed: int | list[int] = 42, min_variance: float = 1e-8) -> dict:
+    """The best of the first `successes` usable fits, by number of attempt; RuntimeError if `attempts` are used up without one."""
+    good: list[dict] = []
+    tried = 0
+    while len(good) < successes and tried < attempts:
+        n = min(successes - len(good), attempts - tried)
+        good += [m for m in em(obs, k, seed_list(seed, n, tried), max_iter, tol, min_variance) if usable(m)]
+        tried += n
+    if not good:
+        raise RuntimeError(f"no usable fit in {tried} attempts")
+    return best_of(good) | {"attempts": tried}
 
 
 def sorted_states(model: dict) -> dict:
@@ -144,17 +273,26 @@ def sorted_states(model: dict) -> dict:
 def viterbi(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
     """Most likely path of states, the lowest state of equals, and its log-probability."""
     n, k = log_b.shape
-    log_A, back = np.log(A), np.zeros((n, k), int)
-    best = np.log(pi) + log_b[0]
-    for t in range(1, n):
-        reach = best[:, None] + log_A
-        back[t] = reach.argmax(axis=0)
-        best = reach.max(axis=0) + log_b[t]
-    path = np.empty(n, int)
-    path[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path, float(best.max())
+    with np.errstate(divide="ignore"):
+        log_A, best = np.log(A).T.tolist(), (np.log(pi) + log_b[0]).tolist()
+    back = []
+    for row in log_b[1:].tolist():
+        reach, came = [], []
+        for into, b in zip(log_A, row, strict=True):
+            top, at = best[0] + into[0], 0
+            for i in range(1, k):
+                if (x := best[i] + into[i]) > top:
+                    top, at = x, i
+            reach.append(top + b)
+            came.append(at)
+        best = reach
+        back.append(came)
+    state = best.index(max(best))
+    path = [state]
+    for came in reversed(back):
+        state = came[state]
+        path.append(state)
+    return np.array(path[::-1]), float(max(best))
 
 
 def stationary(A: np.ndarray) -> np.ndarray:
@@ -176,27 +314,50 @@ def sampled_hmm(n: int, A, pi, mu, sigma2, seed: int | list[int]) -> tuple[np.nd
     return states, rng.normal(mu[states], np.sqrt(sigma2[states]))
 
 
-def gibbs(obs: np.ndarray, k: int, n_samples: int = 200, burn_in: int = 200, thin: int = 2, seed: int | list[int] = 42, concentration: float = 1.0) -> dict[str, np.ndarray]:
+def sampled_path(filtered: np.ndarray, A: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Backward sampling: a path of states from filtered probabilities, with one uniform number for each row.
+
+    The choice of every row is drawn for each state that may follow, all rows at once; a walk back then picks one.
+    """
+    n, k = filtered.shape
+    weight = (filtered[:, None, :] * A.T[None]).cumsum(axis=-1)  # (T, state that follows, state)
+    chosen = np.minimum((weight < (u[:, None] * weight[..., -1])[..., None]).sum(axis=-1), k - 1).tolist()
+    last = filtered[-1].cumsum()
+    state = min(int(np.searchsorted(last, u[-1] * last[-1])), k - 1)
+    path = [state]
+    for row in chosen[-2::-1]:
+        state = row[state]
+        path.append(state)
+    return np.array(path[::-1])
+
+
+def dirichlet_prior(prior: float | np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """A positive prior of the shape, from one number or an array."""
+    out = np.broadcast_to(np.asarray(prior, float), shape)
+    if (out <= 0).any():
+        raise ValueError("Dirichlet priors must be positive")
+    return out
+
+
+def gibbs(obs: np.ndarray, k: int, n_samples: int = 200, burn_in: int = 200, thin: int = 2, seed: int | list[int] = 42, concentration: float | np.ndarray = 1.0, start_concentration: float | np.ndarray = 1.0) -> dict[str, np.ndarray]:
     """Blocked Gibbs sampling: path by forward filtering and backward sampling, then Dirichlet, normal and inverse-gamma draws.
 
-    States are relabelled by their means in every sweep. Priors: Dirichlet(concentration), means around the data's mean
+    States are relabelled by their means in every sweep. Priors: Dirichlet(concentration) for each row of A and
+    Dirichlet(start_concentration) for pi, numbers or arrays, means around the data's mean
     with the data's variance, inverse-gamma(2, variance).
     """
     rng = np.random.default_rng(seed)
+    rows, first = dirichlet_prior(concentration, (k, k)), dirichlet_prior(start_concentration, (k,))
     n, scale, centre = len(obs), max(obs.var(), 1e-12), obs.mean()
     mu, sigma2 = np.quantile(obs, (np.arange(k) + 0.5) / k), np.full(k, scale)
     A, pi = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)) if k > 1 else np.ones((1, 1)), np.full(k, 1 / k)
     out: dict[str, list[np.ndarray]] = {"A": [], "pi": [], "mu": [], "sigma2": []}
     for sweep in range(burn_in + n_samples * thin):
         filtered, _ = forward(emissions(obs, mu, sigma2), A, pi)
-        u, path = rng.random(n), np.empty(n, int)
-        path[-1] = min(np.searchsorted(filtered[-1].cumsum(), u[-1] * filtered[-1].sum()), k - 1)
-        for t in range(n - 2, -1, -1):
-            weight = (filtered[t] * A[:, path[t + 1]]).cumsum()
-            path[t] = min(np.searchsorted(weight, u[t] * weight[-1]), k - 1)
+        path = sampled_path(filtered, A, rng.random(n))
         moves = np.bincount(path[:-1] * k + path[1:], minlength=k * k).reshape(k, k)
-        A = np.array([rng.dirichlet(concentration + row) for row in moves])
-        pi = rng.dirichlet(concentration + (np.arange(k) == path[0]))  # k is given, so that unvisited states stay
+        A = np.array([rng.dirichlet(prior + row) for prior, row in zip(rows, moves, strict=True)])
+        pi = rng.dirichlet(first + (np.arange(k) == path[0]))  # k is given, so that unvisited states stay
         count, total = np.bincount(path, minlength=k), np.bincount(path, obs, k)
         precision = count / sigma2 + 1 / scale
         mu = rng.normal((total / sigma2 + centre / scale) / precision, np.sqrt(1 / precision))
@@ -243,95 +404,226 @@ def kalman_update(m: np.ndarray, c: np.ndarray, y: float, r: float) -> tuple[np.
 
 def kalman_filter(obs: np.ndarray, f: np.ndarray, q: np.ndarray, r: float, m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, covariances and log-likelihoods of every step; the prior is the first step's prediction."""
-    means, covariances, ll = np.empty((len(obs), 2)), np.empty((len(obs), 2, 2)), np.empty(len(obs))
-    for t, y in enumerate(obs):
+    (f00, f01), (f10, f11) = f.tolist()
+    (q00, q01), (_, q11) = q.tolist()
+    m0, m1, c00, c01, c11 = float(m[0]), float(m[1]), float(c[0][0]), float(c[0][1]), float(c[1][1])
+    rows = []
+    for t, y in enumerate(obs.tolist()):
         if t:
-            m, c = f @ m, f @ c @ f.T + q
-        m, c, ll[t] = kalman_update(m, c, y, r)
-        means[t], covariances[t] = m, c
-    return means, covariances, ll
+            m0, m1 = f00 * m0 + f01 * m1, f10 * m0 + f11 * m1
+            a, b, d, e = f00 * c00 + f01 * c01, f00 * c01 + f01 * c11, f10 * c00 + f11 * c01, f10 * c01 + f11 * c11
+            c00, c01, c11 = a * f00 + b * f01 + q00, a * f10 + b * f11 + q01, d * f10 + e * f11 + q11
+        s = c00 + r
+        k0, k1, error = c00 / s, c01 / s, y - m0
+        m0, m1 = m0 + k0 * error, m1 + k1 * error
+        keep = 1 - k0
+        c00, c01, c11 = keep * keep * c00 + k0 * k0 * r, keep * (c01 - k1 * c00) + k0 * k1 * r, c11 - 2 * k1 * c01 + k1 * k1 * c00 + k1 * k1 * r
+        rows.append((m0, m1, c00, c01, c11, -0.5 * (LOG_2PI + math.log(s) + error * error / s)))
+    out = np.array(rows).reshape(-1, 6)
+    return out[:, :2], out[:, [2, 3, 3, 4]].reshape(-1, 2, 2), out[:, 5]
 
 
 def systematic(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Systematic resampling, (..., N) weights: which particle takes each place; u in [0, 1) for each set."""
     n = weights.shape[-1]
     total = weights.cumsum(axis=-1)
-    total /= total[..., -1:]
-    points = (np.arange(n) + u[..., None]) / n
-    flat, at = total.reshape(-1, n), points.reshape(-1, n)
-    return np.minimum(np.stack([np.searchsorted(a, b) for a, b in zip(flat, at, strict=True)]), n - 1).reshape(weights.shape)
+    reach = np.clip(np.floor(total * (n / total[..., -1:]) - u[..., None]) + 1, 0, n)  # places up to each particle
+    reach[..., -1] = n
+    count = np.diff(reach, axis=-1, prepend=0).astype(np.int64)
+    return np.repeat(np.tile(np.arange(n), count.size // n), count.ravel()).reshape(weights.shape)
 
 
-def jump_transition(theta: float, sigma: float, dt: float, tau: np.ndarray, mu_j: float, sigma_j: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Transition, covariance and mean shift over dt with one jump of the trend at each tau."""
-    f1, q1 = discretized(theta, sigma, tau)
-    f2, q2 = discretized(theta, sigma, dt - tau)
-    jump = q1.copy()
-    jump[..., 1, 1] += sigma_j**2
-    return f2 @ f1, f2 @ jump @ np.swapaxes(f2, -1, -2) + q2, f2[..., :, 1] * mu_j
+class Transition(NamedTuple):
+    """Entries of transition matrices [[1, reach], [0, decay]], of their noise, and the mean's shift."""
 
+    reach: np.ndarray
+    decay: np.ndarray
+    q00: np.ndarray
+    q01: np.ndarray
+    q11: np.ndarray
+    shift0: np.ndarray | float = 0.0
+    shift1: np.ndarray | float = 0.0
 
-def rbpf(obs: np.ndarray, p: dict[str, float], n: int, m0: np.ndarray, c0: np.ndarray, seed: int | list[int], dt: float = 1.0) -> dict[str, np.ndarray]:
-    """Rao-Blackwellised particle filter: particles sample jumps, and each carries a Kalman filter; all at once.
 
-    A jump comes with probability 1 - exp(-lambda dt) at a uniform time. Particles are resampled at every step.
+def transition(theta: np.ndarray, sigma: np.ndarray, dt: np.ndarray) -> Transition:
+    """discretized() for arrays of parameters and times."""
+    theta, sigma, dt = np.broadcast_arrays(*(np.asarray(x, float) for x in (theta, sigma, dt)))
+    limit = np.abs(theta) < 1e-12
+    safe = np.where(limit, -1.0, theta)
+    reach = np.where(limit, dt, np.expm1(safe * dt) / safe)
+    q11 = np.where(limit, dt, np.expm1(2 * safe * dt) / (2 * safe))
+    q00 = np.where(limit, dt**3 / 3, (q11 - 2 * reach + dt) / safe**2)
+    return Transition(reach, np.where(limit, 1.0, np.exp(safe * dt)), sigma**2 * q00, sigma**2 * reach**2 / 2, sigma**2 * q11)
+
+
+def jump_transition(theta: np.ndarray, sigma: np.ndarray, dt: float, tau: np.ndarray, mu_j: np.ndarray, sigma_j: np.ndarray) -> Transition:
+    """Over dt with one jump of the trend at each tau."""
+    a, b = transition(theta, sigma, tau), transition(theta, sigma, dt - tau)
+    s11 = a.q11 + sigma_j**2
+    q00 = a.q00 + 2 * b.reach * a.q01 + b.reach**2 * s11 + b.q00
+    q01 = b.decay * (a.q01 + b.reach * s11) + b.q01
+    return Transition(a.reach + b.reach * a.decay, b.decay * a.decay, q00, q01, b.decay**2 * s11 + b.q11, b.reach * mu_j, b.decay * mu_j)
+
+
+#: Steps whose random numbers are drawn at once.
+DRAWN = 128
+
+
+class Draws:
+    """Uniform numbers of many sets of particles, each from its own generator, whatever sets run beside it."""
+
+    def __init__(self, seeds: list, n: int, steps: int, normals: int = 0):
+        self.generators, self.n, self.steps, self.normals = [np.random.default_rng(s) for s in seeds], n, steps, normals
+
+    def __iter__(self):
+        """For each step: (jump, tau, resampling, normals), the first two (sets, n), the third (sets,)."""
+        for low in range(0, self.steps, DRAWN):
+            k = min(DRAWN, self.steps - low)
+            uniform = np.stack([g.random((DRAWN, 2 * self.n + 1)) for g in self.generators], axis=1)
+            normal = np.stack([g.standard_normal((DRAWN, self.normals, self.n)) for g in self.generators], axis=1) if self.normals else None
+            for t in range(k):
+                u = uniform[t]
+                yield u[:, : self.n], u[:, self.n : 2 * self.n], u[:, -1], None if normal is None else normal[t]
+
+
+def _columns(p: dict[str, np.ndarray], sets: int) -> dict[str, np.ndarray]:
+    return {c: np.broadcast_to(np.asarray(v, float), (sets,))[:, None] for c, v in p.items()}
+
+
+def _weighted(ll: np.ndarray, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Log-likelihood of each set, weights, and weighted means."""
+    top = ll.max(axis=1, keepdims=True)
+    w = np.exp(ll - top)
+    total = w.sum(axis=1, keepdims=True)
+    w /= total
+    return (np.log(total) + top)[:, 0] - math.log(ll.shape[1]), w, [np.einsum("sn,sn->s", w, v) for v in x]
+
+
+def _jumps(p: dict[str, np.ndarray], chance: np.ndarray, u: np.ndarray, tau: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray, Transition]:
+    """Sets and particles that jump, and their transitions."""
+    row, at = np.nonzero(u < chance)
+    own = {c: v[row, 0] for c, v in p.items()}
+    return row, at, jump_transition(own["theta"], own["sigma"], dt, tau[row, at] * dt, own["mu_J"], own["sigma_J"])
+
+
+def rbpf_many(obs: np.ndarray, p: dict[str, np.ndarray], n: int, m0: np.ndarray, c0: np.ndarray, seeds: list, dt: float = 1.0) -> dict[str, np.ndarray]:
+    """Rao-Blackwellised particle filters of many series or parameter sets at once: particles sample jumps, and each carries a
+    Kalman filter, five numbers.
+
+    obs is (sets, T) or (T,) for all of them; a set's series ends where its observations turn NaN. p holds numbers or an
+    array over sets, m0 (sets, 2), c0 (sets, 2, 2); every set draws from its own seed. A jump comes with probability
+    1 - exp(-lambda dt) at a uniform time. Particles are resampled at every step. Results are (T, sets, ...).
     """
-    rng = np.random.default_rng(seed)
-    steps, r = len(obs), p["sigma_obs"] ** 2
-    f0, q0 = discretized(p["theta"], p["sigma"], dt)
-    m, c = np.tile(m0, (n, 1)), np.tile(c0, (n, 1, 1))
-    out = {"mean": np.empty((steps, 2)), "std": np.empty((steps, 2)), "ll": np.empty(steps), "n_eff": np.empty(steps), "jumped": np.zeros(steps)}
-    chance = -math.expm1(-p["lambda_J"] * dt)
-    for t, y in enumerate(obs):
-        if t:
-            at = np.flatnonzero(rng.random(n) < chance)
-            moved, spread = m @ f0.T, f0 @ c @ f0.T + q0
-            if len(at):
-                f, q, shift = jump_transition(p["theta"], p["sigma"], dt, rng.uniform(0, dt, len(at)), p["mu_J"], p["sigma_J"])
-                moved[at], spread[at] = (f @ m[at, :, None])[..., 0] + shift, f @ c[at] @ np.swapaxes(f, -1, -2) + q
-            m, c = moved, spread
-        m, c, ll = kalman_update(m, c, y, r)
-        out["ll"][t] = log_sum_exp(ll) - math.log(n)
-        w = np.exp(ll - ll.max())
-        w /= w.sum()
-        mean = w @ m
-        out["mean"][t] = mean
-        out["std"][t] = np.sqrt(w @ (np.diagonal(c, axis1=1, axis2=2) + (m - mean) ** 2))
-        out["n_eff"][t] = 1 / (w @ w)
-        if t and len(at):
-            out["jumped"][t] = w[at].sum()
-        keep = systematic(w, np.asarray(rng.random()))
-        m, c = m[keep], c[keep]
+    sets, steps = len(seeds), obs.shape[-1]
+    model = jump_model(p, sets, dt)
+    state = started_particles(m0, c0, n)
+    out = {"mean": np.empty((steps, sets, 2)), "std": np.empty((steps, sets, 2)), "ll": np.empty((steps, sets)), "n_eff": np.empty((steps, sets)), "jumped": np.zeros((steps, sets))}
+    rows = np.broadcast_to(obs, (sets, steps)).T
+    for t, (u, tau, places, _) in enumerate(Draws(seeds, n, steps)):
+        state, now = rbpf_step(model, state, rows[t], u, tau, places, t == 0)
+        for c, v in now.items():
+            out[c][t] = v
     return out
 
 
-def particle_filter(obs: np.ndarray, p: dict[str, float], n: int, m0: np.ndarray, c0: np.ndarray, seed: int | list[int], dt: float = 1.0) -> dict[str, np.ndarray]:
-    """Bootstrap particle filter: particles sample whole states."""
-    rng = np.random.default_rng(seed)
-    x = rng.multivariate_normal(m0, c0, n)
-    f0, q0 = discretized(p["theta"], p["sigma"], dt)
-    root = np.linalg.cholesky(q0 + 1e-15 * np.eye(2))
-    chance, steps = -math.expm1(-p["lambda_J"] * dt), len(obs)
-    out = {"mean": np.empty((steps, 2)), "std": np.empty((steps, 2)), "ll": np.empty(steps)}
-    for t, y in enumerate(obs):
+def jump_model(p: dict[str, np.ndarray], sets: int, dt: float) -> tuple:
+    """What rbpf_step() needs of the parameters: themselves as columns, the step without a jump, and the chance of one."""
+    p = _columns(p, sets)
+    return p, transition(p["theta"], p["sigma"], dt), -np.expm1(-p["lambda_J"] * dt), dt
+
+
+def started_particles(m0: np.ndarray, c0: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """n particles for each set, all at its prior: two means and three covariances, each (sets, n)."""
+    return tuple(np.repeat(v[:, None], n, axis=1) for v in (m0[:, 0], m0[:, 1], c0[:, 0, 0], c0[:, 0, 1], c0[:, 1, 1]))
+
+
+def rbpf_step(model: tuple, state: tuple[np.ndarray, ...], y: np.ndarray, u: np.ndarray, tau: np.ndarray, places: np.ndarray, is_first: bool) -> tuple[tuple[np.ndarray, ...], dict[str, np.ndarray]]:
+    """Particles after the observations y (sets,), resampled, and the step's results. The first step makes no move."""
+    p, usual, chance, dt = model
+    x0, x1, c00, c01, c11 = state
+    sets, n = x0.shape
+    row = at = np.zeros(0, int)
+    if not is_first:
+        row, at, jump = _jumps(p, chance, u, tau, dt)
+        before = tuple(v[row, at] for v in state)
+        x0, x1, c00, c01, c11 = moved(usual, *state)
+        if len(row):
+            for target, value in zip((x0, x1, c00, c01, c11), moved(jump, *before), strict=True):
+                target[row, at] = value
+    r = p["sigma_obs"] ** 2
+    s = c00 + r
+    k0, k1, error = c00 / s, c01 / s, y[:, None] - x0
+    ll = -0.5 * (LOG_2PI + np.log(s) + error * error / s)
+    x0, x1 = x0 + k0 * error, x1 + k1 * error
+    keep = 1 - k0
+    c00, c01, c11 = keep * keep * c00 + k0 * k0 * r, keep * (c01 - k1 * c00) + k0 * k1 * r, c11 - k1 * (2 * c01 - k1 * (c00 + r))
+    total, w, means = _weighted(ll, [x0, x1])
+    spread = [np.sqrt(np.einsum("sn,sn->s", w, c + (x - mean[:, None]) ** 2)) for x, c, mean in ((x0, c00, means[0]), (x1, c11, means[1]))]
+    out = {"mean": np.stack(means, axis=1), "std": np.stack(spread, axis=1), "ll": total, "n_eff": 1 / np.einsum("sn,sn->s", w, w), "jumped": np.bincount(row, w[row, at], sets)}
+    flat = (systematic(np.where(np.isfinite(w), w, 1 / n), places) + np.arange(sets)[:, None] * n).ravel()  # weights of series that have ended are NaN
+    return tuple(v.ravel()[flat].reshape(sets, n) for v in (x0, x1, c00, c01, c11)), out
+
+
+def moved(q: Transition, x0: np.ndarray, x1: np.ndarray, c00: np.ndarray, c01: np.ndarray, c11: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Predicted means and covariances."""
+    return x0 + q.reach * x1 + q.shift0, q.decay * x1 + q.shift1, c00 + q.reach * (2 * c01 + q.reach * c11) + q.q00, q.decay * (c01 + q.reach * c11) + q.q01, q.decay**2 * c11 + q.q11
+
+
+def draws_of_step(seed: list[int], n: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of Draws for step t of one set, (1, n), (1, n) and (1,), found without those before."""
+    generator = np.random.default_rng(seed)
+    generator.bit_generator.advance(t * (2 * n + 1))
+    u = generator.random((1, 2 * n + 1))
+    return u[:, :n], u[:, n : 2 * n], u[:, -1]
+
+
+def rbpf(obs: np.ndarray, p: dict[str, float], n: int, m0: np.ndarray, c0: np.ndarray, seed: int | list[int], dt: float = 1.0) -> dict[str, np.ndarray]:
+    """rbpf_many() of one series: results are (T, ...)."""
+    return {c: v[:, 0] for c, v in rbpf_many(obs[None], p, n, np.asarray(m0, float)[None], np.asarray(c0, float)[None], [seed], dt).items()}
+
+
+def particle_filter_many(obs: np.ndarray, p: dict[str, np.ndarray], n: int, m0: np.ndarray, c0: np.ndarray, seeds: list, dt: float = 1.0) -> dict[str, np.ndarray]:
+    """Bootstrap particle filters: particles sample whole states. Arguments and results as in rbpf_many()."""
+    sets, steps = len(seeds), obs.shape[-1]
+    p = _columns(p, sets)
+    r, chance, usual = p["sigma_obs"] ** 2, -np.expm1(-p["lambda_J"] * dt), transition(p["theta"], p["sigma"], dt)
+
+    def noise(q, normal):
+        root = np.sqrt(np.maximum(q.q00, 0) + 1e-15)
+        low = q.q01 / root
+        return root * normal[0], low * normal[0] + np.sqrt(np.maximum(q.q11 - low**2, 0) + 1e-15) * normal[1]
+
+    out = {"mean": np.empty((steps, sets, 2)), "std": np.empty((steps, sets, 2)), "ll": np.empty((steps, sets))}
+    offsets, rows = np.arange(sets)[:, None] * n, np.broadcast_to(obs, (sets, steps)).T
+    x0 = x1 = np.zeros((sets, n))
+    for t, (u, tau, places, normal) in enumerate(Draws(seeds, n, steps, normals=2)):
+        normal = normal.transpose(1, 0, 2)
         if t:
-            jumps = np.flatnonzero(rng.random(n) < chance)
-            moved = x @ f0.T + rng.standard_normal((n, 2)) @ root.T
-            if len(jumps):
-                f, q, shift = jump_transition(p["theta"], p["sigma"], dt, rng.uniform(0, dt, len(jumps)), p["mu_J"], p["sigma_J"])
-                noise = np.linalg.cholesky(q + 1e-15 * np.eye(2)) @ rng.standard_normal((len(jumps), 2, 1))
-                moved[jumps] = (f @ x[jumps, :, None] + noise)[..., 0] + shift
-            x = moved
-        ll = log_normal(y - x[:, 0], np.zeros(()), np.asarray(p["sigma_obs"] ** 2))
-        out["ll"][t] = log_sum_exp(ll) - math.log(n)
-        w = np.exp(ll - ll.max())
-        w /= w.sum()
-        out["mean"][t] = w @ x
-        out["std"][t] = np.sqrt(w @ (x - out["mean"][t]) ** 2)
-        x = x[systematic(w, np.asarray(rng.random()))]
+            row, at, jump = _jumps(p, chance, u, tau, dt)
+            a, b = x0[row, at], x1[row, at]
+            e0, e1 = noise(usual, normal)
+            x0, x1 = x0 + usual.reach * x1 + e0, usual.decay * x1 + e1
+            if len(row):
+                e0, e1 = noise(jump, normal[:, row, at])
+                x0[row, at], x1[row, at] = a + jump.reach * b + jump.shift0 + e0, jump.decay * b + jump.shift1 + e1
+        else:
+            root = np.linalg.cholesky(c0 + 1e-15 * np.eye(2))
+            x0 = m0[:, :1] + root[:, :1, 0] * normal[0]
+            x1 = m0[:, 1:] + root[:, 1:, 0] * normal[0] + root[:, 1:, 1] * normal[1]
+        error = rows[t][:, None] - x0
+        out["ll"][t], w, (mean0, mean1) = _weighted(-0.5 * (LOG_2PI + np.log(r) + error * error / r), [x0, x1])
+        out["mean"][t, :, 0], out["mean"][t, :, 1] = mean0, mean1
+        for k, (x, mean) in enumerate(((x0, mean0), (x1, mean1))):
+            out["std"][t, :, k] = np.sqrt(np.einsum("sn,sn->s", w, (x - mean[:, None]) ** 2))
+        flat = (systematic(np.where(np.isfinite(w), w, 1 / n), places) + offsets).ravel()
+        x0, x1 = x0.ravel()[flat].reshape(sets, n), x1.ravel()[flat].reshape(sets, n)
     return out
 
 
+def particle_filter(obs: np.ndarray, p: dict[str, float], n: int, m0: np.ndarray, c0: np.ndarray, seed: int | list[int], dt: float = 1.0) -> dict[str, np.ndarray]:
+    return {c: v[:, 0] for c, v in particle_filter_many(obs[None], p, n, np.asarray(m0, float)[None], np.asarray(c0, float)[None], [seed], dt).items()}
+
+
 def sampled_langevin(n: int, p: dict[str, float], x0: np.ndarray, seed: int | list[int], dt: float = 1.0) -> dict[str, np.ndarray]:
     """States, observations and jump flags of a jump-diffusion."""
     rng = np.random.default_rng(seed)
@@ -342,7 +634,8 @@ def sampled_langevin(n: int, p: dict[str, float], x0: np.ndarray, seed: int | li
             f, q, shift = f0, q0, 0.0
             if rng.random() < -math.expm1(-p.get("lambda_J", 0.0) * dt):
                 jumped[t] = True
-                f, q, shift = jump_transition(p["theta"], p["sigma"], dt, np.asarray(rng.uniform(0, dt)), p["mu_J"], p["sigma_J"])
+                j = jump_transition(p["theta"], p["sigma"], dt, np.asarray(rng.uniform(0, dt)), p["mu_J"], p["sigma_J"])
+                f, q, shift = np.array([[1, j.reach], [0, j.decay]]), np.array([[j.q00, j.q01], [j.q01, j.q11]]), np.array([j.shift0, j.shift1])
             x = rng.multivariate_normal(f @ x + shift, q)
         states[t] = x
     return {"x": states, "obs": states[:, 0] + p["sigma_obs"] * rng.standard_normal(n), "jumped": jumped}

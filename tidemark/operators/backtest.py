@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prep import by_time
+from tidemark.operators.statistics import correlation
 
 YEAR, MINUTES = 252, 390
 
@@ -52,6 +53,15 @@ def metrics(curve: DataFrame, *keys: str) -> DataFrame:
     return full.groupBy(*keys).agg(sharpe(net).alias("sharpe"), annualized_return(net).alias("annualized_return"), (-F.min("drawdown")).alias("max_drawdown"), F.coalesce(F.avg("change"), F.lit(0.0)).alias("turnover"))
 
 
+def portfolio(curves: DataFrame, on: str = "dt", key: str = "symbol") -> DataFrame:
+    """One row of metrics of the equal-weight portfolio of all series of a backtest; turnover is the mean over the whole signal matrix."""
+    net = equal_weight(curves, on).withColumn(key, F.lit("portfolio")).withColumn("seq", F.row_number().over(by_time(key, on)))
+    net = drawdowns(net.withColumn("cumulative", F.product(1 + F.col("net")).over(by_time(key).rowsBetween(Window.unboundedPreceding, 0))), key=key)
+    own = net.groupBy(key).agg(sharpe(F.col("net")).alias("sharpe"), annualized_return(F.col("net")).alias("annualized_return"), (-F.min("drawdown")).alias("max_drawdown"))
+    turnover = turnovers(curves, key=key).agg(F.coalesce(F.avg("change"), F.lit(0.0)).alias("turnover")).withColumn(key, F.lit("portfolio"))
+    return own.join(turnover, key)
+
+
 def equal_weight(curves: DataFrame, on: str = "dt") -> DataFrame:
     """Mean net return of all series at each time."""
     return curves.groupBy(on).agg(F.avg("net").alias("net"))
@@ -70,4 +80,4 @@ def signal_stats(df: DataFrame, signal: str = "signal", key: str = "symbol") ->
 
 
 def signal_agreement(df: DataFrame, a: str, b: str, key: str = "symbol") -> DataFrame:
-    return df.groupBy(key).agg(F.corr(a, b).alias("correlation"), F.avg((F.signum(a) == F.signum(b)).cast("double")).alias("agreement"))
+    return df.groupBy(key).agg(correlation(a, b).alias("correlation"), F.avg((F.signum(a) == F.signum(b)).cast("double")).alias("agreement"))

@@ -57,8 +57,7 @@ def transition_posteriors(df: DataFrame, A, pi, mu, sigma2, value: str = "ret",
     k = len(mu)
 
     def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        log_b = N.emissions(rows.sort_values("seq", kind="stable")[value].to_numpy(float), mu, sigma2)
-        xi = N.smoothed(log_b, A, N.forward(log_b, A, pi)[0])[1]
+        xi = N.smoothed(N.emissions(rows.sort_values("seq", kind="stable")[value].to_numpy(float), mu, sigma2), A, pi)[1]
         return pd.DataFrame({key: rows[key].iloc[0], "i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "xi": xi.ravel()})
 
     return df.groupBy(key).applyInPandas(per_series, f"{key} {df.schema[key].dataType.simpleString()}, i int, j int, xi double")
@@ -85,8 +84,7 @@ def posteriors(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str =
     A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
 
     def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        log_b = N.emissions(rows[value].to_numpy(float), mu, sigma2)
-        return rows.assign(gamma=list(N.smoothed(log_b, A, N.forward(log_b, A, pi)[0])[0]))
+        return rows.assign(gamma=list(N.smoothed(N.emissions(rows[value].to_numpy(float), mu, sigma2), A, pi)[0]))
 
     return _with_columns(df, "gamma array<double>", per_series, key)
 
@@ -100,43 +98,93 @@ def emission_m_step(df: DataFrame, value: str = "ret", key: str = "symbol", min_
     return sums.select(key, "state", "weight", "mu", F.greatest(spread, F.lit(min_variance)).alias("sigma2"))
 
 
+def m_step(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", min_variance: float = 1e-8) -> DataFrame:
+    """(key, state, start, A, mu, sigma2): all parameters of one EM step from a given model; A is the state's row of moves."""
+    moves = transition_posteriors(df, A, pi, mu, sigma2, value, key)
+    total = F.greatest(F.sum("xi").over(Window.partitionBy(key, "i")), F.lit(1e-300))
+    rows = moves.withColumn("a", F.col("xi") / total).groupBy(key, F.col("i").alias("state")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "a"))), lambda x: x["a"]).alias("A"))
+    gamma = posteriors(df, A, pi, mu, sigma2, value, key)
+    first = gamma.groupBy(key).agg(F.min_by("gamma", "seq").alias("g")).select(key, F.posexplode("g").alias("state", "start"))
+    return rows.join(first, [key, "state"]).join(emission_m_step(gamma, value, key, min_variance).drop("weight"), [key, "state"]).select(key, "state", "start", "A", "mu", "sigma2")
+
+
 def viterbi(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
-    """df with state, the most likely path's."""
+    """df with state, the most likely path's, and log_prob, that of the whole path, the same in all rows of a series."""
     A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
-    return _with_columns(df, "state int", lambda rows: rows.assign(state=N.viterbi(N.emissions(rows[value].to_numpy(float), mu, sigma2), A, pi)[0]), key)
+
+    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
+        path, score = N.viterbi(N.emissions(rows[value].to_numpy(float), mu, sigma2), A, pi)
+        return rows.assign(state=path, log_prob=score)
+
+    return _with_columns(df, "state int, log_prob double", per_series, key)
+
+
+#: Restarts that advance together in one task; further ones run beside it.
+RESTARTS_TOGETHER = 5
+
+
+def fits(df: DataFrame, ks: list[int], restarts: int = 10, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol") -> DataFrame:
+    """(key, k, restart, model, ll, n_iter, history) of every series, k and restart: groups of RESTARTS_TOGETHER are tasks of their own.
+
+    A restart draws from its own seed, so that results do not hang on the grouping.
+    """
+    deals = [(k, low) for k in ks for low in range(0, restarts, RESTARTS_TOGETHER)]
+    dealt = df.select(key, "seq", value, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(low).alias("low")) for k, low in deals))).alias("d")).select(key, "seq", value, "d.k", "d.low")
+
+    def per_group(rows: pd.DataFrame) -> pd.DataFrame:
+        obs = rows.sort_values("seq", kind="stable")[value].to_numpy(float)
+        name, k, low = rows[key].iloc[0], int(rows["k"].iloc[0]), int(rows["low"].iloc[0])
+        found = N.em(obs, k, N.seed_list(seed_of(seed, name, k), min(RESTARTS_TOGETHER, restarts - low), low), max_iter, tol)
+        out = [{key: name, "k": k, "restart": low + r, "ll": m["ll"], "n_iter": m["n_iter"], "history": m["history"], **{c: v.tolist() for c, v in N.sorted_states(m).items()}} for r, m in enumerate(found)]
+        return pd.DataFrame(out)[[key, "k", "restart", *(x.split()[0] for x in FIT.split(", "))]]
+
+    return dealt.groupBy(key, "k", "low").applyInPandas(per_group, f"{key} {df.schema[key].dataType.simpleString()}, k int, restart int, {FIT}")
 
 
 def fit(df: DataFrame, k: int = 3, restarts: int = 10, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol") -> DataFrame:
-    """(key, k, model, ll, n_iter, history) of every series, by EM; its restarts advance together in one task."""
+    """(key, k, model, ll, n_iter, history) of every series, by EM: the restart of the greatest finite likelihood."""
+    return _best(fits(df, [k], restarts, max_iter, tol, seed, value, key), key)
 
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _best(found: DataFrame, key: str) -> DataFrame:
+    """Of each series and k the best restart, the first of equal ones; an error where no likelihood is finite."""
+    finite = F.when(F.abs("ll") < float("inf"), F.col("ll"))
+    rank = F.row_number().over(Window.partitionBy(key, "k").orderBy(F.desc_nulls_last("__ll"), "restart"))
+    best = found.withColumn("__ll", finite).withColumn("__rank", rank).where("__rank = 1")
+    checked = F.when(F.col("__ll").isNull(), F.raise_error(F.lit("no restart reached a finite likelihood")).cast("double")).otherwise(F.col("ll"))
+    return best.withColumn("ll", checked).drop("__ll", "__rank", "restart")
+
+
+def fit_retried(df: DataFrame, ks: list[int], successes: int = 10, attempts: int = 150, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol") -> DataFrame:
+    """As fit() for each of ks, with attempts: the best of the first `successes` usable fits of at most `attempts`, in their order."""
+    dealt = df.select(key, "seq", value, F.explode(F.array(*map(F.lit, ks))).alias("k"))
+
+    def per_group(rows: pd.DataFrame) -> pd.DataFrame:
         obs = rows.sort_values("seq", kind="stable")[value].to_numpy(float)
-        found = N.baum_welch(obs, k, restarts, max_iter, tol, seed_of(seed, rows[key].iloc[0], k))
-        return pd.DataFrame([{key: rows[key].iloc[0], "k": k, **{n: v.tolist() if isinstance(v, np.ndarray) else v for n, v in found.items()}}])
+        name, k = rows[key].iloc[0], int(rows["k"].iloc[0])
+        found = N.retried(obs, k, successes, attempts, max_iter, tol, seed_of(seed, name, k))
+        return pd.DataFrame([{key: name, "k": k, **{c: v.tolist() if isinstance(v, np.ndarray) else v for c, v in found.items()}}])[[key, "k", *(x.split()[0] for x in FIT.split(", ")), "attempts"]]
 
-    return df.groupBy(key).applyInPandas(per_series, f"{key} {df.schema[key].dataType.simpleString()}, k int, {FIT}")
+    return dealt.groupBy(key, "k").applyInPandas(per_group, f"{key} {df.schema[key].dataType.simpleString()}, k int, {FIT}, attempts int")
 
 
 def select_k(df: DataFrame, ks: list[int], criterion: str = "bic", value: str = "ret", key: str = "symbol", **options) -> DataFrame:
     """A row for each series and k with ll, aic, bic and whether the criterion chooses it; the smallest k of equals.
 
-    Fits of all k run side by side, as groups of (series, k).
+    Fits of all k and restarts run side by side.
     """
-    from tidemark.operators.regimes import aic, best_by, bic
+    from tidemark.operators.regimes import aic, bic
 
     if criterion not in ("aic", "bic"):
         raise ValueError("criterion must be 'aic' or 'bic'")
-    fits = None
-    for k in ks:
-        one = fit(df, k, value=value, key=key, **options).select(key, "k", "ll")
-        fits = one if fits is None else fits.unionByName(one)
     n = df.groupBy(key).agg(F.count("*").alias("n"))
-    scored = fits.join(n, key).withColumn("aic", aic(F.col("ll"), F.col("k"))).withColumn("bic", bic(F.col("ll"), F.col("k"), F.col("n")))
-    chosen = best_by(scored.withColumn("__s", -F.col(criterion)), "__s", "k", key).select(key, F.col("k").alias("__k"))
-    return scored.join(chosen, key).withColumn("chosen", F.col("k") == F.col("__k")).drop("__k")
+    scored = _best(fits(df, ks, value=value, key=key, **options), key).select(key, "k", "ll").join(n, key)
+    scored = scored.withColumn("aic", aic(F.col("ll"), F.col("k"))).withColumn("bic", bic(F.col("ll"), F.col("k"), F.col("n")))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(criterion), "k"))
+    return scored.withColumn("chosen", rank == 1)
 
 
-def gibbs(df: DataFrame, k: int = 3, n_samples: int = 200, burn_in: int = 200, thin: int = 2, chains: int = 1, seed: int = 42, value: str = "ret", key: str = "symbol") -> DataFrame:
+def gibbs(df: DataFrame, k: int = 3, n_samples: int = 200, burn_in: int = 200, thin: int = 2, chains: int = 1, seed: int = 42, value: str = "ret", key: str = "symbol", concentration=1.0, start_concentration=1.0) -> DataFrame:
     """(key, chain, sample, state, mu, sigma2, pi, a) in long form: posterior means and deviations are aggregates of it."""
     kind = df.schema[key].dataType.simpleString()
     chained = df.select(key, "seq", value, F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
@@ -144,7 +192,7 @@ def gibbs(df: DataFrame, k: int = 3, n_samples: int = 200, burn_in: int = 200, t
     def per_chain(rows: pd.DataFrame) -> pd.DataFrame:
         obs = rows.sort_values("seq", kind="stable")[value].to_numpy(float)
         name, chain = rows[key].iloc[0], int(rows["chain"].iloc[0])
-        out = N.gibbs(obs, k, n_samples, burn_in, thin, seed_of(seed, name, chain))
+        out = N.gibbs(obs, k, n_samples, burn_in, thin, seed_of(seed, name, chain), concentration, start_concentration)
         n = len(out["mu"])
         return pd.DataFrame({key: name, "chain": chain, "sample": np.repeat(np.arange(n), k), "state": np.tile(np.arange(k), n), "mu": out["mu"].ravel(), "sigma2": out["sigma2"].ravel(), "pi": out["pi"].ravel(), "a": list(out["A"].reshape(-1, k))})
 
@@ -159,5 +207,3 @@ def expected_durations(models: DataFrame, key: str = "symbol") -> DataFrame:
     """Rows a stay in each state is expected to last."""
     stay = F.element_at("row", F.col("state") + 1)
     return models.select(key, F.posexplode("A").alias("state", "row")).select(key, "state", (1 / F.greatest(1 - stay, F.lit(1e-12))).alias("duration"))
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prep import by_time
+from tidemark.operators.statistics import correlation
 
 
 def state_runs(df: DataFrame, state: str = "state", key: str = "symbol") -> DataFrame:
@@ -47,7 +48,7 @@ def agreement_matrix(df: DataFrame, on: str, state: str = "state", key: str = "s
 
 
 def correlation_matrix(df: DataFrame, on: str, value: str, key: str = "symbol") -> DataFrame:
-    return pairwise(df.select(key, on, value), on, F.coalesce(F.nanvl(F.corr(f"{value}_i", f"{value}_j"), F.lit(None).cast("double")), F.lit(0.0)).alias("correlation"), key)
+    return pairwise(df.select(key, on, value), on, F.coalesce(correlation(f"{value}_i", f"{value}_j"), F.lit(0.0)).alias("correlation"), key)
 
 
 def _near(df: DataFrame, other: DataFrame, window: int, key: str, how: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,66 +31,200 @@ def kalman_filter(df: DataFrame, theta: float, sigma: float, sigma_obs: float, m
     return _with_columns(df, "level double, trend double, level_var double, trend_var double, ll double", per_series, key)
 
 
-def _prior(obs: np.ndarray, p: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([obs[0], 0.0]), np.diag([p["sigma_obs"] ** 2 + 1e-12, p["sigma"] ** 2 + 1e-12])
+def prior(first: np.ndarray, p: dict[str, np.ndarray], level_var: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Means (sets, 2) and covariances (sets, 2, 2): the first observation and no trend. The level's variance is a hundredth of
+    its square unless given, the trend's the stationary one."""
+    m, c = np.zeros((len(first), 2)), np.zeros((len(first), 2, 2))
+    m[:, 0] = first
+    c[:, 0, 0] = 0.01 * first**2 + 1e-12 if level_var is None else level_var
+    c[:, 1, 1] = p["sigma"] ** 2 / np.maximum(2 * np.abs(p["theta"]), 1e-12) + 1e-12
+    return m, c
+
+
+#: Particles of all series that advance together in one task.
+STACKED = 1 << 14
+
+
+def stacked(df: DataFrame, columns: str, per_stack, size: int, key: str = "symbol") -> DataFrame:
+    """df's rows with more columns, worked on for `size` whole series at a time: per_stack(list of frames in time order) -> frames.
+
+    Series are dealt to tasks by key and read one after the other, so a task holds one stack, whatever the number of series.
+    """
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), columns])
+
+    def per_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[pd.DataFrame] = []
+        parts: list[pd.DataFrame] = []
+        for frame in frames:
+            change = np.flatnonzero(frame[key].to_numpy()[1:] != frame[key].to_numpy()[:-1]) + 1
+            for low, high in zip([0, *change], [*change, len(frame)], strict=True):
+                part = frame.iloc[low:high]
+                if parts and len(part) and parts[-1][key].iloc[0] != part[key].iloc[0]:
+                    done.append(pd.concat(parts))
+                    parts = []
+                    if len(done) == size:
+                        yield from per_stack(done)
+                        done = []
+                if len(part):
+                    parts.append(part)
+        if parts:
+            done.append(pd.concat(parts))
+        if done:
+            yield from per_stack(done)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, key).sortWithinPartitions(key, "seq").mapInPandas(per_partition, schema)
+
+
+def _observations(series: list[np.ndarray]) -> np.ndarray:
+    """(series, T), NaN behind the end of shorter ones."""
+    out = np.full((len(series), max(map(len, series))), np.nan)
+    for row, x in zip(out, series, strict=True):
+        row[: len(x)] = x
+    return out
 
 
-def particle_filters(df: DataFrame, parameters: dict[str, float] | None, n: int = 100, kind: str = "rbpf", seed: int = 42, value: str = "price", key: str = "symbol") -> DataFrame:
+def particle_filters(df: DataFrame, parameters: dict[str, float] | None, n: int = 100, kind: str = "rbpf", seed: int = 42, value: str = "price", key: str = "symbol", dt: float = 1.0, level_var: float | None = None) -> DataFrame:
     """df with level, trend, their deviations and ll, by a Rao-Blackwellised ('rbpf') or a bootstrap ('bootstrap') filter.
 
+    The former also gives n_eff, the effective number of particles, and jump_share, the weight of particles that jumped.
     Without parameters, each series has its own in df's columns PARAMETERS, the same in all its rows.
     """
-    run = {"rbpf": N.rbpf, "bootstrap": N.particle_filter}[kind]
+    run = {"rbpf": N.rbpf_many, "bootstrap": N.particle_filter_many}[kind]
+    more = {"rbpf": {"n_eff": "n_eff", "jump_share": "jumped"}, "bootstrap": {}}[kind]
 
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        obs = rows[value].to_numpy(float)
-        p = parameters or {c: float(rows[c].iloc[0]) for c in PARAMETERS}
-        out = run(obs, p, n, *_prior(obs, p), seed_of(seed, rows[key].iloc[0]))
-        return rows.assign(level=out["mean"][:, 0], trend=out["mean"][:, 1], level_std=out["std"][:, 0], trend_std=out["std"][:, 1], ll=out["ll"])
+    def per_stack(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        series = [f[value].to_numpy(float) for f in frames]
+        p = {c: np.array([float(parameters[c] if parameters else f[c].iloc[0]) for f in frames]) for c in PARAMETERS}
+        out = run(_observations(series), p, n, *prior(np.array([x[0] for x in series]), p, level_var), [seed_of(seed, f[key].iloc[0]) for f in frames], dt)
+        found = []
+        for k, f in enumerate(frames):
+            at = slice(0, len(f)), k
+            found.append(f.assign(level=out["mean"][at][:, 0], trend=out["mean"][at][:, 1], level_std=out["std"][at][:, 0], trend_std=out["std"][at][:, 1], ll=out["ll"][at], **{a: out[b][at] for a, b in more.items()}))
+        return found
+
+    columns = "level double, trend double, level_std double, trend_std double, ll double" + "".join(f", {c} double" for c in more)
+    return stacked(df, columns, per_stack, max(1, STACKED // n), key)
 
-    return _with_columns(df, "level double, trend double, level_std double, trend_std double, ll double", per_series, key)
+
+def trend_signals(trend: np.ndarray, prices: np.ndarray, window: int | np.ndarray = 4, alpha: float | np.ndarray | None = 0.06) -> tuple[np.ndarray, np.ndarray]:
+    """(returns, signals) of filtered trends (T, sets) of one series: mean sign of the last `window` trends (0 before there are
+    so many); with alpha divided by the running volatility and, over the whole series, its deviation, and clipped.
+
+    A set's signals are NaN where they are flat. Row t has the signal of price t and the return from t to t + 1.
+    """
+    n, sets = trend.shape
+    window, alphas = np.broadcast_to(window, sets), None if alpha is None else np.broadcast_to(alpha, sets)
+    total = np.concatenate([np.zeros((1, sets)), np.cumsum(np.sign(trend), axis=0)])
+    signal = np.zeros((n, sets))
+    for w in np.unique(window):
+        mine = np.flatnonzero(window == w)
+        if w <= n:
+            signal[w - 1 :, mine] = (total[w:, mine] - total[:-w, mine]) / w
+    ret = np.diff(prices) / prices[:-1]
+    if alphas is not None:
+        start = ret[0] ** 2 or ret.var() or 1e-10
+        for a in np.unique(alphas):
+            mine = np.flatnonzero(alphas == a)
+            signal[1:, mine] /= np.sqrt(linear_recurrence(start, 1 - a, a * ret[:-1] ** 2))[:, None]
+        deviation = signal[1:].std(axis=0)
+        signal[1:] = np.clip(signal[1:] / np.where(deviation > 1e-12, deviation, np.nan), -1, 1)
+    else:
+        signal[:, ~signal.any(axis=0)] = np.nan
+    return ret, signal[:-1]
 
 
-def momentum_sharpe(obs: np.ndarray, p: dict[str, float], n: int, seed: list[int], window: int = 4, alpha: float = 0.06, cost_bps: float = 0.0) -> float:
-    """Sharpe ratio of a filter's trend: mean sign of the trend, scaled by volatility, normalised, traded a row later."""
-    trend = N.rbpf(obs, p, n, *_prior(obs, p), seed)["mean"][:, 1]
-    fir = np.convolve(np.sign(trend), np.ones(window) / window, "valid")
-    ret = np.diff(obs) / obs[:-1]
-    ret = ret[len(ret) - len(fir) + 1 :]
-    if len(ret) < 3:
-        return float("nan")
-    scaled = fir[1:] / np.sqrt(linear_recurrence(max(ret[0] ** 2, 1e-18), 1 - alpha, alpha * ret[:-1] ** 2))
-    signal = np.clip(scaled / scaled.std(), -1, 1) if scaled.std() > 0 else np.zeros(len(scaled))
-    lagged = np.concatenate([[0.0], signal[:-1]])
-    net = lagged * ret - np.abs(np.diff(lagged, prepend=0.0)) * cost_bps / 1e4
-    return float(np.sqrt(252) * net.mean() / net.std()) if net.std() > 0 else 0.0
+def sharpe_of(ret: np.ndarray, signal: np.ndarray, cost_bps: float = 0.0, lagged: bool = True, per_year: float = 252) -> np.ndarray:
+    """Sharpe ratios of signals (T, sets) on returns; traded a row later, as backtest() does, or at once. NaN for a flat result."""
+    held = np.concatenate([np.zeros((1, signal.shape[1])), signal[:-1]]) if lagged else signal
+    net = held * ret[:, None] - np.abs(np.diff(held, axis=0, prepend=0.0)) * cost_bps / 1e4
+    deviation = net.std(axis=0)
+    return np.where(deviation > 1e-12, np.sqrt(per_year) * net.mean(axis=0) / np.where(deviation > 1e-12, deviation, 1), np.nan)
 
 
-def grid_search(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20, seed: int = 42, train_fraction: float = 0.7, value: str = "price", key: str = "symbol") -> DataFrame:
-    """(key, grid_idx, parameters, train_sharpe) for every series and grid point: each pair is a task's group.
+#: Grid points of a series that one task evaluates together.
+CELLS = 64
 
-    grid (of parameter_grid) is broadcast: its rows are as many as its caller's lists span. A point whose filter fails has
-    a null score.
+
+def evaluated(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20, seed: int = 42, value: str = "price", key: str = "symbol", dt: float = 1.0, scaled: bool = False, alpha: float | None = None, window: int = 4, cost_bps: float = 0.0, lagged: bool = True, per_year: float = 252) -> DataFrame:
+    """(key, grid_idx, parameters, sharpe) of every series and point of its grid: a task takes one series and CELLS points as one filter.
+
+    grid has grid_idx and any of PARAMETERS, `window` and `alpha`, and key too if series have points of their own. With
+    `scaled` the standard deviations are percentages of a series' first price. A point without a result has a null.
     """
+    names = [c for c in grid.columns if c not in ("grid_idx", key)]
+    kind = df.schema[key].dataType.simpleString()
+    own = key in grid.columns
+    series = df.select(key, "seq", value)
+    if own:
+        listed = grid.groupBy(key, F.floor(F.col("grid_idx") / CELLS).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("grid_idx", *names))).alias("cells"))
+        paired, chunks = series.join(listed, key), None
+    else:  # the points are what a caller wrote down, so they go with the task and not through a join
+        points = [r.asDict() for r in grid.select("grid_idx", *names).orderBy("grid_idx").collect()]
+        chunks = [points[low : low + CELLS] for low in range(0, len(points), CELLS)]
+        paired = series.withColumn("chunk", F.explode(F.array(*map(F.lit, range(len(chunks))))))
+
+    def per_chunk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable")
+        obs, points = rows[value].to_numpy(float), list(rows["cells"].iloc[0]) if own else chunks[int(rows["chunk"].iloc[0])]
+        scale = obs[0] / 100 if scaled and len(obs) else 1.0
+        p = {c: np.array([float(x[c]) if c in names else base[c] for x in points]) * (scale if c in ("sigma", "sigma_obs", "sigma_J") else 1.0) for c in PARAMETERS}
+        score = np.full(len(points), np.nan)
+        if len(obs) >= 3:
+            first = np.full(len(points), obs[0])
+            out = N.rbpf_many(obs, p, n, *prior(first, p), [seed_of(seed, rows[key].iloc[0], int(x["grid_idx"])) for x in points], dt)
+            windows = np.array([int(x["window"]) if "window" in names else window for x in points])
+            alphas = np.array([float(x["alpha"]) for x in points]) if "alpha" in names else alpha
+            score = sharpe_of(*trend_signals(out["mean"][..., 1], obs, windows, alphas), cost_bps, lagged, per_year)
+        return pd.DataFrame([{key: rows[key].iloc[0], "grid_idx": int(x["grid_idx"]), **{c: float(x[c]) for c in names}, "sharpe": None if np.isnan(s) else float(s)} for x, s in zip(points, score, strict=True)])
+
+    schema = f"{key} {kind}, grid_idx int, {', '.join(f'{c} double' for c in names)}, sharpe double"
+    return paired.groupBy(key, "chunk").applyInPandas(per_chunk, schema)
+
+
+def grid_search(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20, seed: int = 42, train_fraction: float = 0.7, value: str = "price", key: str = "symbol", **options) -> DataFrame:
+    """(key, grid_idx, parameters, train_sharpe) for every series and grid point, on each series' training rows."""
     from tidemark.operators.prep import train_test_split
 
+    train = train_test_split(df, train_fraction, key).where("is_train")
+    return evaluated(train, grid, base, n, seed, value, key, **options).withColumnRenamed("sharpe", "train_sharpe")
+
+
+def searched(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20, seed: int = 42, train_fraction: float = 0.7, value: str = "price", key: str = "symbol", **options) -> DataFrame:
+    """A row for each series: its best grid point on training rows, the first of equal ones, evaluated once on its test rows.
+
+    (key, grid_idx, parameters, train_sharpe, test_sharpe, gap).
+    """
+    from tidemark.operators.prep import train_test_split
+    from tidemark.operators.regimes import best_by
+
+    best = best_by(grid_search(df, grid, base, n, seed, train_fraction, value, key, **options), "train_sharpe", "grid_idx", key)
+    test = train_test_split(df, train_fraction, key).where("NOT is_train")
     names = [c for c in grid.columns if c != "grid_idx"]
-    train = train_test_split(df, train_fraction, key).where("is_train").select(key, "seq", value)
-    pairs = train.join(F.broadcast(grid)).repartition(key, "grid_idx")
-    kind = df.schema[key].dataType.simpleString()
+    tested = evaluated(test, best.select(key, "grid_idx", *names), base, n, seed + 1, value, key, **options).select(key, F.col("sharpe").alias("test_sharpe"))
+    return best.join(tested, key, "left").withColumn("gap", F.col("train_sharpe") - F.col("test_sharpe"))
 
-    def per_pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        head = rows.iloc[0]
-        p = base | {c: float(head[c]) for c in names}
-        try:
-            score = momentum_sharpe(rows[value].to_numpy(float), p, n, seed_of(seed, head[key], int(head["grid_idx"])))
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError):
-            score = float("nan")
-        return pd.DataFrame([{key: head[key], "grid_idx": int(head["grid_idx"]), **{c: p[c] for c in names}, "train_sharpe": None if np.isnan(score) else score}])
 
-    schema = f"{key} {kind}, grid_idx int, {', '.join(f'{c} double' for c in names)}, train_sharpe double"
-    return pairs.groupBy(key, "grid_idx").applyInPandas(per_pair, schema)
+def traded(df: DataFrame, parameters: dict[str, float] | None, n: int = 100, seed: int = 42, value: str = "price", key: str = "symbol", dt: float = 1.0, scaled: bool = False, window: int = 4, alpha: float | None = 0.06) -> DataFrame:
+    """Rows (key, seq, value, ret, signal, trend, ll, n_eff) of each series' filter and signal: ret leads from the row to the next one.
+
+    The last row of a series has no return and goes. Without parameters a series has its own in columns PARAMETERS, window, alpha.
+    """
+
+    def per_stack(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        series = [f[value].to_numpy(float) for f in frames]
+        p = {c: np.array([(parameters[c] if parameters else float(f[c].iloc[0])) * (x[0] / 100 if scaled and c in ("sigma", "sigma_obs", "sigma_J") else 1.0) for f, x in zip(frames, series, strict=True)]) for c in PARAMETERS}
+        out = N.rbpf_many(_observations(series), p, n, *prior(np.array([x[0] for x in series]), p), [seed_of(seed, f[key].iloc[0]) for f in frames], dt)
+        found = []
+        for k, (f, x) in enumerate(zip(frames, series, strict=True)):
+            if len(x) < 3:
+                continue
+            ret, signal = trend_signals(out["mean"][: len(x), k, 1:], x, window if parameters else int(f["window"].iloc[0]), alpha if parameters else float(f["alpha"].iloc[0]))
+            found.append(f.iloc[:-1].assign(ret=ret, signal=np.nan_to_num(signal[:, 0]), trend=out["mean"][: len(x) - 1, k, 1], ll=out["ll"][: len(x) - 1, k], n_eff=out["n_eff"][: len(x) - 1, k]))
+        return found
+
+    kept = df.select(key, "seq", value, *([] if parameters else [*PARAMETERS, "window", "alpha"]))
+    return stacked(kept, "ret double, signal double, trend double, ll double, n_eff double", per_stack, max(1, STACKED // n), key)
 
 
 def simulated(spark, n_series: int, n: int, parameters: dict[str, float], x0=(100.0, 0.0), seed: int = 42) -> DataFrame:
@@ -111,3 +247,14 @@ def simulated_regimes(spark, n_series: int, n: int, A, pi, mu, sigma2, seed: int
         return pd.DataFrame({"symbol": f"s{i}", "seq": np.arange(1, n + 1), "state": states, "ret": obs})
 
     return spark.range(n_series).groupBy("id").applyInPandas(per_series, "symbol string, seq long, state int, ret double")
+
+
+def simulated_prices(spark, n_series: int, n: int, drift: float = 0.001, deviation: float = 0.01, start: float = 100.0, seed: int = 42) -> DataFrame:
+    """(symbol, seq, price): trending prices, the running product of 1 + drift + normal noise."""
+
+    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
+        i = int(rows["id"].iloc[0])
+        steps = 1 + drift + deviation * np.random.default_rng(seed_of(seed, i)).standard_normal(n)
+        return pd.DataFrame({"symbol": f"s{i}", "seq": np.arange(1, n + 1), "price": start * np.cumprod(steps)})
+
+    return spark.range(n_series).groupBy("id").applyInPandas(per_series, "symbol string, seq long, price double")

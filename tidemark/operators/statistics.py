@@ -56,7 +56,7 @@ def acf(df: DataFrame, max_lag: int, value: str = "ret", key: str = "symbol") ->
     lagged = centered.select(key, "x", *(F.lag("x", k).over(by_time(key)).alias(f"l{k}") for k in range(1, max_lag + 1)))
     sums = lagged.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("s0"), *(F.sum(F.col("x") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, max_lag + 1)))
     rows = sums.select(key, "n", F.posexplode(F.array(*(F.coalesce(f"s{k}", F.lit(0.0)) for k in range(max_lag + 1)))).alias("lag", "s"), "s0")
-    return rows.select(key, "n", "lag", F.when(F.col("s0") / F.col("n") < 1e-15, 0.0).otherwise(F.col("s") / F.col("s0")).alias("acf"))
+    return rows.select(key, "n", "lag", F.when(F.col("s0") / F.col("n") < 1e-15, 0.0).otherwise(F.try_divide("s", "s0")).alias("acf"))
 
 
 def chi2_tail(q: Column, df: int) -> Column:
@@ -69,7 +69,7 @@ def chi2_tail(q: Column, df: int) -> Column:
 
 def ljung_box(df: DataFrame, lags: int = 30, value: str = "ret", key: str = "symbol") -> DataFrame:
     n = F.col("n")
-    terms = acf(df, lags, value, key).where("lag > 0").groupBy(key, "n").agg(F.sum(F.col("acf") ** 2 / (n - F.col("lag"))).alias("s"))
+    terms = acf(df, lags, value, key).where("lag > 0 AND lag < n").groupBy(key, "n").agg(F.sum(F.col("acf") ** 2 / (n - F.col("lag"))).alias("s"))
     q = terms.select(key, (n * (n + 2) * F.col("s")).alias("q"))
     return q.withColumn("p_value", chi2_tail(F.col("q"), lags))
 
@@ -90,16 +90,26 @@ def variance_ratio(df: DataFrame, q: int, value: str = "ret", key: str = "symbol
     return one.join(many, key, "left").select(key, ratio.alias("variance_ratio"))
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation as an aggregate; null where one side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def seasonality(df: DataFrame, value: str = "ret", ts: str = "ts", at_least: int = 10, key: str = "symbol") -> DataFrame:
-    """Mean absolute and mean value of each minute of the UTC day that has more than at_least rows."""
+    """Mean absolute and mean value of each minute of the UTC day that has more than at_least rows. peaks() names the ends."""
     minute = (F.hour(ts) * 60 + F.minute(ts)).alias("minute")
     return df.groupBy(key, minute).agg(F.avg(F.abs(value)).alias("mean_abs"), F.avg(value).alias("mean"), F.count("*").alias("n")).where(F.col("n") > at_least)
 
 
+def peaks(season: DataFrame, key: str = "symbol") -> DataFrame:
+    """(key, peak, trough): minutes of the largest and the least mean absolute value, the earliest of equal ones."""
+    return season.groupBy(key).agg(F.max_by("minute", F.struct("mean_abs", -F.col("minute"))).alias("peak"), F.min_by("minute", F.struct("mean_abs", "minute")).alias("trough"))
+
+
 def snr(df: DataFrame, freq: str, value: str = "ret", key: str = "symbol") -> DataFrame:
     """|mean| over deviation, and the deviation of a year."""
     deviation = F.stddev_pop(value)
-    return df.groupBy(key).agg((F.abs(F.avg(value)) / deviation).alias("snr"), (deviation * F.sqrt(F.lit(float(BARS_PER_YEAR[freq])))).alias("annual_vol"))
+    return df.groupBy(key).agg(F.try_divide(F.abs(F.avg(value)), deviation).alias("snr"), (deviation * F.sqrt(F.lit(float(BARS_PER_YEAR[freq])))).alias("annual_vol"))
 
 
 def langevin_moments(df: DataFrame, dt: float = 1.0, value: str = "ret", key: str = "symbol", level: str | None = None) -> DataFrame:
@@ -128,7 +138,7 @@ def langevin_moments(df: DataFrame, dt: float = 1.0, value: str = "ret", key: st
 
 
 def filter_diagnostics(df: DataFrame, estimate: str, deviation: str, truth: str, key: str = "symbol") -> DataFrame:
-    """Root mean square error, share of truths within two deviations, and moments of the residuals."""
+    """Root mean square error, shares of truths within two deviations and outside them, and moments of the residuals."""
     residual = F.col(truth) - F.col(estimate)
     scaled = F.abs(residual / F.col(deviation))
-    return df.groupBy(key).agg(F.sqrt(F.avg(residual**2)).alias("rmse"), F.avg((scaled <= 2).cast("double")).alias("within_2"), F.avg(residual).alias("mean"), F.stddev_pop(residual).alias("std"))
+    return df.groupBy(key).agg(F.sqrt(F.avg(residual**2)).alias("rmse"), F.avg((scaled <= 2).cast("double")).alias("within_2"), F.avg((scaled > 2).cast("double")).alias("outside_2"), F.avg(residual).alias("mean"), F.stddev_pop(residual).alias("std"))

@@ -1,59 +1,30 @@
-"""Whole analyses: fits on each series' first part, filters and backtests on the rest, and their comparison tables."""
+"""Whole analyses with hidden Markov models: exploration, selection, regimes, backtests and their refinement."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import numerics as N
 from tidemark.operators import backtest as BT
 from tidemark.operators import hmm as H
 from tidemark.operators import prep as P
 from tidemark.operators import regimes as R
 from tidemark.operators import signals as S
-from tidemark.operators import statespace as SS
 from tidemark.operators import statistics as ST
 from tidemark.sources import market as M
+from tidemark.plans.common import by_models, compared, daily_log_returns, regime_signals, session_prices, strategies
 
-
-def daily_log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.log_returns(P.sequenced(M.daily(spark, sf_dir), "dt"), "close")
-
-
-def regime_signals(df: DataFrame, k: int = 3, fraction: float = 0.7, restarts: int = 3, max_iter: int = 40, seed: int = 42) -> DataFrame:
-    """Test rows of df (symbol, seq, ret) with prediction, state and signal (weighted vote), the model fitted on each series' train rows.
-
-    Fit and filter happen in one group per series: the model never leaves its task.
-    """
-    split = P.train_test_split(df, fraction)
-    names = df.columns
-
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        train = rows.loc[rows["is_train"], "ret"].to_numpy(float)
-        test = rows[~rows["is_train"]]
-        m = N.baum_welch(train, k, restarts, max_iter, seed=H.seed_of(seed, rows["symbol"].iloc[0], k))
-        log_b = N.emissions(test["ret"].to_numpy(float), m["mu"], m["sigma2"])
-        probs, _ = N.forward(log_b, m["A"], m["pi"])
-        path = N.viterbi(log_b, m["A"], m["pi"])[0]
-        prior = np.vstack([m["pi"], probs[:-1] @ m["A"]])
-        vote = np.clip(probs @ np.sign(m["mu"]), -1, 1)
-        return test[names].assign(prediction=prior @ m["mu"], neutral=probs[:, int(np.abs(m["mu"]).argmin())], state=path, signal=vote)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return split.groupBy("symbol").applyInPandas(per_series, f"{fields}, prediction double, neutral double, state int, signal double").withColumn("seq", F.row_number().over(P.by_time()))
-
-
-def strategies(test: DataFrame, cost_bps: float = 5) -> DataFrame:
-    """Metrics of the vote, of the prediction's sign and of holding, for each series."""
-    named = {"vote": (F.col("signal"), cost_bps), "sign": (F.signum("prediction"), cost_bps), "hold": (F.lit(1.0), 0.0)}
-    out = None
-    for name, (signal, cost) in named.items():
-        one = BT.metrics(BT.backtest(test.withColumn("signal", signal), cost)).withColumn("strategy", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+# What the analyses are run with.
+THRESHOLDS, ALPHAS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0), (0.1, 0.2, 0.3, 0.5, 0.7, 1.0)
+HORIZONS = (2, 5, 10, 15, 20, 30, 60, 120, 240, 390)
+ASSETS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
+#: (label, series, first day, last day)
+CONFIGURATIONS = (
+    ("urgent", "1-URGENT", "1992-01-01", "1998-12-31"), ("high", "2-HIGH", "1992-01-01", "1998-12-31"), ("medium", "3-MEDIUM", "1992-01-01", "1998-12-31"),
+    ("low", "5-LOW", "1992-01-01", "1998-12-31"), ("urgent early", "1-URGENT", "1992-01-01", "1996-12-31"), ("urgent late", "1-URGENT", "1994-01-01", "1998-12-31"),
+)
 
 
 def exploration(spark, d):
@@ -62,135 +33,197 @@ def exploration(spark, d):
     return ST.moments(df).join(ST.extremes(df, "dt"), "symbol").join(ST.percentiles(df), "symbol").join(vol, "symbol")
 
 
-def model_selection(spark, d):
-    df = H.select_k(daily_log_returns(spark, d), [1, 2, 3, 4], restarts=1, max_iter=30)
-    return df.withColumn("bic_gap", F.col("bic") - F.min("bic").over(Window.partitionBy("symbol")))
+def model_selection(spark, d, ks=tuple(range(1, 11))):
+    """AIC and BIC of every number of states, each fitted once with retries; gaps from the best, and which one is chosen."""
+    df = daily_log_returns(spark, d)
+    n = df.groupBy("symbol").agg(F.count("*").alias("n"))
+    scored = H.fit_retried(df, list(ks), 1, 20, 40).select("symbol", "k", "ll", "n_iter").join(n, "symbol")
+    w = Window.partitionBy("symbol")
+    scored = scored.withColumn("aic", R.aic(F.col("ll"), F.col("k"))).withColumn("bic", R.bic(F.col("ll"), F.col("k"), F.col("n")))
+    for c in ("aic", "bic"):
+        scored = scored.withColumn(f"{c}_gap", F.col(c) - F.min(c).over(w)).withColumn(f"{c}_chosen", F.row_number().over(w.orderBy(c, "k")) == 1)
+    return scored
 
 
 def training(spark, d):
-    models = H.fit(daily_log_returns(spark, d), 3, 3, 40)
-    states = models.select("symbol", "ll", F.posexplode(F.arrays_zip("mu", "sigma2")).alias("state", "m")).select("symbol", "ll", "state", "m.mu", F.sqrt("m.sigma2").alias("sigma"))
-    return states.join(H.expected_durations(models), ["symbol", "state"])
+    models = H.fit_retried(daily_log_returns(spark, d), [3], 10, 150, 200)
+    states = models.select("symbol", "ll", "n_iter", "attempts", F.posexplode(F.arrays_zip("mu", "sigma2")).alias("state", "m")).select("symbol", "ll", "n_iter", "attempts", "state", "m.mu", F.sqrt("m.sigma2").alias("sigma"))
+    return states.join(H.expected_durations(models), ["symbol", "state"]).join(H.stationary(models), ["symbol", "state"])
+
+
+def decoded(df: DataFrame, k: int, successes: int, attempts: int, max_iter: int, seed: int = 42) -> DataFrame:
+    """by_models() of all rows of each series, under a model of the same rows."""
+    return by_models(df, H.fit_retried(df, [k], successes, attempts, max_iter, seed=seed))
 
 
 def regime_detection(spark, d):
-    test = regime_signals(daily_log_returns(spark, d))
-    return R.state_stats(test, 3).join(R.average_durations(test), ["symbol", "state"], "left").join(R.transition_counts(test), "symbol")
+    rows = decoded(daily_log_returns(spark, d), 3, 10, 150, 200)
+    return R.state_stats(rows, 3).join(R.average_durations(rows), ["symbol", "state"], "left").join(R.transition_counts(rows), "symbol")
 
 
 def backtest_comparison(spark, d):
-    return strategies(regime_signals(daily_log_returns(spark, d)))
+    test = regime_signals(daily_log_returns(spark, d))
+    return strategies(test).join(BT.signal_stats(test).select("symbol", F.lit("vote").alias("strategy"), "mean", "std", "long", "short", "flat"), ["symbol", "strategy"], "left")
+
+
+def posterior_models(draws: DataFrame) -> DataFrame:
+    """Models of posterior means of gibbs() draws, states in order, with the deviations of means and variances."""
+    long = draws.select("symbol", "state", "mu", "sigma2", "pi", F.posexplode("a").alias("into", "a"))
+    moves = long.groupBy("symbol", "state", "into").agg(F.avg("a").alias("a"))
+    rows = moves.groupBy("symbol", "state").agg(F.transform(F.array_sort(F.collect_list(F.struct("into", "a"))), lambda x: x["a"]).alias("a"))
+    total = F.aggregate("a", F.lit(0.0), lambda t, x: t + x)
+    rows = rows.withColumn("a", F.transform("a", lambda x: x / total)).join(H.posterior_summary(draws), ["symbol", "state"])
+    listed = rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("state", "a", "pi_mean", "mu_mean", "sigma2_mean", "mu_std", "sigma2_std"))).alias("s"))
+    pick = lambda name, out: F.transform("s", lambda x: x[name]).alias(out)
+    models = listed.select("symbol", pick("a", "A"), pick("pi_mean", "pi"), pick("mu_mean", "mu"), pick("sigma2_mean", "sigma2"), pick("mu_std", "mu_std"), pick("sigma2_std", "sigma2_std"))
+    return models.withColumn("pi", F.transform("pi", lambda x: x / F.aggregate("pi", F.lit(0.0), lambda t, y: t + y)))
+
+
+def em_and_gibbs(spark, d, samples=150, burn_in=150, thin=2):
+    """EM and Gibbs on training rows; likelihood and backtest of both on test rows, and the posterior's deviations."""
+    split = P.train_test_split(daily_log_returns(spark, d), 0.7)
+    train, test = split.where("is_train"), split.where("NOT is_train").drop("is_train")
+    em = H.fit_retried(train, [3], 3, 40, 120)
+    gibbs = posterior_models(H.gibbs(train, 3, samples, burn_in, thin, seed=7))
+    out = None
+    for name, models in (("em", em), ("gibbs", gibbs)):
+        run = by_models(test, models).withColumn("seq", F.row_number().over(P.by_time()))
+        ll = run.groupBy("symbol").agg(F.sum("gain").alias("test_ll"))
+        one = BT.metrics(BT.backtest(run)).join(ll, "symbol").join(models.select("symbol", "mu", "sigma2"), "symbol").withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.join(gibbs.select("symbol", F.lit("gibbs").alias("method"), "mu_std", "sigma2_std"), ["symbol", "method"], "left")
 
 
-def em_and_gibbs(spark, d):
-    df = daily_log_returns(spark, d)
-    em = H.fit(df, 3, 2, 30).select("symbol", F.posexplode("mu").alias("state", "mu_em"))
-    return H.posterior_summary(H.gibbs(df, 3, 15, 15, 1)).join(em, ["symbol", "state"])
+def multi_asset(spark, d, assets=ASSETS):
+    """(kind, a, b, value): assets aligned to common days, each with its own model; agreement of states and correlation of signals
+    for each pair, and metrics of each asset, of their equal-weight portfolio and of holding it.
+    """
+    prices = P.inner_align(M.daily(spark, d), list(assets))
+    test = regime_signals(P.log_returns(P.sequenced(prices, "dt"), "close"), 3, 2, 40, 120)
+    curves = BT.backtest(test)
+    held = BT.backtest(test.withColumn("signal", F.lit(1.0)), 0)
+    metrics = BT.metrics(curves).unionByName(BT.portfolio(curves)).unionByName(BT.portfolio(held).withColumn("symbol", F.lit("hold")))
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("b"), F.col(c).alias("value")) for c in ("sharpe", "annualized_return", "max_drawdown", "turnover")))).alias("m")
+    rows = metrics.select(F.lit("metric").alias("kind"), F.col("symbol").alias("a"), values).select("kind", "a", "m.b", "m.value")
+    for kind, matrix, value in (("agreement", R.agreement_matrix(test, "dt"), "agreement"), ("correlation", R.correlation_matrix(test, "dt", "signal"), "correlation")):
+        rows = rows.unionByName(matrix.select(F.lit(kind).alias("kind"), F.col("symbol_i").alias("a"), F.col("symbol_j").alias("b"), F.col(value).alias("value")))
+    return rows
 
 
-def multi_asset(spark, d):
-    test = regime_signals(daily_log_returns(spark, d))
-    portfolio = BT.equal_weight(BT.backtest(test)).withColumn("symbol", F.lit("portfolio"))
-    own = BT.backtest(test).groupBy("symbol").agg(BT.sharpe(F.col("net")).alias("sharpe"))
-    return own.unionByName(portfolio.groupBy("symbol").agg(BT.sharpe(F.col("net")).alias("sharpe")))
+#: Successes, attempts and iterations of fits with three and four states.
+_BY_STATES = {3: (2, 30, 100), 4: (1, 12, 50)}
 
 
 def three_or_four_states(spark, d):
+    """Cross table of the most likely states of all rows under three and under four states."""
     df = daily_log_returns(spark, d)
-    three, four = (regime_signals(df, k).select("symbol", "dt", F.col("state").alias(f"s{k}")) for k in (3, 4))
+    three, four = (decoded(df, k, *_BY_STATES[k], seed=42 + 1000 * (k - 3)).select("symbol", "dt", F.col("state").alias(f"s{k}")) for k in (3, 4))
     return R.crosstab(three.join(four, ["symbol", "dt"]), "s3", "s4", [0, 1, 2, 3])
 
 
-def rolling_backtest(spark, d):
-    """Expanding windows: each (series, window) is a group of its own."""
-    rows = R.expanding_windows(daily_log_returns(spark, d), "dt", 36, 12)
-    keyed = rows.withColumn("series", F.concat_ws("#", "symbol", "window_id")).select(F.col("series").alias("symbol"), "dt", "seq", "ret", (F.col("part") == "train").alias("is_train"))
-
-    def per_window(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq", kind="stable")
-        train, test = group[group["is_train"]], group[~group["is_train"]]
-        if len(train) < 30 or test.empty:
-            return test[["symbol", "dt", "seq", "ret"]].iloc[:0].assign(signal=0.0)
-        m = N.baum_welch(train["ret"].to_numpy(float), 2, 1, 15, seed=H.seed_of(42, group["symbol"].iloc[0]))
-        probs, _ = N.forward(N.emissions(test["ret"].to_numpy(float), m["mu"], m["sigma2"]), m["A"], m["pi"])
-        return test[["symbol", "dt", "seq", "ret"]].assign(signal=np.clip(probs @ np.sign(m["mu"]), -1, 1))
+def split_by_states(spark, d):
+    """Backtests of three and of four states on test rows, and what the fourth changes."""
+    df = daily_log_returns(spark, d)
+    three, four = (BT.metrics(BT.backtest(regime_signals(df, k, *_BY_STATES[k], seed=5042 + 1000 * (k - 3)))) for k in (3, 4))
+    names = ("sharpe", "annualized_return", "max_drawdown", "turnover")
+    both = three.join(four.select("symbol", *(F.col(c).alias(f"{c}_4") for c in names)), "symbol")
+    return both.select("symbol", *(F.col(c).alias(f"{c}_3") for c in names), *(f"{c}_4" for c in names), *((F.col(f"{c}_4") - F.col(c)).alias(f"{c}_change") for c in names[:2]))
+
+
+def rolling_backtest(spark, d, initial_months=60, step_months=6):
+    """Expanding windows: each (series, window) has its own fit. Metrics of each window, and of all windows' rows one after the other."""
+    rows = R.expanding_windows(daily_log_returns(spark, d), "dt", initial_months, step_months)
+    keyed = rows.withColumn("symbol", F.concat_ws("#", "symbol", "window_id")).select("symbol", "dt", "seq", "ret", "part")
+    models = H.fit_retried(keyed.where("part = 'train'"), [3], 1, 20, 80, seed=123)
+    test = by_models(keyed.where("part = 'test'").drop("part"), models).withColumn("seq", F.row_number().over(P.by_time()))
+    whole = test.withColumn("symbol", F.element_at(F.split("symbol", "#"), 1)).withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy("dt")))
+    out = None
+    for level, df in (("window", test), ("all", whole)):
+        own = BT.metrics(BT.backtest(df))
+        held = BT.metrics(BT.backtest(df.withColumn("signal", F.lit(1.0)), 0)).select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("max_drawdown").alias("benchmark_drawdown"))
+        one = own.join(held, "symbol").withColumn("level", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    return out
 
-    test = keyed.groupBy("symbol").applyInPandas(per_window, "symbol string, dt date, seq int, ret double, signal double")
-    own = BT.metrics(BT.backtest(test)).select("symbol", "sharpe", "max_drawdown")
-    held = BT.metrics(BT.backtest(test.withColumn("signal", F.lit(1.0)), 0)).select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("max_drawdown").alias("benchmark_drawdown"))
-    return own.join(held, "symbol")
 
+def signal_refinement(spark, d, thresholds=THRESHOLDS, alphas=ALPHAS):
+    """No-trade thresholds by smoothing factors: metrics and rank of every cell of each series. Chosen on test rows.
 
-def signal_refinement(spark, d):
-    """No-trade thresholds by smoothing factors, each cell a backtest; the five best by mean Sharpe ratio. Chosen on test rows."""
+    part names the cells of the comparison: baseline (neither), combined (the best cell), zone and smoothing (its one half).
+    """
     test = regime_signals(daily_log_returns(spark, d))
-    grid = R.parameter_grid(spark, threshold=[0.4, 0.6, 0.8], alpha=[0.1, 0.5, 1.0])
-    cells = test.join(F.broadcast(grid)).withColumn("signal", F.when(F.col("neutral") < F.col("threshold"), F.col("signal")).otherwise(0.0))
-    cells = cells.withColumn("symbol", F.concat_ws("#", "symbol", "grid_idx"))
+    grid = F.array(*(F.struct(F.lit(len(alphas) * i + j).alias("grid_idx"), F.lit(float(t)).alias("threshold"), F.lit(float(a)).alias("alpha")) for i, t in enumerate(thresholds) for j, a in enumerate(alphas)))
+    cells = test.select("symbol", "seq", "ret", "signal", "neutral", F.explode(grid).alias("g")).select("symbol", "seq", "ret", "signal", "neutral", "g.*")
+    cells = cells.withColumn("signal", F.when(F.col("neutral") < F.col("threshold"), F.col("signal")).otherwise(0.0))
+    cells = cells.withColumn("cell", F.concat_ws("#", "symbol", "grid_idx"))
 
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
         a, s = float(rows["alpha"].iloc[0]), rows["signal"].to_numpy(float)
-        return rows[["symbol", "grid_idx", "threshold", "alpha", "seq", "ret"]].assign(signal=np.clip(S.linear_recurrence(s[0], 1 - a, a * s[1:]), -1, 1))
+        return rows[["cell", "symbol", "grid_idx", "threshold", "alpha", "seq", "ret"]].assign(signal=np.clip(S.linear_recurrence(s[0], 1 - a, a * s[1:]), -1, 1))
+
+    smoothed = cells.drop("neutral").groupBy("cell").applyInPandas(smooth, "cell string, symbol string, grid_idx int, threshold double, alpha double, seq int, ret double, signal double")
+    scored = BT.metrics(BT.backtest(smoothed, key="cell"), "cell", "symbol", "grid_idx", "threshold", "alpha").drop("cell")
+    w = Window.partitionBy("symbol")
+    scored = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc_nulls_last("sharpe"), "grid_idx")))
+    best = {c: F.max(F.when(F.col("rank") == 1, F.col(c))).over(w) for c in ("threshold", "alpha")}
+    own = lambda c: F.col(c) == best[c]
+    none = {c: F.col(c) == 1.0 for c in best}
+    part = F.when(F.col("rank") == 1, "combined").when(none["threshold"] & none["alpha"], "baseline").when(own("threshold") & none["alpha"], "zone").when(none["threshold"] & own("alpha"), "smoothing")
+    return scored.withColumn("part", part)
 
-    smoothed = cells.select("symbol", "grid_idx", "threshold", "alpha", "seq", "ret", "signal").groupBy("symbol").applyInPandas(smooth, "symbol string, grid_idx int, threshold double, alpha double, seq int, ret double, signal double")
-    scored = BT.metrics(BT.backtest(smoothed), "symbol", "grid_idx", "threshold", "alpha")
-    return R.top_k(scored.groupBy("grid_idx", "threshold", "alpha").agg(F.avg("sharpe").alias("sharpe")), "sharpe", 5, "grid_idx")
+
+def configured(spark, d, configurations=CONFIGURATIONS) -> DataFrame:
+    """Metrics of the vote and of holding for each configuration: a series and a span of days, fitted on its own first part."""
+    every = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(("label", "series", "first", "last"), row, strict=True))) for row in configurations))
+    prices = M.daily(spark, d).withColumn("c", F.explode(F.filter(every, lambda x: x["series"] == F.col("symbol"))))
+    prices = prices.where((F.col("dt") >= F.col("c.first").cast("date")) & (F.col("dt") <= F.col("c.last").cast("date"))).select(F.col("c.label").alias("symbol"), "dt", "close")
+    test = regime_signals(P.log_returns(P.sequenced(prices, "dt"), "close"), 3, 2, 30, 100)
+    return compared(test, {"vote": (F.col("signal"), 5), "hold": (F.lit(1.0), 0.0)})
 
 
 def robustness(spark, d):
-    rows = strategies(regime_signals(daily_log_returns(spark, d)))
+    rows = configured(spark, d)
     vote = rows.where("strategy = 'vote'").select("symbol", "sharpe", "max_drawdown")
     hold = rows.where("strategy = 'hold'").select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("max_drawdown").alias("benchmark_drawdown"))
     return R.window_summary(vote.join(hold, "symbol"))
 
 
-_PATHS = {"theta": -0.2, "sigma": 0.3, "sigma_obs": 0.3, "lambda_J": 0.05, "mu_J": 0.0, "sigma_J": 2.0}
-
-
-def jump_detection(spark, d):
-    paths = SS.simulated(spark, 4, 300, _PATHS)
-    found = S.jumps(SS.particle_filters(paths, _PATHS, 100, value="obs"), "trend").where("is_jump").select("symbol", "seq")
-    true = paths.where("jumped").select("symbol", "seq")
-    count = lambda df, name: df.groupBy("symbol").agg(F.count("*").alias(name))
-    parts = [count(true, "true"), count(found, "found"), count(R.jump_hits(true, found), "hits"), count(R.jump_false_positives(true, found), "false")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "symbol", "full")
-    return out.na.fill(0)
-
-
-def filtered_on_test(df: DataFrame, kind: str = "rbpf", n: int = 200, fraction: float = 0.7) -> DataFrame:
-    """Filter of log prices over each series' test rows and the row before them, by moments of its own training rows.
-
-    A series of fewer than 3 training rows has no moments and no rows here.
-    """
-    split = P.train_test_split(df, fraction).withColumn("log_price", F.log("price"))
-    moments = ST.langevin_moments(split.where("is_train"))
-    bridge = split.withColumn("__next", F.lead("is_train").over(P.by_time())).where("NOT is_train OR NOT __next").drop("__next", "is_train")
-    return SS.particle_filters(bridge.join(moments, "symbol"), None, n, kind, value="log_price")
-
-
-def particle_trading(spark, d, kind: str = "rbpf", n: int = 200):
-    """Filter of the test rows, soft sign of the trend's changes, backtest; parameters by moments of each series' training rows."""
-    df = P.log_returns(P.sequenced(M.ticks(spark, d, "user_id"), "ts", "event_id"))
-    return BT.metrics(BT.backtest(S.soft_sign(filtered_on_test(df, kind, n), "trend", 0.001)))
-
-
 def autocorrelation(spark, d):
-    ticks = M.ticks(spark, d)
-    out = None
-    for freq in ("5min", "1h", "1D"):
-        bars = P.resample_bars(ticks.select("symbol", "ts", "event_id", F.col("price").alias("close")), freq, order=("ts", "event_id"))
-        rets = P.log_returns(P.sequenced(bars, "ts"), "close")
-        one = ST.ljung_box(rets, 10).join(ST.variance_ratio(rets, 5), "symbol").join(ST.snr(rets, freq), "symbol").withColumn("freq", F.lit(freq))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(symbol, kind, at, value) of session log returns: first autocorrelation, Ljung-Box and its p-value, signal to noise and yearly
+    deviation at six frequencies; variance ratios at ten horizons; the minutes of the largest and least mean absolute return.
+    """
+    rets = P.log_returns(session_prices(spark, d)).withColumn("day", F.to_date("ts")).select("symbol", "seq", "ts", "day", "ret")
+    out = []
+
+    def add(df: DataFrame, at: object, **values: str) -> None:
+        structs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for k, c in values.items()))).alias("v")
+        out.append(df.select("symbol", F.lit(str(at)).alias("at"), structs).select("symbol", "v.kind", "at", "v.value"))
+
+    order = Window.partitionBy("symbol").orderBy("day", "block")
+    for size, freq in ((1, "1min"), (5, "5min"), (15, "15min"), (30, "30min"), (60, "1h"), (0, "1D")):
+        if size == 1:
+            one = rets.select("symbol", "seq", "ret")
+        elif size:
+            one = ST.block_sums(rets, size, within="day").withColumn("seq", F.row_number().over(order)).select("symbol", "seq", "ret")
+        else:
+            one = rets.groupBy("symbol", "day").agg(F.sum("ret").alias("ret")).withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy("day"))).select("symbol", "seq", "ret")
+        add(ST.ljung_box(one, 30), freq, ljung_box="q", p_value="p_value")
+        add(ST.acf(one, 1).where("lag = 1"), freq, acf1="acf")
+        add(ST.snr(one, freq), freq, snr="snr", annual_vol="annual_vol")
+    for q in HORIZONS:
+        add(ST.variance_ratio(rets, q), q, variance_ratio="variance_ratio")
+    season = ST.seasonality(rets)
+    add(ST.peaks(season), "minute", peak="peak", trough="trough")
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 PLANS = {
     "plan_exploration": exploration, "plan_model_selection": model_selection, "plan_training": training, "plan_regime_detection": regime_detection,
     "plan_backtest_comparison": backtest_comparison, "plan_em_and_gibbs": em_and_gibbs, "plan_multi_asset": multi_asset,
-    "plan_three_or_four_states": three_or_four_states, "plan_rolling_backtest": rolling_backtest, "plan_signal_refinement": signal_refinement,
-    "plan_robustness": robustness, "plan_jump_detection": jump_detection, "plan_particle_trading": particle_trading, "plan_autocorrelation": autocorrelation,
+    "plan_three_or_four_states": three_or_four_states, "plan_split_by_states": split_by_states, "plan_rolling_backtest": rolling_backtest,
+    "plan_signal_refinement": signal_refinement, "plan_configurations": configured, "plan_robustness": robustness, "plan_autocorrelation": autocorrelation,
 }

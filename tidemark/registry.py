@@ -308,6 +308,19 @@ UNION ALL SELECT f.symbol, f.event_id, f.seq, f.f0 * (0.92 * s.g0 / (f.f0 * 0.92
 FROM sm s JOIN fwd f ON f.symbol = s.symbol AND f.seq = s.seq - 1)"""
 
 
+_FULL_STEP = _SMOOTHED + """, nx AS (SELECT f.symbol, f.f0, s.g0 AS n0 FROM fwd f JOIN sm s ON s.symbol = f.symbol AND s.seq = f.seq + 1),
+pr AS (SELECT symbol, f0, n0, f0 * 0.92 + (1 - f0) * 0.15 AS p0 FROM nx),
+x AS (SELECT symbol, sum(f0 * 0.92 * n0 / p0) AS x00, sum(f0 * 0.08 * (1 - n0) / (1 - p0)) AS x01, sum((1 - f0) * 0.15 * n0 / p0) AS x10, sum((1 - f0) * 0.85 * (1 - n0) / (1 - p0)) AS x11 FROM pr GROUP BY 1),
+st AS (SELECT symbol, g0 FROM sm WHERE seq = 1)"""
+
+
+@query("m_step_moves", f"""{_FULL_STEP} SELECT x.symbol, 0 AS state, {rnd('g0', 'start', 5)}, {rnd('x00 / (x00 + x01)', 'a0', 5)}, {rnd('x01 / (x00 + x01)', 'a1', 5)} FROM x JOIN st USING (symbol)
+UNION ALL SELECT x.symbol, 1, {rnd('1 - g0', 'start', 5)}, {rnd('x10 / (x10 + x11)', 'a0', 5)}, {rnd('x11 / (x10 + x11)', 'a1', 5)} FROM x JOIN st USING (symbol)""")
+def _(spark, d):
+    out = H.m_step(user_returns(spark, d), A2, PI2, MU2, S2)
+    return out.select("symbol", "state", r("start", 5, "start"), r(F.element_at("A", 1), 5, "a0"), r(F.element_at("A", 2), 5, "a1"))
+
+
 @query("hmm_posteriors", f"{_SMOOTHED} SELECT symbol, event_id, {rnd('g0', 'g0')} FROM sm")
 def _(spark, d):
     return H.posteriors(user_returns(spark, d), A2, PI2, MU2, S2).select("symbol", "event_id", r(F.element_at("gamma", 1), 6, "g0"))
@@ -630,43 +643,54 @@ def _(spark, d):
 
 @query("em_fit")
 def _(spark, d):
-    return H.fit(returns(spark, d), 3, restarts=2, max_iter=20).select("symbol", "k", "mu", "sigma2", "A", "ll", "n_iter")
+    return H.fit(returns(spark, d), 3).select("symbol", "k", "mu", "sigma2", "A", "ll", "n_iter")
 
 
 @query("select_k")
 def _(spark, d):
-    return H.select_k(user_returns(spark, d), [1, 2, 3], restarts=2, max_iter=20)
+    return H.select_k(daily_returns(spark, d), [1, 2, 3, 4, 5])
 
 
 @query("gibbs")
 def _(spark, d):
-    return H.posterior_summary(H.gibbs(user_returns(spark, d), 2, n_samples=20, burn_in=20, thin=1))
+    return H.posterior_summary(H.gibbs(daily_returns(spark, d), 3))
+
+
+@query("expected_durations", "SELECT symbol, state, round(1.0 / greatest(1 - stay, 1e-12), 6) + 0.0 AS duration FROM (VALUES ('steady', 0, 0.92), ('steady', 1, 0.85), ('loose', 0, 0.5), ('loose', 1, 1.0)) m(symbol, state, stay)")
+def _(spark, d):
+    models = spark.createDataFrame([("steady", [list(r) for r in A2]), ("loose", [[0.5, 0.5], [0.0, 1.0]])], "symbol string, A array<array<double>>")
+    return rounded(H.expected_durations(models))
+
+
+@query("fitted_durations")
+def _(spark, d):
+    return H.expected_durations(H.fit(daily_returns(spark, d), 2))
 
 
-@query("expected_durations")
+@query("fit_retried")
 def _(spark, d):
-    return H.expected_durations(H.fit(user_returns(spark, d), 2, restarts=2, max_iter=20))
+    return H.fit_retried(daily_returns(spark, d), [3]).select("symbol", "k", "mu", "sigma2", "A", "ll", "n_iter", "attempts")
 
 
 @query("stationary")
 def _(spark, d):
-    return H.stationary(H.fit(user_returns(spark, d), 2, restarts=2, max_iter=20))
+    return H.stationary(H.fit(daily_returns(spark, d), 2))
 
 
 @query("particle_filter")
 def _(spark, d):
-    return SS.particle_filters(user_returns(spark, d), LANGEVIN, 50, "bootstrap").select("symbol", "event_id", "level", "trend", "ll")
+    return SS.particle_filters(user_returns(spark, d), LANGEVIN, 200, "bootstrap").select("symbol", "event_id", "level", "trend", "ll")
 
 
 @query("rbpf")
 def _(spark, d):
-    return SS.particle_filters(user_returns(spark, d), LANGEVIN, 50).select("symbol", "event_id", "level", "trend", "ll")
+    return SS.particle_filters(user_returns(spark, d), LANGEVIN, 200).select("symbol", "event_id", "level", "trend", "ll", "n_eff", "jump_share")
 
 
 @query("rbpf_grid")
 def _(spark, d):
-    grid = R.parameter_grid(spark, theta=[-0.1, -1.0], lambda_J=[0.0, 0.5])
-    return R.best_by(SS.grid_search(user_returns(spark, d), grid, LANGEVIN, n=10), "train_sharpe", "grid_idx", "symbol")
+    grid = R.parameter_grid(spark, theta=[-0.05, -0.1, -0.2, -0.5, -1.0, -2.0], sigma=[0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0], sigma_obs=[1.0, 5.0, 10.0, 20.0, 50.0, 100.0], lambda_J=[0.0, 0.05])
+    return SS.searched(ticks(spark, d), grid, LANGEVIN, n=20)
 
 
 @query("filter_diagnostics")
@@ -676,7 +700,8 @@ def _(spark, d):
     return ST.filter_diagnostics(out.withColumn("sd", F.sqrt("level_var")), "level", "sd", "x1")
 
 
-from tidemark.plans import experiments as _experiments  # noqa: E402
+from tidemark.plans import regimes as _regime_plans  # noqa: E402
+from tidemark.plans import trends as _trend_plans  # noqa: E402
 
-for _name, _plan in _experiments.PLANS.items():
+for _name, _plan in {**_regime_plans.PLANS, **_trend_plans.PLANS}.items():
     query(_name)(_plan)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import numerics as N
+from tidemark.operators import statespace as SS
+from tidemark.operators.hmm import seed_of
 from tidemark.operators.prep import resample_bars
 
 
@@ -25,8 +27,9 @@ def streaming_bars(ticks: DataFrame, freq: str, delay: str = "10 minutes") -> Da
     return resample_bars(bars, freq, order=("ts", "event_id"))
 
 
-def _folded(stream: DataFrame, output: str, state_schema: str, step, key: str, ts: str, value: str) -> DataFrame:
-    """step(state or None, value) -> (state, outputs) along each series; state is a tuple of doubles."""
+def _folded(stream: DataFrame, output: str, state_schema: str, step, key: str, ts: str, *values: str) -> DataFrame:
+    """step(series, state or None, values) -> (state, outputs) along each series; state is a tuple as in state_schema."""
+    names = [c.split()[0] for c in output.split(", ")]
 
     def per_key(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
@@ -34,30 +37,56 @@ def _folded(stream: DataFrame, output: str, state_schema: str, step, key: str, t
         last = held[0] if held else None
         now = held[1:] if held else None
         out = []
-        for at, v in zip(rows[ts].astype("int64").tolist(), rows[value].tolist(), strict=True):
+        for at, *v in zip(rows[ts].astype("int64").tolist(), *(rows[c].tolist() for c in values), strict=True):
             if last is not None and at < last:
                 continue
             last = at
-            now, result = step(now, v)
+            now, result = step(name[0], now, *v)
             out.append((name[0], at, *result))
         if out:
             state.update((last, *now))
-            frame = pd.DataFrame(out, columns=["symbol", "at", *[c.split()[0] for c in output.split(", ")]])
+            frame = pd.DataFrame(out, columns=["symbol", "at", *names])
             frame[ts] = pd.to_datetime(frame.pop("at"))
-            yield frame[["symbol", ts, *[c.split()[0] for c in output.split(", ")]]]
+            yield frame[["symbol", ts, *names]]
 
-    rows = stream.select(F.col(key).alias("symbol"), F.col(ts).cast("timestamp_ntz").alias(ts), value)
+    rows = stream.select(F.col(key).alias("symbol"), F.col(ts).cast("timestamp_ntz").alias(ts), *values)
     return rows.groupBy("symbol").applyInPandasWithState(per_key, f"symbol string, {ts} timestamp_ntz, {output}", f"last long, {state_schema}", "append", GroupStateTimeout.NoTimeout)
 
 
 def streaming_ewma(stream: DataFrame, decay: float = 0.94, key: str = "symbol", ts: str = "ts", value: str = "ret") -> DataFrame:
     """The stream form of ewma_volatility: two doubles of state."""
 
-    def step(state, r):
-        variance = r * r if state is None else decay * state[0] + (1 - decay) * state[1] if state[2] else state[0]
-        return (variance, r * r, 1.0), (variance,)
+    def step(_, state, r):
+        variance = r * r if state is None else decay * state[0] + (1 - decay) * state[1]
+        return (variance, r * r), (variance,)
 
-    return _folded(stream, "variance double", "variance double, square double, started double", step, key, ts, value)
+    return _folded(stream, "variance double", "variance double, square double", step, key, ts, value)
+
+
+def streaming_smooth(stream: DataFrame, alpha: float, key: str = "symbol", ts: str = "ts", value: str = "signal") -> DataFrame:
+    """The stream form of smooth_signal: one double of state, clipped on the way out only."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+
+    def step(_, state, s):
+        x = s if state is None else (1 - alpha) * state[0] + alpha * s
+        return (x,), (min(1.0, max(-1.0, x)),)
+
+    return _folded(stream, "smooth double", "x double", step, key, ts, value)
+
+
+def streaming_igarch(stream: DataFrame, alpha: float = 0.06, initial: float | None = None, key: str = "symbol", ts: str = "ts", signal: str = "signal", value: str = "ret") -> DataFrame:
+    """The stream form of igarch_scale: the position comes before the variance moves on."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be in (0, 1)")
+
+    def step(_, state, s, r):
+        v = state[0] if state is not None else r * r if initial is None else initial
+        if v <= 0:
+            raise ValueError("the first variance must be positive")
+        return (alpha * r * r + (1 - alpha) * v,), (s / v**0.5,)
+
+    return _folded(stream, "position double", "variance double", step, key, ts, signal, value)
 
 
 def streaming_filter(stream: DataFrame, A, pi, mu, sigma2, key: str = "symbol", ts: str = "ts", value: str = "ret") -> DataFrame:
@@ -65,7 +94,7 @@ def streaming_filter(stream: DataFrame, A, pi, mu, sigma2, key: str = "symbol",
     A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
     names = [f"p{k}" for k in range(len(mu))]
 
-    def step(state, r):
+    def step(_, state, r):
         prior = pi if state is None else np.array(state) @ A
         log_b = N.log_normal(r, mu, sigma2)
         joint = prior * np.exp(log_b - log_b.max())
@@ -76,13 +105,46 @@ def streaming_filter(stream: DataFrame, A, pi, mu, sigma2, key: str = "symbol",
     return _folded(stream, f"prediction double, {columns}", columns, step, key, ts, value)
 
 
+def streaming_kalman(stream: DataFrame, theta: float, sigma: float, sigma_obs: float, m0=(None, 0.0), c0=((1.0, 0.0), (0.0, 1.0)), dt: float = 1.0, key: str = "symbol", ts: str = "ts", value: str = "price") -> DataFrame:
+    """The stream form of kalman_filter: five doubles of state."""
+    q = N.transition(theta, sigma, dt)
+    r = sigma_obs**2
+
+    def step(_, state, y):
+        belief = N.moved(q, *state) if state is not None else (y if m0[0] is None else m0[0], m0[1], c0[0][0], c0[0][1], c0[1][1])
+        x0, x1, c00, c01, c11 = map(float, belief)
+        s = c00 + r
+        k0, k1, error = c00 / s, c01 / s, y - x0
+        x0, x1, keep = x0 + k0 * error, x1 + k1 * error, 1 - k0
+        c00, c01, c11 = keep * keep * c00 + k0 * k0 * r, keep * (c01 - k1 * c00) + k0 * k1 * r, c11 - k1 * (2 * c01 - k1 * (c00 + r))
+        return (x0, x1, c00, c01, c11), (x0, x1, c00, c11, float(N.log_normal(error, 0.0, s)))
+
+    return _folded(stream, "level double, trend double, level_var double, trend_var double, ll double", "m0 double, m1 double, c00 double, c01 double, c11 double", step, key, ts, value)
+
+
+def streaming_rbpf(stream: DataFrame, parameters: dict[str, float], n: int = 100, seed: int = 42, dt: float = 1.0, level_var: float | None = None, key: str = "symbol", ts: str = "ts", value: str = "price") -> DataFrame:
+    """The stream form of the Rao-Blackwellised particle filter: five doubles for each particle and a count of steps, from which a
+    step's random numbers follow, so that it equals particle_filters() row by row.
+    """
+    p = {c: np.array([float(parameters[c])]) for c in SS.PARAMETERS}
+    model = N.jump_model(p, 1, dt)
+
+    def step(series, state, y):
+        t = state[1] if state is not None else 0
+        particles = tuple(np.array(state[0]).reshape(5, 1, n)) if state is not None else N.started_particles(*SS.prior(np.array([y]), p, level_var), n)
+        particles, now = N.rbpf_step(model, particles, np.array([y]), *N.draws_of_step(seed_of(seed, series), n, t), t == 0)
+        return (np.concatenate([x.ravel() for x in particles]).tolist(), t + 1), (*now["mean"][0].tolist(), *now["std"][0].tolist(), float(now["ll"][0]), float(now["n_eff"][0]))
+
+    return _folded(stream, "level double, trend double, level_std double, trend_std double, ll double, n_eff double", "particles array<double>, step long", step, key, ts, value)
+
+
 def streaming_backtest(stream: DataFrame, cost_bps: float = 5, key: str = "symbol", ts: str = "ts", value: str = "ret", signal: str = "signal") -> DataFrame:
-    """The stream form of backtest for rows whose signal is the sign of the return before: net return and wealth."""
+    """The stream form of backtest: the last two signals and the wealth so far."""
 
-    def step(state, r):
-        lagged, lagged2, wealth, last = state if state is not None else (0.0, 0.0, 1.0, 0.0)
+    def step(_, state, r, s):
+        lagged, lagged2, wealth = state if state is not None else (0.0, 0.0, 1.0)
         net = lagged * r - abs(lagged - lagged2) * cost_bps / 1e4
         wealth *= 1 + net
-        return (float(np.sign(r)), lagged, wealth, r), (net, wealth)
+        return (s, lagged, wealth), (net, wealth)
 
-    return _folded(stream, "net double, cumulative double", "lagged double, lagged2 double, wealth double, r double", step, key, ts, value)
+    return _folded(stream, "net double, cumulative double", "lagged double, lagged2 double, wealth double", step, key, ts, value, signal)
