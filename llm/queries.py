@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontamination, line_dedup, near_dedup, pieces, quality_classifier, quality_rules, substring_dedup, token_blocks, url_filter, warc
+from llm import decontamination, line_dedup, near_dedup, oracles, pieces, quality_classifier, quality_rules, substring_dedup, token_blocks, url_filter, warc
 from llm.tables import bounded, read
 
 
@@ -67,7 +67,7 @@ FROM ruled"""
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents", "doc_id", "text")
     cleaned = line_dedup.without_lines(documents, line_dedup.removed_lines(documents), figures=True)
-    return cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("kept", F.lit(""))).alias("kept_crc32"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op6_url_filter": _op6_sql()}
+ORACLE: dict[str, str] = {"op5_minhash_near_dedup": oracles.NEAR_DEDUP, "op6_url_filter": _op6_sql(), "op7_line_dedup": oracles.LINE_DEDUP}

@@ -54,7 +54,8 @@ def test_queries(spark, name):
     assert rows
     if name in ORACLE:
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+        for table in ("pages", "documents"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
         expected = con.sql(ORACLE[name])
         assert sorted(expected.columns) == sorted(df.columns)
         assert sorted(map(str, expected.fetchall())) == sorted(str(tuple(r[c] for c in expected.columns)) for r in rows)
