@@ -80,6 +80,11 @@ def tail_slice(df: DataFrame, n: int, key: str = "symbol") -> DataFrame:
     return df.withColumn("__n", F.max("seq").over(Window.partitionBy(key))).where(F.col("seq") > F.col("__n") - n).drop("__n")
 
 
+def drop_missing(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a null or NaN in the columns, all of them by default."""
+    return df.na.drop(subset=list(columns) or None)
+
+
 def min_history(df: DataFrame, n: int, key: str = "symbol") -> DataFrame:
     """Series with at least n rows."""
     return df.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where(F.col("__n") >= n).drop("__n")

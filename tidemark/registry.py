@@ -172,6 +172,12 @@ def _(spark, d):
     return rounded(out.withColumn("back", F.col("back").cast("long")), "symbol", "back", "close", digits=4)
 
 
+@query("drop_missing", f"WITH {RETURNS} SELECT symbol, event_id FROM rets WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
+def _(spark, d):
+    holed = F.when(F.col("event_id") % 5 == 0, float("nan")).when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("ret"))
+    return P.drop_missing(returns(spark, d).withColumn("x", holed), "x").select("symbol", "event_id")
+
+
 # Features and signals
 
 
@@ -186,6 +192,11 @@ def _(spark, d):
     return returns(spark, d).select("symbol", "event_id", r(S.discretize(F.col("ret"), 0.001), 6, "tick"))
 
 
+@query("tick_variance_floor", "SELECT CAST(tick AS DOUBLE) AS tick, CAST(tick * tick / 2 AS DOUBLE) AS floor FROM (VALUES (0.25), (0.5), (2.0)) t(tick)")
+def _(spark, d):
+    return spark.createDataFrame([(t, S.tick_variance_floor(t)) for t in (0.25, 0.5, 2.0)], "tick double, floor double")
+
+
 @query("discretized_log_pmf", f"""WITH {RETURNS}, z AS (SELECT ln(sum(exp(-0.5 * pow(g * 0.001, 2) / 4e-4))) AS log_z FROM range(-200, 201) t(g))
 SELECT symbol, event_id, {rnd('-0.5 * pow(round_even(ret / 0.001, 0) * 0.001, 2) / 4e-4 - log_z', 'log_pmf', 6)} FROM rets, z""")
 def _(spark, d):
@@ -396,7 +407,11 @@ _ANNUAL = "pow(product(1 + net), 252.0 / count(*)) - 1"
 
 @query("backtest_metrics", _METRICS % ", ".join((rnd(_SHARPE, "sharpe"), rnd(_ANNUAL, "annualized_return"), rnd("-min(dd)", "max_drawdown"), rnd("coalesce(avg(change), 0)", "turnover"))))
 def backtest_metrics(spark, d):
-    return rounded(BT.metrics(BT.backtest(signalled(spark, d))))
+    return rounded(backtested(spark, d))
+
+
+def backtested(spark, d):
+    return BT.metrics(BT.backtest(signalled(spark, d)))
 
 
 for _name, _expression in (("sharpe", _SHARPE), ("annualized_return", _ANNUAL), ("max_drawdown", "-min(dd)"), ("turnover", "coalesce(avg(change), 0)")):
@@ -623,6 +638,42 @@ def _(spark, d):
     return R.top_k(backtest_metrics(spark, d).select("symbol", "sharpe"), "sharpe", 3, "symbol")
 
 
+@query("best_row", f"WITH {RETURNS} SELECT symbol, event_id, {rnd('ret', 'ret', 9)} FROM rets QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ret DESC, seq) = 1")
+def _(spark, d):
+    return rounded(R.best_by(returns(spark, d), "ret", "seq", "symbol"), "symbol", "event_id", "ret", digits=9)
+
+
+@query("survivors", f"SELECT symbol, sharpe FROM ({_METRICS % rnd(_SHARPE, 'sharpe')}) QUALIFY sharpe > 0 OR (NOT bool_or(sharpe > 0) OVER () AND row_number() OVER (ORDER BY sharpe DESC, symbol) <= 5)")
+def _(spark, d):
+    return P.survivors(backtest_metrics(spark, d).select("symbol", "sharpe"), "sharpe", 5, "symbol")
+
+
+@query("survivors_fallback", f"SELECT symbol, loss FROM (SELECT symbol, -1 - abs(sharpe) AS loss FROM ({_METRICS % rnd(_SHARPE, 'sharpe')})) QUALIFY row_number() OVER (ORDER BY loss DESC, symbol) <= 2")
+def _(spark, d):
+    return P.survivors(backtest_metrics(spark, d).select("symbol", (-1 - F.abs("sharpe")).alias("loss")), "loss", 2, "symbol")
+
+
+@query("window_summary", f"""WITH {BACKTEST}, dd AS (SELECT *, cumulative / max(cumulative) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM curve),
+own AS (SELECT symbol, {_SHARPE} AS sharpe, -min(dd) AS mdd FROM dd GROUP BY 1),
+hold AS (SELECT symbol, seq, CASE WHEN seq = 1 THEN 0 ELSE ret END AS net FROM rets),
+held AS (SELECT *, product(1 + net) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS c FROM hold),
+falls AS (SELECT *, c / max(c) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM held),
+bench AS (SELECT symbol, {_SHARPE} AS b_sharpe, -min(dd) AS b_mdd FROM falls GROUP BY 1)
+SELECT {rnd('avg((sharpe > b_sharpe)::DOUBLE)', 'win_rate')}, {rnd('avg(sharpe - b_sharpe)', 'mean_gain', 5)}, {rnd('avg(b_mdd - mdd)', 'mean_relief', 5)}, count(*) FILTER (b_mdd > mdd) AS relieved FROM own JOIN bench USING (symbol)""")
+def _(spark, d):
+    own = backtested(spark, d).select("symbol", "sharpe", "max_drawdown")
+    hold = BT.metrics(BT.backtest(returns(spark, d).withColumn("signal", F.lit(1.0)), 0)).select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("max_drawdown").alias("benchmark_drawdown"))
+    out = R.window_summary(own.join(hold, "symbol"))
+    return out.select(r("win_rate", 6, "win_rate"), r("mean_gain", 5, "mean_gain"), r("mean_relief", 5, "mean_relief"), "relieved")
+
+
+@query("concatenated_windows", f"""WITH {DAILY}, b AS (SELECT *, CAST(min(dt) OVER (PARTITION BY symbol) + INTERVAL 36 MONTH AS DATE) AS f FROM drets)
+SELECT symbol, dt, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS place, {rnd('ret', 'ret', 8)} FROM b WHERE dt >= f""")
+def _(spark, d):
+    test = R.expanding_windows(daily_returns(spark, d), "dt", 36, 6).where("part = 'test'")
+    return test.select("symbol", "dt", F.row_number().over(Window.partitionBy("symbol").orderBy("dt")).cast("long").alias("place"), r("ret", 8, "ret"))
+
+
 @query("expanding_windows", f"""WITH {_DSIG}, b AS (SELECT *, min(dt) OVER (PARTITION BY symbol) AS f, max(dt) OVER (PARTITION BY symbol) AS l FROM drets),
 w AS (SELECT *, unnest(generate_series(0, 40)) AS k FROM b), s AS (SELECT *, CAST(f + to_months(CAST(36 + 6 * k AS INTEGER)) AS DATE) AS test_start FROM w)
 SELECT symbol, CAST(k AS INTEGER) AS window_id, test_start, count(*) FILTER (dt < test_start) AS n_train, count(*) FILTER (dt >= test_start) AS n_test FROM s
@@ -693,6 +744,15 @@ def _(spark, d):
     return SS.searched(ticks(spark, d), grid, LANGEVIN, n=20)
 
 
+@query("last_price_diagnostics", f"""WITH {RETURNS}, x AS (SELECT symbol, price - lag(price) OVER (PARTITION BY symbol ORDER BY seq) AS e FROM rets)
+SELECT symbol, {rnd('sqrt(avg(e * e))', 'rmse', 5)}, {rnd('avg((abs(e) <= 50)::DOUBLE)', 'within_2')}, {rnd('avg((abs(e) > 50)::DOUBLE)', 'outside_2')}, {rnd('avg(e)', 'mean', 5)}, {rnd('stddev_pop(e)', 'std', 5)} FROM x WHERE e IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    last = returns(spark, d).withColumn("last", F.lag("price").over(P.by_time())).where("last IS NOT NULL").withColumn("sd", F.lit(25.0))
+    digits = {"within_2": 6, "outside_2": 6}
+    out = ST.filter_diagnostics(last, "last", "sd", "price")
+    return out.select("symbol", *(r(c, digits.get(c, 5), c) for c in out.columns if c != "symbol"))
+
+
 @query("filter_diagnostics")
 def _(spark, d):
     paths = SS.simulated(spark, 8, 200, {"theta": -0.2, "sigma": 0.05, "sigma_obs": 0.3, "lambda_J": 0.0, "mu_J": 0.0, "sigma_J": 0.0})
