@@ -153,14 +153,10 @@ def test_queries_judge_all_lines(spark, monkeypatch):
 
 def test_figures_of_the_query(spark, documents, rows):
     """The registered columns against texts cut by hand."""
-    import zlib
-
-    from llm import queries
-
     removed = brute_lines(rows)
     cleaned = line_dedup.without_lines(documents.select("doc_id", "text"), line_dedup.removed_lines(documents), figures=True)
-    found = cleaned.select("doc_id", "n_lines", "n_removed", F.crc32(F.coalesce("kept", F.lit(""))).alias("kept_crc32")).collect()
-    assert len(found) == len(rows) and queries.op7_line_dedup
+    found = cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept", F.lit("")).cast("binary")).alias("kept_md5")).collect()
+    assert len(found) == len(rows)
     for r in found:
         text = dict(rows)[r.doc_id] or ""
         gone = {n for i, n in removed if i == r.doc_id}
@@ -169,7 +165,7 @@ def test_figures_of_the_query(spark, documents, rows):
             number += bool(line)
             if not line or number - 1 not in gone:
                 parts.append(line)
-        assert (r.n_lines, r.n_removed, r.kept_crc32) == (number, len(gone), zlib.crc32("\n".join(parts).encode()))
+        assert (r.n_lines, r.n_removed, r.kept_md5) == (number, len(gone), hashlib.md5("\n".join(parts).encode()).hexdigest())
 
 
 def test_near_lines_in_a_large_group(spark):
@@ -234,6 +230,36 @@ def test_substrings(documents, rows):
     assert len(found) == len(rows) and all(tuple(r)[1:] == expected[r.doc_id] for r in found)
 
 
+def test_repeated_rows_of_a_document_are_one(spark):
+    """Rows that repeat as a whole, without any other copy, lose nothing; a copy under a later id is covered."""
+    text, other = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(700)), "".join(chr(97 + (k * 31 + k // 5) % 26) for k in range(400))
+    rows = [(4, text), (4, text), (6, other + text[100:400]), (5, "z" + other), (5, "z" + other)]
+    found = {tuple(r) for r in substring_dedup.without_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {(i, *x) for i, x in brute_spans(rows).items()}
+
+
+def test_hot_anchors(spark, monkeypatch):
+    """A passage of 60 to 140 bytes in ever new surroundings, whose anchors all count as hot."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    monkeypatch.setattr(substring_dedup, "HELD_RUNS", 30)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = noise(140)
+    rows = [(k, noise(rng.randrange(150)) + passage[: rng.choice((60, 99, 100, 120, 140))] + noise(rng.randrange(200))) for k in range(60)]
+    for here in (1, 3, 256):
+        monkeypatch.setattr(substring_dedup, "HOT_HERE", here)
+        found = {tuple(r) for r in substring_dedup.without_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert found == {(i, *x) for i, x in brute_spans(rows).items()}
+
+
+def test_texts_without_their_spans(documents, rows):
+    expected = brute_spans(rows)
+    for r in substring_dedup.without_spans(documents, with_text=True).collect():
+        assert hashlib.sha256(r.kept_text.encode()).hexdigest() == expected[r.doc_id][3] or "\ufffd" in r.kept_text
+
+
 def test_interval_expansion_against_slices():
     rng = np.random.default_rng(3)
     for length in (2, 5, 12):

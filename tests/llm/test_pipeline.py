@@ -47,6 +47,36 @@ def test_columns_of_contracts(spark, name):
     assert kinds[: len(expected)] == expected
 
 
+def test_rows_of_the_classifier(spark):
+    import zlib
+
+    from llm.quality_classifier import THRESHOLD
+
+    rows = QUERIES["op8_quality_classifier"](spark, DATA).collect()
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
+    assert sorted(r.doc_id for r in rows) == ids
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= THRESHOLD) and 0 <= r.score <= 1
+
+
+def test_rows_of_the_derivatives(spark):
+    """Every registered column, against records derived page by page."""
+    import zlib
+
+    from llm import warc
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()
+    expected = set()
+    for page in pages:
+        for record in warc.derivatives(warc.response_record(*page)):
+            fields, block = next(warc.read_records(record))
+            at = lambda name, fields=fields: warc.field(fields, name)
+            names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type", "WARC-Block-Digest", "Source-WARC-Payload-Digest")
+            expected.add((page.page_id, *map(at, names), len(block), zlib.crc32(block)))
+    found = {tuple(r) for r in QUERIES["op10_warc_derivatives"](spark, DATA).collect()}
+    assert found == expected and len(found) == 2 * len(pages)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries(spark, name):
     df = entry.queries()[name](spark, DATA)

@@ -41,6 +41,38 @@ def test_base_figures(documents, rows, small):
         assert r.base_failed == (f[0] < 50 or 100 * f[4] > 50 * f[0]) and not (r.base_failed and r.kept)
 
 
+def test_probabilities_against_ngrams_one_by_one(documents, rows, small):
+    """The verdict from n-grams cut and hashed one at a time."""
+    B = quality_rules.B
+    model = quality_rules.fit(*small, max_rows=200, steps=10)
+    shift = np.uint64(64 - quality_rules.BITS)
+
+    def hashed(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return B.span_hashes(B.prefix_hashes(data), np.array([0]), np.array([len(data)]))
+
+    def kinds(text):
+        words = [hashed("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)) for w in WORD.findall(text)]
+        yield [int(h[0] >> shift) for h in words]
+        yield [int(B.mix(a * B.BASE + b)[0] >> shift) + (1 << quality_rules.BITS) for a, b in zip(words, words[1:], strict=False)]
+        yield [int(hashed(text[k : k + 4])[0] >> shift) + (2 << quality_rules.BITS) for k in range(len(text) - 3)]
+
+    found = {r.doc_id: r for r in quality_rules.judge(documents, model).collect()}
+    for i, text in rows:
+        if len(text or "") > 3000:
+            continue
+        raw = model.bias + sum(float(model.weights[k].astype(float).mean()) for k in kinds(text or "") if k)
+        p = quality_rules.sigmoid(model.a * raw + model.b)
+        assert found[i].probability == pytest.approx(p, abs=1e-9) and found[i].kept == (not found[i].base_failed and p >= quality_rules.KEEP_AT)
+
+
+def test_rules_on_an_empty_table_and_clashing_names(spark, nothing, documents, small):
+    model = quality_rules.fit(*small, max_rows=200, steps=5)
+    assert quality_rules.judge(nothing, model).count() == 0
+    clashing = small[0].withColumn("label", F.lit("z")).withColumn("indices", F.lit("z")).withColumn("quality", F.lit("z"))
+    assert np.allclose(quality_rules.fit(clashing, small[1], max_rows=200, steps=5).weights, model.weights)
+
+
 def test_rules_tell_good_from_bad(small):
     documents, labels = small
     out = quality_rules.judge(documents, quality_rules.fit(documents, labels)).join(labels, "doc_id").where("NOT base_failed").collect()
