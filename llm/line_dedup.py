@@ -39,11 +39,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm import blocks as B
-from llm.tables import groups, near, release, stored, workspace
+from llm.tables import groups, near, release, stored, with_rows, without_rows, workspace
 
 PERCENT = 75
 RARITY_BITS, KEY_BITS, CODE_BITS = 24, 41, 6
-CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, HELD_POSTINGS, WIDE, LONG = 1 << 17, 1 << 20, 200_000, 1 << 19, 512, 64
+CHUNK_LINES, CHUNK_PAIRS, PART_POSTINGS, HELD_POSTINGS, WIDE, LONG = 1 << 17, 1 << 18, 200_000, 1 << 17, 512, 64
 #: Candidates of a line and word that are verified at once; prefixes of how many lines make a word common.
 NEAREST, COMMON = 4, 1 << 14
 _NOT_NEWLINE = np.zeros(256, bool)
@@ -369,7 +369,7 @@ def candidate_pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame
 
 def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
     """(doc_id, line) of pairs (doc_id, line, doc_x, line_x), a stored table, whose whole lines reach the threshold."""
-    ends = pairs.select("doc_id", "line").union(pairs.select("doc_x", "line_x")).groupBy(F.col("doc_id").alias("__wanted_of")).agg(F.collect_set("line").alias("__wanted"))
+    ends = pairs.select("doc_id", "line").union(pairs.select("doc_x", "line_x")).groupBy("doc_id").agg(F.collect_set("line").alias("__wanted"))
 
     def pick(batches):
         for batch in batches:
@@ -415,8 +415,7 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["doc_id", "line"])
 
     with workspace(documents.sparkSession):
-        ends = near(stored(ends, "line-dedup-wanted"), "1 + size(__wanted) / 4")
-        asked = documents.select("doc_id", text).join(ends, F.col("doc_id") == F.col("__wanted_of")).select("doc_id", text, "__wanted")
+        asked = with_rows(documents.select("doc_id", text), stored(ends, "line-dedup-wanted"), ["doc_id"], "1 + size(__wanted) / 4").select("doc_id", text, "__wanted")
         content = asked.mapInArrow(pick, "doc_id long, line int, content binary, map binary")
         content = stored(content.dropDuplicates(["doc_id", "line"]), "line-dedup-content")
         maps, content = content.select("doc_id", "line", "map"), content.select("doc_id", "line", "content")
@@ -472,10 +471,9 @@ def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text",
     With figures it is (doc_id, n_lines, n_removed, kept) instead; n_lines counts lines that hold a character. Texts that
     keep all their lines do not go through Python.
     """
-    rows = removed.groupBy(F.col("doc_id").alias("__removed_of")).agg(F.collect_set("line").alias("__removed"))
-    rows = near(stored(rows, "line-dedup-removed-of"), "1 + size(__removed) / 4")
-    mine = F.col("doc_id") == F.col("__removed_of")
-    joined, others = documents.join(rows, mine).drop("__removed_of"), documents.join(rows, mine, "left_anti")
+    rows = stored(removed.groupBy("doc_id").agg(F.collect_set("line").alias("__removed")), "line-dedup-removed-of")
+    joined = with_rows(documents, rows, ["doc_id"], "1 + size(__removed) / 4").select(*documents.columns, "__removed")
+    others = without_rows(documents, rows, ["doc_id"]).select(documents.columns)
     at, schema = documents.columns.index(text), documents.schema
 
     def kept(batches):

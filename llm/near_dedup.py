@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from llm import blocks as B
 from llm.components import components
-from llm.tables import cut, groups, near, release, stored, without_ids, workspace
+from llm.tables import cut, groups, near, release, stored, with_rows, without_ids, workspace
 
 SHINGLE, PERCENT = 5, 75
 BUCKETS, ROWS, MANTISSA = 160, 4, 10
@@ -156,7 +156,7 @@ def _similarities(pairs: DataFrame) -> DataFrame:
 
 def _texts(documents: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """(node, text) of each of nodes(node, doc_id, text_hash), a stored table."""
-    found = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(near(nodes), ["doc_id", "text_hash"])
+    found = with_rows(documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), nodes, ["doc_id", "text_hash"], "3")
     return found.select("node", "text").dropDuplicates(["node"])
 
 

@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Pairs of pieces whose answers a worker keeps.
 PAIR_SLOTS = 1 << 21
 #: Words of more characters are swept alone; characters that advance together; pairs that the sweep remembers.
-LONG, CHARACTERS, REMEMBERED = 64, 1 << 18, 1 << 19
+LONG, CHARACTERS, REMEMBERED = 64, 1 << 17, 1 << 16
 #: Bits of the sieve that most substrings end in, before they are sought among the keys.
 SIEVE_BITS = 17
 _PAIRS: dict[str, np.ndarray] = {}

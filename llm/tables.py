@@ -92,8 +92,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows that may be broadcast: at most about 40 MB on the driver and on each executor.
-BROADCAST_ROWS = 1 << 20
+#: Rows that may be broadcast, and rows of keys alone: at most about 40 MB, and 130 MB, on the driver and on each executor.
+BROADCAST_ROWS, KEY_ROWS = 1 << 20, 1 << 22
 
 
 def near(keys: DataFrame, weight: str = "1") -> DataFrame:
@@ -106,6 +106,27 @@ def near(keys: DataFrame, weight: str = "1") -> DataFrame:
     return F.broadcast(keys) if size <= BROADCAST_ROWS else keys
 
 
+def with_rows(documents: DataFrame, rows: DataFrame, on: list[str], weight: str | None = "1") -> DataFrame:
+    """documents joined with rows, a stored table with one row for each of its keys, inner.
+
+    Texts without a row do not move: small rows, by weight, are broadcast, and of larger ones the keys, as long as they are no
+    more than KEY_ROWS. Beyond that Spark shuffles both sides. Without a weight rows are never broadcast, as they are large
+    themselves.
+    """
+    n, size = rows.agg(F.count("*"), F.sum(F.expr(weight or "1"))).first()
+    if weight and (size or 0) <= BROADCAST_ROWS:
+        return documents.join(F.broadcast(rows), on)
+    if n * len(on) <= KEY_ROWS:
+        documents = documents.join(F.broadcast(rows.select(on)), on, "left_semi")
+    return documents.join(rows if weight else rows.hint("merge"), on)
+
+
+def without_rows(documents: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of documents whose keys are not in rows, a stored table. Nulls are in none."""
+    keys = rows.select(on)
+    return documents.join(F.broadcast(keys) if rows.count() * len(on) <= KEY_ROWS else keys, on, "left_anti")
+
+
 def without_ids(documents: DataFrame, ids: DataFrame, id_column: str = "doc_id", repeated: list[str] | None = None) -> DataFrame:
     """documents whose id is not in ids(doc_id), a stored table. Rows without an id stay.
 
@@ -113,7 +134,8 @@ def without_ids(documents: DataFrame, ids: DataFrame, id_column: str = "doc_id",
     the columns of `repeated` one stays.
     """
     named = ids.select(F.col("doc_id").alias("__named"), *(["gone"] if repeated else []))
-    others = documents.join(near(named.select("__named").distinct()), F.col(id_column) == F.col("__named"), "left_anti")
+    names = named.select("__named").distinct()
+    others = documents.join(F.broadcast(names) if ids.count() <= KEY_ROWS else names, F.col(id_column) == F.col("__named"), "left_anti")
     if not repeated:
         return others
     left = documents.join(near(named.where("NOT gone").select("__named").distinct()), F.col(id_column) == F.col("__named"), "left_semi")
