@@ -118,6 +118,20 @@ def span_hashes(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix((prefix[end] - prefix[begin]) * powers(len(prefix))[1][begin])
 
 
+def gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+    """The byte strings begin..end-1 as an Arrow array."""
+    size = end - begin
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    raw = data[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def word_codes(data: np.ndarray, words: Words) -> tuple[np.ndarray, pa.StringArray]:
+    """Each word's place among the different words of the block, and those words: told apart by their bytes, not by hashes."""
+    coded = gathered(data, words.begin, words.end).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
+
+
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
     return span_hashes(prefix_hashes(data), words.begin, words.end)
 

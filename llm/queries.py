@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontamination, line_dedup, near_dedup, oracles, pieces, quality_classifier, quality_rules, substring_dedup, token_blocks, url_filter, warc
+from llm import (
+    decontamination,
+    line_dedup,
+    near_dedup,
+    oracles,
+    pieces,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    source_audit,
+    substring_dedup,
+    token_alignment,
+    token_blocks,
+    url_filter,
+    warc,
+)
 from llm.tables import bounded, read
 
 
@@ -88,6 +103,19 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "source_payload_digest", size, checksum)
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metadata = sharding.measured(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "size", "text_crc32")
+    return sharding.sharded(metadata).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.statistics(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(read(spark, sf_dir, "documents"))
+
+
 def _query(operator: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded(spark)
@@ -107,7 +135,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": _query(op8_quality_classifier),
     "op9_substring_dedup": _query(op9_substring_dedup),
     "op10_warc_derivatives": _query(op10_warc_derivatives),
+    "op11_hilbert_shards": _query(op11_hilbert_shards),
+    "op12_token_alignment": _query(op12_token_alignment),
+    "op13_source_audit": _query(op13_source_audit),
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op5_minhash_near_dedup": oracles.NEAR_DEDUP, "op6_url_filter": _op6_sql(), "op7_line_dedup": oracles.LINE_DEDUP}
+ORACLE: dict[str, str] = {
+    "op5_minhash_near_dedup": oracles.NEAR_DEDUP, "op6_url_filter": _op6_sql(), "op7_line_dedup": oracles.LINE_DEDUP,
+    "op11_hilbert_shards": oracles.sharding(sharding.SHARDS, sharding.BITS), "op13_source_audit": oracles.source_audit(source_audit.MIN_DOCS, source_audit.SMOOTH, source_audit.UNIT, source_audit.TOP)}
