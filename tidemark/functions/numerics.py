@@ -172,14 +172,57 @@ def smoothed_messages(m: Messages, filtered: np.ndarray) -> tuple[np.ndarray, np
     return gamma, A * ((f / norm).transpose(0, 2, 1) @ w)
 
 
-def smoothed(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """State posteriors, the sum over time of the posteriors of transitions (never all of them at once), and the log-likelihood."""
+def smoothed_steps(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State posteriors, the sum over time of the posteriors of transitions (never all of them at once), and the log-likelihood
+    gained at each step, of one model or of several on a leading axis.
+
+    For a block of a longer series pi is the prediction for its first row, and `after` what all rows behind the block say about the
+    state at the first of them, up to a factor; the transition to that row counts.
+    """
     single = log_b.ndim == 2
-    m = messages(*((x[None] for x in (log_b, A)) if single else (log_b, A)))
-    filtered, total = filtered_messages(m, pi[None] if single else pi)
+    if single:
+        log_b, A, pi = log_b[None], A[None], pi[None]
+        after = None if after is None else after[None]
+    n = log_b.shape[1]
+    if after is not None:  # it acts as one more row
+        with np.errstate(divide="ignore"):
+            log_b = np.concatenate([log_b, np.log(after)[:, None]], axis=1)
+    m = messages(log_b, A)
+    filtered, total = filtered_messages(m, pi)
     gamma, xi = smoothed_messages(m, filtered)
-    ll = (np.log(_in_time(total, m)) + m.top).sum(axis=-1)
-    return (gamma[0], xi[0], ll[0]) if single else (gamma, xi, ll)
+    gain = (np.log(_in_time(total, m)) + m.top)[:, :n]
+    return (gamma[0, :n], xi[0], gain[0]) if single else (gamma[:, :n], xi, gain)
+
+
+def smoothed(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As smoothed_steps(), with the log-likelihood of all steps."""
+    gamma, xi, gain = smoothed_steps(log_b, A, pi)
+    return gamma, xi, gain.sum(axis=-1)
+
+
+def chained(log_b: np.ndarray, A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Product over time of (densities of the row, then a transition), (..., K, K) with greatest entry 1, and the logarithm of its
+    factor. Halves are multiplied first, so that numpy takes log T steps."""
+    top = log_b.max(axis=-1)
+    x, scale = np.exp(log_b - top[..., None])[..., None] * A[..., None, :, :], top.sum(axis=-1)
+    while x.shape[-3] > 1:
+        odd = x[..., -1:, :, :] if x.shape[-3] % 2 else None
+        x = x[..., 0 : x.shape[-3] // 2 * 2 : 2, :, :] @ x[..., 1::2, :, :]
+        most = np.maximum(x.max(axis=(-2, -1)), 1e-300)
+        x, scale = x / most[..., None, None], scale + np.log(most).sum(axis=-1)
+        x = x if odd is None else np.concatenate([x, odd], axis=-3)
+    x = x[..., 0, :, :]
+    most = np.maximum(x.max(axis=(-2, -1)), 1e-300)
+    return x / most[..., None, None], scale + np.log(most)
+
+
+def best_chained(log_b: np.ndarray, log_A: np.ndarray) -> np.ndarray:
+    """Greatest sums over paths through the rows, (K, K): from entering the first row in a state to entering the row behind."""
+    x = log_b[:, :, None] + log_A
+    while len(x) > 1:
+        odd = x[-1:] if len(x) % 2 else x[:0]
+        x = np.concatenate([(x[0 : len(x) // 2 * 2 : 2, :, :, None] + x[1::2, None]).max(axis=2), odd])
+    return x[0]
 
 
 def m_step(obs: np.ndarray, gamma: np.ndarray, xi: np.ndarray, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
@@ -190,16 +233,17 @@ def m_step(obs: np.ndarray, gamma: np.ndarray, xi: np.ndarray, min_variance: flo
     return A / A.sum(axis=-1, keepdims=True), gamma[..., 0, :] / gamma[..., 0, :].sum(axis=-1, keepdims=True), mu, sigma2
 
 
+def start_draws(n: int, k: int, seed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random transitions of a model, the rows (of n) whose values are its means, and factors of its variances."""
+    rng = np.random.default_rng(seed)
+    a = np.maximum(rng.dirichlet(np.ones(k), k) * 0.2 + 0.8 * np.eye(k) if k > 1 else np.ones((1, 1)), FLOOR)
+    return a / a.sum(axis=-1, keepdims=True), rng.integers(0, n, k), rng.uniform(0.5, 1.5, k)
+
+
 def started(obs: np.ndarray, k: int, seeds: list, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
     """Random A, pi, mu, sigma2 of a model for each seed."""
-    A, mu, sigma2 = [], [], []
-    for seed in seeds:
-        rng = np.random.default_rng(seed)
-        a = np.maximum(rng.dirichlet(np.ones(k), k) * 0.2 + 0.8 * np.eye(k) if k > 1 else np.ones((1, 1)), FLOOR)
-        A.append(a / a.sum(axis=-1, keepdims=True))
-        mu.append(np.sort(rng.choice(obs, k)))
-        sigma2.append(max(obs.var(), min_variance) * rng.uniform(0.5, 1.5, k))
-    return np.array(A), np.full((len(seeds), k), 1 / k), np.array(mu), np.array(sigma2)
+    A, at, factors = (np.array(x) for x in zip(*(start_draws(len(obs), k, seed) for seed in seeds), strict=True))
+    return A, np.full((len(seeds), k), 1 / k), np.sort(obs[at], axis=1), max(obs.var(), min_variance) * factors
 
 
 def em(obs: np.ndarray, k: int, seeds: list, max_iter: int = 200, tol: float = 1e-6, min_variance: float = 1e-8) -> list[dict]:
@@ -270,29 +314,39 @@ def sorted_states(model: dict) -> dict:
     return {"A": A / A.sum(axis=1, keepdims=True), "pi": pi / pi.sum(), "mu": np.asarray(model["mu"])[order], "sigma2": np.maximum(np.asarray(model["sigma2"])[order], FLOOR)}
 
 
-def viterbi(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
-    """Most likely path of states, the lowest state of equals, and its log-probability."""
-    n, k = log_b.shape
-    with np.errstate(divide="ignore"):
-        log_A, best = np.log(A).T.tolist(), (np.log(pi) + log_b[0]).tolist()
+def viterbi_moves(log_b: np.ndarray, log_A: np.ndarray, entering: np.ndarray) -> tuple[list[list[int]], list[float]]:
+    """From scores of entering the first row in each state: which state each state of a later row is best reached from, the lowest
+    of equals, and the scores of the last row."""
+    into_of, best = log_A.T.tolist(), (entering + log_b[0]).tolist()
     back = []
     for row in log_b[1:].tolist():
         reach, came = [], []
-        for into, b in zip(log_A, row, strict=True):
+        for into, b in zip(into_of, row, strict=True):
             top, at = best[0] + into[0], 0
-            for i in range(1, k):
+            for i in range(1, len(best)):
                 if (x := best[i] + into[i]) > top:
                     top, at = x, i
             reach.append(top + b)
             came.append(at)
         best = reach
         back.append(came)
-    state = best.index(max(best))
+    return back, best
+
+
+def traced(back: list[list[int]], state: int) -> list[int]:
+    """The path that ends in state."""
     path = [state]
     for came in reversed(back):
         state = came[state]
         path.append(state)
-    return np.array(path[::-1]), float(max(best))
+    return path[::-1]
+
+
+def viterbi(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
+    """Most likely path of states, the lowest state of equals, and its log-probability."""
+    with np.errstate(divide="ignore"):
+        back, best = viterbi_moves(log_b, np.log(A), np.log(pi))
+    return np.array(traced(back, best.index(max(best)))), float(max(best))
 
 
 def stationary(A: np.ndarray) -> np.ndarray:
@@ -423,6 +477,65 @@ def kalman_filter(obs: np.ndarray, f: np.ndarray, q: np.ndarray, r: float, m: np
     return out[:, :2], out[:, [2, 3, 3, 4]].reshape(-1, 2, 2), out[:, 5]
 
 
+class Gaussian(NamedTuple):
+    """What rows say about moving from a state x before the first of them to the state y before the row behind the last.
+
+    y given x and the rows is normal with mean A x + b and covariance C; the rows' density given x is proportional to that of
+    exp(eta' x - x' J x / 2). Such elements are combined associatively. Leading axes run over elements.
+    """
+
+    A: np.ndarray
+    b: np.ndarray
+    C: np.ndarray
+    eta: np.ndarray
+    J: np.ndarray
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Gaussian:
+        return cls(flat[:4].reshape(2, 2), flat[4:6], flat[6:10].reshape(2, 2), flat[10:12], flat[12:16].reshape(2, 2))
+
+
+def _solved(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """m^-1 x of 2 by 2 matrices m and matrices or vectors x, on leading axes."""
+    return np.linalg.solve(m, x) if x.ndim == m.ndim else np.linalg.solve(m, x[..., None])[..., 0]
+
+
+def followed(first: Gaussian, then: Gaussian) -> Gaussian:
+    """The element of first's rows and then those of the other, as in parallel-in-time filtering of linear Gaussian models."""
+    turned = lambda x: np.swapaxes(x, -1, -2)
+    apply = lambda m, x: (m @ x[..., None])[..., 0]
+    eye = np.eye(2)
+    m, w = eye + first.C @ then.J, eye + then.J @ first.C
+    A = then.A @ _solved(m, first.A)
+    b = apply(then.A, _solved(m, first.b + apply(first.C, then.eta))) + then.b
+    C = then.A @ _solved(m, first.C) @ turned(then.A) + then.C
+    eta = apply(turned(first.A), _solved(w, then.eta - apply(then.J, first.b))) + first.eta
+    J = turned(first.A) @ _solved(w, then.J) @ first.A + first.J
+    return Gaussian(A, b, (C + turned(C)) / 2, eta, (J + turned(J)) / 2)
+
+
+def gaussian_block(obs: np.ndarray, f: np.ndarray, q: np.ndarray, r: float) -> Gaussian:
+    """The element of a block of rows, each an observation of the level and then a transition; halves are combined first."""
+    n = len(obs)
+    eta, J = np.zeros((n, 2)), np.zeros((n, 2, 2))
+    eta[:, 0], J[:, 0, 0] = obs / r, 1 / r
+    x = Gaussian(np.repeat(f[None], n, axis=0), np.zeros((n, 2)), np.repeat(q[None], n, axis=0), eta, J)
+    while len(x.b) > 1:
+        odd = Gaussian(*(y[-1:] if len(y) % 2 else y[:0] for y in x))
+        even = len(x.b) // 2 * 2
+        x = Gaussian(*(np.concatenate(pair) for pair in zip(followed(Gaussian(*(y[0:even:2] for y in x)), Gaussian(*(y[1:even:2] for y in x))), odd, strict=True)))
+    return Gaussian(*(y[0] for y in x))
+
+
+def moved_on(m: np.ndarray, c: np.ndarray, x: Gaussian) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the state behind x's rows, from those before them."""
+    known = followed(Gaussian(np.zeros((2, 2)), m, c, np.zeros(2), np.zeros((2, 2))), x)
+    return known.b, known.C
+
+
 def systematic(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Systematic resampling, (..., N) weights: which particle takes each place; u in [0, 1) for each set."""
     n = weights.shape[-1]

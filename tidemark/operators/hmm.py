@@ -1,4 +1,5 @@
-"""Hidden Markov models over many series: each series (and chain) is a group, so they run in parallel."""
+"""Hidden Markov models over many series. Filter, smoother, M-step and Viterbi are scans over blocks of time; a restart or a chain of a
+series is a group of its own."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numerics as N
+from tidemark.operators import scans
 
 MODEL = "A array<array<double>>, pi array<double>, mu array<double>, sigma2 array<double>"
 FIT = f"{MODEL}, ll double, n_iter int, history array<double>"
@@ -20,25 +22,54 @@ def seed_of(base: int, *parts: object) -> list[int]:
     return [base, *(zlib.crc32(str(p).encode()) for p in parts)]
 
 
-def _with_columns(df: DataFrame, columns: str, per_series, key: str) -> DataFrame:
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, {columns}"
-    return df.groupBy(key).applyInPandas(lambda rows: per_series(rows.sort_values("seq", kind="stable")), schema)
+def _transfer(A, mu, sigma2, value: str) -> scans.Element:
+    """A block's element: the product of its rows' densities and transitions, with the logarithm of its factor behind."""
 
+    def element(rows: pd.DataFrame) -> np.ndarray:
+        product, scale = N.chained(N.emissions(rows[value].to_numpy(float), mu, sigma2), A)
+        return np.append(product.ravel(), scale)
 
-def infer(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
+    return element
+
+
+def _product(k: int) -> scans.Combine:
+    def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a[:-1].reshape(k, k) @ b[:-1].reshape(k, k)
+        most = max(x.max(), 1e-300)
+        return np.append((x / most).ravel(), a[-1] + b[-1] + np.log(most))
+
+    return combine
+
+
+def _prior(pi: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """The prediction for a block's first row: pi, moved on through all rows before."""
+    if before is None:
+        return pi
+    x = pi @ before[:-1].reshape(len(pi), -1)
+    return x / x.sum()
+
+
+def _after(k: int, behind: np.ndarray | None) -> np.ndarray | None:
+    """What all rows behind a block say about the state at the first of them, up to a factor."""
+    return None if behind is None else behind[:-1].reshape(k, k).sum(axis=1)
+
+
+def infer(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """df with prediction, probs (filtered) and ll of each row, under one model for all series.
 
-    The first row's prior is pi itself, without a transition; predictions are means of the states before the update.
+    The first row's prior is pi itself, without a transition; predictions are means of the states before the update. Blocks of
+    block_rows rows run side by side, each from the product of all transitions before it.
     """
-    model = N.checked_model(A, pi, mu, sigma2)
+    A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
 
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        A, pi, mu, sigma2 = model
-        filtered, gain = N.forward(N.emissions(rows[value].to_numpy(float), mu, sigma2), A, pi)
-        prior = np.vstack([pi, filtered[:-1] @ A])
-        return rows.assign(prediction=prior @ mu, probs=list(filtered), ll=gain)
+    def per_block(rows: pd.DataFrame, before: np.ndarray | None) -> pd.DataFrame:
+        start = _prior(pi, before)
+        filtered, gain = N.forward(N.emissions(rows[value].to_numpy(float), mu, sigma2), A, start)
+        return rows.assign(prediction=np.vstack([start, filtered[:-1] @ A]) @ mu, probs=list(filtered), ll=gain)
 
-    return _with_columns(df, "prediction double, probs array<double>, ll double", per_series, key)
+    rows = scans.blocked(df, block_rows)
+    carry = scans.scanned(rows, _transfer(A, mu, sigma2, value), _product(len(mu)), key)
+    return scans.with_columns(rows, "prediction double, probs array<double>, ll double", per_block, key, [carry])
 
 
 def likelihoods(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
@@ -51,16 +82,33 @@ def log_alpha(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "
     return infer(df, A, pi, mu, sigma2, value, key).withColumn("__so_far", so_far).withColumn("log_alpha", F.transform("probs", lambda p: F.log(p) + F.col("__so_far"))).drop("__so_far", "prediction", "probs", "ll")
 
 
-def transition_posteriors(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
-    """(key, i, j, xi): expected moves from state i to j in each series, summed over time in its task."""
+def statistics(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """(key, state, start, weight, y, yy, moves), sums over each series of what an EM step needs: the state's posterior in the first
+    row, in all rows, times the value's and its square's distance from the state's mean, and expected moves to each state.
+
+    One pass of forward and backward messages over the blocks, whose sums Spark adds up.
+    """
     A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
     k = len(mu)
 
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        xi = N.smoothed(N.emissions(rows.sort_values("seq", kind="stable")[value].to_numpy(float), mu, sigma2), A, pi)[1]
-        return pd.DataFrame({key: rows[key].iloc[0], "i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "xi": xi.ravel()})
+    def per_block(rows: pd.DataFrame, before: np.ndarray | None, behind: np.ndarray | None) -> pd.DataFrame:
+        obs = rows[value].to_numpy(float)
+        gamma, xi, _ = N.smoothed_steps(N.emissions(obs, mu, sigma2), A, _prior(pi, before), _after(k, behind))
+        away = obs[:, None] - mu
+        start = gamma[0] if before is None else np.zeros(k)
+        return pd.DataFrame({key: [rows[key].iloc[0]] * k, "state": np.arange(k), "start": start, "weight": gamma.sum(axis=0), "y": (gamma * away).sum(axis=0), "yy": (gamma * away**2).sum(axis=0), "moves": list(xi)})
+
+    rows = scans.blocked(df, block_rows)
+    element = scans.elements(scans.several(rows, key), _transfer(A, mu, sigma2, value), key)
+    carries = [scans.prefixes(element, _product(k), key), scans.prefixes(element, _product(k), key, reverse=True)]
+    sums = scans.applied(rows, per_block, key, f"{scans.kind_of(df, key)}, state int, start double, weight double, y double, yy double, moves array<double>", carries)
+    moves = F.array(*(F.sum(F.element_at("moves", j + 1)) for j in range(k)))
+    return sums.groupBy(key, "state").agg(*(F.sum(c).alias(c) for c in ("start", "weight", "y", "yy")), moves.alias("moves"))
+
 
-    return df.groupBy(key).applyInPandas(per_series, f"{key} {df.schema[key].dataType.simpleString()}, i int, j int, xi double")
+def transition_posteriors(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """(key, i, j, xi): expected moves from state i to j in each series, summed over time."""
+    return statistics(df, A, pi, mu, sigma2, value, key, block_rows).select(key, F.col("state").alias("i"), F.posexplode("moves").alias("j", "xi"))
 
 
 def stationary(models: DataFrame, key: str = "symbol") -> DataFrame:
@@ -73,20 +121,34 @@ def stationary(models: DataFrame, key: str = "symbol") -> DataFrame:
     return models.select(key, "A").groupBy(key).applyInPandas(per_model, f"{key} {models.schema[key].dataType.simpleString()}, state int, share double")
 
 
-def backward(df: DataFrame, A, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
+def backward(df: DataFrame, A, mu, sigma2, value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """df with log_beta, an array over states."""
     A, _, mu, sigma2 = N.checked_model(A, np.full(len(mu), 1 / len(mu)), mu, sigma2)
-    return _with_columns(df, "log_beta array<double>", lambda rows: rows.assign(log_beta=list(N.backward(N.emissions(rows[value].to_numpy(float), mu, sigma2), A))), key)
+
+    def per_block(rows: pd.DataFrame, behind: np.ndarray | None) -> pd.DataFrame:
+        log_b = N.emissions(rows[value].to_numpy(float), mu, sigma2)
+        if behind is not None:  # what is behind the block acts as one more row
+            log_b = np.vstack([log_b, np.log(_after(len(mu), behind)) + behind[-1]])
+        return rows.assign(log_beta=list(N.backward(log_b, A)[: len(rows)]))
+
+    rows = scans.blocked(df, block_rows)
+    carry = scans.scanned(rows, _transfer(A, mu, sigma2, value), _product(len(mu)), key, reverse=True)
+    return scans.with_columns(rows, "log_beta array<double>", per_block, key, [carry])
 
 
-def posteriors(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
+def posteriors(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """df with gamma, the smoothed probabilities."""
     A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
+    k = len(mu)
 
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(gamma=list(N.smoothed(N.emissions(rows[value].to_numpy(float), mu, sigma2), A, pi)[0]))
+    def per_block(rows: pd.DataFrame, before: np.ndarray | None, behind: np.ndarray | None) -> pd.DataFrame:
+        log_b = N.emissions(rows[value].to_numpy(float), mu, sigma2)
+        return rows.assign(gamma=list(N.smoothed_steps(log_b, A, _prior(pi, before), _after(k, behind))[0]))
 
-    return _with_columns(df, "gamma array<double>", per_series, key)
+    rows = scans.blocked(df, block_rows)
+    element = scans.elements(scans.several(rows, key), _transfer(A, mu, sigma2, value), key)
+    carries = [scans.prefixes(element, _product(k), key), scans.prefixes(element, _product(k), key, reverse=True)]
+    return scans.with_columns(rows, "gamma array<double>", per_block, key, carries)
 
 
 def emission_m_step(df: DataFrame, value: str = "ret", key: str = "symbol", min_variance: float = 1e-8) -> DataFrame:
@@ -98,25 +160,48 @@ def emission_m_step(df: DataFrame, value: str = "ret", key: str = "symbol", min_
     return sums.select(key, "state", "weight", "mu", F.greatest(spread, F.lit(min_variance)).alias("sigma2"))
 
 
-def m_step(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", min_variance: float = 1e-8) -> DataFrame:
+def m_step(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", min_variance: float = 1e-8, block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """(key, state, start, A, mu, sigma2): all parameters of one EM step from a given model; A is the state's row of moves."""
-    moves = transition_posteriors(df, A, pi, mu, sigma2, value, key)
-    total = F.greatest(F.sum("xi").over(Window.partitionBy(key, "i")), F.lit(1e-300))
-    rows = moves.withColumn("a", F.col("xi") / total).groupBy(key, F.col("i").alias("state")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "a"))), lambda x: x["a"]).alias("A"))
-    gamma = posteriors(df, A, pi, mu, sigma2, value, key)
-    first = gamma.groupBy(key).agg(F.min_by("gamma", "seq").alias("g")).select(key, F.posexplode("g").alias("state", "start"))
-    return rows.join(first, [key, "state"]).join(emission_m_step(gamma, value, key, min_variance).drop("weight"), [key, "state"]).select(key, "state", "start", "A", "mu", "sigma2")
-
+    means = F.element_at(F.array(*map(F.lit, np.asarray(mu, float).tolist())), F.col("state") + 1)
+    weight, total = F.greatest("weight", F.lit(1e-15)), F.greatest(F.aggregate("moves", F.lit(0.0), lambda a, x: a + x), F.lit(1e-300))
+    shift = F.col("y") / weight
+    sums = statistics(df, A, pi, mu, sigma2, value, key, block_rows)
+    return sums.select(key, "state", "start", F.transform("moves", lambda x: x / total).alias("A"), (means + shift).alias("mu"), F.greatest(F.col("yy") / weight - shift**2, F.lit(min_variance)).alias("sigma2"))
 
-def viterbi(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol") -> DataFrame:
-    """df with state, the most likely path's, and log_prob, that of the whole path, the same in all rows of a series."""
-    A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
 
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        path, score = N.viterbi(N.emissions(rows[value].to_numpy(float), mu, sigma2), A, pi)
-        return rows.assign(state=path, log_prob=score)
+def viterbi(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """df with state, the most likely path's, and log_prob, that of the whole path, the same in all rows of a series.
 
-    return _with_columns(df, "state int, log_prob double", per_series, key)
+    Going forward, blocks are max-plus matrices: from scores of entering a block in each state to those of entering the next. Going
+    back, each is a map from the state that the next block begins in to the one that it begins in itself.
+    """
+    A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
+    k, log_A, log_pi = len(mu), np.log(A), np.log(pi)
+    emitted = lambda rows: N.emissions(rows[value].to_numpy(float), mu, sigma2)
+
+    def solved(rows: pd.DataFrame, before: np.ndarray | None):
+        entering = log_pi if before is None else (log_pi[:, None] + before.reshape(k, k)).max(axis=0)
+        back, best = N.viterbi_moves(emitted(rows), log_A, entering)
+        return back, best, [int(np.argmax(np.array(best) + log_A[:, j])) for j in range(k)]
+
+    def choices(rows: pd.DataFrame, before: np.ndarray | None) -> np.ndarray:
+        """The state that the block begins in by the one of the next block's beginning; then, if it is the last, the state and score."""
+        back, best, last = solved(rows, before)
+        return np.array([*(N.traced(back, i)[0] for i in last), N.traced(back, best.index(max(best)))[0], max(best)])
+
+    def chosen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.array([*a[b[: k + 1].astype(int)], b[-1]])
+
+    def per_block(rows: pd.DataFrame, before: np.ndarray | None, behind: np.ndarray | None) -> pd.DataFrame:
+        back, best, last = solved(rows, before)
+        end, score = (best.index(max(best)), max(best)) if behind is None else (last[int(behind[k])], behind[-1])
+        return rows.assign(state=np.array(N.traced(back, end), np.int32), log_prob=float(score))
+
+    rows = scans.blocked(df, block_rows)
+    long = scans.several(rows, key)
+    forward = scans.prefixes(scans.elements(long, lambda r: N.best_chained(emitted(r), log_A).ravel(), key), lambda a, b: (a.reshape(k, k, 1) + b.reshape(1, k, k)).max(axis=1).ravel(), key)
+    backward = scans.prefixes(scans.elements(long, choices, key, [forward]), chosen, key, reverse=True)
+    return scans.with_columns(rows, "state int, log_prob double", per_block, key, [forward, backward])
 
 
 #: Restarts that advance together in one task; further ones run beside it.

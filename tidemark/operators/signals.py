@@ -1,15 +1,16 @@
-"""Features and trading signals: window expressions, and grouped folds for linear recurrences."""
+"""Features and trading signals: window expressions, and linear recurrences as scans over blocks of time."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.operators import scans
 from tidemark.operators.prep import by_time
 
 
@@ -95,19 +96,6 @@ def jumps(df: DataFrame, value: str, multiple: float = 2.0, key: str = "symbol")
     return d.withColumn("is_jump", F.coalesce(F.abs("__d") > multiple * F.stddev_pop("__d").over(Window.partitionBy(key)), F.lit(False))).drop("__d")
 
 
-def _folded(df: DataFrame, inputs: list[str], output: str, kernel, key: str) -> DataFrame:
-    """kernel(values of the inputs in order of seq) -> values of output, for each series on its own."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != output), T.StructField(output, T.DoubleType())])
-    names = schema.names
-
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        rows[output] = kernel(*(rows[c].to_numpy(float) for c in inputs))
-        return rows[names]
-
-    return df.groupBy(key).applyInPandas(per_series, schema)
-
-
 def linear_recurrence(start: float, a: float, b: np.ndarray) -> np.ndarray:
     """x_0 = start and x_t = a x_{t-1} + b_t for t from 1; b has one entry less than the result."""
     out = np.empty(len(b) + 1)
@@ -117,29 +105,51 @@ def linear_recurrence(start: float, a: float, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def ewma_volatility(df: DataFrame, decay: float = 0.94, value: str = "ret", key: str = "symbol") -> DataFrame:
+def _averaged(df: DataFrame, output: str, decay: float, driven: Callable[[pd.DataFrame], np.ndarray], made: Callable[[pd.DataFrame, np.ndarray], np.ndarray], key: str, block_rows: int, initial: float | None = None) -> DataFrame:
+    """df with output = made(rows, x), where x has the running average before each row and, at its end, that after the last.
+
+    The average moves by x -> decay x + (1 - decay) u with u = driven(rows), and begins with initial or the series' first u. Rows
+    of a block are one affine map, so that blocks of a series are worked on side by side.
+    """
+    begun = lambda first: first if initial is None else initial
+
+    def element(rows: pd.DataFrame) -> np.ndarray:
+        u = driven(rows)
+        weights = decay ** np.arange(len(u) - 1, -1, -1.0)
+        return np.array([decay ** len(u), (1 - decay) * (weights @ u), u[0]])
+
+    def per_block(rows: pd.DataFrame, before: np.ndarray | None) -> pd.DataFrame:
+        u = driven(rows)
+        start = begun(u[0]) if before is None else before[0] * begun(before[2]) + before[1]
+        return rows.assign(**{output: made(rows, linear_recurrence(start, decay, (1 - decay) * u))})
+
+    rows = scans.blocked(df, block_rows)
+    carry = scans.scanned(rows, element, lambda a, b: np.array([a[0] * b[0], b[0] * a[1] + b[1], a[2]]), key)
+    return scans.with_columns(rows, f"{output} double", per_block, key, [carry])
+
+
+def ewma_volatility(df: DataFrame, decay: float = 0.94, value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """df with variance: s_0 = r_0^2, s_t = decay s_{t-1} + (1 - decay) r_{t-1}^2; the square before counts, not the own one."""
     if not 0 <= decay < 1:
         raise ValueError("decay must be in [0, 1)")
-    return _folded(df, [value], "variance", lambda r: linear_recurrence(r[0] ** 2, decay, (1 - decay) * r[:-1] ** 2), key)
+    return _averaged(df, "variance", decay, lambda rows: rows[value].to_numpy(float) ** 2, lambda _, x: x[:-1], key, block_rows)
 
 
-def smooth_signal(df: DataFrame, alpha: float, value: str = "signal", key: str = "symbol") -> DataFrame:
+def smooth_signal(df: DataFrame, alpha: float, value: str = "signal", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """df with smooth: exponential average that begins with the first value, clipped at the end."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    return _folded(df, [value], "smooth", lambda s: np.clip(linear_recurrence(s[0], 1 - alpha, alpha * s[1:]), -1, 1), key)
+    return _averaged(df, "smooth", 1 - alpha, lambda rows: rows[value].to_numpy(float), lambda _, x: np.clip(x[1:], -1, 1), key, block_rows)
 
 
-def igarch_scale(df: DataFrame, alpha: float = 0.06, initial: float | None = None, signal: str = "signal", value: str = "ret", key: str = "symbol") -> DataFrame:
+def igarch_scale(df: DataFrame, alpha: float = 0.06, initial: float | None = None, signal: str = "signal", value: str = "ret", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
     """df with position = s_t / sqrt(v_t); only then does v become alpha r_t^2 + (1 - alpha) v. v begins with initial or r_0^2."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must be in (0, 1)")
 
-    def kernel(s: np.ndarray, r: np.ndarray) -> np.ndarray:
-        start = r[0] ** 2 if initial is None else initial
-        if start <= 0:
+    def scaled(rows: pd.DataFrame, variance: np.ndarray) -> np.ndarray:
+        if variance[0] <= 0:
             raise ValueError("the first variance must be positive")
-        return s / np.sqrt(linear_recurrence(start, 1 - alpha, alpha * r[:-1] ** 2))
+        return rows[signal].to_numpy(float) / np.sqrt(variance[:-1])
 
-    return _folded(df, [signal, value], "position", kernel, key)
+    return _averaged(df, "position", 1 - alpha, lambda rows: rows[value].to_numpy(float) ** 2, scaled, key, block_rows, initial)

@@ -10,25 +10,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numerics as N
-from tidemark.operators.hmm import _with_columns, seed_of
+from tidemark.operators import scans
+from tidemark.operators.hmm import seed_of
 from tidemark.operators.signals import linear_recurrence
 
 PARAMETERS = ("theta", "sigma", "sigma_obs", "lambda_J", "mu_J", "sigma_J")
 
 
-def kalman_filter(df: DataFrame, theta: float, sigma: float, sigma_obs: float, m0=(None, 0.0), c0=((1.0, 0.0), (0.0, 1.0)), dt: float = 1.0, value: str = "price", key: str = "symbol") -> DataFrame:
-    """df with level, trend, level_var, trend_var and ll; a level prior of None is the series' first value."""
+def kalman_filter(df: DataFrame, theta: float, sigma: float, sigma_obs: float, m0=(None, 0.0), c0=((1.0, 0.0), (0.0, 1.0)), dt: float = 1.0, value: str = "price", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """df with level, trend, level_var, trend_var and ll; a level prior of None is the series' first value.
+
+    Blocks of block_rows rows run side by side: each is one filtering element, and the product of those before it, on the prior, is
+    the prediction that it begins with.
+    """
     if theta > 0:
         raise ValueError("theta must not be positive")
     f, q = N.discretized(theta, sigma, dt)
+    r = sigma_obs**2
 
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
+    def element(rows: pd.DataFrame) -> np.ndarray:
+        obs = rows[value].to_numpy(float)
+        return np.append(N.gaussian_block(obs, f, q, r).flat(), obs[0])
+
+    def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.append(N.followed(N.Gaussian.of(a), N.Gaussian.of(b)).flat(), a[-1])
+
+    def per_block(rows: pd.DataFrame, before: np.ndarray | None) -> pd.DataFrame:
         obs = rows[value].to_numpy(float)
-        start = np.array([obs[0] if m0[0] is None else m0[0], m0[1]], float)
-        m, c, ll = N.kalman_filter(obs, f, q, sigma_obs**2, start, np.array(c0, float))
+        first = obs[0] if before is None else before[-1]
+        start = np.array([first if m0[0] is None else m0[0], m0[1]], float), np.array(c0, float)
+        m, c, ll = N.kalman_filter(obs, f, q, r, *(start if before is None else N.moved_on(*start, N.Gaussian.of(before))))
         return rows.assign(level=m[:, 0], trend=m[:, 1], level_var=c[:, 0, 0], trend_var=c[:, 1, 1], ll=ll)
 
-    return _with_columns(df, "level double, trend double, level_var double, trend_var double, ll double", per_series, key)
+    rows = scans.blocked(df, block_rows)
+    carry = scans.scanned(rows, element, combine, key)
+    return scans.with_columns(rows, "level double, trend double, level_var double, trend_var double, ll double", per_block, key, [carry])
 
 
 def prior(first: np.ndarray, p: dict[str, np.ndarray], level_var: float | None = None) -> tuple[np.ndarray, np.ndarray]:
