@@ -4,6 +4,7 @@ series is a group of its own."""
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -240,17 +241,51 @@ def _best(found: DataFrame, key: str) -> DataFrame:
     return best.withColumn("ll", checked).drop("__ll", "__rank", "restart")
 
 
-def fit_retried(df: DataFrame, ks: list[int], successes: int = 10, attempts: int = 150, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol") -> DataFrame:
-    """As fit() for each of ks, with attempts: the best of the first `successes` usable fits of at most `attempts`, in their order."""
-    dealt = df.select(key, "seq", value, F.explode(F.array(*map(F.lit, ks))).alias("k"))
+def attempted(df: DataFrame, ks: list[int], successes: int = 10, attempts: int = 150, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol", accept: Callable[[dict], bool] = N.usable) -> DataFrame:
+    """(key, k, attempt, accepted, model, ll, n_iter, history) of all attempts made until `successes` of a series and k are accepted.
+
+    Attempts are made in waves: each series and k gets as many as it still lacks, in groups of RESTARTS_TOGETHER that are tasks of
+    their own, and none once it has all or has used up `attempts`. An attempt draws from its own seed, so that results equal those
+    of trying one after the other. A wave's results are checkpointed; the driver only asks whether another wave is needed.
+    """
+    from tidemark.operators.em import cut
+
+    series = df.select(key, "seq", value)
+    names = [x.split()[0] for x in FIT.split(", ")]
+    lacking = series.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, ks))).alias("k"), F.lit(0).alias("tried"), F.lit(successes).alias("need"))
 
     def per_group(rows: pd.DataFrame) -> pd.DataFrame:
         obs = rows.sort_values("seq", kind="stable")[value].to_numpy(float)
-        name, k = rows[key].iloc[0], int(rows["k"].iloc[0])
-        found = N.retried(obs, k, successes, attempts, max_iter, tol, seed_of(seed, name, k))
-        return pd.DataFrame([{key: name, "k": k, **{c: v.tolist() if isinstance(v, np.ndarray) else v for c, v in found.items()}}])[[key, "k", *(x.split()[0] for x in FIT.split(", ")), "attempts"]]
-
-    return dealt.groupBy(key, "k").applyInPandas(per_group, f"{key} {df.schema[key].dataType.simpleString()}, k int, {FIT}, attempts int")
+        name, k, low, high = rows[key].iloc[0], *(int(rows[c].iloc[0]) for c in ("k", "low", "high"))
+        found = N.em(obs, k, N.seed_list(seed_of(seed, name, k), high - low, low), max_iter, tol)
+        out = []
+        for n, m in enumerate(found, low):
+            ok = bool(accept(m))
+            model = {c: v.tolist() for c, v in N.sorted_states(m).items()} if ok else dict.fromkeys(("A", "pi", "mu", "sigma2"))
+            out.append({key: name, "k": k, "attempt": n, "accepted": ok, **{c: m[c] for c in ("ll", "n_iter", "history")}, **model})
+        return pd.DataFrame(out)[[key, "k", "attempt", "accepted", *names]]
+
+    made = None
+    while True:
+        dealt = lacking.withColumn("end", F.least(F.col("tried") + F.col("need"), F.lit(attempts))).where("need > 0 AND tried < end")
+        groups = dealt.select(F.col(key).alias("__of"), "k", "end", F.explode(F.expr(f"sequence(tried, end - 1, {RESTARTS_TOGETHER})")).alias("low")).withColumn("high", F.least(F.col("low") + RESTARTS_TOGETHER, F.col("end"))).drop("end")
+        if made is not None and groups.isEmpty():
+            return made
+        met = series.join(groups, F.col(key).eqNullSafe(F.col("__of"))).drop("__of")
+        wave = met.groupBy(key, "k", "low").applyInPandas(per_group, f"{scans.kind_of(df, key)}, k int, attempt int, accepted boolean, {FIT}")
+        made = cut(wave if made is None else made.unionByName(wave))
+        lacking = made.groupBy(key, "k").agg(F.count("*").cast("int").alias("tried"), (F.lit(successes) - F.count_if("accepted")).cast("int").alias("need"))
+
+
+def fit_retried(df: DataFrame, ks: list[int], successes: int = 10, attempts: int = 150, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol", accept: Callable[[dict], bool] = N.usable) -> DataFrame:
+    """As fit() for each of ks, with attempts: the best of the first `successes` usable fits of at most `attempts`, in their order;
+    an error where there is none."""
+    made = attempted(df, ks, successes, attempts, max_iter, tol, seed, value, key, accept)
+    whole = Window.partitionBy(key, "k")
+    rank = F.row_number().over(whole.orderBy(F.desc("accepted"), F.desc("ll"), "attempt"))
+    best = made.withColumn("attempts", F.count("*").over(whole).cast("int")).withColumn("__rank", rank).where("__rank = 1")
+    failed = F.raise_error(F.concat(F.lit("no usable fit in "), F.col("attempts"), F.lit(" attempts"))).cast("double")
+    return best.withColumn("ll", F.when(F.col("accepted"), F.col("ll")).otherwise(failed)).drop("__rank", "attempt", "accepted")
 
 
 def select_k(df: DataFrame, ks: list[int], criterion: str = "bic", value: str = "ret", key: str = "symbol", **options) -> DataFrame:
