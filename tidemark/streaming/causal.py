@@ -1,7 +1,12 @@
-"""Structured Streaming: bars with watermarks, and causal recurrences with keyed state.
+"""Structured Streaming in event time: bars with watermarks, and causal recurrences with keyed state.
 
-Rows of a micro-batch are folded in the order of their time; a row older than the last one folded of its series is late and
-left out, as its place in the recurrence has passed.
+A recurrence must see its rows in order, and a stream brings them out of order. Rows wait in a buffer of their series, and a timer
+is set to the earliest of them. When the watermark (the greatest time so far, less `delay`) has passed it, all rows behind the
+watermark are folded in order of time, and go out; so input that is shuffled within `delay` gives what the batch form gives.
+
+A row that comes when a later one of its series has been folded has lost its place. It is not dropped: it goes out with `late` set
+and without results, and late_count is how many its series has had. on_time() and late_rows() take the two kinds apart. State is
+what the recurrence carries, the buffer, and that count.
 """
 
 from __future__ import annotations
@@ -12,13 +17,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions import numerics as N
 from tidemark.operators import statespace as SS
 from tidemark.operators.hmm import seed_of
 from tidemark.operators.prep import resample_bars
 
+#: How far the watermark stays behind the greatest time so far.
+DELAY = "10 minutes"
+
 
 def streaming_bars(ticks: DataFrame, freq: str, delay: str = "10 minutes") -> DataFrame:
     """Tumbling bars of a stream (symbol, ts, price, size, event_id), final once the watermark has passed them."""
@@ -27,43 +35,108 @@ def streaming_bars(ticks: DataFrame, freq: str, delay: str = "10 minutes") -> Da
     return resample_bars(bars, freq, order=("ts", "event_id"))
 
 
-def _folded(stream: DataFrame, output: str, state_schema: str, step, key: str, ts: str, *values: str) -> DataFrame:
-    """step(series, state or None, values) -> (state, outputs) along each series; state is a tuple as in state_schema."""
-    names = [c.split()[0] for c in output.split(", ")]
-
-    def per_key(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        last = held[0] if held else None
-        now = held[1:] if held else None
+class _Recurrence(StatefulProcessor):
+    """step(series, state or None, values) -> (state, outputs) along each series, in event time."""
+
+    def __init__(self, step, ts: str, values: tuple[str, ...], outputs: list[str], state_schema: str):
+        self.step, self.ts, self.values, self.outputs, self.state_schema = step, ts, values, outputs, state_schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", f"last long, late long, folded boolean, {self.state_schema}")
+        self.buffer = handle.getListState("buffer", ", ".join(["at long", *(f"v{k} double" for k in range(len(self.values)))]))
+
+    def _empty(self) -> tuple:
+        """State's columns before the first row; they are not read."""
+        return tuple(None for _ in self.state_schema.split(", "))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["symbol", "at", *self.outputs, "late", "late_count"])
+        frame[self.ts] = pd.to_datetime(frame.pop("at"), unit="us")
+        return frame[["symbol", self.ts, *self.outputs, "late", "late_count"]]
+
+    def _waiting(self) -> list[tuple]:
+        return [tuple(r) for r in self.buffer.get()]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.carried.get() if self.carried.exists() else (None, 0, False, *self._empty())
+        last, late, out, new = held[0], held[1], [], []
+        for frame in rows:
+            for row in zip(frame["at"].tolist(), *(frame[c].astype(float).tolist() for c in self.values), strict=True):
+                if last is not None and row[0] < last:
+                    late += 1
+                    out.append((key[0], row[0], *[None] * len(self.outputs), True, late))
+                else:
+                    new.append(row)
+        if new:
+            self.buffer.appendList(new)
+            due = min(r[0] for r in new) // 1000 + 1
+            pending = list(self.handle.listTimers())
+            if not pending or due < min(pending):
+                for t in pending:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(due)
+        if out:
+            self.carried.update((last, late, *held[2:]))
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self.carried.get() if self.carried.exists() else (None, 0, False, *self._empty())
+        last, late, now = held[0], held[1], tuple(held[3:]) if held[2] else None
+        waiting = sorted(self._waiting(), key=lambda r: r[0])
+        ready = [r for r in waiting if r[0] < passed]
+        rest = waiting[len(ready) :]
         out = []
-        for at, *v in zip(rows[ts].astype("int64").tolist(), *(rows[c].tolist() for c in values), strict=True):
-            if last is not None and at < last:
-                continue
+        for at, *v in ready:
             last = at
-            now, result = step(name[0], now, *v)
-            out.append((name[0], at, *result))
+            now, result = self.step(key[0], now, *v)
+            out.append((key[0], at, *result, False, late))
+        if ready:
+            self.carried.update((last, late, True, *now))
+            self.buffer.clear()
+            if rest:
+                self.buffer.put(rest)
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         if out:
-            state.update((last, *now))
-            frame = pd.DataFrame(out, columns=["symbol", "at", *names])
-            frame[ts] = pd.to_datetime(frame.pop("at"))
-            yield frame[["symbol", ts, *names]]
+            yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _folded(stream: DataFrame, output: str, state_schema: str, step, key: str, ts: str, *values: str, delay: str = DELAY) -> DataFrame:
+    """(symbol, ts, outputs, late, late_count): step(series, state or None, values) -> (state, outputs) along each series in event time."""
+    names = [c.split()[0] for c in output.split(", ")]
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    # times go on as numbers, so that rows behind the watermark reach the processor
+    rows = timed.select(F.col(key).alias("symbol"), F.unix_micros(ts).alias("at"), *values)
+    processor = _Recurrence(step, ts, values, names, state_schema)
+    return rows.groupBy("symbol").transformWithStateInPandas(processor, f"symbol string, {ts} timestamp_ntz, {output}, late boolean, late_count long", "Append", "EventTime")
+
+
+def on_time(results: DataFrame) -> DataFrame:
+    """Rows that were folded in their place, without the marks of late ones."""
+    return results.where("NOT late").drop("late", "late_count")
+
 
-    rows = stream.select(F.col(key).alias("symbol"), F.col(ts).cast("timestamp_ntz").alias(ts), *values)
-    return rows.groupBy("symbol").applyInPandasWithState(per_key, f"symbol string, {ts} timestamp_ntz, {output}", f"last long, {state_schema}", "append", GroupStateTimeout.NoTimeout)
+def late_rows(results: DataFrame, ts: str = "ts") -> DataFrame:
+    """(symbol, ts, late_count) of the rows that came too late, counted in each series."""
+    return results.where("late").select("symbol", ts, "late_count")
 
 
-def streaming_ewma(stream: DataFrame, decay: float = 0.94, key: str = "symbol", ts: str = "ts", value: str = "ret") -> DataFrame:
+def streaming_ewma(stream: DataFrame, decay: float = 0.94, key: str = "symbol", ts: str = "ts", value: str = "ret", delay: str = DELAY) -> DataFrame:
     """The stream form of ewma_volatility: two doubles of state."""
 
     def step(_, state, r):
         variance = r * r if state is None else decay * state[0] + (1 - decay) * state[1]
         return (variance, r * r), (variance,)
 
-    return _folded(stream, "variance double", "variance double, square double", step, key, ts, value)
+    return _folded(stream, "variance double", "variance double, square double", step, key, ts, value, delay=delay)
 
 
-def streaming_smooth(stream: DataFrame, alpha: float, key: str = "symbol", ts: str = "ts", value: str = "signal") -> DataFrame:
+def streaming_smooth(stream: DataFrame, alpha: float, key: str = "symbol", ts: str = "ts", value: str = "signal", delay: str = DELAY) -> DataFrame:
     """The stream form of smooth_signal: one double of state, clipped on the way out only."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
@@ -72,10 +145,10 @@ def streaming_smooth(stream: DataFrame, alpha: float, key: str = "symbol", ts: s
         x = s if state is None else (1 - alpha) * state[0] + alpha * s
         return (x,), (min(1.0, max(-1.0, x)),)
 
-    return _folded(stream, "smooth double", "x double", step, key, ts, value)
+    return _folded(stream, "smooth double", "x double", step, key, ts, value, delay=delay)
 
 
-def streaming_igarch(stream: DataFrame, alpha: float = 0.06, initial: float | None = None, key: str = "symbol", ts: str = "ts", signal: str = "signal", value: str = "ret") -> DataFrame:
+def streaming_igarch(stream: DataFrame, alpha: float = 0.06, initial: float | None = None, key: str = "symbol", ts: str = "ts", signal: str = "signal", value: str = "ret", delay: str = DELAY) -> DataFrame:
     """The stream form of igarch_scale: the position comes before the variance moves on."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must be in (0, 1)")
@@ -86,10 +159,10 @@ def streaming_igarch(stream: DataFrame, alpha: float = 0.06, initial: float | No
             raise ValueError("the first variance must be positive")
         return (alpha * r * r + (1 - alpha) * v,), (s / v**0.5,)
 
-    return _folded(stream, "position double", "variance double", step, key, ts, signal, value)
+    return _folded(stream, "position double", "variance double", step, key, ts, signal, value, delay=delay)
 
 
-def streaming_filter(stream: DataFrame, A, pi, mu, sigma2, key: str = "symbol", ts: str = "ts", value: str = "ret") -> DataFrame:
+def streaming_filter(stream: DataFrame, A, pi, mu, sigma2, key: str = "symbol", ts: str = "ts", value: str = "ret", delay: str = DELAY) -> DataFrame:
     """The stream form of the hidden Markov filter: the probabilities are the state."""
     A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
     names = [f"p{k}" for k in range(len(mu))]
@@ -102,10 +175,10 @@ def streaming_filter(stream: DataFrame, A, pi, mu, sigma2, key: str = "symbol",
         return tuple(probs.tolist()), (float(prior @ mu), *probs.tolist())
 
     columns = ", ".join(f"{n} double" for n in names)
-    return _folded(stream, f"prediction double, {columns}", columns, step, key, ts, value)
+    return _folded(stream, f"prediction double, {columns}", columns, step, key, ts, value, delay=delay)
 
 
-def streaming_kalman(stream: DataFrame, theta: float, sigma: float, sigma_obs: float, m0=(None, 0.0), c0=((1.0, 0.0), (0.0, 1.0)), dt: float = 1.0, key: str = "symbol", ts: str = "ts", value: str = "price") -> DataFrame:
+def streaming_kalman(stream: DataFrame, theta: float, sigma: float, sigma_obs: float, m0=(None, 0.0), c0=((1.0, 0.0), (0.0, 1.0)), dt: float = 1.0, key: str = "symbol", ts: str = "ts", value: str = "price", delay: str = DELAY) -> DataFrame:
     """The stream form of kalman_filter: five doubles of state."""
     q = N.transition(theta, sigma, dt)
     r = sigma_obs**2
@@ -119,10 +192,10 @@ def streaming_kalman(stream: DataFrame, theta: float, sigma: float, sigma_obs: f
         c00, c01, c11 = keep * keep * c00 + k0 * k0 * r, keep * (c01 - k1 * c00) + k0 * k1 * r, c11 - k1 * (2 * c01 - k1 * (c00 + r))
         return (x0, x1, c00, c01, c11), (x0, x1, c00, c11, float(N.log_normal(error, 0.0, s)))
 
-    return _folded(stream, "level double, trend double, level_var double, trend_var double, ll double", "m0 double, m1 double, c00 double, c01 double, c11 double", step, key, ts, value)
+    return _folded(stream, "level double, trend double, level_var double, trend_var double, ll double", "m0 double, m1 double, c00 double, c01 double, c11 double", step, key, ts, value, delay=delay)
 
 
-def streaming_rbpf(stream: DataFrame, parameters: dict[str, float], n: int = 100, seed: int = 42, dt: float = 1.0, level_var: float | None = None, key: str = "symbol", ts: str = "ts", value: str = "price") -> DataFrame:
+def streaming_rbpf(stream: DataFrame, parameters: dict[str, float], n: int = 100, seed: int = 42, dt: float = 1.0, level_var: float | None = None, key: str = "symbol", ts: str = "ts", value: str = "price", delay: str = DELAY) -> DataFrame:
     """The stream form of the Rao-Blackwellised particle filter: five doubles for each particle and a count of steps, from which a
     step's random numbers follow, so that it equals particle_filters() row by row.
     """
@@ -135,10 +208,10 @@ def streaming_rbpf(stream: DataFrame, parameters: dict[str, float], n: int = 100
         particles, now = N.rbpf_step(model, particles, np.array([y]), *N.draws_of_step(seed_of(seed, series), n, t), t == 0)
         return (np.concatenate([x.ravel() for x in particles]).tolist(), t + 1), (*now["mean"][0].tolist(), *now["std"][0].tolist(), float(now["ll"][0]), float(now["n_eff"][0]))
 
-    return _folded(stream, "level double, trend double, level_std double, trend_std double, ll double, n_eff double", "particles array<double>, step long", step, key, ts, value)
+    return _folded(stream, "level double, trend double, level_std double, trend_std double, ll double, n_eff double", "particles array<double>, step long", step, key, ts, value, delay=delay)
 
 
-def streaming_backtest(stream: DataFrame, cost_bps: float = 5, key: str = "symbol", ts: str = "ts", value: str = "ret", signal: str = "signal") -> DataFrame:
+def streaming_backtest(stream: DataFrame, cost_bps: float = 5, key: str = "symbol", ts: str = "ts", value: str = "ret", signal: str = "signal", delay: str = DELAY) -> DataFrame:
     """The stream form of backtest: the last two signals and the wealth so far."""
 
     def step(_, state, r, s):
@@ -147,4 +220,4 @@ def streaming_backtest(stream: DataFrame, cost_bps: float = 5, key: str = "symbo
         wealth *= 1 + net
         return (s, lagged, wealth), (net, wealth)
 
-    return _folded(stream, "net double, cumulative double", "lagged double, lagged2 double, wealth double", step, key, ts, value, signal)
+    return _folded(stream, "net double, cumulative double", "lagged double, lagged2 double, wealth double", step, key, ts, value, signal, delay=delay)
