@@ -67,7 +67,7 @@ def workspace(spark: SparkSession):
         release(spark)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends and a lost executor loses nothing.
 
     With keep it outlives its workspace, and belongs to the one around that, if there is one.
@@ -76,7 +76,7 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = new_path(spark, name)
     if len(_open()) > keep:
         _open()[-1 - keep].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

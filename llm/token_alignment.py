@@ -1,15 +1,15 @@
 """Alignment of two tokenizers on the same texts, and how firmly their ids go together over a corpus.
 
 A encodes a space and the text, by a byte-level BPE; B encodes the text, by a SentencePiece model that puts the space there
-itself. Tokens are byte strings, so both cut the same bytes. All texts of a chunk are laid end to end: one bincount over byte
+itself. Tokens are byte strings, so both cut the same bytes. All texts of a block are laid end to end: one bincount over byte
 positions marks where A's tokens end and one where B's do. Where both do, a group of tokens ends; every stretch between two
 marks of either kind lies in exactly one token of each, and is one link: a pair of token occurrences that overlap. Prefix sums
-over the chunk, read off at the documents' bounds, give every document's figures.
+over the block, read off at the documents' bounds, give every document's figures.
 
-An id pair's count is the number of documents that hold it linked. Chunks (CHUNK bytes of text, or one longer text) are encoded
-once and kept in the shared folder as their different pairs and, for each link, the pair's place among them. Counts are summed
-by Spark. While there are no more than PAIRS of them they are sent to all tasks as flat arrays; beyond that each chunk's pairs
-meet their counts by a join, and come back to their chunk. Both ways give the same rows.
+An id pair's count is the number of documents that hold it linked. Texts are encoded once, and their ids kept in the shared
+folder, at two bytes each for vocabularies of that size; where tokens end follows from the ids. Counts are summed by Spark. While
+there are no more than PAIRS of them they are sent to all tasks as flat arrays; beyond that each document's pairs meet their
+counts by a join, and come back to their document. Both ways give the same rows.
 
 Defined results: a text that is null or empty, or that one of the tokenizers does not spell byte for byte (a normaliser changed
 it, or it holds the model's own sign for a space), has no tokens and zeros; strings of special tokens inside texts are plain
@@ -31,16 +31,17 @@ from pyspark.sql import types as T
 from llm import blocks as B
 from llm.tables import stored, workspace
 
-CHUNK, PAIRS = 1 << 20, 1 << 22
+#: Bytes of text worked on together; pairs that are sent to all tasks; pairs that a task gathers before it adds up.
+CHUNK, PAIRS, HELD = 1 << 19, 1 << 22, 1 << 20
 SPACE = "▁"
 #: Fixed value: how a byte-level BPE cuts a text before it merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNKS = "chunk long, doc_ids array<long>, figures binary, digests array<string>, pairs binary, docs binary, links binary, first binary"
+ENCODED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 class Tokens(NamedTuple):
-    """Ids of all texts end to end, where each text's begin, and where each token ends in the chunk's bytes."""
+    """Ids of all texts end to end, where each text's begin, and where each token ends in the bytes of all texts."""
 
     ids: np.ndarray
     first: np.ndarray
@@ -123,25 +124,36 @@ def _spelled(v: Vocabulary, lists: list[list[int]], data: np.ndarray, starts: np
     return ids, counts, fits & (B.sums_by_text(wrong, starts) == 0)
 
 
+def marked(a: Tokens, b: Tokens) -> np.ndarray:
+    """For each byte position 1 where a token of A ends, 2 for B, 3 for both."""
+    size = int(a.ends[-1]) if len(a.ends) else 0
+    return sum((np.bincount(t.ends - 1, minlength=size) << k).astype(np.int8) for k, t in enumerate((a, b)))
+
+
 def aligned(block: B.Block, a: ByteLevel, b: Pieces) -> tuple[Tokens, Tokens, np.ndarray]:
-    """Tokens of both for every text of the block, with a space before it; and marks of byte positions: 1 where a token of A
-    ends there, 2 for B, 3 for both. Texts without tokens have no bytes."""
+    """Tokens of both for every text of the block, with a space before it, and marked() of them. Texts without tokens have no bytes."""
     texts = B.texts_of(block)
     spaced = [(" " + t).encode() if t else b"" for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(t) for t in spaced])]).astype(np.int64)
     data = np.frombuffer(b"".join(spaced), np.uint8)
     sides = [_spelled(v.content, v.encode(given), data, starts) for v, given in ((a, [" " + t if t else "" for t in texts]), (b, texts))]
     both = sides[0][2] & sides[1][2]
-    out, marks = [], np.zeros(int((np.diff(starts) * both).sum()), np.int8)
-    for k, (v, (ids, counts, _)) in enumerate(zip((a, b), sides, strict=True)):
+    out = []
+    for v, (ids, counts, _) in zip((a, b), sides, strict=True):
         ids, counts = ids[np.repeat(both, counts)], counts * both
-        ends = np.cumsum(v.content.size[ids])
-        marks += (np.bincount(ends - 1, minlength=len(marks)) << k).astype(np.int8)
-        out.append(Tokens(ids, np.concatenate([[0], np.cumsum(counts)]), ends))
-    return out[0], out[1], marks
+        out.append(Tokens(ids, np.concatenate([[0], np.cumsum(counts)]), np.cumsum(v.content.size[ids])))
+    return out[0], out[1], marked(*out)
+
 
+def linked(a: Tokens, b: Tokens, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A id << 32 | B id of every link, and where each text's links begin: a stretch lies in as many tokens as ended before it."""
+    ends = np.flatnonzero(marks)
+    kind = marks[ends]
+    before = [np.cumsum(kind & bit > 0) - (kind & bit > 0) for bit in (1, 2)]
+    return a.ids[before[0]] << 32 | b.ids[before[1]], np.searchsorted(ends, np.concatenate([[0], a.ends])[a.first])
 
-def _groups_text(a: Tokens, b: Tokens, marks: np.ndarray, bounds: np.ndarray, tables: tuple[list[str], list[str]]) -> list[str]:
+
+def _groups_text(a: Tokens, b: Tokens, marks: np.ndarray, tables: tuple[list[str], list[str]]) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` of every text. Each token's word comes with the sign behind it; a table holds words with `,` and then
     with the sign that ends a group's side."""
     cuts = np.flatnonzero(marks == 3)
@@ -185,122 +197,133 @@ def alignments(documents: DataFrame, a_path: str, b_path: str, text: str = "text
     return documents.mapInArrow(per_batch, schema)
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Counts or places as four-byte integers; byte planes apart, as the high ones are mostly zero and pack away."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def _chunks(documents: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
-    """CHUNKS: figures are n_a, n_b, n_groups, n_links by document; pairs the chunk's different (A id << 32 | B id), ascending, and
-    docs in how many of its documents each is; links the place of every link's pair and first where a document's links begin."""
-    spark = documents.sparkSession
-    files = spark.sparkContext.broadcast((open(a_path, encoding="utf-8").read(), open(b_path, "rb").read()))
+def _encoded(documents: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
+    """ENCODED: figures and ids of every row of documents; row is a number of its own."""
+    files = documents.sparkSession.sparkContext.broadcast((open(a_path, encoding="utf-8").read(), open(b_path, "rb").read()))
+    names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def per_task(batches):
         from pyspark import TaskContext
 
         a, b = ByteLevel(files.value[0]), Pieces(files.value[1])
-        tables, number = _tables(a, b), TaskContext.get().partitionId() << 32
+        tables, number = _tables(a, b), TaskContext.get().partitionId() << 40
+        kinds = [_kind(v.content.size) for v in (a, b)]
         for batch in batches:
             for block in B.blocks(batch.column(1), CHUNK):
                 x, y, marks = aligned(block, a, b)
                 bounds = np.concatenate([[0], x.ends])[x.first]
-                ends = np.flatnonzero(marks)
-                kind = marks[ends]
-                first = np.searchsorted(ends, bounds)
-                # the tokens that a stretch lies in: as many ended before it
-                before = [np.cumsum(kind & bit > 0) - (kind & bit > 0) for bit in (1, 2)]
-                pair = x.ids[before[0]] << 32 | y.ids[before[1]]
-                pairs, place = np.unique(pair, return_inverse=True)
-                doc = np.repeat(np.arange(block.rows), np.diff(first))
-                held = np.unique(doc * max(len(pairs), 1) + place) % max(len(pairs), 1)
-                figures = np.stack([np.diff(x.first), np.diff(y.first), B.sums_by_text((kind == 3).astype(np.int64), first), np.diff(first)], axis=1)
-                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in _groups_text(x, y, marks, bounds, tables)]
-                ids = batch.column(0).slice(block.first, block.rows)
-                row = [[number], [ids.to_pylist()], [figures.astype("<i8").tobytes()], [digests], [pairs.astype("<i8").tobytes()], [_narrow(np.bincount(held, minlength=len(pairs)))], [_narrow(place)], [first.astype("<i8").tobytes()]]
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
-
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 4]
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(per_task, CHUNKS)
-
-
-def pair_counts(chunks: DataFrame) -> DataFrame:
+                groups = B.sums_by_text((marks == 3).astype(np.int64), bounds)
+                links = B.sums_by_text((marks > 0).astype(np.int64), bounds)
+                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in _groups_text(x, y, marks, tables)]
+                raw = [t.ids.astype(k).tobytes() for t, k in zip((x, y), kinds, strict=True)]
+                ids = [pa.BinaryArray.from_buffers(pa.binary(), block.rows, [None, pa.py_buffer((t.first * np.dtype(k).itemsize).astype(np.int32)), pa.py_buffer(r)]) for t, k, r in zip((x, y), kinds, raw, strict=True)]
+                numbers = np.arange(number, number + block.rows)
+                number += block.rows
+                columns = [pa.array(numbers), batch.column(0).slice(block.first, block.rows), *map(pa.array, (np.diff(x.first), np.diff(y.first), groups, links)), pa.array(digests, pa.string()), *ids]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(per_task, ENCODED)
+
+
+def _kind(size: np.ndarray) -> str:
+    return "<u2" if len(size) <= 1 << 16 else "<u4"
+
+
+def _links(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray]):
+    """(first row, rows, links, where each row's begin) for runs of a batch's rows, whose last two columns are ids of A and B."""
+    sides = []
+    for column, size in zip(batch.columns[-2:], sizes, strict=True):
+        kind = np.dtype(_kind(size))
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+        raw = column.buffers()[2]
+        ids = np.frombuffer(raw, kind, offsets[-1] // kind.itemsize) if raw is not None and raw.size else np.zeros(0, kind)
+        sides.append((ids, offsets // kind.itemsize))
+    row, at = 0, sides[0][1]
+    while row < batch.num_rows:
+        last = min(batch.num_rows, max(row + 1, int(np.searchsorted(at, at[row] + (CHUNK >> 1), "right")) - 1))
+        tokens = []
+        for (ids, first), size in zip(sides, sizes, strict=True):
+            mine = ids[first[row] : first[last]].astype(np.int64)
+            tokens.append(Tokens(mine, first[row : last + 1] - first[row], np.cumsum(size[mine])))
+        yield row, last - row, *linked(*tokens, marked(*tokens))
+        row = last
+
+
+def _held(links: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different links, and row and place among them of each that a row has."""
+    pairs, place = np.unique(links, return_inverse=True)
+    held = np.unique(np.repeat(np.arange(len(first) - 1), np.diff(first)) * max(len(pairs), 1) + place)
+    return pairs, held // max(len(pairs), 1), held % max(len(pairs), 1)
+
+
+def pair_counts(encoded: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(pair, count, best): documents that hold each id pair linked, and whether no pair of its A id is in more."""
 
     def per_task(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        known: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def summed():
-            pairs, place = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            return pairs, np.bincount(place, np.concatenate([d for _, d in held]), len(pairs)).astype(np.int64)
+            pairs, place = np.unique(np.concatenate([p for p, _ in known]), return_inverse=True)
+            return pairs, np.bincount(place, np.concatenate([d for _, d in known]), len(pairs)).astype(np.int64)
 
         for batch in batches:
-            for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((np.frombuffer(p, "<i8"), _wide(d)))
-                size += len(held[-1][0])
-                if size > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in summed()], ["pair", "docs"])
-                    held, size = [], 0
-        if held:
+            for _, _, links, first in _links(batch, sizes):
+                pairs, _, place = _held(links, first)
+                known.append((pairs, np.bincount(place, minlength=len(pairs))))
+                size += len(pairs)
+                if size > HELD:
+                    known = [summed()]
+                    size = len(known[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in known[0]], ["pair", "docs"])
+                        known, size = [], 0
+        if known:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in summed()], ["pair", "docs"])
 
-    counts = stored(chunks.select("pairs", "docs").mapInArrow(per_task, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("count")), "align-counts")
+    counts = stored(encoded.select("a", "b").mapInArrow(per_task, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("count")), "align-counts")
     a = F.shiftright("pair", 32)
     highest = counts.groupBy(a.alias("a")).agg(F.max("count").alias("most"))  # a row for each id of A
     return counts.join(highest, a == F.col("a")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def _scored(names: list[str], columns: list, pairs: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-    """RESULT of one chunk, whose different pairs are all among `pairs`, ascending."""
-    ids, figures, digests, mine, links, first = columns
-    at = np.searchsorted(pairs, np.frombuffer(mine, "<i8"))
-    place, first, figures = _wide(links), np.frombuffer(first, "<i8"), np.frombuffer(figures, "<i8").reshape(-1, 4)
-    sums = [B.sums_by_text(x[at][place].astype(np.int64), first) for x in (best, count)]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(figures[:, k].copy()) for k in range(4)), *map(pa.array, sums), pa.array(digests, pa.string())], names)
-
-
 def statistics(documents: DataFrame, a_path: str, b_path: str, text: str = "text", most: int = PAIRS) -> DataFrame:
     """RESULT for every row of documents. groups_sha256 is of `a1,a2|b1;a3|b2,b3`, ids of A and B by group; '' without tokens."""
     spark = documents.sparkSession
     names = [c.split()[0] for c in RESULT.split(", ")]
-    needed = ("doc_ids", "figures", "digests", "pairs", "links", "first")
+    with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
+        sizes = ByteLevel(a.read()).content.size, Pieces(b.read()).content.size
     with workspace(spark):
-        chunks = stored(_chunks(documents, a_path, b_path, text), "align-chunks")
-        counts = stored(pair_counts(chunks), "align-pairs")
+        encoded = stored(_encoded(documents, a_path, b_path, text), "align-encoded", compression="zstd")
+        counts = stored(pair_counts(encoded, sizes), "align-pairs")
+        figures = [names[0], *names[1:5], names[7]]
         if counts.count() <= most:
             table = counts.orderBy("pair").toArrow()
             flat = spark.sparkContext.broadcast(tuple(table.column(k).to_numpy() for k in range(3)))
 
             def by_arrays(batches):
+                pairs, count, best = flat.value
                 for batch in batches:
-                    for columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                        yield _scored(names, list(columns), *flat.value)
+                    for row, n, links, first in _links(batch, sizes):
+                        at = np.searchsorted(pairs, links)
+                        sums = [pa.array(B.sums_by_text(x[at].astype(np.int64), first)) for x in (best, count)]
+                        c = [x.slice(row, n) for x in batch.columns[: len(figures)]]
+                        yield pa.RecordBatch.from_arrays([*c[:5], *sums, c[5]], names)
 
-            rows = chunks.select(*needed).mapInArrow(by_arrays, RESULT)
+            rows = encoded.select(*figures, "a", "b").mapInArrow(by_arrays, RESULT)
         else:
-            asked = chunks.select("chunk", "pairs").mapInArrow(_asked, "chunk long, pair long")
-            told = asked.join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("pair", "count", "best")).alias("told"))
 
-            def by_join(batches):
+            def asked(batches):
                 for batch in batches:
-                    for *columns, told in zip(*(c.to_pylist() if k < len(needed) else c for k, c in enumerate(batch.columns)), strict=True):
-                        pair, count, best = (x.to_numpy(zero_copy_only=False) for x in told.values.flatten()) if told.is_valid and len(told.values) else [np.zeros(0, np.int64)] * 3
-                        order = np.argsort(pair)
-                        yield _scored(names, list(columns), pair[order], count[order], best[order])
-
-            rows = chunks.join(told, "chunk", "left").select(*needed, "told").mapInArrow(by_join, RESULT)
+                    numbers = batch.column(0).to_numpy()
+                    for row, _, links, first in _links(batch, sizes):
+                        of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                        order = np.lexsort((links, of))
+                        of, links = of[order], links[order]
+                        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (links[1:] != links[:-1])])) if len(of) else of
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[row + of[new]]), pa.array(links[new]), pa.array(np.diff(np.append(new, len(of))))], ["row", "pair", "times"])
+
+            met = encoded.select("row", "a", "b").mapInArrow(asked, "row long, pair long, times long").join(counts, "pair")
+            sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+            rows = encoded.drop("a", "b").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"]).select(*names)
         return stored(rows, "align-rows", keep=True)
-
-
-def _asked(batches):
-    for batch in batches:
-        for chunk, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.frombuffer(pairs, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found)], ["chunk", "pair"])
