@@ -32,8 +32,9 @@ from llm import blocks as B
 from llm.tables import groups, near, stored, workspace
 
 MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
-#: Sources of a tile; postings of one task of tiles; rows that a task gathers before it adds up.
-TILE, BUCKET_ROWS, HELD_ROWS = 256, 1 << 18, 1 << 19
+#: Sources of a tile; postings of a bucket of terms, or as many as a tile has pairs where that is more; rows that a task gathers
+#: before it adds up.
+TILE, BUCKET_ROWS, HELD_ROWS = 256, 1 << 14, 1 << 19
 _APART = np.ones(256, bool)
 _APART[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 COUNTS = "lang string, source string, term string, count long, docs long"
@@ -152,7 +153,7 @@ def _two_sided(terms: DataFrame, tile: int = TILE, bucket_rows: int = BUCKET_ROW
     sized = terms.groupBy("lang").agg(F.count("*").alias("rows"), F.max("number").alias("last"))
     dealt = terms.join(F.broadcast(sized), "lang").select(
         "lang", F.xxhash64("term").alias("key"), "number", "p", "p0", F.floor(F.col("number") / tile).cast("int").alias("tile"), F.floor(F.col("last") / tile).cast("int").alias("tiles"),
-        F.pmod(F.xxhash64("term", F.lit(1)), F.ceil(F.col("rows") / bucket_rows)).cast("int").alias("bucket"), "term",
+        F.pmod(F.xxhash64("term", F.lit(1)), F.ceil(F.col("rows") / F.greatest(F.lit(bucket_rows), F.pow(F.least(F.col("last") + 1, F.lit(tile)), F.lit(2))))).cast("int").alias("bucket"), "term",
     )
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
     dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), F.xxhash64("lang").alias("of"), "number", "p", "p0", "lang", "term")
