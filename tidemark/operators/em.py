@@ -8,7 +8,6 @@ likelihood moved by less than tol keeps its parameters; the loop ends when all h
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numerics as N
 from tidemark.operators import scans
 from tidemark.operators.hmm import FIT, _best, seed_of
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; one on this machine only in local mode."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint()
+from tidemark.shared import cut
 
 
 class _Models:

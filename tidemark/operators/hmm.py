@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numerics as N
 from tidemark.operators import scans
+from tidemark.shared import cut
 
 MODEL = "A array<array<double>>, pi array<double>, mu array<double>, sigma2 array<double>"
 FIT = f"{MODEL}, ll double, n_iter int, history array<double>"
@@ -248,8 +249,6 @@ def attempted(df: DataFrame, ks: list[int], successes: int = 10, attempts: int =
     their own, and none once it has all or has used up `attempts`. An attempt draws from its own seed, so that results equal those
     of trying one after the other. A wave's results are checkpointed; the driver only asks whether another wave is needed.
     """
-    from tidemark.operators.em import cut
-
     series = df.select(key, "seq", value)
     names = [x.split()[0] for x in FIT.split(", ")]
     lacking = series.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, ks))).alias("k"), F.lit(0).alias("tried"), F.lit(successes).alias("need"))
