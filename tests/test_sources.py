@@ -52,10 +52,9 @@ def test_columns_that_are_missing_are_named(spark, folder):
 @pytest.fixture
 def vendor(spark, tmp_path):
     """Files of three contracts: one as a folder of parts, one with a second file, one without a volume and without a zone."""
-    from tidemark.sources.vendor import VendorBars
+    from tidemark.sources.vendor import register
 
-    spark.dataSource.register(VendorBars)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    register(spark)
     at = lambda d, m: datetime.datetime(2024, 3, d, 15, m, tzinfo=datetime.timezone.utc)
     columns = "ts_event timestamp, open double, high double, low double, close double, volume long, rtype string"
     rows = [(at(d, m), 10.0 + m, 11.0, 9.0, 10.5 + d, 5, "vendor") for d in (1, 2, 3) for m in range(3)]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import gram
 from tidemark.operators.prep import by_time
-from tidemark.operators.statistics import correlation
 
 
 def state_runs(df: DataFrame, state: str = "state", key: str = "symbol") -> DataFrame:
@@ -37,18 +37,12 @@ def crosstab(df: DataFrame, a: str, b: str, b_values: list[int], key: str = "sym
     return df.groupBy(key, F.col(a).alias("row")).pivot(b, b_values).count().na.fill(0).select(key, "row", *(F.col(str(v)).alias(f"col_{v}") for v in b_values))
 
 
-def pairwise(df: DataFrame, on: str, aggregate: Column, key: str = "symbol") -> DataFrame:
-    """An aggregate of columns suffixed _i and _j for every pair of series, joined on equal times."""
-    i, j = (df.select(*(F.col(c).alias(c if c == on else f"{c}_{s}") for c in df.columns)) for s in "ij")
-    return i.join(j, on).groupBy(f"{key}_i", f"{key}_j").agg(aggregate)
-
-
 def agreement_matrix(df: DataFrame, on: str, state: str = "state", key: str = "symbol") -> DataFrame:
-    return pairwise(df.select(key, on, state), on, F.avg((F.col(f"{state}_i") == F.col(f"{state}_j")).cast("double")).alias("agreement"), key)
+    return gram.agreements(df, on, state, key)
 
 
 def correlation_matrix(df: DataFrame, on: str, value: str, key: str = "symbol") -> DataFrame:
-    return pairwise(df.select(key, on, value), on, F.coalesce(correlation(f"{value}_i", f"{value}_j"), F.lit(0.0)).alias("correlation"), key)
+    return gram.correlations(df, on, value, key)
 
 
 def _near(df: DataFrame, other: DataFrame, window: int, key: str, how: str) -> DataFrame:

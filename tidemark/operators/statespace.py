@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numerics as N
@@ -123,6 +123,30 @@ def particle_filters(df: DataFrame, parameters: dict[str, float] | None, n: int
     return stacked(df, columns, per_stack, max(1, STACKED // n), key)
 
 
+def resampled(particles: DataFrame, u: float | Column = 0.5, weight: str = "weight", order: str = "particle", key: str = "symbol", block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """(key, place, particle): systematic resampling of filters of any number of particles, as joins and windows.
+
+    Places 0 to n - 1 stand on a comb of n teeth that begins at u, one number in [0, 1) for all filters or a column; each is taken by
+    the particle in whose part of the running weights its tooth falls, so a particle's places follow from the running sum up to it
+    and that before it. Sums run within blocks of particles, and then over the blocks' sums: a filter spans as many tasks as it has
+    blocks. `order` numbers a filter's particles; weights that are all zero, or null, give no places.
+    """
+    inside = Window.partitionBy(key, "__block").orderBy("particle")
+    held = particles.select(key, F.col(order).alias("particle"), F.col(weight).cast("double").alias("__w"), (u if isinstance(u, Column) else F.lit(float(u))).alias("__u"), F.floor(F.col(order) / block_rows).alias("__block"))
+    # what the block's rows had so far, and what it has with each
+    summed = held.withColumn("__with", F.sum("__w").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__less", F.coalesce(F.lag("__with").over(inside), F.lit(0.0)))
+    blocks = summed.groupBy(F.col(key).alias("__of"), F.col("__block").alias("__at")).agg(F.max("__with").alias("__sum"), F.count("*").alias("__rows"))
+    ahead, whole = Window.partitionBy("__of").orderBy("__at"), Window.partitionBy("__of")
+    blocks = blocks.withColumn("__through", F.sum("__sum").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("__before", F.coalesce(F.lag("__through").over(ahead), F.lit(0.0))).withColumn("__total", F.max("__through").over(whole)).withColumn("__n", F.sum("__rows").over(whole))
+    met = summed.join(blocks, F.col(key).eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__at"))).where("__total > 0")
+    reach = lambda c: F.greatest(F.lit(0), F.least(F.col("__n"), F.floor((F.col("__before") + F.col(c)) * (F.col("__n") / F.col("__total")) - F.col("__u")) + 1))
+    # before the first of all particles there is no tooth, whatever u is
+    low = F.when(F.col("__before") + F.col("__less") == 0, F.lit(0)).otherwise(reach("__less"))
+    taken = met.withColumn("__low", low.cast("long")).withColumn("__high", reach("__with").cast("long")).where("__high > __low")
+    return taken.select(key, F.explode(F.expr("sequence(__low, __high - 1)")).alias("place"), "particle")
+
+
 def trend_signals(trend: np.ndarray, prices: np.ndarray, window: int | np.ndarray = 4, alpha: float | np.ndarray | None = 0.06) -> tuple[np.ndarray, np.ndarray]:
     """(returns, signals) of filtered trends (T, sets) of one series: mean sign of the last `window` trends (0 before there are
     so many); with alpha divided by the running volatility and, over the whole series, its deviation, and clipped.

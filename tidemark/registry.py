@@ -135,6 +135,23 @@ for _freq, _width in (("5min", "5 minutes"), ("15min", "15 minutes"), ("30min",
     _resample(_freq, _width)
 
 
+@query("vendor_bars", f"""WITH {TICKS} SELECT symbol || '_c_0' AS symbol, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01') AS ts, {rnd('max(price)', 'high')}, {rnd('max_by(price, ROW(ts, event_id))', 'close')}, CAST(sum(size) AS BIGINT) AS volume
+FROM ticks WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND symbol IN ('click', 'view', 'purchase') GROUP BY 1, 2""")
+def _(spark, d):
+    """Bars of each event type go to a file of its own in the vendor's form, and come back through the data source."""
+    from tidemark.shared import new_path
+    from tidemark.sources.vendor import KIND, register
+
+    register(spark)
+    folder = new_path(spark, "vendor")
+    source = M.ticks(spark, d).select("symbol", "ts", "event_id", *(F.col("price").alias(c) for c in ("open", "high", "low", "close")), F.col("size").alias("volume"))
+    bars = P.resample_bars(source, "1h", order=("ts", "event_id")).withColumnRenamed("ts", "ts_event")
+    for (symbol,) in bars.select("symbol").distinct().collect():  # a contract each
+        bars.where(F.col("symbol") == symbol).drop("symbol").write.parquet(f"{folder}/{M.contract_name(symbol)}{KIND}2024.parquet")
+    found = spark.read.format("vendor_bars").options(symbols="click,view,purchase", start="2024-01-05", end="2024-01-20").load(folder)
+    return rounded(found.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "high", "close", "volume"))
+
+
 @query("train_test_split", f"WITH {RETURNS} SELECT symbol, event_id, seq <= floor(count(*) OVER (PARTITION BY symbol) * 0.7) AS is_train FROM rets")
 def _(spark, d):
     return P.train_test_split(returns(spark, d), 0.7).select("symbol", "event_id", "is_train")
@@ -391,6 +408,29 @@ def _(spark, d):
     return rounded(out, "symbol", "event_id", "level", "trend", "level_var", digits=5)
 
 
+@query("resampled_particles", f"""WITH {TICKS}, w AS (SELECT symbol, seq - 1 AS particle, sum(size + 1) OVER (PARTITION BY symbol ORDER BY seq)::DOUBLE AS upto, (sum(size + 1) OVER (PARTITION BY symbol ORDER BY seq) - size - 1)::DOUBLE AS before, count(*) OVER (PARTITION BY symbol) AS n, sum(size + 1) OVER (PARTITION BY symbol)::DOUBLE AS total FROM seqd),
+t AS (SELECT symbol, particle, CASE WHEN before = 0 THEN 0 ELSE greatest(0, least(n, floor(before * (n / total) - 0.25) + 1)) END::BIGINT AS low, greatest(0, least(n, floor(upto * (n / total) - 0.25) + 1))::BIGINT AS high FROM w)
+SELECT symbol, unnest(range(low, high)) AS place, particle FROM t""")
+def _(spark, d):
+    weighted = ticks(spark, d).select("symbol", (F.col("seq") - 1).alias("particle"), (F.col("size") + 1).cast("double").alias("weight"))
+    return SS.resampled(weighted, 0.25, block_rows=256)
+
+
+def _split(name: str, sql_of: str, result, columns: str, digits: int):
+    """The query and SQL of another on the few long series of event types, with blocks of 200 rows: as many tasks as blocks."""
+
+    @query(name, ORACLE[sql_of].replace(USERS, RETURNS))
+    def _(spark, d):
+        return rounded(result(returns(spark, d)), *columns.split(), digits=digits)
+
+
+_split("ewma_vol_split", "ewma_vol", lambda df: S.ewma_volatility(df, block_rows=200), "symbol event_id variance", 9)
+_split("kalman_split", "kalman_filter", lambda df: SS.kalman_filter(df, -0.2, 5.0, 20.0, (None, 0.0), ((100.0, 0.0), (0.0, 25.0)), block_rows=200), "symbol event_id level trend level_var", 5)
+_split("hmm_filter_split", "hmm_filter", lambda df: H.infer(df, A2, PI2, MU2, S2, block_rows=200).withColumn("p0", r(F.element_at("probs", 1), 6)).withColumn("prediction", r("prediction", 8)), "symbol event_id p0 prediction", 9)
+_split("hmm_posteriors_split", "hmm_posteriors", lambda df: H.posteriors(df, A2, PI2, MU2, S2, block_rows=200).withColumn("g0", F.element_at("gamma", 1)), "symbol event_id g0", 6)
+_split("viterbi_split", "viterbi", lambda df: H.viterbi(df, A2, PI2, MU2, S2, block_rows=200), "symbol event_id state", 6)
+
+
 # Backtests and portfolios
 
 
@@ -474,6 +514,17 @@ def _(spark, d):
     return rounded(ST.percentiles(returns(spark, d)), digits=8)
 
 
+@query("sketched_percentiles", f"WITH {RETURNS}, points AS (SELECT unnest([{', '.join(map(str, ST.PERCENTILES))}]) AS percentile) SELECT symbol, percentile::INTEGER AS percentile, count(*) AS n, TRUE AS within FROM rets, points GROUP BY 1, 2")
+def _(spark, d):
+    """Sketches of each day merged into those of a series; within: whether the rank is as near as stated."""
+    df = returns(spark, d)
+    found = ST.sketched_percentiles(ST.merged_sketches(ST.quantile_sketches(df.withColumn("day", F.to_date("ts")), "symbol", "day"), "symbol"))
+    long = found.select("symbol", "n", F.explode(F.array(*(F.struct(F.lit(p).alias("percentile"), F.col(f"p{p:02d}").alias("value")) for p in ST.PERCENTILES))).alias("q")).select("symbol", "n", "q.*")
+    ranks = df.select("symbol", "ret").join(F.broadcast(long), "symbol").groupBy("symbol", "n", "percentile").agg(F.avg((F.col("ret") < F.col("value")).cast("double")).alias("under"), F.avg((F.col("ret") <= F.col("value")).cast("double")).alias("upto"))
+    error = ST.rank_error()
+    return ranks.select("symbol", "percentile", "n", ((F.col("under") <= F.col("percentile") / 100 + error) & (F.col("upto") >= F.col("percentile") / 100 - error)).alias("within"))
+
+
 @query("extreme_dates", f"WITH {RETURNS} SELECT symbol, min_by(ts, ROW(ret, ts)) AS worst_at, {rnd('min(ret)', 'worst', 8)}, min_by(ts, ROW(-ret, ts)) AS best_at, {rnd('max(ret)', 'best', 8)} FROM rets GROUP BY 1")
 def _(spark, d):
     return rounded(ST.extremes(returns(spark, d), "ts"), digits=8)

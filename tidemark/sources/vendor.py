@@ -5,7 +5,7 @@ A batch reads the first of a contract's files by name, as later ones repeat it;
 their names. A file or part is a partition.
 
 Options: `path`; `symbols`, comma-separated (`ES` and `ES.c.0` name one contract), all by default; `start` (kept) and `end` (not kept).
-Filters on ts and symbol that Spark pushes down prune contracts and row groups too (spark.sql.python.filterPushdown.enabled), and
+register(spark) makes the format known. Filters on ts and symbol that Spark pushes down prune contracts and row groups too, and
 a schema given to the reader prunes columns: the files' other columns are never read. Times without a zone are UTC. A column
 that a file lacks is null. Folders can be in any store that pyarrow opens by its address.
 """
@@ -152,3 +152,9 @@ class VendorBars(DataSource):
 
     def streamReader(self, schema: StructType) -> StreamReader:
         return StreamReader(schema, dict(self.options))
+
+
+def register(spark) -> None:
+    """Makes the format known to the session, and lets Spark push filters down to it, which a reader that takes them needs."""
+    spark.dataSource.register(VendorBars)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
