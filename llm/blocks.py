@@ -7,6 +7,8 @@ block of its own), which bounds memory whatever the batch holds. A null text cou
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,7 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MAX_BYTES = 1 << 19
-#: Seeds of all hashes. Fixed, so that every task of every run agrees.
+#: Words whose hashes a worker remembers.
+KNOWN_WORDS = 1 << 16
+#: Seeds of hashes that only choose features and candidates. Fixed, so that every task of every run agrees. Where equal hashes are
+#: taken for equal words, keyed_hashes() or word_codes() give them.
 SEED, BASE = 0x5EED, np.uint64(0x9E3779B97F4A7C15)
 
 _rng = np.random.default_rng(SEED)
@@ -132,7 +137,51 @@ def word_codes(data: np.ndarray, words: Words) -> tuple[np.ndarray, pa.StringArr
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
 
 
+def drawn_key() -> bytes:
+    """A secret for keyed_hashes(): drawn on the driver for one run of an operator, whose tasks get it with their code."""
+    return secrets.token_bytes(16)
+
+
+_keyed: dict[bytes, int] = {}
+_keyed_by: list[bytes] = [b""]
+
+
+def keyed_hashes(data: np.ndarray, words: Words, key: bytes) -> np.ndarray:
+    """64-bit hashes of words by a keyed cryptographic function: whoever writes texts cannot make two words share one, and by
+    chance two of n different words do with a probability of n^2 / 2^65. Each different word of a block is hashed once."""
+    codes, found = word_codes(data, words)
+    if _keyed_by[0] != key or len(_keyed) > KNOWN_WORDS:
+        _keyed.clear()
+        _keyed_by[0] = key
+    out = np.empty(len(found), np.uint64)
+    for k, w in enumerate(found.cast(pa.binary()).to_pylist()):
+        h = _keyed.get(w)
+        if h is None:
+            h = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little")
+            if len(w) <= 24:
+                _keyed[w] = h
+        out[k] = h
+    return out[codes]
+
+
+def exact_grams(codes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of n consecutive words in one text, equal only for equal words, and the first n-gram of every text."""
+    gram_first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - (n - 1), 0))])
+    if len(codes) < n:
+        return np.zeros(0, np.int64), gram_first * 0
+    different = int(codes.max()) + 1
+    acc, most, last = codes[: len(codes) - n + 1], different, len(codes) - n + 1
+    for k in range(1, n):
+        if most * different >= 1 << 62:  # numbers would not fit: those that occur are numbered anew
+            acc = np.unique(acc, return_inverse=True)[1]
+            most = int(acc.max()) + 1
+        acc, most = acc * different + codes[k : last + k], most * different
+    at = np.arange(gram_first[-1]) + np.repeat(first[:-1] - gram_first[:-1], np.diff(gram_first))
+    return acc[at], gram_first
+
+
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
+    """Hashes for features of models, where two words may share one."""
     return span_hashes(prefix_hashes(data), words.begin, words.end)
 
 

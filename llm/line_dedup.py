@@ -8,7 +8,7 @@ or not.
    all lines share keeps the join exact; this one puts rare words first.
 2. Lines with equal sets form classes; only the earliest of a class takes part in the join, the others are removed. Sets
    so small that only an equal one can match (1 and 2 words at 75 %) are settled here and have no postings. Sets are equal
-   if the 128-bit digests of their 64-bit word hashes are.
+   if the 128-bit digests of their 64-bit word hashes are; these are keyed by a secret of the run.
 3. Prefix filter: two lines that match share a word among the first n - ceil(t n) + 1 of each, rarest first. Words that
    occur once in the corpus, or in one prefix, need no posting.
 4. Words in the prefixes of very many lines: two lines that match share a second word too, one place further at most. Such
@@ -52,11 +52,11 @@ LINES = "high long, low long, doc_id long, line int, lead boolean, n int, common
 PAIRS = "doc_id long, line int, doc_x long, line_x int, others long"
 
 
-def _read(column: pa.Array):
+def _read(column: pa.Array, key: bytes):
     for block in B.blocks(column):
         data = B.LOWER[block.data]
         words = B.find_words(data, block.starts)
-        yield block, data, words, B.word_hashes(data, words)
+        yield block, data, words, B.keyed_hashes(data, words, key)
 
 
 class Prefixes(NamedTuple):
@@ -113,11 +113,11 @@ def has_bit(packed: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return (packed[positions >> 3] >> (positions & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def word_rarity(documents: DataFrame, text: str) -> Broadcast:
+def word_rarity(documents: DataFrame, text: str, key: bytes) -> Broadcast:
     """Codes of the occurrences of all words of all texts."""
 
     def buckets(batch):
-        for *_, hashes in _read(batch.column(0)):
+        for *_, hashes in _read(batch.column(0), key):
             yield (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.uint32)
 
     return documents.sparkSession.sparkContext.broadcast(_table(documents.select(text), buckets))
@@ -183,7 +183,7 @@ def _wide(n: np.ndarray, maps: np.ndarray) -> list[bytes | None]:
     return [None if k <= LONG else half[i].tobytes() if k <= 2 * LONG else rest[i].tobytes() for i, k in enumerate(n.tolist())]
 
 
-def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int) -> DataFrame:
+def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int, key: bytes) -> DataFrame:
     """LINES: digest of every line's set, its place, size, parity map and the words that can meet others: those of its prefix
     and one more. Of equal sets at hand only the first is `lead` and has them.
     """
@@ -191,7 +191,7 @@ def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int)
     def per_batch(batches):
         for batch in batches:
             ids = batch.column(0)
-            for block, data, words, hashes in _read(batch.column(1)):
+            for block, data, words, hashes in _read(batch.column(1), key):
                 for doc, number, first, whole, codes in line_words(block, data, words, hashes, rarity.value):
                     n = np.diff(first)
                     sums = np.zeros((len(whole) + 1, 2), np.uint64)
@@ -367,7 +367,7 @@ def candidate_pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame
     return postings.repartition("part").sortWithinPartitions("part").mapInArrow(per_partition, PAIRS)
 
 
-def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int, key: bytes) -> DataFrame:
     """(doc_id, line) of pairs (doc_id, line, doc_x, line_x), a stored table, whose whole lines reach the threshold."""
     ends = pairs.select("doc_id", "line").union(pairs.select("doc_x", "line_x")).groupBy("doc_id").agg(F.collect_set("line").alias("__wanted"))
 
@@ -390,7 +390,7 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int) ->
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(block.first + doc)), pa.array(number), found, maps], ["doc_id", "line", "content", "map"])
 
     def sets(column: pa.Array) -> list[np.ndarray]:
-        return [np.unique(h[w.first[i] : w.first[i + 1]]) for b, _, w, h in _read(column.cast(pa.string())) for i in range(b.rows)]
+        return [np.unique(h[w.first[i] : w.first[i + 1]]) for b, _, w, h in _read(column.cast(pa.string()), key) for i in range(b.rows)]
 
     def wide_map(words: np.ndarray) -> bytes:
         bits = np.bincount((B.mix(words) & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
@@ -431,8 +431,9 @@ def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCE
     spark = documents.sparkSession
     share = spark.sparkContext.broadcast
     with workspace(spark):
-        rarity = word_rarity(documents, text)
-        lines = stored(line_sets(documents, text, rarity, percent), "line-dedup-lines")
+        key = B.drawn_key()  # equal hashes are taken for equal words, so texts must not be able to aim at them
+        rarity = word_rarity(documents, text, key)
+        lines = stored(line_sets(documents, text, rarity, percent, key), "line-dedup-lines")
         rarity.destroy()
         earliest = F.lag(F.lit(1)).over(Window.partitionBy("high", "low").orderBy("doc_id", "line")).isNull()
         classes = lines.where("lead").withColumn("first", earliest).where("first").drop("first", "lead")
@@ -443,7 +444,7 @@ def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCE
         pairs = candidate_pairs(postings_of(classes.withColumn("open", F.lit(1)), useful, useful, parts), percent, False)
         pairs = stored(pairs.groupBy("doc_id", "line", "doc_x", "line_x").agg(F.max("others").alias("others")), "line-dedup-pairs")
         release(spark)
-        matched = verified(pairs, documents, text, percent)
+        matched = verified(pairs, documents, text, percent, key)
         undecided = stored(pairs.where("others > 0").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"), "line-dedup-undecided")
         if not undecided.isEmpty():
             marked = classes.join(near(undecided.withColumn("open", F.lit(1))), ["doc_id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
@@ -451,7 +452,7 @@ def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCE
             more = candidate_pairs(postings_of(marked, sought, useful, parts), percent, True)
             more = stored(more.select("doc_id", "line", "doc_x", "line_x").distinct().join(pairs, ["doc_id", "line", "doc_x", "line_x"], "left_anti"), "line-dedup-more")
             release(spark)
-            matched = matched.unionByName(verified(more, documents, text, percent))
+            matched = matched.unionByName(verified(more, documents, text, percent, key))
         release(spark)
         decided = classes.select("high", "low", "doc_id", "line").join(matched.withColumn("near", F.lit(True)), ["doc_id", "line"], "left")
         decided = decided.select("high", "low", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("near", F.lit(False)).alias("near"))

@@ -14,7 +14,8 @@ two sets agrees with the probability of their Jaccard similarity J.
    sketches and in blocks. With that no pair that shares a band is lost.
 4. Before texts move, agreement of the registers, less its expected share of chance collisions, estimates J; pairs whose
    estimate lies MARGIN under the threshold go.
-5. Links are confirmed on full sets, as 100 * intersection >= percent * union.
+5. Links are confirmed on full sets, as 100 * intersection >= percent * union. Shingles are hashes of their words' hashes, which
+   are keyed by a secret of the run: no text can be written to share them with another.
 
 A link at exactly J = 0.75 shares no band with probability (1 - 0.75^4)^40 = 3e-7, at J = 0.8 with 1e-9.
 """
@@ -38,11 +39,11 @@ SIGNED = "doc_id long, text_hash long, n_shingles long, high long, low long, reg
 _VALUE_BITS = 40
 
 
-def shingle_sets(block: B.Block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(block: B.Block, key: bytes = b"", n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct 64-bit shingle hashes of every text, and where each text's begin."""
     data = B.LOWER[block.data]
     words = B.find_words(data, block.starts)
-    hashes = B.word_hashes(data, words)
+    hashes = B.keyed_hashes(data, words, key)
     grams, first = B.ngram_hashes(hashes, words.first, n)
     doc = np.repeat(np.arange(block.rows), np.diff(first))
     counts = np.diff(words.first)
@@ -109,13 +110,13 @@ def estimated(registers_a: np.ndarray, registers_b: np.ndarray) -> np.ndarray:
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
-def signatures(documents: DataFrame, text: str = "text") -> DataFrame:
+def signatures(documents: DataFrame, text: str = "text", key: bytes = b"") -> DataFrame:
     """SIGNED: a hash of the text, set size, 128-bit digest of the set and registers of every row."""
 
     def per_batch(batches):
         for batch in batches:
             for block in B.blocks(batch.column(2)):
-                sets, first = shingle_sets(block)
+                sets, first = shingle_sets(block, key)
                 registers = sketches(sets, first)
                 total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(np.stack([B.mix(sets ^ B.BASE), B.mix(sets + B.BASE)], axis=1), axis=0, dtype=np.uint64)])
                 digest = (total[first[1:]] - total[first[:-1]]).view(np.int64)
@@ -138,14 +139,14 @@ def _estimate_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(per_batch, "a long, b long, estimate double")
 
 
-def _similarities(pairs: DataFrame) -> DataFrame:
+def _similarities(pairs: DataFrame, key: bytes) -> DataFrame:
     """a, b, both (size of the intersection), either (of the union) for pairs(a, b, text_a, text_b), on full sets."""
 
     def per_batch(batches):
         for batch in batches:
             sides = []
             for k in (2, 3):
-                sides.append([(s, f) for block in B.blocks(batch.column(k)) for s, f in [shingle_sets(block)]])
+                sides.append([(s, f) for block in B.blocks(batch.column(k)) for s, f in [shingle_sets(block, key)]])
             sets = [[s[f[i] : f[i + 1]] for s, f in side for i in range(len(f) - 1)] for side in sides]
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], np.int64)
             either = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - both
@@ -172,7 +173,7 @@ def with_nodes(classes: DataFrame) -> DataFrame:
     return stored(marked.withColumn("node", F.when(F.col("__shared"), F.xxhash64("high", "low")).otherwise(F.col("doc_id"))).drop("__shared"), "near-dedup-nodes")
 
 
-def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
+def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int, key: bytes) -> DataFrame:
     """Pairs (a, b) of different components in a band of rest(band, number, n, node, component) that may be similar enough.
 
     Members are compared on FINE registers, of which the low byte is kept, and whose error is FINE_MARGIN at most, in blocks
@@ -183,7 +184,7 @@ def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, te
     def fine(batches):
         for batch in batches:
             for block in B.blocks(batch.column(1)):
-                raw = [r.astype(np.uint8).tobytes() for r in sketches(*shingle_sets(block), FINE)]
+                raw = [r.astype(np.uint8).tobytes() for r in sketches(*shingle_sets(block, key), FINE)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(raw, pa.binary())], ["node", "fine"])
 
     def group(rows):
@@ -223,14 +224,14 @@ def near_enough(pairs: DataFrame, representatives: DataFrame, percent: int) -> D
     return guessed.where(F.col("estimate") >= percent / 100 - MARGIN).select("a", "b")
 
 
-def links(pairs: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int) -> DataFrame:
+def links(pairs: DataFrame, representatives: DataFrame, documents: DataFrame, text: str, percent: int, key: bytes) -> DataFrame:
     """Those of pairs (a, b) of nodes that link, on full sets of the whole texts."""
     pairs = cut(pairs)
     ids = pairs.select(F.col("b").alias("node")).union(pairs.select(F.col("a").alias("node"))).distinct()
     wanted = stored(ids.join(representatives.select("node", "doc_id", "text_hash"), "node"), "near-dedup-linked")
     texts = stored(_texts(documents, wanted, text), "near-dedup-texts")
     joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    exact = _similarities(joined.select("a", "b", "text_a", "text_b"))
+    exact = _similarities(joined.select("a", "b", "text_a", "text_b"), key)
     result = stored(exact.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "near-dedup-links")
     release(documents.sparkSession)
     return result
@@ -243,7 +244,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = PER
     texts are equal too; rows without doc_id get a null component and are kept.
     """
     with workspace(documents.sparkSession):
-        signed = stored(signatures(documents, text), "near-dedup-signatures")
+        key = B.drawn_key()  # equal hashes are taken for equal shingles, so texts must not be able to aim at them
+        signed = stored(signatures(documents, text, key), "near-dedup-signatures")
         classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.first("registers").alias("registers"))
         classes = with_nodes(stored(classes, "near-dedup-classes"))
         bands = classes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BUCKETS // ROWS - 1}), i -> xxhash64(i, substring(registers, 1 + {2 * ROWS} * i, {2 * ROWS})))")).alias("number", "band"))
@@ -254,13 +256,13 @@ def near_duplicates(documents: DataFrame, text: str = "text", percent: int = PER
         hubs = ranked.groupBy("band").agg(F.max(F.struct("reach", (-F.col("node")).alias("low"))).alias("top")).select("band", (-F.col("top.low")).alias("hub"))
         members = cut(ranked.select("band", "number", "node").join(hubs, "band"))
         stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        first = links(near_enough(stars, classes, percent), classes, documents, text, percent)
+        first = links(near_enough(stars, classes, percent), classes, documents, text, percent, key)
         found = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
         # what a band still holds apart
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 AND n > 2").select("band", "n")
         rest = cut(placed.where("node <> hub").join(several, "band").select("band", "number", "n", "node", "component"))
-        second = links(_apart(rest, classes, documents, text, percent), classes, documents, text, percent)
+        second = links(_apart(rest, classes, documents, text, percent, key), classes, documents, text, percent, key)
         found = components(first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
         grouped = stored(classes.select("high", "low", "doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-dedup-grouped")
         least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))

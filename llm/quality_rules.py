@@ -41,7 +41,7 @@ class Model(NamedTuple):
 
 
 def _by_text(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each hash: whether its text has an equal one elsewhere, and whether an equal one comes before."""
+    """For each number: whether its text has an equal one elsewhere, and whether an equal one comes before."""
     order = np.lexsort((hashes, doc))
     h, d = hashes[order], doc[order]
     same = np.zeros(len(h) + 1, bool)
@@ -52,8 +52,8 @@ def _by_text(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return twice, later
 
 
-def base_figures(block: B.Block, words: B.Words, prefix: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A row of BASE_COLUMNS for each text."""
+def base_figures(block: B.Block, words: B.Words) -> np.ndarray:
+    """A row of BASE_COLUMNS for each text. Words and lines are told apart by their bytes."""
     data, starts = block.data, block.starts
     n_words = np.diff(words.first)
     leads = np.zeros(len(data) + 1, np.int64)
@@ -63,17 +63,17 @@ def base_figures(block: B.Block, words: B.Words, prefix: np.ndarray, hashes: np.
     lines = B.find_words(data, starts, _NOT_NEWLINE)
     with_word = np.searchsorted(words.begin, lines.end) > np.searchsorted(words.begin, lines.begin)
     line_docs = lines.docs()
-    _, later = _by_text(B.span_hashes(prefix, lines.begin, lines.end), line_docs)
+    _, later = _by_text(B.word_codes(data, lines)[0], line_docs)
     dup_lines = B.sums_by_text((later & with_word).astype(np.int64), lines.first)
-    grams, gram_first = B.ngram_hashes(hashes, words.first, 3)
+    grams, gram_first = B.exact_grams(B.word_codes(data, words)[0], words.first, 3)
     gram_docs = np.repeat(np.arange(block.rows), np.diff(gram_first))
     twice, _ = _by_text(grams, gram_docs)
-    covered = np.zeros(len(hashes) + 3, bool)
+    covered = np.zeros(words.first[-1] + 3, bool)
     at = np.flatnonzero(twice)
     at = at - gram_first[gram_docs[at]] + words.first[gram_docs[at]]
     for k in range(3):
         covered[at + k] = True
-    return np.stack([n_words, chars, symbols, dup_lines, B.sums_by_text(covered[: len(hashes)].astype(np.int64), words.first)], axis=1)
+    return np.stack([n_words, chars, symbols, dup_lines, B.sums_by_text(covered[: words.first[-1]].astype(np.int64), words.first)], axis=1)
 
 
 def ngram_features(block: B.Block, words: B.Words, prefix: np.ndarray, low_hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -151,7 +151,7 @@ def judge(documents: DataFrame, model: Model, keep_at: float = KEEP_AT, text: st
             figures, probability = [np.zeros((0, 5), np.int64)], [np.zeros(0)]
             for block in B.blocks(batch.column(1)):
                 words, prefix, low_hashes = _prepared(block)
-                figures.append(base_figures(block, words, prefix, B.span_hashes(prefix, words.begin, words.end)))
+                figures.append(base_figures(block, words))
                 raw = np.full(block.rows, model.bias)
                 for feature, first in ngram_features(block, words, prefix, low_hashes):
                     raw += B.sums_by_text(model.weights[feature].astype(np.float64), first) / np.maximum(np.diff(first), 1)
