@@ -6,8 +6,9 @@ BM25 mass that a passage has, from 0 to 1. Postings are cut into blocks of BLOCK
 impact of each block.
 
 Search: passages cover every whole text, each sharing half of its words with the next. They have the power of two of words
-that holds the longest item, so that some passage has three quarters or more of any item that a text contains. For all passages of an Arrow
-batch at once:
+that holds the item, so that some passage has three quarters or more of any item that a text contains: items are indexed by
+classes of length, each with passages of its own, and no item's results hang on how long others are. For all passages of an
+Arrow batch at once:
  1. WAND pivot: a passage's terms in ascending order of their largest impact; as long as the running sum stays under the
     threshold, no item with only these terms can reach it. Passages whose whole sum stays under it end here.
  2. Only terms from the pivot on fetch blocks. A block stays if its block maxima for these terms, plus the running sum
@@ -67,11 +68,11 @@ class Index(NamedTuple):
     grams: list[tuple[int, np.ndarray, np.ndarray]]  # of each item: n, n-grams of question and of answer
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(texts: list[str], secret: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Term hashes of all texts and the first of each."""
     data, starts = B.text_buffers(pc.utf8_lower(pa.array(texts, pa.string())))
     words = B.find_words(data, starts, _APART)
-    return B.word_hashes(data, words), words.first
+    return B.keyed_hashes(data, words, secret), words.first
 
 
 def grams_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -95,9 +96,25 @@ def split_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
-def build_index(items: list[tuple[int, str, str]], frequency: dict[int, int] | None = None, n_items: int = 0, mean_length: float = 0.0, longest: int = 0) -> Index:
-    """Index of (item_id, question, answer); the figures are those of all items if this is a slice."""
-    hashes, first = _tokens([f"{q} {a}" for _, q, a in items])
+def build_indexes(items: list[tuple[int, str, str]], frequency: dict[int, int] | None = None, n_items: int = 0, mean_length: float = 0.0, secret: bytes = b"") -> list[Index]:
+    """An index for each class of length of (item_id, question, answer), with passages of its own: what is found of an item does not
+    hang on how long others are. The figures are those of all items if this is a slice."""
+    hashes, first = _tokens([f"{q} {a}" for _, q, a in items], secret)
+    sizes = np.diff(first)
+    if frequency is None:
+        doc = np.repeat(np.arange(len(items)), sizes)
+        terms, df = np.unique(np.unique(np.stack([hashes.view(np.int64), doc], axis=1), axis=0)[:, 0], return_counts=True)
+        frequency = dict(zip(terms.tolist(), df.tolist(), strict=True))
+    classes: dict[int, list[tuple[int, str, str]]] = {}
+    for item, size in zip(items, sizes.tolist(), strict=True):
+        classes.setdefault(1 << max(MIN_PASSAGE - 1, size - 1).bit_length(), []).append(item)
+    whole = n_items or max(1, len(items)), mean_length or max(1.0, sizes.mean() if len(sizes) else 1.0)
+    return [build_index(classes[passage], frequency, *whole, secret) for passage in sorted(classes)]
+
+
+def build_index(items: list[tuple[int, str, str]], frequency: dict[int, int] | None = None, n_items: int = 0, mean_length: float = 0.0, secret: bytes = b"") -> Index:
+    """Index of (item_id, question, answer), whose passages suit the longest of them."""
+    hashes, first = _tokens([f"{q} {a}" for _, q, a in items], secret)
     sizes = np.diff(first)
     doc = np.repeat(np.arange(len(items)), sizes)
     order = np.lexsort((doc, hashes))
@@ -127,10 +144,10 @@ def build_index(items: list[tuple[int, str, str]], frequency: dict[int, int] | N
     block_most = np.maximum.reduceat(impact, posting_first) if len(impact) else impact
     block_first = np.searchsorted(keys // n_blocks, np.arange(len(terms) + 1))
     group_first = np.searchsorted((terms >> np.uint64(64 - GROUP_BITS)).astype(np.int64), np.arange((1 << GROUP_BITS) + 1))
-    passage = 1 << max(MIN_PASSAGE - 1, int(longest or sizes.max(initial=1)) - 1).bit_length()
+    passage = 1 << max(MIN_PASSAGE - 1, int(sizes.max(initial=1)) - 1).bit_length()
     grams = []
     for _, question, answer in items:
-        (qh, _), (ah, _) = _tokens([question]), _tokens([answer])
+        (qh, _), (ah, _) = _tokens([question], secret), _tokens([answer], secret)
         grams.append(item_grams(qh, ah))
     return Index(np.array([i for i, _, _ in items], np.int64), passage, terms, number, group_first, peaks[numbered], keys, block_most, block_first, np.append(posting_first, len(d)), d, impact, n_blocks, grams)
 
@@ -230,37 +247,41 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray, threshold: float
     return first[doc] + half * (found - p0[doc]), block[good // BLOCK] * BLOCK + good % BLOCK, score[good]
 
 
-def _searched(documents: DataFrame, shared: Broadcast, text: str, threshold: float) -> DataFrame:
+def _searched(documents: DataFrame, shared: Broadcast, text: str, threshold: float, secret: bytes) -> DataFrame:
     def per_batch(batches):
-        index = shared.value
         for batch in batches:
             out = []
             ids = batch.column(0)
             for block in B.blocks(pc.utf8_lower(batch.column(1).cast(pa.string()))):
                 words = B.find_words(block.data, block.starts, _APART)
-                hashes = B.word_hashes(block.data, words)
+                hashes = B.keyed_hashes(block.data, words, secret)
                 found: dict[tuple[int, int], tuple[float, float, float, float]] = {}
-                for begin, item, score in zip(*search(index, hashes, words.first, threshold), strict=True):
-                    doc = int(np.searchsorted(words.first, begin, "right")) - 1
-                    n, question, answer = index.grams[item]
-                    around = grams_of(hashes[max(begin - index.passage, words.first[doc]) : min(begin + 2 * index.passage, words.first[doc + 1])], n)
-                    shares = [np.isin(g, around, assume_unique=True).sum() for g in (question, answer)]
-                    parts = [s / len(g) if len(g) else 1.0 for s, g in zip(shares, (question, answer), strict=True)]
-                    now = (score, *parts, sum(shares) / max(1, len(question) + len(answer)))
-                    found[doc, item] = max(found.get((doc, item), now), now, key=lambda x: (min(x[1], x[2]), *x[::-1]))
-                out += [(ids[block.first + doc].as_py(), int(index.items[item]), *map(float, x)) for (doc, item), x in found.items()]
+                for index in shared.value:
+                    for begin, item, score in zip(*search(index, hashes, words.first, threshold), strict=True):
+                        doc = int(np.searchsorted(words.first, begin, "right")) - 1
+                        n, question, answer = index.grams[item]
+                        around = grams_of(hashes[max(begin - index.passage, words.first[doc]) : min(begin + 2 * index.passage, words.first[doc + 1])], n)
+                        shares = [np.isin(g, around, assume_unique=True).sum() for g in (question, answer)]
+                        parts = [s / len(g) if len(g) else 1.0 for s, g in zip(shares, (question, answer), strict=True)]
+                        now = (score, *parts, sum(shares) / max(1, len(question) + len(answer)))
+                        at = doc, int(index.items[item])
+                        found[at] = max(found.get(at, now), now, key=lambda x: (min(x[1], x[2]), *x[::-1]))
+                out += [(ids[block.first + doc].as_py(), item, *map(float, x)) for (doc, item), x in found.items()]
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], [x.split()[0] for x in FOUND.split(", ")])
 
     return documents.select("doc_id", text).mapInArrow(per_batch, FOUND)
 
 
-def _term_rows(batches):
-    for batch in batches:
-        hashes, first = _tokens([x or "" for x in batch.column(0).to_pylist()])
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        pairs = np.unique(np.stack([doc.astype(np.int64), hashes.view(np.int64)], axis=1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy())], ["term"])
+def _term_rows(secret: bytes):
+    def per_batch(batches):
+        for batch in batches:
+            hashes, first = _tokens([x or "" for x in batch.column(0).to_pylist()], secret)
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            pairs = np.unique(np.stack([doc.astype(np.int64), hashes.view(np.int64)], axis=1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy())], ["term"])
+
+    return per_batch
 
 
 def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", question: Column | None = None, answer: Column | None = None, threshold: float = THRESHOLD, question_share: float = QUESTION, answer_share: float = ANSWER, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -271,19 +292,18 @@ def contaminations(documents: DataFrame, items: DataFrame, text: str = "text", i
     whole = F.concat_ws(" ", question, answer) if question is not None else F.coalesce(F.col(item_text), F.lit(""))
     parts = items.select("item_id", whole.alias("whole"), *([question.alias("question"), answer.alias("answer")] if question is not None else []))
     n_words = F.size(F.split("whole", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    n, chars, words, longest = parts.agg(F.count("*"), F.coalesce(F.sum(F.length("whole")), F.lit(0)), F.coalesce(F.avg(n_words), F.lit(0.0)), F.coalesce(F.max(n_words), F.lit(0))).first()
+    n, chars, words = parts.agg(F.count("*"), F.coalesce(F.sum(F.length("whole")), F.lit(0)), F.coalesce(F.avg(n_words), F.lit(0.0))).first()
     slices = max(1, -(-chars // slice_chars))
-    found = None
+    found, secret = None, B.drawn_key()  # equal hashes are taken for equal words
     for k in range(slices):
         rows = parts.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else parts
         listed = [(r[0], r[2] or "", r[3] or "") if question is not None else (r[0], *split_answer(r[1])) for r in rows.where("item_id IS NOT NULL").orderBy("item_id").collect()]
         frequency = None
         if slices > 1:
-            term = lambda df: df.select("whole").mapInArrow(_term_rows, "term long")
+            term = lambda df: df.select("whole").mapInArrow(_term_rows(secret), "term long")
             frequency = {r[0]: r[1] for r in term(parts).groupBy("term").count().join(term(rows).distinct(), "term").collect()}
-        index = build_index(listed, frequency, n, words, longest)
-        shared = documents.sparkSession.sparkContext.broadcast(index)
-        part = _searched(documents, shared, text, threshold).where((F.col("question_overlap") >= question_share) & (F.col("answer_overlap") >= answer_share))
+        shared = documents.sparkSession.sparkContext.broadcast(build_indexes(listed, frequency, n, words, secret))
+        part = _searched(documents, shared, text, threshold, secret).where((F.col("question_overlap") >= question_share) & (F.col("answer_overlap") >= answer_share))
         if slices > 1:  # one slice's index at a time
             part = stored(part, "decontamination-slice")
             shared.destroy()
