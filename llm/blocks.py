@@ -17,8 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MAX_BYTES = 1 << 19
-#: Words whose hashes a worker remembers.
-KNOWN_WORDS = 1 << 16
 #: Seeds of hashes that only choose features and candidates. Fixed, so that every task of every run agrees. Where equal hashes are
 #: taken for equal words, keyed_hashes() or word_codes() give them.
 SEED, BASE = 0x5EED, np.uint64(0x9E3779B97F4A7C15)
@@ -142,26 +140,75 @@ def drawn_key() -> bytes:
     return secrets.token_bytes(16)
 
 
-_keyed: dict[bytes, int] = {}
-_keyed_by: list[bytes] = [b""]
+#: The prime field of keyed hashes, and bytes of a word that are summed at once.
+FIELD, PIECE = (1 << 61) - 1, 1 << 20
+_tables: dict[bytes, np.ndarray] = {}
+
+
+def _key_powers(key: bytes, n: int) -> np.ndarray:
+    """Powers of the key's number in FIELD, low 32 bits and the rest, (2, n or more). A worker keeps those of its last keys."""
+    held = _tables.get(key)
+    if held is None or held.shape[1] < n:
+        if len(_tables) > 4:
+            _tables.clear()
+        base, out, size = key_number(key), [1], min(PIECE, max(256, 1 << (n - 1).bit_length()))
+        for _ in range(size - 1):
+            out.append(out[-1] * base % FIELD)
+        whole = np.array(out, np.uint64)
+        held = _tables[key] = np.stack([whole & np.uint64(0xFFFFFFFF), whole >> np.uint64(32)])
+    return held
+
+
+def key_number(key: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(key, digest_size=16).digest(), "little") % (FIELD - (1 << 32)) + (1 << 32)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(FIELD)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(FIELD), x - np.uint64(FIELD), x)
+
+
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs that begin at starts; running sums may wrap, those of a run do not."""
+    total = np.cumsum(x, out=x)
+    last = total[np.append(starts[1:], len(x)) - 1]
+    last[1:] -= last[:-1].copy()
+    return last
 
 
 def keyed_hashes(data: np.ndarray, words: Words, key: bytes) -> np.ndarray:
-    """64-bit hashes of words by a keyed cryptographic function: whoever writes texts cannot make two words share one, and by
-    chance two of n different words do with a probability of n^2 / 2^65. Each different word of a block is hashed once."""
-    codes, found = word_codes(data, words)
-    if _keyed_by[0] != key or len(_keyed) > KNOWN_WORDS:
-        _keyed.clear()
-        _keyed_by[0] = key
-    out = np.empty(len(found), np.uint64)
-    for k, w in enumerate(found.cast(pa.binary()).to_pylist()):
-        h = _keyed.get(w)
-        if h is None:
-            h = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little")
-            if len(w) <= 24:
-                _keyed[w] = h
-        out[k] = h
-    return out[codes]
+    """Hashes of words as polynomials over a prime field, at a secret point: two different words of at most L bytes share one with a
+    probability under L / 2^60, whoever wrote them, and n words under n^2 L / 2^61."""
+    size = words.end - words.begin
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    offsets = np.cumsum(size) - size
+    # counting on from byte to byte of the words, with a step where a word begins
+    place = np.ones(offsets[-1] + size[-1], np.int64)
+    at = place.copy()
+    place[offsets[1:]] -= size[:-1]
+    at[offsets[1:]] += words.begin[1:] - words.end[:-1]
+    place[0], at[0] = 0, words.begin[0]
+    np.cumsum(place, out=place)
+    value = data[np.cumsum(at, out=at)].astype(np.uint64)
+    value += np.uint64(1)
+    longest, starts = int(size.max()), offsets
+    if longest > PIECE:  # long words are summed in pieces
+        pieces = -(-size // PIECE)
+        owner = np.repeat(np.arange(len(size)), pieces)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, place = offsets[owner] + number * PIECE, place % PIECE
+    low, high = _key_powers(key, min(longest, PIECE))
+    low, high = (_sums(value * x[place], starts) for x in (low, high))
+    # high * 2^32 + low, where 2^61 is 1
+    out = _reduced(_reduced(low) + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
+    if longest > PIECE:
+        step, first = pow(key_number(key), PIECE, FIELD), np.cumsum(pieces) - pieces
+        for k in np.flatnonzero(pieces > 1).tolist():
+            parts = out[first[k] : first[k] + pieces[k]].tolist()
+            out[first[k]] = sum(x * pow(step, j, FIELD) for j, x in enumerate(parts)) % FIELD
+        out = out[first]
+    return mix(out)
 
 
 def exact_grams(codes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
