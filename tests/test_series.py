@@ -136,7 +136,44 @@ def test_sources(spark, tmp_path):
         M.close_series(rows.select("open"))
 
 
-@pytest.mark.parametrize("call", [lambda: S.prediction_signal(F.lit(1.0), "cubic"), lambda: P.train_test_split(None, 1.5), lambda: S.ewma_volatility(None, 1.0), lambda: BT.backtest(None, -1), lambda: ST.chi2_tail(F.lit(1.0), 3)])
+@pytest.mark.parametrize("call", [lambda: S.prediction_signal(F.lit(1.0), "cubic"), lambda: P.train_test_split(None, 1.5), lambda: S.ewma_volatility(None, 1.0), lambda: BT.backtest(None, -1), lambda: ST.chi2_tail(F.lit(1.0), 0)])
 def test_argument_errors(call, spark):
     with pytest.raises(ValueError):
         call()
+
+
+def test_chi_square_tails_of_odd_degrees(spark):
+    """Against the recurrence Q(a + 1, x) = Q(a, x) + x^a exp(-x) / gamma(a + 1) from Q(1/2, x) = erfc(sqrt x)."""
+    qs = [0.0, 1e-6, 0.3, 2.0, 7.9, 8.1, 30.0, 90.0, 400.0]
+    df = spark.createDataFrame([(q,) for q in qs], "q double")
+    for degrees in (1, 3, 9, 21):
+        found = [r.p for r in df.select("q", ST.chi2_tail(F.col("q"), degrees).alias("p")).orderBy("q").collect()]
+        for q, p in zip(qs, found, strict=True):
+            x, a, expected = q / 2, 0.5, math.erfc(math.sqrt(q / 2))
+            while 2 * a < degrees:
+                expected += x**a * math.exp(-x) / math.gamma(a + 1)
+                a += 1
+            assert p == pytest.approx(expected, rel=1e-9, abs=1e-14)
+    both = df.where("q >= 2").select((ST.chi2_tail(F.col("q"), 20) < ST.chi2_tail(F.col("q"), 21)).alias("a"), (ST.chi2_tail(F.col("q"), 21) < ST.chi2_tail(F.col("q"), 22)).alias("b")).distinct().collect()
+    assert [tuple(r) for r in both] == [(True, True)]
+
+
+def test_means_of_series_that_end_together(series):
+    df = series({"a": [1.0, 2.0, 3.0], "b": [10.0], "c": [5.0, 7.0]}, "x")
+    aligned = P.align_from_end(df, "x", 0.5)
+    assert {(r.symbol, r.back): r.x for r in aligned.collect()} == {("a", 0): 3.0, ("a", 1): 2.0, ("a", 2): 1.0, ("b", 0): 10.0, ("b", 1): 0.5, ("b", 2): 0.5, ("c", 0): 7.0, ("c", 1): 5.0, ("c", 2): 0.5}
+    assert {r.back: r["mean"] for r in P.ended_means(df, "x", 0.5).collect()} == pytest.approx({r.back: r.m for r in aligned.groupBy("back").agg(F.avg("x").alias("m")).collect()})
+
+
+def test_sums_at_several_sizes_equal_one_at_a_time(spark):
+    df = spark.range(60).selectExpr("CAST(id % 2 AS string) AS symbol", "id DIV 2 + 1 AS seq", "(id DIV 2) DIV 7 AS day", "CAST(id * id % 17 AS double) AS ret")
+    found = ST.sums_at(df, {"one": 1, "three": 3, "day": 0}, "day").select("series.*", "seq", "ret").collect()
+    rows = {s: [(r.day, r.ret) for r in df.where(F.col("symbol") == s).orderBy("seq").collect()] for s in "01"}
+    for s, pairs in rows.items():
+        days = [[x for d, x in pairs if d == day] for day in sorted({d for d, _ in pairs})]
+        for freq, n in (("one", 1), ("three", 3), ("day", 0)):
+            sums = [sum(day[k : k + n]) for day in days for k in range(0, len(day) // n * n, n)] if n else [sum(day) for day in days]
+            assert [r.ret for r in sorted((r for r in found if (r.symbol, r.freq) == (s, freq)), key=lambda r: r.seq)] == pytest.approx(sums)
+    ratios = {(r.symbol, r.horizon): r.variance_ratio for r in ST.variance_ratios(df, (2, 5, 16)).collect()}
+    for q in (2, 5, 16):
+        assert {r.symbol: r.variance_ratio for r in ST.variance_ratio(df, q).collect()} == pytest.approx({s: ratios[s, q] for s in "01"})

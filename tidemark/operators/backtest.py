@@ -11,12 +11,12 @@ from tidemark.operators.statistics import correlation
 YEAR, MINUTES = 252, 390
 
 
-def backtest(df: DataFrame, cost_bps: float = 5, signal: str = "signal", value: str = "ret", key: str = "symbol") -> DataFrame:
-    """df with lagged (the signal before), net return after costs on changes of lagged, and cumulative wealth.
+def backtest(df: DataFrame, cost_bps: float | Column = 5, signal: str = "signal", value: str = "ret", key: str = "symbol") -> DataFrame:
+    """df with lagged (the signal before), net return after costs on changes of lagged, and cumulative wealth. Costs may be a column.
 
     One exchange and one sort serve all columns, and further ones over the same window.
     """
-    if cost_bps < 0:
+    if not isinstance(cost_bps, Column) and cost_bps < 0:
         raise ValueError("costs must not be negative")
     w = by_time(key)
     before = lambda n: F.coalesce(F.lag(signal, n).over(w), F.lit(0.0))

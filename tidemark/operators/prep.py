@@ -110,8 +110,20 @@ def inner_align(df: DataFrame, symbols: list[str], on: str = "dt", key: str = "s
 
 
 def align_from_end(df: DataFrame, value: str, pad: float, key: str = "symbol") -> DataFrame:
-    """Series of unequal length aligned at their ends: back counts from the last row, and values before a start are pad."""
-    back = df.withColumn("back", F.max("seq").over(Window.partitionBy(key)) - F.col("seq"))
-    longest = back.agg(F.max("back").alias("n"))
-    grid = df.select(key).distinct().join(longest).select(key, F.explode(F.sequence(F.lit(0), F.col("n"))).alias("back"))
-    return grid.join(back.select(key, "back", value), [key, "back"], "left").withColumn(value, F.coalesce(value, F.lit(pad)))
+    """Series of unequal length aligned at their ends: back counts from the last row, and values before a start are pad.
+
+    Rows of the result are those that it must have, a series times the longest. ended_means() gives means without them.
+    """
+    back = df.select(key, (F.max("seq").over(Window.partitionBy(key)) - F.col("seq")).alias("back"), value)
+    spans = back.groupBy(key).agg(F.max("back").alias("last"))
+    longest = spans.agg(F.max("last").alias("longest"))
+    missing = spans.join(F.broadcast(longest), F.col("last") < F.col("longest")).select(key, F.explode(F.sequence(F.col("last") + 1, F.col("longest"))).alias("back"))
+    return back.withColumn(value, F.coalesce(value, F.lit(pad).cast(df.schema[value].dataType))).unionByName(missing.withColumn(value, F.lit(pad).cast(df.schema[value].dataType)))
+
+
+def ended_means(df: DataFrame, value: str, pad: float, key: str = "symbol") -> DataFrame:
+    """(back, mean): mean over all series at each place from the end, those that had not begun counted as pad; no pads are made."""
+    back = df.select((F.max("seq").over(Window.partitionBy(key)) - F.col("seq")).alias("back"), value)
+    series = df.select(key).distinct().agg(F.count("*").alias("series"))
+    sums = back.groupBy("back").agg(F.sum(F.coalesce(value, F.lit(float(pad)))).alias("sum"), F.count("*").alias("n"))
+    return sums.join(F.broadcast(series), F.lit(True)).select("back", ((F.col("sum") + F.lit(float(pad)) * (F.col("series") - F.col("n"))) / F.col("series")).alias("mean"))

@@ -64,7 +64,8 @@ STACKED = 1 << 14
 def stacked(df: DataFrame, columns: str, per_stack, size: int, key: str = "symbol") -> DataFrame:
     """df's rows with more columns, worked on for `size` whole series at a time: per_stack(list of frames in time order) -> frames.
 
-    Series are dealt to tasks by key and read one after the other, so a task holds one stack, whatever the number of series.
+    Series are dealt to tasks by key and read one after the other, the short ones first, so that those of a stack are about equally
+    long; a task holds one stack, whatever the number of series.
     """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), columns])
 
@@ -72,6 +73,7 @@ def stacked(df: DataFrame, columns: str, per_stack, size: int, key: str = "symbo
         done: list[pd.DataFrame] = []
         parts: list[pd.DataFrame] = []
         for frame in frames:
+            frame = frame.drop(columns="__rows")
             change = np.flatnonzero(frame[key].to_numpy()[1:] != frame[key].to_numpy()[:-1]) + 1
             for low, high in zip([0, *change], [*change, len(frame)], strict=True):
                 part = frame.iloc[low:high]
@@ -89,7 +91,8 @@ def stacked(df: DataFrame, columns: str, per_stack, size: int, key: str = "symbo
             yield from per_stack(done)
 
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, key).sortWithinPartitions(key, "seq").mapInPandas(per_partition, schema)
+    counted = df.repartition(tasks, key).withColumn("__rows", F.count("*").over(Window.partitionBy(key)))
+    return counted.sortWithinPartitions("__rows", key, "seq").mapInPandas(per_partition, schema)
 
 
 def _observations(series: list[np.ndarray]) -> np.ndarray:

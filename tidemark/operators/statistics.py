@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,12 +85,29 @@ def acf(df: DataFrame, max_lag: int, value: str = "ret", key: str = "symbol") ->
     return rows.select(key, "n", "lag", F.when(F.col("s0") / F.col("n") < 1e-15, 0.0).otherwise(F.try_divide("s", "s0")).alias("acf"))
 
 
+def _folded(n: Column | int, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """first taken through step(so far, k) for k from 1 to n, as one expression."""
+    return F.aggregate(F.sequence(F.lit(1), n if isinstance(n, Column) else F.lit(n)), first, step)
+
+
+def erfc(z: Column) -> Column:
+    """Complementary error function of numbers from 0: by a series of positive terms under 2, by a continued fraction beyond."""
+    square = z * z
+    sums = _folded(60, F.struct(z.alias("term"), z.alias("sum")), lambda a, k: F.struct((a["term"] * 2 * square / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * 2 * square / (2 * k + 1)).alias("sum")))
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * sums["sum"]
+    tail = _folded(80, z, lambda a, k: z + (81 - k) / 2 / a)
+    return F.when(z < 2, near).otherwise(F.exp(-square) / math.sqrt(math.pi) / tail)
+
+
 def chi2_tail(q: Column, df: int) -> Column:
-    """Probability that a chi-square variable of an even number of degrees exceeds q."""
-    if df % 2:
-        raise ValueError("the number of degrees must be even")
+    """Probability that a chi-square variable exceeds q: a finite sum, with the error function where the degrees are odd."""
+    if df < 1:
+        raise ValueError("there must be a degree of freedom")
     half = q / 2
-    return F.exp(-half) * sum((F.pow(half, F.lit(float(j))) / float(math.factorial(j)) for j in range(df // 2)), F.lit(0.0))
+    if df % 2 == 0:
+        return F.exp(-half) * sum((F.pow(half, F.lit(float(j))) / float(math.factorial(j)) for j in range(df // 2)), F.lit(0.0))
+    terms = sum((F.pow(half, F.lit(j + 0.5)) / math.gamma(j + 1.5) for j in range(df // 2)), F.lit(0.0))
+    return erfc(F.sqrt(half)) + F.exp(-half) * terms
 
 
 def ljung_box(df: DataFrame, lags: int = 30, value: str = "ret", key: str = "symbol") -> DataFrame:
@@ -115,6 +133,28 @@ def variance_ratio(df: DataFrame, q: int, value: str = "ret", key: str = "symbol
     return one.join(many, key, "left").select(key, ratio.alias("variance_ratio"))
 
 
+def sums_at(df: DataFrame, sizes: dict[str, int], within: str, value: str = "ret", key: str = "symbol") -> DataFrame:
+    """(series, seq, ret): sums of consecutive blocks of each size inside each `within`, all sizes as rows of one table; series is
+    (key, freq). Size 0 takes a `within` whole; others leave out a rest at its end."""
+    place = F.row_number().over(Window.partitionBy(key, within).orderBy("seq"))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("freq"), F.lit(n).alias("size")) for f, n in sizes.items()))).alias("f")
+    rows = df.select(key, within, value, place.alias("place")).select(key, within, value, "place", each).select(key, within, value, "f.*", F.when(F.col("f.size") > 0, F.floor((F.col("place") - 1) / F.greatest("f.size", F.lit(1)))).otherwise(0).alias("block"))
+    blocks = rows.groupBy(key, "freq", "size", within, "block").agg(F.sum(value).alias("ret"), F.count("*").alias("n")).where("size = 0 OR n = size")
+    series = F.struct(F.col(key), F.col("freq"))
+    return blocks.select(series.alias("series"), F.row_number().over(Window.partitionBy(key, "freq").orderBy(within, "block")).alias("seq"), "ret")
+
+
+def variance_ratios(df: DataFrame, horizons: tuple[int, ...], value: str = "ret", key: str = "symbol") -> DataFrame:
+    """(key, horizon, variance_ratio) as variance_ratio() gives for each horizon, all of them as rows of one table."""
+    one = df.groupBy(key).agg(F.var_samp(value).alias("v1"))
+    rows = df.select(key, "seq", value, F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
+    blocks = rows.groupBy(key, "horizon", F.floor((F.col("seq") - 1) / F.col("horizon")).alias("block")).agg(F.sum(value).alias("b"), F.count("*").alias("n")).where("n = horizon")
+    many = blocks.groupBy(key, "horizon").agg(F.var_samp("b").alias("vq"), F.count("*").alias("blocks"))
+    every = one.select(key, "v1", F.explode(F.array(*map(F.lit, horizons))).alias("horizon")).join(many, [key, "horizon"], "left")
+    ratio = F.when(F.col("v1") < 1e-15, 1.0).when(F.col("blocks") >= 2, F.col("vq") / (F.col("horizon") * F.col("v1")))
+    return every.select(key, "horizon", ratio.alias("variance_ratio"))
+
+
 def correlation(a: str | Column, b: str | Column) -> Column:
     """Pearson correlation as an aggregate; null where one side does not vary."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -11,6 +11,7 @@ from tidemark.functions import numerics as N
 from tidemark.operators import backtest as BT
 from tidemark.operators import hmm as H
 from tidemark.operators import prep as P
+from tidemark.shared import cut
 from tidemark.sources import market as M
 
 
@@ -47,20 +48,22 @@ def by_models(df: DataFrame, models: DataFrame, value: str = "ret") -> DataFrame
 
 
 def regime_signals(df: DataFrame, k: int = 3, successes: int = 10, attempts: int = 150, max_iter: int = 200, fraction: float = 0.7, seed: int = 42) -> DataFrame:
-    """by_models() of each series' test rows, the model fitted on its training rows; seq starts at 1 again."""
+    """by_models() of each series' test rows, the model fitted on its training rows; seq starts at 1 again. Checkpointed, as plans
+    read it more than once."""
     split = P.train_test_split(df, fraction)
     models = H.fit_retried(split.where("is_train"), [k], successes, attempts, max_iter, seed=seed)
-    return by_models(split.where("NOT is_train").drop("is_train"), models).withColumn("seq", F.row_number().over(P.by_time()))
+    return cut(by_models(split.where("NOT is_train").drop("is_train"), models).withColumn("seq", F.row_number().over(P.by_time())))
 
 
-def compared(df: DataFrame, named: dict[str, tuple], *keys: str) -> DataFrame:
-    """Metrics of several signals on the same rows: named gives a column and its costs for each strategy."""
-    keys = keys or ("symbol",)
-    out = None
-    for name, (signal, cost_bps) in named.items():
-        one = BT.metrics(BT.backtest(df.withColumn("signal", signal), cost_bps, key=keys[0]), *keys).withColumn("strategy", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def compared(df: DataFrame, named: dict[str, tuple]) -> DataFrame:
+    """Metrics of several signals on the same rows: named gives a column and its costs for each strategy.
+
+    Strategies are rows before the backtest, so df is made once, whatever their number.
+    """
+    each = F.array(*(F.struct(F.lit(name).alias("strategy"), signal.cast("double").alias("signal"), F.lit(float(cost)).alias("cost_bps")) for name, (signal, cost) in named.items()))
+    rows = df.select("symbol", "seq", "ret", F.explode(each).alias("s")).select(F.struct("symbol", "s.strategy").alias("series"), "seq", "ret", "s.signal", "s.cost_bps")
+    found = BT.metrics(BT.backtest(rows, F.col("cost_bps"), key="series"), "series")
+    return found.select("series.symbol", *(c for c in found.columns if c != "series"), "series.strategy")
 
 
 def strategies(test: DataFrame, cost_bps: float = 5) -> DataFrame:

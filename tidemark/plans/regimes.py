@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as BT
@@ -13,11 +13,42 @@ from tidemark.operators import prep as P
 from tidemark.operators import regimes as R
 from tidemark.operators import signals as S
 from tidemark.operators import statistics as ST
+from tidemark.shared import cut
 from tidemark.sources import market as M
 from tidemark.plans.common import by_models, compared, daily_log_returns, regime_signals, session_prices, strategies
 
 # What the analyses are run with.
 THRESHOLDS, ALPHAS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0), (0.1, 0.2, 0.3, 0.5, 0.7, 1.0)
+def walkthrough(spark, d):
+    """(step, symbol, item, name, value): exploration, choice of K, training, regimes, backtest and refinement as one chain.
+
+    Each step works on what the one before found: the fits of the choice are those of all K, regimes are decoded with the trained
+    model, and refinement starts from the backtest's signals. Fits, regimes and signals are checkpointed once and shared.
+    """
+    df = cut(daily_log_returns(spark, d))
+
+    def long(rows: DataFrame, step: str, item: str | Column) -> DataFrame:
+        names = [c for c, kind in rows.dtypes if kind in ("double", "int", "bigint", "boolean") and c not in ("state", "k", "grid_idx")]
+        values = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names))).alias("v")
+        return rows.select(F.lit(step).alias("step"), "symbol", (F.col(item) if isinstance(item, str) else item).cast("string").alias("item"), values).select("step", "symbol", "item", "v.name", "v.value")
+
+    scored = cut(model_selection(spark, d, tuple(range(1, 7))))
+    models = H.fit_retried(df, [3], 10, 150, 200)
+    rows = cut(by_models(df, models))
+    test = regime_signals(df)
+    steps = [
+        long(ST.moments(df), "exploration", F.lit("returns")), long(scored, "selection", "k"), long(described(models), "training", "state"),
+        long(detected(rows), "regimes", "state"), long(strategies(test), "backtest", "strategy"),
+        long(refined(test, THRESHOLDS, ALPHAS).where("part IS NOT NULL"), "refinement", "part"),
+    ]
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out
+
+
+#: Rows of a bar at each frequency; 0 for a whole day.
+FREQUENCIES = {"1min": 1, "5min": 5, "15min": 15, "30min": 30, "1h": 60, "1D": 0}
 HORIZONS = (2, 5, 10, 15, 20, 30, 60, 120, 240, 390)
 ASSETS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 #: (label, series, first day, last day)
@@ -46,18 +77,25 @@ def model_selection(spark, d, ks=tuple(range(1, 11))):
 
 
 def training(spark, d):
-    models = H.fit_retried(daily_log_returns(spark, d), [3], 10, 150, 200)
+    return described(H.fit_retried(daily_log_returns(spark, d), [3], 10, 150, 200))
+
+
+def described(models: DataFrame) -> DataFrame:
+    """A row for each state of models: mean, deviation, expected duration and long-run share."""
     states = models.select("symbol", "ll", "n_iter", "attempts", F.posexplode(F.arrays_zip("mu", "sigma2")).alias("state", "m")).select("symbol", "ll", "n_iter", "attempts", "state", "m.mu", F.sqrt("m.sigma2").alias("sigma"))
     return states.join(H.expected_durations(models), ["symbol", "state"]).join(H.stationary(models), ["symbol", "state"])
 
 
 def decoded(df: DataFrame, k: int, successes: int, attempts: int, max_iter: int, seed: int = 42) -> DataFrame:
-    """by_models() of all rows of each series, under a model of the same rows."""
-    return by_models(df, H.fit_retried(df, [k], successes, attempts, max_iter, seed=seed))
+    """by_models() of all rows of each series, under a model of the same rows. Checkpointed, as plans read it more than once."""
+    return cut(by_models(df, H.fit_retried(df, [k], successes, attempts, max_iter, seed=seed)))
 
 
 def regime_detection(spark, d):
-    rows = decoded(daily_log_returns(spark, d), 3, 10, 150, 200)
+    return detected(decoded(daily_log_returns(spark, d), 3, 10, 150, 200))
+
+
+def detected(rows: DataFrame) -> DataFrame:
     return R.state_stats(rows, 3).join(R.average_durations(rows), ["symbol", "state"], "left").join(R.transition_counts(rows), "symbol")
 
 
@@ -151,7 +189,10 @@ def signal_refinement(spark, d, thresholds=THRESHOLDS, alphas=ALPHAS):
 
     part names the cells of the comparison: baseline (neither), combined (the best cell), zone and smoothing (its one half).
     """
-    test = regime_signals(daily_log_returns(spark, d))
+    return refined(regime_signals(daily_log_returns(spark, d)), thresholds, alphas)
+
+
+def refined(test: DataFrame, thresholds, alphas) -> DataFrame:
     grid = F.array(*(F.struct(F.lit(len(alphas) * i + j).alias("grid_idx"), F.lit(float(t)).alias("threshold"), F.lit(float(a)).alias("alpha")) for i, t in enumerate(thresholds) for j, a in enumerate(alphas)))
     cells = test.select("symbol", "seq", "ret", "signal", "neutral", F.explode(grid).alias("g")).select("symbol", "seq", "ret", "signal", "neutral", "g.*")
     cells = cells.withColumn("signal", F.when(F.col("neutral") < F.col("threshold"), F.col("signal")).otherwise(0.0))
@@ -194,36 +235,28 @@ def autocorrelation(spark, d):
     deviation at six frequencies; variance ratios at ten horizons; the minutes of the largest and least mean absolute return.
     """
     rets = P.log_returns(session_prices(spark, d)).withColumn("day", F.to_date("ts")).select("symbol", "seq", "ts", "day", "ret")
-    out = []
-
-    def add(df: DataFrame, at: object, **values: str) -> None:
-        structs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")) for k, c in values.items()))).alias("v")
-        out.append(df.select("symbol", F.lit(str(at)).alias("at"), structs).select("symbol", "v.kind", "at", "v.value"))
-
-    order = Window.partitionBy("symbol").orderBy("day", "block")
-    for size, freq in ((1, "1min"), (5, "5min"), (15, "15min"), (30, "30min"), (60, "1h"), (0, "1D")):
-        if size == 1:
-            one = rets.select("symbol", "seq", "ret")
-        elif size:
-            one = ST.block_sums(rets, size, within="day").withColumn("seq", F.row_number().over(order)).select("symbol", "seq", "ret")
-        else:
-            one = rets.groupBy("symbol", "day").agg(F.sum("ret").alias("ret")).withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy("day"))).select("symbol", "seq", "ret")
-        add(ST.ljung_box(one, 30), freq, ljung_box="q", p_value="p_value")
-        add(ST.acf(one, 1).where("lag = 1"), freq, acf1="acf")
-        add(ST.snr(one, freq), freq, snr="snr", annual_vol="annual_vol")
-    for q in HORIZONS:
-        add(ST.variance_ratio(rets, q), q, variance_ratio="variance_ratio")
-    season = ST.seasonality(rets)
-    add(ST.peaks(season), "minute", peak="peak", trough="trough")
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+
+    def long(df: DataFrame, symbol: str, at: Column, *kinds: str) -> DataFrame:
+        structs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("value")) for k in kinds))).alias("v")
+        return df.select(F.col(symbol).alias("symbol"), at.cast("string").alias("at"), structs).select("symbol", "v.kind", "at", "v.value")
+
+    # six frequencies are six series of each symbol in one table, which is sorted once for all lags
+    frames = ST.sums_at(rets, FREQUENCIES, "day")
+    lags = ST.acf(frames, 30, key="series")
+    n = F.col("n")
+    first = F.max(F.when(F.col("lag") == 1, F.col("acf"))).alias("acf1")
+    tests = lags.where("lag > 0").groupBy("series", "n").agg(first, (n * (n + 2) * F.sum(F.when(F.col("lag") < n, F.col("acf") ** 2 / (n - F.col("lag"))))).alias("ljung_box"))
+    tests = tests.withColumn("p_value", ST.chi2_tail(F.col("ljung_box"), 30))
+    deviation, bars = F.stddev_pop("ret"), F.create_map(*(F.lit(x) for pair in ST.BARS_PER_YEAR.items() for x in pair))
+    noise = frames.groupBy("series").agg(F.try_divide(F.abs(F.avg("ret")), deviation).alias("snr"), deviation.alias("__d")).withColumn("annual_vol", F.col("__d") * F.sqrt(F.element_at(bars, F.col("series.freq")).cast("double")))
+    rows = long(tests, "series.symbol", F.col("series.freq"), "ljung_box", "p_value", "acf1").unionByName(long(noise, "series.symbol", F.col("series.freq"), "snr", "annual_vol"))
+    rows = rows.unionByName(long(ST.variance_ratios(rets, HORIZONS), "symbol", F.col("horizon"), "variance_ratio"))
+    return rows.unionByName(long(ST.peaks(ST.seasonality(rets)), "symbol", F.lit("minute"), "peak", "trough"))
 
 
 PLANS = {
     "plan_exploration": exploration, "plan_model_selection": model_selection, "plan_training": training, "plan_regime_detection": regime_detection,
     "plan_backtest_comparison": backtest_comparison, "plan_em_and_gibbs": em_and_gibbs, "plan_multi_asset": multi_asset,
     "plan_three_or_four_states": three_or_four_states, "plan_split_by_states": split_by_states, "plan_rolling_backtest": rolling_backtest,
-    "plan_signal_refinement": signal_refinement, "plan_configurations": configured, "plan_robustness": robustness, "plan_autocorrelation": autocorrelation,
+    "plan_walkthrough": walkthrough, "plan_signal_refinement": signal_refinement, "plan_configurations": configured, "plan_robustness": robustness, "plan_autocorrelation": autocorrelation,
 }

@@ -142,7 +142,7 @@ def portfolio_search(spark, d, sigmas=SIGMAS, thetas=THETAS, n: int = 5, n_final
     rows = SS.traded(test.select("symbol", "seq", "price"), parameters, n_final, dt=DT, scaled=True)
     own = _unlagged(rows)
     curve = own.withColumn("wealth", F.product(1 + F.col("net")).over(P.by_time().rowsBetween(Window.unboundedPreceding, 0)))
-    nav = P.align_from_end(curve, "wealth", 1.0).groupBy("back").agg(F.avg("wealth").alias("net"))
+    nav = P.ended_means(curve, "wealth", 1.0).withColumnRenamed("mean", "net")
     ends = nav.agg(F.min_by("net", "back").alias("final_nav"), F.min("net").alias("least_nav")).withColumn("symbol", F.lit("portfolio"))
     ratio = own.groupBy("symbol").agg(BT.sharpe(F.col("net"), MINUTES_OF_A_YEAR).alias("test_sharpe"), F.count("*").alias("rows"))
     whole = ratio.agg(F.avg("test_sharpe").alias("test_sharpe"), F.max("rows").alias("rows")).withColumn("symbol", F.lit("portfolio")).join(ends, "symbol")
@@ -182,7 +182,7 @@ def contract_search(spark, d, grid=None, n: int = 3, n_final: int = 100, last_ro
     rows = _unlagged(SS.traded(_with_parameters(test, cells, {"sigma": 0.5}), None, n_final, dt=DT, scaled=True))
     out = own.withColumn("final_nav", F.lit(None).cast("double")).withColumn("max_drawdown", F.lit(None).cast("double"))
     for name, value in (("portfolio", "net"), ("hold", "ret")):
-        mean = P.align_from_end(rows, value, 0.0).groupBy("back").agg(F.avg(value).alias("net"))
+        mean = P.ended_means(rows, value, 0.0).withColumnRenamed("mean", "net")
         curve = mean.select(F.lit(name).alias("symbol"), (-F.col("back")).alias("seq"), "net")  # one row for each time
         curve = BT.drawdowns(curve.withColumn("cumulative", F.product(1 + F.col("net")).over(P.by_time().rowsBetween(Window.unboundedPreceding, 0))))
         ends = curve.groupBy("symbol").agg(BT.sharpe(F.col("net"), MINUTES_OF_A_YEAR).alias("test_sharpe"), F.max_by("cumulative", "seq").alias("final_nav"), (-F.min("drawdown")).alias("max_drawdown"))

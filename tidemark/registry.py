@@ -552,6 +552,14 @@ def _(spark, d):
     return ST.ljung_box(returns(spark, d)).select("symbol", r("q", 4, "q"), r("p_value", 6, "p_value"))
 
 
+@query("ljung_box_odd", f"""WITH {_ACF}, lb AS (SELECT symbol, any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)) / 2 AS x FROM acfs WHERE lag BETWEEN 1 AND 21 GROUP BY 1),
+s AS (SELECT symbol, x, list_reduce(list_prepend([1.0, 1.0], list_transform(range(1, 400), lambda k: [k::DOUBLE, 0.0])), lambda a, k: [a[1] * x / (10.5 + k[1]), a[2] + a[1] * x / (10.5 + k[1])])[2] AS total FROM lb)
+SELECT symbol, {rnd('2 * x', 'q', 4)}, {rnd('1 - exp(10.5 * ln(x) - x - lgamma(11.5)) * total', 'p_value')} FROM s""")
+def _(spark, d):
+    """21 degrees of freedom; the SQL sums the series of the lower incomplete gamma function."""
+    return ST.ljung_box(returns(spark, d), 21).select("symbol", r("q", 4, "q"), r("p_value", 6, "p_value"))
+
+
 @query("variance_ratio", f"""WITH {RETURNS}, blk AS (SELECT symbol, sum(ret) AS b FROM rets GROUP BY symbol, (seq - 1) // 5 HAVING count(*) = 5),
 v AS (SELECT symbol, var_samp(b) AS vq FROM blk GROUP BY 1), o AS (SELECT symbol, var_samp(ret) AS v1 FROM rets GROUP BY 1) SELECT symbol, {rnd('vq / (5 * v1)', 'variance_ratio')} FROM o JOIN v USING (symbol)""")
 def _(spark, d):
@@ -814,5 +822,56 @@ def _(spark, d):
 from tidemark.plans import regimes as _regime_plans  # noqa: E402
 from tidemark.plans import trends as _trend_plans  # noqa: E402
 
+_LOG_DAILY = DAILY + """,
+ld AS MATERIALIZED (SELECT symbol, dt, seq - 1 AS seq, ln(close / prev) AS ret FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY seq) AS prev FROM dseq) WHERE seq > 1)"""
+_EXPLORATION = f"""WITH RECURSIVE {_LOG_DAILY},
+m AS (SELECT symbol, avg(ret) AS m, stddev_pop(ret) AS s FROM ld GROUP BY 1),
+mo AS (SELECT symbol, {rnd('any_value(m)', 'mean', 9)}, {rnd('any_value(s)', 'std', 9)}, {rnd('avg(pow((ret - m) / s, 3))', 'skew', 5)}, {rnd('avg(pow((ret - m) / s, 4)) - 3', 'kurtosis', 5)} FROM ld JOIN m USING (symbol) GROUP BY 1),
+ex AS (SELECT symbol, min_by(dt, ROW(ret, dt)) AS worst_at, {rnd('min(ret)', 'worst', 8)}, min_by(dt, ROW(-ret, dt)) AS best_at, {rnd('max(ret)', 'best', 8)} FROM ld GROUP BY 1),
+pe AS (SELECT symbol, {', '.join(rnd(f'quantile_cont(ret, {p / 100})', f'p{p:02d}', 8) for p in ST.PERCENTILES)} FROM ld GROUP BY 1),
+rec AS (SELECT symbol, seq, ret * ret AS x FROM ld WHERE seq = 1
+UNION ALL SELECT c.symbol, c.seq, 0.94 * rec.x + (1 - 0.94) * p.ret * p.ret FROM rec JOIN ld c ON c.symbol = rec.symbol AND c.seq = rec.seq + 1 JOIN ld p ON p.symbol = rec.symbol AND p.seq = rec.seq),
+vo AS (SELECT symbol, {', '.join(rnd(f'{f}(sqrt(252 * x))', f'vol_{n}') for n, f in (('min', 'min'), ('max', 'max'), ('mean', 'avg')))} FROM rec GROUP BY 1)
+SELECT * FROM mo JOIN ex USING (symbol) JOIN pe USING (symbol) JOIN vo USING (symbol)"""
+
+
+def _exploration(spark, d):
+    digits = {"mean": 9, "std": 9, "skew": 5, "kurtosis": 5, "worst": 8, "best": 8} | {f"p{p:02d}": 8 for p in ST.PERCENTILES}
+    out = _regime_plans.exploration(spark, d)
+    return out.select(*(r(c, digits.get(c, 6), c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
+
+
+_RTH = RETURNS.replace("FROM events)", f"FROM events WHERE isodow({_NY}) <= 5 AND hour({_NY}) * 60 + minute({_NY}) BETWEEN 570 AND 959)")
+_SIZES = ", ".join(f"('{f}', {n})" for f, n in _regime_plans.FREQUENCIES.items())
+_BARS = ", ".join(f"('{f}', {n})" for f, n in ST.BARS_PER_YEAR.items())
+_value = lambda e: f"CASE WHEN abs({e}) >= 1000 THEN round({e}, 3) ELSE round({e}, 5) END + 0.0"
+_AUTOCORRELATION = f"""WITH {_RTH}, sizes(freq, size) AS (VALUES {_SIZES}), bars(freq, bars) AS (VALUES {_BARS}),
+d AS (SELECT symbol, seq, ret, ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY seq) - 1 AS place FROM rets),
+blk AS (SELECT symbol, freq, day, CASE WHEN size > 0 THEN place // greatest(size, 1) ELSE 0 END AS block, sum(ret) AS ret FROM d, sizes GROUP BY symbol, freq, size, day, 4 HAVING size = 0 OR count(*) = size),
+f AS (SELECT symbol, freq, ret, row_number() OVER (PARTITION BY symbol, freq ORDER BY day, block) AS seq FROM blk),
+ctr AS MATERIALIZED (SELECT symbol, freq, seq, ret - avg(ret) OVER (PARTITION BY symbol, freq) AS x FROM f),
+s0 AS (SELECT symbol, freq, count(*) AS n, sum(x * x) AS s0 FROM ctr GROUP BY 1, 2),
+sums AS (SELECT a.symbol, a.freq, k.lag, sum(a.x * b.x) AS s FROM ctr a, range(1, 31) k(lag), ctr b WHERE b.symbol = a.symbol AND b.freq = a.freq AND b.seq = a.seq + k.lag GROUP BY 1, 2, 3),
+acfs AS (SELECT symbol, freq, n, lag, CASE WHEN s0 / n < 1e-15 THEN 0 ELSE coalesce(s, 0) / s0 END AS acf FROM (s0 CROSS JOIN range(1, 31) k(lag)) LEFT JOIN sums USING (symbol, freq, lag)),
+q AS (SELECT symbol, freq, any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)) FILTER (lag < n) AS q, max(acf) FILTER (lag = 1) AS acf1 FROM acfs GROUP BY 1, 2),
+p AS (SELECT symbol, freq, exp(-any_value(q) / 2) * sum(pow(q / 2, j) / gamma(j + 1)) AS p FROM q, range(0, 15) r(j) GROUP BY 1, 2),
+z AS (SELECT symbol, freq, CASE WHEN stddev_pop(ret) > 0 THEN abs(avg(ret)) / stddev_pop(ret) END AS snr, stddev_pop(ret) * sqrt(any_value(bars)) AS vol FROM f JOIN bars USING (freq) GROUP BY 1, 2),
+hb AS (SELECT symbol, h, sum(ret) AS b FROM rets, (SELECT unnest([{', '.join(map(str, _regime_plans.HORIZONS))}]) AS h) GROUP BY symbol, h, (seq - 1) // h HAVING count(*) = h),
+hv AS (SELECT symbol, h, var_samp(b) AS vq, count(*) AS blocks FROM hb GROUP BY 1, 2),
+vr AS (SELECT o.symbol, o.h, CASE WHEN v1 < 1e-15 THEN 1 WHEN blocks >= 2 THEN vq / (o.h * v1) END AS ratio FROM (SELECT symbol, var_samp(ret) AS v1, unnest([{', '.join(map(str, _regime_plans.HORIZONS))}]) AS h FROM rets GROUP BY 1) o LEFT JOIN hv USING (symbol, h)),
+mi AS (SELECT symbol, hour(ts) * 60 + minute(ts) AS minute, avg(abs(ret)) AS a FROM rets GROUP BY 1, 2 HAVING count(*) > 10),
+pk AS (SELECT symbol, max_by(minute, ROW(a, -minute)) AS peak, min_by(minute, ROW(a, minute)) AS trough FROM mi GROUP BY 1),
+listed AS (SELECT symbol, 'ljung_box' AS kind, freq AS "at", q AS value FROM q UNION ALL SELECT symbol, 'acf1', freq, acf1 FROM q UNION ALL SELECT symbol, 'p_value', freq, p FROM p UNION ALL SELECT symbol, 'snr', freq, snr FROM z UNION ALL SELECT symbol, 'annual_vol', freq, vol FROM z
+UNION ALL SELECT symbol, 'variance_ratio', h::VARCHAR, ratio FROM vr UNION ALL SELECT symbol, 'peak', 'minute', peak FROM pk UNION ALL SELECT symbol, 'trough', 'minute', trough FROM pk)
+SELECT symbol, kind, "at", {_value("value")} AS value FROM listed"""
+
+
+def _autocorrelation(spark, d):
+    value = F.col("value")
+    return _regime_plans.autocorrelation(spark, d).withColumn("value", F.when(F.abs(value) >= 1000, F.round(value, 3)).otherwise(F.round(value, 5)) + 0.0)
+
+
+_SQL_PLANS = {"plan_exploration": (_exploration, _EXPLORATION), "plan_autocorrelation": (_autocorrelation, _AUTOCORRELATION)}
 for _name, _plan in {**_regime_plans.PLANS, **_trend_plans.PLANS}.items():
-    query(_name)(_plan)
+    _plan, _sql = _SQL_PLANS.get(_name, (_plan, None))
+    query(_name, _sql)(_plan)
