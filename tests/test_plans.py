@@ -187,3 +187,26 @@ def test_regimes_against_trends(spark, session):
     assert len(rows) == 9 and {r.strategy for r in rows} == {"regimes", "trend", "hold"} and all(0 <= r.agreement <= 1 for r in rows)
     minutes = T.minute_trends(spark, "", 10).collect()
     assert len(minutes) == 9 and {(r.strategy, r.ll is None) for r in minutes} == {("jumps", False), ("no jumps", False), ("hold", True)}
+
+
+def test_the_walkthrough_is_one_chain(spark):
+    """Steps agree with each other and with what each must hold, on the given tables."""
+    data = "/root/testdata/sf0.001"
+    found = {}
+    for r in R.walkthrough(spark, data).collect():
+        found.setdefault(r.step, {})[r.symbol, r.item, r.name] = r.value
+    moments = {r.symbol: r for r in ST.moments(C.daily_log_returns(spark, data)).collect()}
+    assert {s for s, _, _ in found["exploration"]} == set(moments)
+    for s, m in moments.items():
+        assert found["exploration"][s, "returns", "std"] == pytest.approx(m["std"])
+        chosen = [k for k in range(1, 7) if found["selection"][s, str(k), "bic_chosen"]]
+        assert len(chosen) == 1 and found["selection"][s, str(chosen[0]), "bic_gap"] == 0 and all(found["selection"][s, str(k), "bic_gap"] >= 0 for k in range(1, 7))
+        means = [found["training"][s, str(k), "mu"] for k in range(3)]
+        assert means == sorted(means) and sum(found["training"][s, str(k), "share"] for k in range(3)) == pytest.approx(1)
+        rows = sum(found["regimes"][s, str(k), "n"] for k in range(3))
+        assert rows == found["selection"][s, "1", "n"] and sum(found["regimes"][s, str(k), "pct"] for k in range(3)) == pytest.approx(100)
+        assert found["backtest"][s, "hold", "turnover"] == 0 and {i for n, i, _ in found["backtest"] if n == s} == {"hold", "sign", "vote"}
+        ranks = {i: found["refinement"][s, i, "rank"] for n, i, name in found["refinement"] if n == s and name == "rank"}
+        assert ranks["combined"] == 1
+        if "baseline" in ranks:  # neither zone nor smoothing is the backtest's own vote
+            assert found["refinement"][s, "baseline", "sharpe"] == pytest.approx(found["backtest"][s, "vote", "sharpe"], abs=1e-9)
