@@ -1,12 +1,15 @@
 """Quality rules, quality classifier and decontamination."""
 
+import collections
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from llm import blocks as B
 from llm import decontamination, quality_classifier, quality_rules
 from llm.tables import read
 
@@ -190,3 +193,60 @@ def test_question_and_answer_columns(spark, documents, rows):
     table = spark.createDataFrame([(1, " ".join(words[:25]), " ".join(words[25:40]))], "item_id long, q string, a string")
     found = decontamination.contaminations(documents, table, question=F.col("q"), answer=F.col("a")).where("doc_id = 9").first()
     assert found.question_overlap == 1.0 and found.answer_overlap == 1.0
+
+
+def _plain_features(text, n_chars):
+    """Features of the classifier, counted one word, pair and line at a time: {feature: value}."""
+    spaces = " \t\n\x0b\x0c\r"
+    one_hash = lambda raw: B.word_hashes(np.frombuffer(raw, np.uint8), B.Words(np.array([0]), np.array([len(raw)]), np.array([0, 1])))[0]
+    text = text or ""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    lower = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+    raw, n, some = text.encode(), len(words), max(1, len(words))
+    size = [len(w.encode()) for w in words]
+    again = lambda x: len(x) - len(set(x))
+    is_letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    letters, characters = max(1, sum(map(is_letter, raw))), max(1, sum(size))
+    symbols = b"#*$%&|<>!@^~=+_\\{}[]"
+    lines = [x for x in text.split("\n") if x]
+    statistics = [
+        np.log1p(n) / 8, sum(size) / some / 8, 1 - again(lower) / some, again(list(zip(lower, lower[1:], strict=False))) / some,
+        sum(65 <= b <= 90 for b in raw) / letters, min(5 * sum(b in symbols for b in raw) / characters, 2), 5 * sum(48 <= b <= 57 for b in raw) / characters,
+        min(5 * max(1, len(lines)) / some, 2), again(lines) / max(1, len(lines)), sum(len(w) == 1 and w.encode()[0] in symbols for w in words) / some, sum(map(is_letter, raw)) / characters,
+    ]
+    assert not any(c in spaces for w in words for c in w)
+    out = collections.Counter()
+    for w in lower:
+        out[int(one_hash(w.encode())) >> 48] += 1 / n
+    out = {k: [v] for k, v in out.items()} | {quality_classifier.BUCKETS + k: [v] for k, v in enumerate(statistics)}
+    code = 63 if n_chars is None or n_chars < 0 else int(np.log2(n_chars + 1))
+    own = int(B.mix(np.array([(code + int(B.BASE)) % (1 << 64)], np.uint64))[0]) % quality_classifier.BUCKETS
+    out.setdefault(own, []).append(0.2)
+    return out
+
+
+def test_features_and_scores_against_words_one_by_one(spark, documents, rows):
+    """Every feature of every edge text, and the machine's score by all pairs of features."""
+    rng = np.random.default_rng(2)
+    Q = quality_classifier
+    machine = Q.Machine(-0.2, rng.normal(0, 0.5, Q.DIM).astype(np.float32), rng.normal(0, 0.3, (Q.DIM, Q.FACTORS)).astype(np.float32))
+    texts = [(i, t) for i, t in rows if t is None or len(t) < 6000] + [(300, "A# b 1 1 1\n\nA# b\nA# b"), (301, "# # <\x00> ÄÖ Äö"), (302, "\n\n")]
+    df = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in texts], "doc_id long, text string, n_chars long")
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64())]))
+    expected = [_plain_features(t, None if t is None else len(t)) for _, t in texts]
+    at = 0
+    for starts, index, value in Q.features(batch, "text", ("n_chars",)):
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            found = {}
+            for i, v in zip(index[a:b].tolist(), value[a:b].tolist(), strict=True):
+                found.setdefault(i, []).append(v)
+            assert found.keys() == expected[at].keys(), texts[at]
+            assert all(sorted(found[i]) == pytest.approx(sorted(expected[at][i]), rel=1e-5, abs=1e-6) for i in found), texts[at]
+            at += 1
+    assert at == len(texts)
+    scores = [r.score for r in Q.score(df.coalesce(1), machine, metadata=("n_chars",)).orderBy("doc_id").collect()]
+    for s, (_, x) in zip(scores, sorted(zip((i for i, _ in texts), expected, strict=True), key=lambda p: p[0]), strict=True):
+        index, value = (np.array(c) for c in zip(*((i, v) for i, vs in x.items() for v in vs), strict=True))
+        gram = machine.factors[index].astype(float) @ machine.factors[index].T.astype(float) * np.outer(value, value)
+        raw = machine.bias + machine.linear[index].astype(float) @ value + (gram.sum() - np.trace(gram)) / 2
+        assert s == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-4)

@@ -1,8 +1,9 @@
 """URL filters and WARC derivatives."""
 
+import base64
 import gzip
 import hashlib
-import base64
+import html.parser
 import re
 import time
 
@@ -140,3 +141,48 @@ def test_pages_through_files(spark):
     assert warc.derivative_records(pages.limit(0)).count() == 0
     assert {r.target_uri for r in rows if r.page_id in (2, 3)} == {None}
     assert out.select(F.element_at("fields", "WARC-Refers-To-Date")).distinct().count() == 1
+
+
+class _Plain(html.parser.HTMLParser):
+    """What a page shows, by the standard library's parser: hidden elements dropped, blocks on lines of their own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "head", "noscript", "template"):
+            self.hidden.append(tag)
+            self.out.append("" if tag in ("head",) else " ")
+        elif tag in warc._BREAKS:
+            self.out.append("\n")
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag in self.hidden:
+            del self.hidden[self.hidden.index(tag) :]
+        elif tag in warc._BREAKS:
+            self.out.append("\n")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def _shown(page):
+    parser = _Plain()
+    parser.feed(page)
+    parser.close()
+    return "\n".join(line for raw in "".join(parser.out).split("\n") if (line := " ".join(raw.split())))
+
+
+def test_plain_text_is_that_of_another_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").where("html IS NOT NULL").collect()]
+    pages += [PAGE, "a<br/>b<!-- c -->d", "<div>x<span>y</span> z</div>tail &amp; &#233; &eacute;", "<table><tr><td>1</td><td>2</td></tr></table>", "<p>1 < 2 and 3 > 2</p>", "<body><noscript>no</noscript>yes<template><p>t</p></template></body>", "plain text\nof two lines", ""]
+    assert len(pages) > 100
+    for page in pages:
+        assert warc.plain_text(page) == _shown(page), page[:300]
