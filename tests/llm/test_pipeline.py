@@ -29,6 +29,29 @@ def test_stages(spark):
     assert 0 < corpus_pipeline.run(spark, DATA).count() == before
 
 
+def test_stages_on_odd_rows(spark, documents):
+    """Rows without id or text, repeated rows and clashing columns: what each stage's docstring says, and nothing else goes."""
+    odd = spark.createDataFrame([(None, "A text that has no id and some words of its own to keep"), (None, None), (800, None), (801, "")], "doc_id long, text string")
+    docs = documents.unionByName(odd, allowMissingColumns=True)
+    kept = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((str(r.doc_id) for r in df.select("doc_id").collect()))
+    lines = kept["line_dedup"](spark, docs, DATA)
+    assert ids(lines) == ids(docs) and lines.columns == docs.columns
+    near = kept["near_dedup"](spark, docs, DATA)
+    assert ids(near).count("None") == 2 and ids(near).count("7") == 0 and {"800", "801", "6"} <= set(ids(near)) and near.columns == docs.columns
+    clean = kept["decontamination"](spark, docs, DATA)
+    assert ids(clean) == ids(docs)
+    encoded = kept["sentencepiece"](spark, docs, DATA)
+    assert ids(encoded) == ids(docs) and all(r.piece_ids == [] for r in encoded.where("text IS NULL OR text = ''").collect())
+    scored = kept["quality_classifier"](spark, docs, DATA)
+    assert set(ids(scored)) <= set(ids(docs)) and scored.columns == docs.columns
+
+
+def test_stages_on_an_empty_table(spark, nothing):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, DATA).count() == 0, name
+
+
 #: Columns that the contracts name, in their order, and their kinds.
 CONTRACTS = {
     "op1_token_blocks": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
@@ -37,6 +60,9 @@ CONTRACTS = {
     "op6_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
     "op8_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_substring_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op11_hilbert_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op12_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op13_source_audit": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
