@@ -2,6 +2,10 @@
 
 run() writes each stage's result to the shared folder and reads it again, so that a lost executor costs one stage at most.
 Every stage but the last returns the columns that it was given.
+
+Defined results: rows without doc_id are scored like others, keep their lines, and stay in both later filters, as no id names
+them; null and empty texts are scored from their statistics alone and pass all other stages, with no piece ids; of repeated rows one
+stays; an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
