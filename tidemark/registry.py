@@ -209,9 +209,12 @@ def _(spark, d):
     return returns(spark, d).select("symbol", "event_id", r(S.discretize(F.col("ret"), 0.001), 6, "tick"))
 
 
-@query("tick_variance_floor", "SELECT CAST(tick AS DOUBLE) AS tick, CAST(tick * tick / 2 AS DOUBLE) AS floor FROM (VALUES (0.25), (0.5), (2.0)) t(tick)")
+@query("tick_variance_floor", f"""WITH {RETURNS}, t AS (SELECT symbol, tick, round_even(ret / tick, 0) * tick AS x FROM rets, (SELECT unnest([0.01::DOUBLE, 0.25, 1.0]) AS tick))
+SELECT symbol, tick, {rnd('any_value(tick * tick / 2)', 'floor', 8)}, {rnd('greatest(var_pop(x), any_value(tick * tick / 2))', 'variance', 8)} FROM t GROUP BY 1, 2""")
 def _(spark, d):
-    return spark.createDataFrame([(t, S.tick_variance_floor(t)) for t in (0.25, 0.5, 2.0)], "tick double, floor double")
+    """Variances of returns on grids of ticks, which the grid itself keeps from vanishing."""
+    rows = [returns(spark, d).groupBy("symbol").agg(F.var_pop(S.discretize(F.col("ret"), tick)).alias("v")).select("symbol", F.lit(tick).alias("tick"), F.lit(S.tick_variance_floor(tick)).alias("floor"), F.greatest("v", F.lit(S.tick_variance_floor(tick))).alias("variance")) for tick in (0.01, 0.25, 1.0)]
+    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]), digits=8)
 
 
 @query("discretized_log_pmf", f"""WITH {RETURNS}, z AS (SELECT ln(sum(exp(-0.5 * pow(g * 0.001, 2) / 4e-4))) AS log_z FROM range(-200, 201) t(g))
@@ -687,9 +690,14 @@ def _(spark, d):
     return R.jump_false_positives(*_jumps(spark, d)).select("symbol", "seq")
 
 
-@query("grid_cross_join", "SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS grid_idx, theta, lambda_J AS \"lambda_J\", alpha FROM (VALUES (0, -0.05), (1, -0.2), (2, -1.0)) t(a, theta), (VALUES (0, 0.0), (1, 0.05)) l(b, lambda_J), (VALUES (0, 0.06), (1, 0.1)) m(c, alpha)".replace("theta,", "CAST(theta AS DOUBLE) AS theta,", 1).replace("lambda_J AS", "CAST(lambda_J AS DOUBLE) AS", 1).replace(", alpha FROM", ", CAST(alpha AS DOUBLE) AS alpha FROM", 1))
+@query("grid_cross_join", f"""WITH {RETURNS}, n AS (SELECT symbol, stddev_pop(ret) AS s FROM rets GROUP BY 1),
+g AS (SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS grid_idx, CAST(theta AS DOUBLE) AS theta, CAST(l AS DOUBLE) AS "lambda_J", CAST(alpha AS DOUBLE) AS alpha FROM (VALUES (0, -0.05), (1, -0.2), (2, -1.0)) t(a, theta), (VALUES (0, 0.0), (1, 0.05)) l(b, l), (VALUES (0, 0.06), (1, 0.1)) m(c, alpha))
+SELECT symbol, grid_idx, theta, "lambda_J", alpha, {rnd('s * sqrt(2 * abs(theta))', 'sigma', 8)} FROM n, g""")
 def _(spark, d):
-    return R.parameter_grid(spark, theta=[-0.05, -0.2, -1.0], lambda_J=[0.0, 0.05], alpha=[0.06, 0.1])
+    """Every series with every point of a grid, and the deviation that a point's theta takes from the series' own."""
+    grid = R.parameter_grid(spark, theta=[-0.05, -0.2, -1.0], lambda_J=[0.0, 0.05], alpha=[0.06, 0.1])
+    own = returns(spark, d).groupBy("symbol").agg(F.stddev_pop("ret").alias("s"))
+    return rounded(own.crossJoin(F.broadcast(grid)).withColumn("sigma", F.col("s") * F.sqrt(2 * F.abs("theta"))).drop("s"), digits=8)
 
 
 @query("top_k", f"{_METRICS % rnd(_SHARPE, 'sharpe')} ORDER BY sharpe DESC, symbol LIMIT 3")
@@ -766,9 +774,16 @@ def _(spark, d):
     return H.posterior_summary(H.gibbs(daily_returns(spark, d), 3))
 
 
-@query("expected_durations", "SELECT symbol, state, round(1.0 / greatest(1 - stay, 1e-12), 6) + 0.0 AS duration FROM (VALUES ('steady', 0, 0.92), ('steady', 1, 0.85), ('loose', 0, 0.5), ('loose', 1, 1.0)) m(symbol, state, stay)")
+@query("expected_durations", f"""WITH {STATES}, m AS (SELECT symbol, CAST(state AS INTEGER) AS state, lead(state) OVER (PARTITION BY symbol ORDER BY seq) AS later FROM labels3)
+SELECT symbol, state, {rnd('1.0 / greatest(1 - count(*) FILTER (state = later) / count(*), 1e-12)', 'duration')} FROM m WHERE later IS NOT NULL GROUP BY 1, 2""")
 def _(spark, d):
-    models = spark.createDataFrame([("steady", [list(r) for r in A2]), ("loose", [[0.5, 0.5], [0.0, 1.0]])], "symbol string, A array<array<double>>")
+    """From moves between states as counted in each series."""
+    moves = labelled(spark, d).select("symbol", "state", F.lead("state").over(P.by_time()).alias("into")).where("into IS NOT NULL")
+    whole = Window.partitionBy("symbol", "state")
+    shares = moves.groupBy("symbol", "state", "into").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(whole))
+    row = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
+    rows = shares.groupBy("symbol", "state").agg(F.map_from_entries(F.collect_list(F.struct("into", "share"))).alias("m")).select("symbol", "state", row.alias("row"))
+    models = rows.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "row"))), lambda x: x["row"]).alias("A"))
     return rounded(H.expected_durations(models))
 
 
@@ -812,11 +827,13 @@ def _(spark, d):
     return out.select("symbol", *(r(c, digits.get(c, 5), c) for c in out.columns if c != "symbol"))
 
 
-@query("filter_diagnostics")
+@query("filter_diagnostics", _kalman_sql().rpartition("SELECT symbol, event_id")[0] + f"""SELECT symbol, {rnd('sqrt(avg(e * e))', 'rmse', 5)}, {rnd('avg((abs(e / sqrt(c00)) <= 2)::DOUBLE)', 'within_2')}, {rnd('avg((abs(e / sqrt(c00)) > 2)::DOUBLE)', 'outside_2')}, {rnd('avg(e)', 'mean', 5)}, {rnd('stddev_pop(e)', 'std', 5)}
+FROM (SELECT k.symbol, c.price - k.m0 AS e, k.c00 FROM k JOIN c ON c.symbol = k.symbol AND c.seq = k.seq) GROUP BY 1""")
 def _(spark, d):
-    paths = SS.simulated(spark, 8, 200, {"theta": -0.2, "sigma": 0.05, "sigma_obs": 0.3, "lambda_J": 0.0, "mu_J": 0.0, "sigma_J": 0.0})
-    out = SS.kalman_filter(paths, -0.2, 0.05, 0.3, (100.0, 0.0), ((10.0, 0.0), (0.0, 10.0)), value="obs")
-    return ST.filter_diagnostics(out.withColumn("sd", F.sqrt("level_var")), "level", "sd", "x1")
+    """How far prices lie from the filtered level of each series."""
+    out = SS.kalman_filter(user_returns(spark, d), -0.2, 5.0, 20.0, (None, 0.0), ((100.0, 0.0), (0.0, 25.0)))
+    found = ST.filter_diagnostics(out.withColumn("sd", F.sqrt("level_var")), "level", "sd", "price")
+    return found.select("symbol", *(r(c, n, c) for c, n in (("rmse", 5), ("within_2", 6), ("outside_2", 6), ("mean", 5), ("std", 5))))
 
 
 from tidemark.plans import regimes as _regime_plans  # noqa: E402
