@@ -112,7 +112,7 @@ def shares(documents: DataFrame, text: str = "text", lang: str = "lang", source:
 def _one_sided(found: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, number, other, value): corrections by each group's own terms, as if the other had none of them."""
     highest = found.groupBy("lang").agg(F.max("p0").alias("top"))
-    counts = terms.groupBy("lang", "number", "p0", "p").agg(F.count("*").alias("n")).join(F.broadcast(highest), "lang")
+    counts = terms.groupBy("lang", "number", "p0", "p").agg(F.count("*").alias("n")).join(highest, "lang")
     above = F.col("p") >= F.col("top")
     linear = counts.where(above).groupBy("lang", "number", "p0").agg(F.sum(F.col("n") * F.col("p")).alias("p"), F.sum("n").alias("n"))
     other = found.select("lang", F.col("number").alias("other"), F.col("p0").alias("o0"))
@@ -151,7 +151,7 @@ def _corrections(term: np.ndarray, number: np.ndarray, p: np.ndarray, p0: np.nda
 def _two_sided(terms: DataFrame, tile: int = TILE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(lang, number, other, value) with number < other: corrections where both hold a term, from the inverted index."""
     sized = terms.groupBy("lang").agg(F.count("*").alias("rows"), F.max("number").alias("last"))
-    dealt = terms.join(F.broadcast(sized), "lang").select(
+    dealt = terms.join(sized, "lang").select(
         "lang", F.xxhash64("term").alias("key"), "number", "p", "p0", F.floor(F.col("number") / tile).cast("int").alias("tile"), F.floor(F.col("last") / tile).cast("int").alias("tiles"),
         F.pmod(F.xxhash64("term", F.lit(1)), F.ceil(F.col("rows") / F.greatest(F.lit(bucket_rows), F.pow(F.least(F.col("last") + 1, F.lit(tile)), F.lit(2))))).cast("int").alias("bucket"), "term",
     )
