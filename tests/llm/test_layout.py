@@ -1,6 +1,7 @@
 """Shards, token alignment and source audit: against brute force, and their rows for nulls, ties, repeats and empty tables."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import re
@@ -73,13 +74,19 @@ def test_a_manifest_lets_filters_skip_shards(spark, tmp_path):
     assert kept["lang"] <= 16 and kept["source"] <= 16 and kept["size"] <= 20  # a sort by one of them would leave all 32 for the others
 
 
-def _aligned(text):
-    """Groups [(ids of A, ids of B)] and links [(a, b)] of one text, token by token."""
+@functools.cache
+def _libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=P)
     a.encode_special_tokens = True
+    return a, b
+
+
+def _aligned(text):
+    """Groups [(ids of A, ids of B)] and links [(a, b)] of one text, token by token."""
+    a, b = _libraries()
     signs = token_alignment.byte_characters()
     spelled = []
     encoded = a.encode(" " + (text or ""), add_special_tokens=False).ids, b.encode(text or "")
