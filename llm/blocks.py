@@ -7,9 +7,11 @@ block of its own), which bounds memory whatever the batch holds. A null text cou
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import secrets
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -50,6 +52,29 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+#: What workers keep for tasks to come, by the operator that fills it.
+KEPT: dict[str, list[dict]] = {}
+
+
+def trimmed(per_task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """per_task, for operators that follow others in a session. Workers outlive their tasks: before it, what other operators keep in
+    this worker goes, and after it freed memory goes back to the machine, which allocators would hold on to."""
+
+    def run(batches):
+        for name, held in KEPT.items():
+            if name != keeps:
+                for x in held:
+                    x.clear()
+        try:
+            yield from per_task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and len+1 offsets of a string column without copying its texts; nulls become empty."""
     if not pa.types.is_string(column.type):

@@ -270,7 +270,7 @@ def _searched(documents: DataFrame, shared: Broadcast, text: str, threshold: flo
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], [x.split()[0] for x in FOUND.split(", ")])
 
-    return documents.select("doc_id", text).mapInArrow(per_batch, FOUND)
+    return documents.select("doc_id", text).mapInArrow(B.trimmed(per_batch), FOUND)
 
 
 def _term_rows(secret: bytes):

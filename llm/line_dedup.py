@@ -95,8 +95,8 @@ def _table(rows: DataFrame, buckets_of, least: int = 2) -> np.ndarray:
             codes = np.where(total >= least, _code(total), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(chunk[:1].astype(np.int32)), pa.array([codes.tobytes()], pa.binary())], ["chunk", "codes"])
 
-    dealt = rows.mapInArrow(count, "chunk int, buckets binary, counts binary").repartition("chunk").sortWithinPartitions("chunk")
-    found = dealt.mapInArrow(unite, "chunk int, codes binary").toArrow()
+    dealt = rows.mapInArrow(B.trimmed(count), "chunk int, buckets binary, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    found = dealt.mapInArrow(B.trimmed(unite), "chunk int, codes binary").toArrow()
     table = np.zeros((1 << (RARITY_BITS - 16), 1 << 16), np.uint8)
     for chunk, codes in zip(found["chunk"].to_pylist(), found["codes"].to_pylist(), strict=True):
         table[chunk] = np.frombuffer(codes, np.uint8)
@@ -218,7 +218,7 @@ def line_sets(documents: DataFrame, text: str, rarity: Broadcast, percent: int,
                     columns = [pa.array(digest[chosen, 0].copy()), pa.array(digest[chosen, 1].copy()), rows, pa.array(number[chosen].astype(np.int32)), pa.array(lead[chosen]), *(pa.array(x.astype(np.int32)) for x in (n[chosen], common[chosen])), pa.array(parity[chosen]), pa.array(_wide(kept, maps[chosen]), pa.binary()), lists]
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LINES.split(", ")])
 
-    return documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(per_batch, LINES)
+    return documents.select("doc_id", text).where("doc_id IS NOT NULL").mapInArrow(B.trimmed(per_batch), LINES)
 
 
 #: A posting: a prefix word, its line's place, sizes (the line's words, and how many from this one on occur again) and map.
@@ -277,7 +277,7 @@ def postings_of(lines: DataFrame, wanted: Broadcast, common_words: Broadcast, pa
             blobs.append(b"".join([np.uint32(b - a).tobytes(), *(c[a:b].tobytes() for c in columns), own[(n > LONG) & (n <= 2 * LONG), 0].tobytes(), own[n > 2 * LONG].tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "postings"])
 
-    return lines.select("doc_id", "line", "n", "common", "parity", "open", "wide", "words").mapInArrow(per_partition, "part int, postings binary")
+    return lines.select("doc_id", "line", "n", "common", "parity", "open", "wide", "words").mapInArrow(B.trimmed(per_partition), "part int, postings binary")
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
@@ -364,7 +364,7 @@ def candidate_pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame
         for _, blobs in groups(batches, 1):
             yield from _group_pairs(_unpacked(blobs), percent, every)
 
-    return postings.repartition("part").sortWithinPartitions("part").mapInArrow(per_partition, PAIRS)
+    return postings.repartition("part").sortWithinPartitions("part").mapInArrow(B.trimmed(per_partition), PAIRS)
 
 
 def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int, key: bytes) -> DataFrame:
@@ -416,14 +416,14 @@ def verified(pairs: DataFrame, documents: DataFrame, text: str, percent: int, ke
 
     with workspace(documents.sparkSession):
         asked = with_rows(documents.select("doc_id", text), stored(ends, "line-dedup-wanted"), ["doc_id"], "1 + size(__wanted) / 4").select("doc_id", text, "__wanted")
-        content = asked.mapInArrow(pick, "doc_id long, line int, content binary, map binary")
+        content = asked.mapInArrow(B.trimmed(pick), "doc_id long, line int, content binary, map binary")
         content = stored(content.dropDuplicates(["doc_id", "line"]), "line-dedup-content")
         maps, content = content.select("doc_id", "line", "map"), content.select("doc_id", "line", "content")
         mapped = pairs.select("doc_id", "line", "doc_x", "line_x").join(maps, ["doc_id", "line"]).withColumnRenamed("map", "map_y").join(maps.toDF("doc_x", "line_x", "map_x"), ["doc_x", "line_x"])
-        pairs = stored(mapped.select("doc_id", "line", "doc_x", "line_x", "map_y", "map_x").mapInArrow(sieve, "doc_id long, line int, doc_x long, line_x int"), "line-dedup-sieved")
+        pairs = stored(mapped.select("doc_id", "line", "doc_x", "line_x", "map_y", "map_x").mapInArrow(B.trimmed(sieve), "doc_id long, line int, doc_x long, line_x int"), "line-dedup-sieved")
         release(documents.sparkSession)
         joined = pairs.join(content, ["doc_id", "line"]).withColumnRenamed("content", "y").join(content.toDF("doc_x", "line_x", "x"), ["doc_x", "line_x"])
-        return stored(joined.select("doc_id", "line", "x", "y").mapInArrow(verify, "doc_id long, line int").distinct(), "line-dedup-matched", keep=True)
+        return stored(joined.select("doc_id", "line", "x", "y").mapInArrow(B.trimmed(verify), "doc_id long, line int").distinct(), "line-dedup-matched", keep=True)
 
 
 def removed_lines(documents: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -508,8 +508,8 @@ def without_lines(documents: DataFrame, removed: DataFrame, text: str = "text",
         rest = others.select("doc_id", n_lines(F.col(text)).alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col(text).alias("kept"))
         counted = joined.select("doc_id", text, n_lines(F.col(text)).alias("__n"), F.size("__removed").cast("long").alias("__gone"), "__removed")
         at, schema = 1, counted.drop("__removed").schema
-        return counted.mapInArrow(kept, schema).toDF("doc_id", "kept", "n_lines", "n_removed").select("doc_id", "n_lines", "n_removed", "kept").unionByName(rest)
-    changed = joined.mapInArrow(kept, schema)
+        return counted.mapInArrow(B.trimmed(kept), schema).toDF("doc_id", "kept", "n_lines", "n_removed").select("doc_id", "n_lines", "n_removed", "kept").unionByName(rest)
+    changed = joined.mapInArrow(B.trimmed(kept), schema)
     if "n_chars" in documents.columns and text != "n_chars":
         changed = changed.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)).select(documents.columns)
     return changed.unionByName(others)

@@ -124,7 +124,7 @@ def signatures(documents: DataFrame, text: str = "text", key: bytes = b"") -> Da
                 columns = [*(batch.column(k).slice(block.first, block.rows) for k in range(2)), pa.array(np.diff(first)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "high", "low", "registers"])
 
-    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text).mapInArrow(per_batch, SIGNED)
+    return documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text).mapInArrow(B.trimmed(per_batch), SIGNED)
 
 
 def _estimate_pairs(pairs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _estimate_pairs(pairs: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (2, 3))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(estimated(a, b))], ["a", "b", "estimate"])
 
-    return pairs.mapInArrow(per_batch, "a long, b long, estimate double")
+    return pairs.mapInArrow(B.trimmed(per_batch), "a long, b long, estimate double")
 
 
 def _similarities(pairs: DataFrame, key: bytes) -> DataFrame:
@@ -152,7 +152,7 @@ def _similarities(pairs: DataFrame, key: bytes) -> DataFrame:
             either = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], np.int64) - both
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(either)], ["a", "b", "both", "either"])
 
-    return pairs.mapInArrow(per_batch, "a long, b long, both long, either long")
+    return pairs.mapInArrow(B.trimmed(per_batch), "a long, b long, both long, either long")
 
 
 def _texts(documents: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
@@ -208,12 +208,12 @@ def _apart(rest: DataFrame, representatives: DataFrame, documents: DataFrame, te
             yield from group(rows)
 
     wanted = stored(rest.select("node").distinct().join(representatives.select("node", "doc_id", "text_hash"), "node"), "near-dedup-wanted")
-    sketched = stored(_texts(documents, wanted, text).mapInArrow(fine, "node long, fine binary"), "near-dedup-fine")
+    sketched = stored(_texts(documents, wanted, text).mapInArrow(B.trimmed(fine), "node long, fine binary"), "near-dedup-fine")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     dealt = rest.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "component", "side", "number")
     dealt = dealt.join(representatives.select("node", "registers").join(sketched, "node"), "node").select("band", "low", "high", "node", "component", "side", "number", "registers", "fine")
-    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(per_partition, "a long, b long").distinct()
+    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(B.trimmed(per_partition), "a long, b long").distinct()
 
 
 def near_enough(pairs: DataFrame, representatives: DataFrame, percent: int) -> DataFrame:

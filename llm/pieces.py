@@ -42,6 +42,7 @@ SIEVE_BITS = 17
 _PAIRS: dict[str, np.ndarray] = {}
 _SWEEPS: dict[str, tuple] = {}
 _TABLES: dict[str, WordTable] = {}
+B.KEPT["pieces"] = [_PAIRS, _SWEEPS, _TABLES]
 
 
 class Model(NamedTuple):
@@ -450,7 +451,7 @@ def with_piece_ids(documents: DataFrame, path: str, text: str = "text", out: str
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(block.first, block.rows) for c in batch.columns), lists], schema.names)
 
-    return documents.mapInArrow(per_batch, schema)
+    return documents.mapInArrow(B.trimmed(per_batch, "pieces"), schema)
 
 
 def with_texts(encoded: DataFrame, path: str, ids: str = "piece_ids", out: str = "text") -> DataFrame:

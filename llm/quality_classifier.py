@@ -181,7 +181,7 @@ def keep(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD, t
         for batch in batches:
             yield batch.filter(pa.array(batch_scores(shared.value, batch, text, metadata) >= threshold))
 
-    return documents.mapInArrow(per_batch, documents.schema)
+    return documents.mapInArrow(B.trimmed(per_batch), documents.schema)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -36,6 +36,7 @@ _HEAD, _BLOCK = struct.Struct("<4sIQQQI"), struct.Struct("<IBHH")
 #: Documents go to files of at most this many bytes of text, or of one document.
 FILE_BYTES = 8 << 20
 _TABLES: dict[str, WordTable] = {}
+B.KEPT["token_blocks"] = [_TABLES]
 _TOKENIZERS: dict[str, tuple] = {}
 
 
