@@ -1,6 +1,7 @@
 """Hand-checked values of preparation, features, signals and backtests."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,11 @@ def test_sums_at_several_sizes_equal_one_at_a_time(spark):
     ratios = {(r.symbol, r.horizon): r.variance_ratio for r in ST.variance_ratios(df, (2, 5, 16)).collect()}
     for q in (2, 5, 16):
         assert {r.symbol: r.variance_ratio for r in ST.variance_ratio(df, q).collect()} == pytest.approx({s: ratios[s, q] for s in "01"})
+
+
+@pytest.mark.parametrize("values", [[-0.4] * 2000, [-0.4] * 1450, [-1.0, 0.5], [-3.0, -1.5, 0.1]])
+def test_compounded_returns_are_rounded_once(series, values):
+    """A product below the smallest double is 0, and one near it does not hang on the order of its factors."""
+    exact = float(math.prod((1 + Fraction(v) for v in values), start=Fraction(1)))
+    assert series({"a": values}, "net").select(BT.compounded(F.col("net"))).first()[0] == pytest.approx(exact, rel=1e-9, abs=0.0)
+    assert series({"a": values[::-1]}, "net").select(BT.annualized_return(F.col("net"))).first()[0] == pytest.approx(exact ** (252 / len(values)) - 1, rel=1e-9)

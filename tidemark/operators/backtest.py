@@ -30,8 +30,15 @@ def sharpe(r: Column, per_year: float = YEAR) -> Column:
     return F.when(deviation == 0, 0.0).otherwise(F.sqrt(F.lit(float(per_year))) * F.avg(r) / deviation)
 
 
+def compounded(r: Column) -> Column:
+    """Product of 1 + r, rounded to a double once: a running product sticks at the last few doubles above 0, so that it hangs on the order."""
+    x = 1 + r
+    size = F.exp(F.sum(F.when(x == 0, 0.0).otherwise(F.log(F.abs(x)))))
+    return F.when(F.count_if(x == 0) > 0, 0.0).otherwise(F.when(F.count_if(x < 0) % 2 == 1, -size).otherwise(size))
+
+
 def annualized_return(r: Column) -> Column:
-    return F.pow(F.product(1 + r), F.lit(float(YEAR)) / F.count(r)) - 1
+    return F.pow(compounded(r), F.lit(float(YEAR)) / F.count(r)) - 1
 
 
 def drawdowns(df: DataFrame, curve: str = "cumulative", key: str = "symbol") -> DataFrame:
