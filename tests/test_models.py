@@ -221,3 +221,48 @@ def test_particle_trading_learns_from_training_rows(spark):
     scaled = E.filtered_on_test(df.withColumn("price", df["price"] * 1000), n=20).toPandas()
     both = found.merge(scaled, on=["symbol", "seq"])
     assert np.allclose(both["trend_x"], both["trend_y"], atol=1e-6) and np.allclose(both["level_x"] + np.log(1000), both["level_y"])
+
+
+@pytest.mark.parametrize("jumps", [(0.0, 0.0, 0.0), (0.0, 0.6, 3.0)])
+def test_filters_of_trends_equal_the_full_ones(jumps):
+    """Laid-out transitions, and one particle for sets without jumps, change nothing; series of different lengths end where they end."""
+    rng = np.random.default_rng(5)
+    obs = 100 + rng.normal(0, 2, (3, 300))
+    obs[1, 200:] = np.nan
+    p = {"theta": np.array([-0.1, -0.5, 0.0]), "sigma": np.full(3, 0.4), "sigma_obs": np.array([0.3, 2.0, 1.0]), "lambda_J": np.array(jumps), "mu_J": np.full(3, 0.1), "sigma_J": np.full(3, 2.0)}
+    start, seeds = SS.prior(obs[:, 0], p), [[1, k] for k in range(3)]
+    full, parts = N.rbpf_many(obs, p, 12, *start, seeds), list(N.rbpf_trends(obs, p, 12, *start, seeds))
+    assert [x[0] for x in parts] == np.cumsum([0, *(len(x[1]) for x in parts[:-1])]).tolist()
+    for got, want in zip((np.concatenate([x[k] for x in parts]) for k in (1, 2, 3)), (full["mean"][..., 1], full["ll"], full["n_eff"]), strict=True):
+        for k, n in enumerate((300, 200, 300)):
+            assert got[:n, k] == pytest.approx(want[:n, k], rel=1e-12, abs=1e-14)
+
+
+def test_scores_of_a_grid_hold_a_byte_a_row_and_point():
+    import tracemalloc
+
+    sets, obs = 64, 100 + np.random.default_rng(6).normal(0, 1, 6000).cumsum()
+    p = {c: np.full(sets, x) for c, x in {"theta": -0.2, "sigma": 0.4, "sigma_obs": 0.3, "lambda_J": 0.0, "mu_J": 0.0, "sigma_J": 0.0}.items()}
+    mean = N.rbpf_many(obs, p, 2, *SS.prior(np.full(sets, obs[0]), p), [[k] for k in range(sets)])["mean"][..., 1]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(SS, "SCORED", 6000 * 3)
+        tracemalloc.start()
+        got = SS._scores(obs, p, 2, [[k] for k in range(sets)], 1.0, np.full(sets, 4), 0.06, 2.0, True, 252)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert got == pytest.approx(SS.sharpe_of(*SS.trend_signals(mean, obs, 4, 0.06), 2.0))
+    assert peak < 6000 * sets * 8  # one array of doubles; the full filter has seven of them
+
+
+def test_a_search_runs_once(spark):
+    """The best point is read twice, for its row and for its test; points without jumps go with more to a task."""
+    from tidemark.operators import regimes as R
+
+    p = {"theta": -0.2, "sigma": 0.4, "sigma_obs": 0.3, "lambda_J": 0.0, "mu_J": 0.0, "sigma_J": 0.0}
+    paths = SS.simulated(spark, 2, 40, p).withColumnRenamed("obs", "price")
+    out = SS.searched(paths, R.parameter_grid(spark, theta=[-0.1, -1.0]), p, n=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") + plan.count("FlatMapCoGroupsInPandas") == 2 and plan.count("FlatMapCoGroupsInPandas") == 1  # paths are simulated in a group each
+    points = [{"grid_idx": k, "lambda_J": k % 2 / 10} for k in range(300)]
+    dealt = SS._dealt(points, p, 20)
+    assert sorted(x["grid_idx"] for part in dealt for x in part) == list(range(300)) and [len(x) for x in dealt] == [64, 64, 22, 150]

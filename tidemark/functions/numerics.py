@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -639,6 +640,75 @@ def rbpf_many(obs: np.ndarray, p: dict[str, np.ndarray], n: int, m0: np.ndarray,
     return out
 
 
+#: Particles times steps whose transitions are laid out at once.
+LAID_OUT = 1 << 15
+
+
+def rbpf_trends(obs: np.ndarray, p: dict[str, np.ndarray], n: int, m0: np.ndarray, c0: np.ndarray, seeds: list, dt: float = 1.0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The filters of rbpf_many(), a few steps at a time: (first step, trend, ll, n_eff), each (steps, sets).
+
+    Jumps do not hang on the state, so all transitions of some steps are found at once. Sets without jumps keep n equal particles,
+    so that one is enough; callers put such sets together.
+    """
+    sets, steps = len(seeds), obs.shape[-1]
+    p, usual, chance, dt = jump_model(p, sets, dt)
+    still, shown = not (chance > 0).any(), n
+    n = 1 if still else n
+    x = np.stack(started_particles(m0, c0, n)).reshape(5, sets, n)
+    generators = [np.random.default_rng(s) for s in seeds]
+    rows, r, places = np.broadcast_to(obs, (sets, steps)).T[:, :, None], p["sigma_obs"] ** 2, np.arange(sets * n)
+    usual = [np.broadcast_to(np.asarray(v, float), (sets, 1)) for v in usual]
+    together = min(DRAWN, max(1, LAID_OUT // (sets * n)))
+    for low in range(0, steps, DRAWN):
+        uniform = None if still else np.stack([g.random((DRAWN, 2 * n + 1)) for g in generators], axis=1)
+        for first in range(low, min(low + DRAWN, steps), together):
+            count = min(first + together, low + DRAWN, steps) - first
+            laid = usual
+            if not still:
+                u = uniform[first - low : first - low + count]
+                at = np.nonzero(u[..., :n] < chance)
+                own = {c: v[at[1], 0] for c, v in p.items()}
+                laid = [np.broadcast_to(v, (count, sets, n)).copy() for v in usual]
+                for target, value in zip(laid, jump_transition(own["theta"], own["sigma"], dt, u[..., n : 2 * n][at] * dt, own["mu_J"], own["sigma_J"]), strict=True):
+                    target[at] = value
+            squared = laid[1] ** 2
+            trend, total, top, squares = (np.empty((count, sets)) for _ in range(4))
+            for k in range(count):
+                x0, x1, c00, c01, c11 = x
+                if first + k:
+                    reach, decay, q00, q01, q11, shift0, shift1 = laid if still else [v[k] for v in laid]
+                    far = reach * c11
+                    x0, x1 = x0 + reach * x1 + shift0, decay * x1 + shift1
+                    c00, c01, c11 = c00 + reach * (2 * c01 + far) + q00, decay * (c01 + far) + q01, (squared if still else squared[k]) * c11 + q11
+                s = c00 + r
+                k0, k1, error = c00 / s, c01 / s, rows[first + k] - x0
+                ll = -0.5 * (LOG_2PI + np.log(s) + error * error / s)
+                keep = 1 - k0
+                x = np.empty((5, sets, n))
+                np.add(x0, k0 * error, out=x[0])
+                np.add(x1, k1 * error, out=x[1])
+                np.add(keep * keep * c00, k0 * k0 * r, out=x[2])
+                np.add(keep * (c01 - k1 * c00), k0 * k1 * r, out=x[3])
+                np.subtract(c11, k1 * (2 * c01 - k1 * s), out=x[4])
+                if still:
+                    trend[k], top[k], total[k], squares[k] = x[1, :, 0], ll[:, 0], 1.0, 1 / shown
+                    continue
+                most = np.maximum.reduce(ll, axis=1, keepdims=True)
+                w = np.exp(ll - most)
+                whole = np.add.reduce(w, axis=1, keepdims=True)
+                w /= whole
+                trend[k], top[k], total[k], squares[k] = np.einsum("sn,sn->s", w, x[1]), most[:, 0], whole[:, 0], np.einsum("sn,sn->s", w, w)
+                if not np.isfinite(whole).all():  # weights of series that have ended are NaN
+                    w = np.where(np.isfinite(w), w, 1 / n)
+                comb = w.cumsum(axis=1)
+                comb = np.minimum(np.floor(comb * (n / comb[:, -1:]) - u[k, :, -1:]) + 1, n)
+                comb[:, -1] = n
+                copies = comb.copy()
+                copies[:, 1:] -= comb[:, :-1]
+                x = x.reshape(5, -1).take(places.repeat(copies.ravel().astype(np.int64)), axis=1).reshape(5, sets, n)
+            yield first, trend, np.log(total) + top - math.log(n), 1 / squares
+
+
 def jump_model(p: dict[str, np.ndarray], sets: int, dt: float) -> tuple:
     """What rbpf_step() needs of the parameters: themselves as columns, the step without a jump, and the chance of one."""
     p = _columns(p, sets)

@@ -13,6 +13,7 @@ from tidemark.functions import numerics as N
 from tidemark.operators import scans
 from tidemark.operators.hmm import seed_of
 from tidemark.operators.signals import linear_recurrence
+from tidemark.shared import cut
 
 PARAMETERS = ("theta", "sigma", "sigma_obs", "lambda_J", "mu_J", "sigma_J")
 
@@ -185,8 +186,30 @@ def sharpe_of(ret: np.ndarray, signal: np.ndarray, cost_bps: float = 0.0, lagged
     return np.where(deviation > 1e-12, np.sqrt(per_year) * net.mean(axis=0) / np.where(deviation > 1e-12, deviation, 1), np.nan)
 
 
-#: Grid points of a series that one task evaluates together.
-CELLS = 64
+#: Grid points of a series that one task evaluates together; doubles of those that are scored together; partitions for each chunk of
+#: a grid, so that few chunks share one (groups are few and costly, and their rows so small that Spark would merge partitions).
+CELLS, SCORED, SPREAD = 64, 1 << 21, 32
+
+
+def _dealt(points: list[dict], base: dict[str, float], n: int) -> list[list[dict]]:
+    """Points of a grid by tasks. Those without jumps need one particle in place of n, so that more of them go together."""
+    alike = [[x for x in points if (float(x.get("lambda_J", base["lambda_J"])) > 0) == jumping] for jumping in (True, False)]
+    return [part[low : low + size] for part, size in zip(alike, (CELLS, CELLS * max(1, min(n, 8))), strict=True) for low in range(0, len(part), size)]
+
+
+def _scores(obs: np.ndarray, p: dict[str, np.ndarray], n: int, seeds: list, dt: float, windows: np.ndarray, alphas: np.ndarray | float | None, cost_bps: float, lagged: bool, per_year: float) -> np.ndarray:
+    """Sharpe ratios of the filters' signals, NaN without a result. Signals hang on the trends' signs alone, so a byte is kept for
+    each row and point, and a few points are scored at a time."""
+    sets = len(seeds)
+    signs, lost = np.empty((len(obs), sets), np.int8), np.zeros(sets, bool)
+    for first, trend, _, _ in N.rbpf_trends(obs, p, n, *prior(np.full(sets, obs[0]), p), seeds, dt):
+        lost |= np.isnan(trend).any(axis=0)
+        signs[first : first + len(trend)] = np.sign(np.nan_to_num(trend))
+    score, size = np.empty(sets), max(1, SCORED // len(obs))
+    for low in range(0, sets, size):
+        few = slice(low, low + size)
+        score[few] = sharpe_of(*trend_signals(signs[:, few], obs, windows[few], alphas[few] if isinstance(alphas, np.ndarray) else alphas), cost_bps, lagged, per_year)
+    return np.where(lost, np.nan, score)
 
 
 def evaluated(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20, seed: int = 42, value: str = "price", key: str = "symbol", dt: float = 1.0, scaled: bool = False, alpha: float | None = None, window: int = 4, cost_bps: float = 0.0, lagged: bool = True, per_year: float = 252) -> DataFrame:
@@ -197,32 +220,36 @@ def evaluated(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 2
     """
     names = [c for c in grid.columns if c not in ("grid_idx", key)]
     kind = df.schema[key].dataType.simpleString()
-    own = key in grid.columns
     series = df.select(key, "seq", value)
-    if own:
-        listed = grid.groupBy(key, F.floor(F.col("grid_idx") / CELLS).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("grid_idx", *names))).alias("cells"))
-        paired, chunks = series.join(listed, key), None
-    else:  # the points are what a caller wrote down, so they go with the task and not through a join
-        points = [r.asDict() for r in grid.select("grid_idx", *names).orderBy("grid_idx").collect()]
-        chunks = [points[low : low + CELLS] for low in range(0, len(points), CELLS)]
-        paired = series.withColumn("chunk", F.explode(F.array(*map(F.lit, range(len(chunks))))))
-
-    def per_chunk(rows: pd.DataFrame) -> pd.DataFrame:
+
+    def per_points(rows: pd.DataFrame, points: list[dict]) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
-        obs, points = rows[value].to_numpy(float), list(rows["cells"].iloc[0]) if own else chunks[int(rows["chunk"].iloc[0])]
+        obs, name = rows[value].to_numpy(float), rows[key].iloc[0]
         scale = obs[0] / 100 if scaled and len(obs) else 1.0
         p = {c: np.array([float(x[c]) if c in names else base[c] for x in points]) * (scale if c in ("sigma", "sigma_obs", "sigma_J") else 1.0) for c in PARAMETERS}
         score = np.full(len(points), np.nan)
         if len(obs) >= 3:
-            first = np.full(len(points), obs[0])
-            out = N.rbpf_many(obs, p, n, *prior(first, p), [seed_of(seed, rows[key].iloc[0], int(x["grid_idx"])) for x in points], dt)
             windows = np.array([int(x["window"]) if "window" in names else window for x in points])
             alphas = np.array([float(x["alpha"]) for x in points]) if "alpha" in names else alpha
-            score = sharpe_of(*trend_signals(out["mean"][..., 1], obs, windows, alphas), cost_bps, lagged, per_year)
-        return pd.DataFrame([{key: rows[key].iloc[0], "grid_idx": int(x["grid_idx"]), **{c: float(x[c]) for c in names}, "sharpe": None if np.isnan(s) else float(s)} for x, s in zip(points, score, strict=True)])
+            score = _scores(obs, p, n, [seed_of(seed, name, int(x["grid_idx"])) for x in points], dt, windows, alphas, cost_bps, lagged, per_year)
+        return pd.DataFrame([{key: name, "grid_idx": int(x["grid_idx"]), **{c: float(x[c]) for c in names}, "sharpe": None if np.isnan(s) else float(s)} for x, s in zip(points, score, strict=True)])
 
     schema = f"{key} {kind}, grid_idx int, {', '.join(f'{c} double' for c in names)}, sharpe double"
-    return paired.groupBy(key, "chunk").applyInPandas(per_chunk, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if key in grid.columns:  # points and rows meet in the task, so that no row carries points
+        cells = grid.select(*(F.col(c).alias(c) for c in (key, "grid_idx", *names)), F.floor(F.col("grid_idx") / CELLS).cast("int").alias("chunk"))
+        held = cells.select(F.col(key).alias("__of"), F.col("chunk").alias("__chunk")).distinct()
+        paired = series.join(held, F.col(key) == F.col("__of")).select(key, "seq", value, F.col("__chunk").alias("chunk"))
+
+        def per_own(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            return per_points(rows, own.sort_values("grid_idx").to_dict("records")) if len(rows) else pd.DataFrame(columns=[key, "grid_idx", *names, "sharpe"])
+
+        paired, cells = (x.repartition(max(tasks, SPREAD), key, "chunk").groupBy(key, "chunk") for x in (paired, cells))
+        return paired.cogroup(cells).applyInPandas(per_own, schema)
+    # the points are what a caller wrote down, so they go with the task and not through a join
+    chunks = _dealt([r.asDict() for r in grid.select("grid_idx", *names).orderBy("grid_idx").collect()], base, n)
+    dealt = series.withColumn("chunk", F.explode(F.array(*map(F.lit, range(len(chunks))))))
+    return dealt.repartition(max(tasks, SPREAD * len(chunks)), key, "chunk").groupBy(key, "chunk").applyInPandas(lambda rows: per_points(rows, chunks[int(rows["chunk"].iloc[0])]), schema)
 
 
 def grid_search(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20, seed: int = 42, train_fraction: float = 0.7, value: str = "price", key: str = "symbol", **options) -> DataFrame:
@@ -241,7 +268,8 @@ def searched(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20
     from tidemark.operators.prep import train_test_split
     from tidemark.operators.regimes import best_by
 
-    best = best_by(grid_search(df, grid, base, n, seed, train_fraction, value, key, **options), "train_sharpe", "grid_idx", key)
+    # read twice below, and the search is not to run twice
+    best = cut(best_by(grid_search(df, grid, base, n, seed, train_fraction, value, key, **options), "train_sharpe", "grid_idx", key))
     test = train_test_split(df, train_fraction, key).where("NOT is_train")
     names = [c for c in grid.columns if c != "grid_idx"]
     tested = evaluated(test, best.select(key, "grid_idx", *names), base, n, seed + 1, value, key, **options).select(key, F.col("sharpe").alias("test_sharpe"))
@@ -257,13 +285,16 @@ def traded(df: DataFrame, parameters: dict[str, float] | None, n: int = 100, see
     def per_stack(frames: list[pd.DataFrame]) -> list[pd.DataFrame]:
         series = [f[value].to_numpy(float) for f in frames]
         p = {c: np.array([(parameters[c] if parameters else float(f[c].iloc[0])) * (x[0] / 100 if scaled and c in ("sigma", "sigma_obs", "sigma_J") else 1.0) for f, x in zip(frames, series, strict=True)]) for c in PARAMETERS}
-        out = N.rbpf_many(_observations(series), p, n, *prior(np.array([x[0] for x in series]), p), [seed_of(seed, f[key].iloc[0]) for f in frames], dt)
+        found_of = np.empty((3, max(map(len, series)), len(series)))
+        for first, *results in N.rbpf_trends(_observations(series), p, n, *prior(np.array([x[0] for x in series]), p), [seed_of(seed, f[key].iloc[0]) for f in frames], dt):
+            found_of[:, first : first + len(results[0])] = results
+        trend, ll, n_eff = found_of
         found = []
         for k, (f, x) in enumerate(zip(frames, series, strict=True)):
             if len(x) < 3:
                 continue
-            ret, signal = trend_signals(out["mean"][: len(x), k, 1:], x, window if parameters else int(f["window"].iloc[0]), alpha if parameters else float(f["alpha"].iloc[0]))
-            found.append(f.iloc[:-1].assign(ret=ret, signal=np.nan_to_num(signal[:, 0]), trend=out["mean"][: len(x) - 1, k, 1], ll=out["ll"][: len(x) - 1, k], n_eff=out["n_eff"][: len(x) - 1, k]))
+            ret, signal = trend_signals(trend[: len(x), k : k + 1], x, window if parameters else int(f["window"].iloc[0]), alpha if parameters else float(f["alpha"].iloc[0]))
+            found.append(f.iloc[:-1].assign(ret=ret, signal=np.nan_to_num(signal[:, 0]), trend=trend[: len(x) - 1, k], ll=ll[: len(x) - 1, k], n_eff=n_eff[: len(x) - 1, k]))
         return found
 
     kept = df.select(key, "seq", value, *([] if parameters else [*PARAMETERS, "window", "alpha"]))
