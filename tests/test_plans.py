@@ -210,3 +210,17 @@ def test_the_walkthrough_is_one_chain(spark):
         assert ranks["combined"] == 1
         if "baseline" in ranks:  # neither zone nor smoothing is the backtest's own vote
             assert found["refinement"][s, "baseline", "sharpe"] == pytest.approx(found["backtest"][s, "vote", "sharpe"], abs=1e-9)
+
+
+def test_searches_of_plans_run_once(spark):
+    """What a plan reads more than once is made once: what is left to run holds at most the last filter."""
+    from tidemark.plans import trends
+
+    d = "/root/testdata/sf0.001"
+    left = {
+        "parameters": trends.parameter_search(spark, d, (0.1,), (0.5,), (-0.2, -0.5), 2, 3, 2),
+        "contracts": trends.contract_search(spark, d, {"window": (4,), "sigma_obs": (0.1,), "theta": (-0.1, -0.2), "alpha": (0.06,)}, 2, 3),
+        "portfolio": trends.portfolio_search(spark, d, (0.5,), (-0.2,), 2, 3),
+    }
+    plans = {n: df._jdf.queryExecution().optimizedPlan().toString() for n, df in left.items()}
+    assert {n: (p.count("FlatMapGroupsInPandas"), p.count("FlatMapCoGroupsInPandas"), p.count("MapInPandas")) for n, p in plans.items()} == {"parameters": (0, 1, 0), "contracts": (0, 1, 0), "portfolio": (0, 0, 0)}

@@ -17,6 +17,7 @@ from tidemark.operators import signals as S
 from tidemark.operators import statespace as SS
 from tidemark.operators import statistics as ST
 from tidemark.plans.common import by_models, compared, daily_log_returns, session_prices
+from tidemark.shared import cut
 
 # What the analyses are run with.
 DT, MINUTES_OF_A_YEAR, COST_BPS = 1 / 390, 252 * 390, 2
@@ -119,10 +120,10 @@ def parameter_search(spark, d, sigmas_obs=SIGMAS_OBS, sigmas=SIGMAS, thetas=THET
     options = {"dt": DT, "scaled": True, "alpha": 0.06, "cost_bps": COST_BPS}
     first = SS.evaluated(train, grid, JUMPS_ON, n, **options).withColumnRenamed("sharpe", "train_sharpe_fast")
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc_nulls_last("train_sharpe_fast"), "grid_idx"))
-    listed = first.withColumn("rank", rank).where(F.col("rank") <= top)
+    listed = cut(first.withColumn("rank", rank).where(F.col("rank") <= top))  # read three times below
     cells = listed.select("symbol", "grid_idx", "sigma_obs", "sigma", "theta")
     again = SS.evaluated(train, cells, JUMPS_ON, n_final, **options).select("symbol", "grid_idx", F.col("sharpe").alias("train_sharpe"))
-    ranked = listed.join(again, ["symbol", "grid_idx"])
+    ranked = cut(listed.join(again, ["symbol", "grid_idx"]))
     best = R.best_by(ranked, "train_sharpe", "rank", "symbol").select("symbol", "grid_idx")
     final = SS.evaluated(test, cells.join(best, ["symbol", "grid_idx"]), JUMPS_ON, n_final, **options).select("symbol", "grid_idx", F.col("sharpe").alias("test_sharpe"))
     return ranked.join(final, ["symbol", "grid_idx"], "left")
@@ -139,7 +140,7 @@ def portfolio_search(spark, d, sigmas=SIGMAS, thetas=THETAS, n: int = 5, n_final
     mean = scores.groupBy("grid_idx", "sigma", "theta").agg(F.avg("sharpe").alias("train_sharpe"))
     best = R.top_k(mean, "train_sharpe", 1, "grid_idx").first()  # of as many rows as the grid has points
     parameters = JUMPS_ON | ({"sigma": best["sigma"], "theta": best["theta"]} if best else {})
-    rows = SS.traded(test.select("symbol", "seq", "price"), parameters, n_final, dt=DT, scaled=True)
+    rows = cut(SS.traded(test.select("symbol", "seq", "price"), parameters, n_final, dt=DT, scaled=True).select("symbol", "seq", "ret", "signal"))
     own = _unlagged(rows)
     curve = own.withColumn("wealth", F.product(1 + F.col("net")).over(P.by_time().rowsBetween(Window.unboundedPreceding, 0)))
     nav = P.ended_means(curve, "wealth", 1.0).withColumnRenamed("mean", "net")
@@ -175,11 +176,12 @@ def contract_search(spark, d, grid=None, n: int = 3, n_final: int = 100, last_ro
     base = JUMPS_ON | {"sigma": 0.5}
     options = {"dt": DT, "scaled": True, "cost_bps": COST_BPS}
     found = SS.evaluated(P.tail_slice(train, last_rows), grid, base, n, **options).withColumnRenamed("sharpe", "train_sharpe")
-    best = P.survivors(R.best_by(found, "train_sharpe", "grid_idx", "symbol"), "train_sharpe", 5, "symbol")
+    best = cut(P.survivors(R.best_by(found, "train_sharpe", "grid_idx", "symbol"), "train_sharpe", 5, "symbol"))
     cells = best.select("symbol", "grid_idx", "window", "sigma_obs", "theta", "alpha")
     tested = SS.evaluated(test, cells, base, n_final, **options).select("symbol", F.col("sharpe").alias("test_sharpe"))
     own = best.join(tested, "symbol", "left").select("symbol", "window", "sigma_obs", "theta", "alpha", "train_sharpe", "test_sharpe")
-    rows = _unlagged(SS.traded(_with_parameters(test, cells, {"sigma": 0.5}), None, n_final, dt=DT, scaled=True))
+    traded = SS.traded(_with_parameters(test, cells, {"sigma": 0.5}), None, n_final, dt=DT, scaled=True)
+    rows = cut(_unlagged(traded.select("symbol", "seq", "ret", "signal")).select("symbol", "seq", "ret", "net"))
     out = own.withColumn("final_nav", F.lit(None).cast("double")).withColumn("max_drawdown", F.lit(None).cast("double"))
     for name, value in (("portfolio", "net"), ("hold", "ret")):
         mean = P.ended_means(rows, value, 0.0).withColumnRenamed("mean", "net")
