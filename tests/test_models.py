@@ -266,3 +266,14 @@ def test_a_search_runs_once(spark):
     points = [{"grid_idx": k, "lambda_J": k % 2 / 10} for k in range(300)]
     dealt = SS._dealt(points, p, 20)
     assert sorted(x["grid_idx"] for part in dealt for x in part) == list(range(300)) and [len(x) for x in dealt] == [64, 64, 22, 150]
+
+
+def test_restarts_of_long_series_go_apart(spark, monkeypatch):
+    """Restarts are dealt by their rows, to partitions that Spark does not merge, and draw the same numbers however they are dealt."""
+    df = SS.simulated_regimes(spark, 2, 120, A[:2, :2] / A[:2, :2].sum(axis=1, keepdims=True), PI[:2] / PI[:2].sum(), MU[:2], S2[:2])
+    fits = lambda: H.fits(df, [2], restarts=3, max_iter=5)
+    together = {(r.symbol, r.restart): r.ll for r in fits().collect()}
+    monkeypatch.setattr(H, "ROWS_TOGETHER", 120)
+    apart = fits()
+    assert apart.rdd.getNumPartitions() >= 3 * H.SPREAD
+    assert len(together) == 6 and {(r.symbol, r.restart): r.ll for r in apart.collect()} == pytest.approx(together, rel=1e-12)

@@ -206,22 +206,27 @@ def viterbi(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "sy
     return scans.with_columns(rows, "state int, log_prob double", per_block, key, [forward, backward])
 
 
-#: Restarts that advance together in one task; further ones run beside it.
-RESTARTS_TOGETHER = 5
+#: Restarts that advance together in one task, fewer where the series is long; further ones run beside it.
+RESTARTS_TOGETHER, ROWS_TOGETHER = 5, 1 << 16
+#: Partitions for each restart, so that few of them share one: they are few and costly, and Spark would merge their few rows.
+SPREAD = 16
 
 
 def fits(df: DataFrame, ks: list[int], restarts: int = 10, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol") -> DataFrame:
-    """(key, k, restart, model, ll, n_iter, history) of every series, k and restart: groups of RESTARTS_TOGETHER are tasks of their own.
+    """(key, k, restart, model, ll, n_iter, history) of every series, k and restart: groups of RESTARTS_TOGETHER are tasks of their own,
+    of fewer restarts where they have more than ROWS_TOGETHER rows in all.
 
     A restart draws from its own seed, so that results do not hang on the grouping.
     """
-    deals = [(k, low) for k in ks for low in range(0, restarts, RESTARTS_TOGETHER)]
-    dealt = df.select(key, "seq", value, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(low).alias("low")) for k, low in deals))).alias("d")).select(key, "seq", value, "d.k", "d.low")
+    together = F.greatest(F.lit(1), F.least(F.lit(RESTARTS_TOGETHER), F.floor(F.lit(ROWS_TOGETHER) / F.count("*").over(Window.partitionBy(key))))).cast("int")
+    dealt = df.select(key, "seq", value, together.alias("size")).withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1), F.col("size")))).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD * restarts * len(ks))
+    dealt = dealt.repartition(tasks, key, "k", "low")
 
     def per_group(rows: pd.DataFrame) -> pd.DataFrame:
         obs = rows.sort_values("seq", kind="stable")[value].to_numpy(float)
-        name, k, low = rows[key].iloc[0], int(rows["k"].iloc[0]), int(rows["low"].iloc[0])
-        found = N.em(obs, k, N.seed_list(seed_of(seed, name, k), min(RESTARTS_TOGETHER, restarts - low), low), max_iter, tol)
+        name, k, low, size = rows[key].iloc[0], *(int(rows[c].iloc[0]) for c in ("k", "low", "size"))
+        found = N.em(obs, k, N.seed_list(seed_of(seed, name, k), min(size, restarts - low), low), max_iter, tol)
         out = [{key: name, "k": k, "restart": low + r, "ll": m["ll"], "n_iter": m["n_iter"], "history": m["history"], **{c: v.tolist() for c, v in N.sorted_states(m).items()}} for r, m in enumerate(found)]
         return pd.DataFrame(out)[[key, "k", "restart", *(x.split()[0] for x in FIT.split(", "))]]
 
