@@ -97,12 +97,28 @@ def blocks(column: pa.Array, max_bytes: int = MAX_BYTES) -> Iterator[Block]:
         row = last
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """LOWER[data], by arithmetic on bytes."""
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
+def _outside(data: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """~space[data]; a few bytes are told apart faster by comparing than by a table."""
+    values = np.flatnonzero(space)
+    if not 0 < len(values) <= 8:
+        return ~space[data]
+    out = data != values[0]
+    for x in values[1:]:
+        out &= data != x
+    return out
+
+
 def find_words(data: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE) -> Words:
     """Maximal runs of bytes outside `space` (by default 0x20 and 0x09 to 0x0D) that lie in one text."""
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64))
-    word = ~space[data]
+    word = _outside(data, space)
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     opens, closes = word.copy(), word.copy()
@@ -236,6 +252,38 @@ def keyed_hashes(data: np.ndarray, words: Words, key: bytes) -> np.ndarray:
     return mix(out)
 
 
+#: Bytes of a number of limb_hashes, and the longest words that it cuts into such numbers.
+LIMB, LIMBED = 4, 32
+_LIMB_MASKS = np.array([(1 << 8 * k) - 1 for k in range(LIMB + 1)], np.uint32)
+
+
+def limb_hashes(data: np.ndarray, words: Words, key: bytes) -> np.ndarray:
+    """Hashes of words as keyed_hashes gives them, with less work: polynomials whose coefficients are a word's length and its bytes,
+    LIMB at a time. Words over LIMBED bytes, of which there are few, have the hashes that keyed_hashes gives under a key of their own."""
+    size = words.end - words.begin
+    out = size.astype(np.uint64)
+    padded = np.zeros(len(data) + LIMB, np.uint8)
+    padded[: len(data)] = data
+    limbs = np.ndarray(len(data) + 1, np.dtype("<u4"), padded, strides=(1,))
+    base = factor = key_number(key)
+    at = np.flatnonzero(size <= LIMBED)
+    for k in range(0, LIMBED, LIMB):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        value = (limbs[words.begin[at] + k] & _LIMB_MASKS[np.minimum(size[at] - k, LIMB)]).astype(np.uint64)
+        low, high = value * np.uint64(factor & 0xFFFFFFFF), value * np.uint64(factor >> 32)
+        # high * 2^32 + low, where 2^61 is 1
+        total = out[at] + (low & np.uint64(FIELD)) + (low >> np.uint64(61)) + (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
+        out[at] = (total & np.uint64(FIELD)) + (total >> np.uint64(61))
+        factor = factor * base % FIELD
+    out = mix(_reduced(out))
+    long = np.flatnonzero(size > LIMBED)
+    if len(long):
+        out[long] = keyed_hashes(data, Words(words.begin[long], words.end[long], np.array([0, len(long)])), key + b"long")
+    return out
+
+
 def exact_grams(codes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of n consecutive words in one text, equal only for equal words, and the first n-gram of every text."""
     gram_first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - (n - 1), 0))])

@@ -286,3 +286,19 @@ def test_rows_without_id(spark):
     assert near_dedup.near_duplicates(df).count() == 3 and near_dedup.keep_one(df).count() == 3
     assert line_dedup.without_lines(df, line_dedup.removed_lines(df)).count() == 3
     assert substring_dedup.without_spans(df).where("doc_id IS NULL").count() == 2
+
+
+def test_lines_are_counted_with_and_without_empty_ones(spark):
+    texts = ["", "\n", "a", "a\nb", "a\n\nb", "\na", "a\n", "\n\n\n", " \n ", "é\n𝒳\r\nb", None]
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", line_dedup.n_lines(F.col("text")).alias("n")).collect()
+    assert {r.doc_id: r.n for r in found} == {k: sum(x != "" for x in (t or "").split("\n")) for k, t in enumerate(texts)}
+
+
+def test_prefix_words_travel_as_bytes():
+    """Lists of words are packed bytes: as arrays of integers they cost the JVM more than all else in a line's row."""
+    assert line_dedup.LINES.split(", ")[-1] == "words binary"
+    lists = line_dedup.pa.array([b"", np.array([1, -2], np.int32).tobytes(), b"", np.array([7], np.int32).tobytes()])
+    for rows in (lists, lists[1:3], lists[:0]):
+        batch = line_dedup.pa.RecordBatch.from_arrays([rows], ["words"])
+        words, counts = line_dedup._prefix_words(batch)
+        assert words.tolist() == [x for b in rows.to_pylist() for x in np.frombuffer(b, np.int32).tolist()] and counts.tolist() == [len(b) // 4 for b in rows.to_pylist()]

@@ -112,3 +112,27 @@ def test_exact_grams_renumber_when_numbers_grow():
     codes, first = np.array([5, 1 << 40, 7, 5, 1 << 40, 7, 5, 1 << 40]), np.array([0, 3, 3, 8])
     grams, gram_first = B.exact_grams(codes, first, 3)
     assert gram_first.tolist() == [0, 1, 1, 4] and grams[0] == grams[1] and len(set(grams.tolist())) == 3
+
+
+def test_limb_hashes_are_polynomials_of_limbs_and_length():
+    texts = ["a", "abcd", "abcde\0", "abcde", "abcde\0\0", "é" * 16, "x" * 32, "x" * 33, "y" * 70]
+    block = next(B.blocks(pa.array([" ".join(texts), "abcd"])))
+    words = B.find_words(block.data, block.starts)
+    found, base = B.limb_hashes(block.data, words, b"some key").tolist(), B.key_number(b"some key")
+    limbs = lambda w: [int.from_bytes(w[k : k + B.LIMB], "little") for k in range(0, len(w), B.LIMB)]
+    plain = [(len(w) + sum(x * pow(base, k, B.FIELD) for k, x in enumerate(limbs(w), 1))) % B.FIELD for w in (t.encode() for t in texts if len(t.encode()) <= B.LIMBED)]
+    assert found[: len(plain)] == B.mix(np.array(plain, np.uint64)).tolist()
+    assert found[len(texts)] == found[1] and len(set(found)) == len(texts)
+    assert found[len(plain) :][:2] == B.keyed_hashes(block.data, words, b"some keylong")[len(plain) :][:2].tolist()
+    assert len(B.limb_hashes(block.data[:0], B.find_words(block.data[:0], np.zeros(2, np.int64)), b"k")) == 0
+
+
+def test_bytes_are_lowered_and_cut_as_by_tables():
+    data = np.arange(256, dtype=np.uint8)
+    assert B.lowered(data).tolist() == B.LOWER[data].tolist()
+    for chosen in ([10], [32, 9, 10, 11, 12, 13], [], range(0, 256, 3)):
+        space = np.zeros(256, bool)
+        space[list(chosen)] = True
+        words = B.find_words(data, np.array([0, 100, 256]), space)
+        runs = [k for k in range(256) if not space[k] and (k in (0, 100) or space[k - 1])]
+        assert words.begin.tolist() == runs and words.first.tolist() == [0, sum(k < 100 for k in runs), len(runs)]
