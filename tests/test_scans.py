@@ -105,3 +105,35 @@ def test_empty_series(df):
     for operator, columns in OPERATORS.values():
         out = operator(df.limit(0), block_rows=16)
         assert out.columns[-len(columns) :] == columns and out.count() == 0
+
+
+def test_runs_that_advance_together_move_as_single_ones():
+    rng = np.random.default_rng(5)
+    A, pi, _, _ = map(np.array, MODEL)
+    sizes = np.array([3, 40, 1, 40, 40, 7, 90, 2, 40, 1, 40, 40, 40, 40, 40, 33])
+    starts = np.cumsum(sizes) - sizes
+    log_b = np.round(rng.normal(size=(sizes.sum(), 3)), 1)  # with ties
+    groups = N.together(sizes)
+    assert [g.tolist() for g in groups[:-1]] == [[6]] and sorted(np.concatenate(groups).tolist()) == list(range(len(sizes)))
+    runs, out = groups[-1], np.full(sizes.sum(), -1)
+    back, best = N.stacked_moves(log_b, starts[runs], sizes[runs], np.log(A), np.tile(np.log(pi), (len(runs), 1)))
+    N.stacked_paths(back, starts[runs], best.argmax(axis=1), out)
+    firsts = N.stacked_firsts(back, np.tile(np.arange(3), (len(runs), 1)))
+    for k, run in enumerate(runs):
+        part = slice(starts[run], starts[run] + sizes[run])
+        moves, last = N.viterbi_moves(log_b[part], np.log(A), np.log(pi))
+        assert best[k].tolist() == last and out[part].tolist() == N.traced(moves, last.index(max(last)))
+        assert firsts[k].tolist() == [N.traced(moves, j)[0] for j in range(3)]
+    whole = np.array([log_b[s : s + 40] for s in starts[sizes == 40]])
+    assert N.best_chained(whole, np.log(A)).tolist() == [N.best_chained(x, np.log(A)).tolist() for x in whole]
+
+
+def test_stacks_hold_whole_runs(monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 5)
+    names = [None, None, "a", "a", "a", "a", "a", "a", "a", "b", "c", "c", "d"]
+    rows = pd.DataFrame({"symbol": names, "x": range(13)})
+    for size in (1, 2, 4, 13):
+        found = list(scans.stacks((rows.iloc[k : k + size] for k in range(0, 13, size)), ["symbol"]))
+        assert [x for frame, _ in found for x in frame["x"]] == list(range(13))
+        assert [[x for x in frame["x"].iloc[starts]] for frame, starts in found] and sum((frame["x"].iloc[starts].tolist() for frame, starts in found), []) == [0, 2, 9, 10, 12]
+    assert list(scans.stacks(iter([rows.iloc[:0]]), ["symbol"])) == []

@@ -218,12 +218,12 @@ def chained(log_b: np.ndarray, A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_chained(log_b: np.ndarray, log_A: np.ndarray) -> np.ndarray:
-    """Greatest sums over paths through the rows, (K, K): from entering the first row in a state to entering the row behind."""
-    x = log_b[:, :, None] + log_A
-    while len(x) > 1:
-        odd = x[-1:] if len(x) % 2 else x[:0]
-        x = np.concatenate([(x[0 : len(x) // 2 * 2 : 2, :, :, None] + x[1::2, None]).max(axis=2), odd])
-    return x[0]
+    """Greatest sums over paths through the rows, (..., K, K): from entering the first row in a state to entering the row behind."""
+    x = log_b[..., None] + log_A
+    while (n := x.shape[-3]) > 1:
+        pairs = (x[..., 0 : n // 2 * 2 : 2, :, :, None] + x[..., 1::2, None, :, :]).max(axis=-2)
+        x = np.concatenate([pairs, x[..., n // 2 * 2 :, :, :]], axis=-3)
+    return x[..., 0, :, :]
 
 
 def m_step(obs: np.ndarray, gamma: np.ndarray, xi: np.ndarray, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
@@ -343,6 +343,52 @@ def traced(back: list[list[int]], state: int) -> list[int]:
     return path[::-1]
 
 
+#: Runs of rows from which on it is faster to advance them together.
+FEW = 8
+
+
+def together(sizes: np.ndarray) -> list[np.ndarray]:
+    """Numbers of runs of these sizes: single ones, where they are FEW or longer than all but FEW, then the others, longest first."""
+    order = np.argsort(-sizes, kind="stable")
+    lone = len(order) if len(order) <= FEW else int(np.searchsorted(-sizes[order], -sizes[order[FEW]], "left"))
+    return [*(order[i : i + 1] for i in range(lone)), *([order[lone:]] if lone < len(order) else [])]
+
+
+def stacked_moves(log_b: np.ndarray, starts: np.ndarray, sizes: np.ndarray, log_A: np.ndarray, entering: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """viterbi_moves of runs of rows whose sizes descend: for each step the moves of the runs that have it, and the last scores."""
+    best, back = entering + log_b[starts], []
+    for t in range(1, int(sizes[0])):
+        m = int(np.searchsorted(-sizes, -t, "left"))
+        own = best[:m]
+        top, came = own[:, :1] + log_A[0], np.zeros((m, len(log_A)), np.int16)
+        for i in range(1, len(log_A)):
+            x = own[:, i : i + 1] + log_A[i]
+            better = x > top
+            top = np.where(better, x, top)
+            came[better] = i
+        best[:m] = top + log_b[starts[:m] + t]
+        back.append(came)
+    return back, best
+
+
+def stacked_paths(back: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
+    """Writes the path of each run that ends in its state of ends to its rows of out."""
+    state = ends.copy()
+    for t in range(len(back), 0, -1):
+        m = len(back[t - 1])
+        out[starts[:m] + t] = state[:m]
+        state[:m] = back[t - 1][np.arange(m), state[:m]]
+    out[starts] = state
+
+
+def stacked_firsts(back: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """The states that paths begin in which end in the states of ends, (runs, any number)."""
+    state = ends.copy()
+    for came in reversed(back):
+        state[: len(came)] = np.take_along_axis(came, state[: len(came)], axis=1)
+    return state
+
+
 def viterbi(log_b: np.ndarray, A: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
     """Most likely path of states, the lowest state of equals, and its log-probability."""
     with np.errstate(divide="ignore"):

@@ -179,31 +179,75 @@ def viterbi(df: DataFrame, A, pi, mu, sigma2, value: str = "ret", key: str = "sy
     """
     A, pi, mu, sigma2 = N.checked_model(A, pi, mu, sigma2)
     k, log_A, log_pi = len(mu), np.log(A), np.log(pi)
+    kind = scans.kind_of(df, key)
     emitted = lambda rows: N.emissions(rows[value].to_numpy(float), mu, sigma2)
-
-    def solved(rows: pd.DataFrame, before: np.ndarray | None):
-        entering = log_pi if before is None else (log_pi[:, None] + before.reshape(k, k)).max(axis=0)
-        back, best = N.viterbi_moves(emitted(rows), log_A, entering)
-        return back, best, [int(np.argmax(np.array(best) + log_A[:, j])) for j in range(k)]
-
-    def choices(rows: pd.DataFrame, before: np.ndarray | None) -> np.ndarray:
-        """The state that the block begins in by the one of the next block's beginning; then, if it is the last, the state and score."""
-        back, best, last = solved(rows, before)
-        return np.array([*(N.traced(back, i)[0] for i in last), N.traced(back, best.index(max(best)))[0], max(best)])
+    sizes_of = lambda rows, starts: np.diff(np.append(starts, len(rows)))
+
+    def entered(given: np.ndarray, before: np.ndarray) -> np.ndarray:
+        out = np.tile(log_pi, (len(given), 1))
+        if given.any():
+            out[given] = (log_pi[:, None] + before[given].reshape(-1, k, k)).max(axis=1)
+        return out
+
+    def solved(rows: pd.DataFrame, starts: np.ndarray, entering: np.ndarray):
+        """Of all blocks, some at a time: their numbers, moves (of a single block as lists), last scores, the best last state and the
+        best one by the state that the next block begins in."""
+        log_b, sizes = emitted(rows), sizes_of(rows, starts)
+        for blocks in N.together(sizes):
+            if len(blocks) == 1:
+                low = starts[blocks[0]]
+                back, best = N.viterbi_moves(log_b[low : low + sizes[blocks[0]]], log_A, entering[blocks[0]])
+                best = np.array([best])
+            else:
+                back, best = N.stacked_moves(log_b, starts[blocks], sizes[blocks], log_A, entering[blocks])
+            top = np.zeros(len(blocks), int)
+            for i in range(1, k):
+                top[best[:, i] > best[np.arange(len(blocks)), top]] = i
+            yield blocks, back, best, top, (best[:, :, None] + log_A).argmax(axis=1)
+
+    def elements(rows: pd.DataFrame, starts: np.ndarray) -> np.ndarray:
+        log_b, sizes = emitted(rows), sizes_of(rows, starts)
+        out = np.zeros((len(starts), k * k))
+        for size in np.unique(sizes):
+            blocks = np.flatnonzero(sizes == size)
+            out[blocks] = N.best_chained(log_b[starts[blocks][:, None] + np.arange(size)], log_A).reshape(-1, k * k)
+        return out
+
+    def choices(rows: pd.DataFrame, starts: np.ndarray, before) -> np.ndarray:
+        """The state that each block begins in by the one of the next block's beginning; then, if it is the last, the state and score."""
+        out = np.zeros((len(starts), k + 2))
+        for blocks, back, best, top, last in solved(rows, starts, entered(*before)):
+            ends = np.column_stack([last, top])
+            out[blocks, : k + 1] = [[N.traced(back, i)[0] for i in ends[0].tolist()]] if len(blocks) == 1 else N.stacked_firsts(back, ends)
+            out[blocks, -1] = best[np.arange(len(blocks)), top]
+        return out
 
     def chosen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.array([*a[b[: k + 1].astype(int)], b[-1]])
 
-    def per_block(rows: pd.DataFrame, before: np.ndarray | None, behind: np.ndarray | None) -> pd.DataFrame:
-        back, best, last = solved(rows, before)
-        end, score = (best.index(max(best)), max(best)) if behind is None else (last[int(behind[k])], behind[-1])
-        return rows.assign(state=np.array(N.traced(back, end), np.int32), log_prob=float(score))
+    def per_stack(rows: pd.DataFrame, starts: np.ndarray, before, behind) -> pd.DataFrame:
+        state, score, (followed, behind) = np.zeros(len(rows), np.int32), np.zeros(len(starts)), behind
+        for blocks, back, best, top, last in solved(rows, starts, entered(*before)):
+            ends, score[blocks] = top.copy(), best[np.arange(len(blocks)), top]
+            at = np.flatnonzero(followed[blocks])
+            if len(at):
+                ends[at], score[blocks[at]] = last[at, behind[blocks[at], k].astype(int)], behind[blocks[at], -1]
+            if len(blocks) == 1:
+                path = N.traced(back, int(ends[0]))
+                state[starts[blocks[0]] : starts[blocks[0]] + len(path)] = path
+            else:
+                N.stacked_paths(back, starts[blocks], ends, state)
+        return rows.assign(state=state, log_prob=np.repeat(score, sizes_of(rows, starts)))
+
+    def per_block(f, df: DataFrame, carries: list[DataFrame]) -> DataFrame:
+        one = lambda rows, starts, *begins: pd.DataFrame({key: rows[key].iloc[starts], "__block": rows["__block"].iloc[starts], "__element": list(f(rows, starts, *begins))})
+        return scans.applied_together(df, one, key, f"{kind}, __block long, __element array<double>", carries)
 
     rows = scans.blocked(df, block_rows)
-    long = scans.several(rows, key)
-    forward = scans.prefixes(scans.elements(long, lambda r: N.best_chained(emitted(r), log_A).ravel(), key), lambda a, b: (a.reshape(k, k, 1) + b.reshape(1, k, k)).max(axis=1).ravel(), key)
-    backward = scans.prefixes(scans.elements(long, choices, key, [forward]), chosen, key, reverse=True)
-    return scans.with_columns(rows, "state int, log_prob double", per_block, key, [forward, backward])
+    long = scans.several(rows, key).select(key, "seq", value, "__block")
+    forward = scans.prefixes(per_block(elements, long, []), lambda a, b: (a.reshape(k, k, 1) + b.reshape(1, k, k)).max(axis=1).ravel(), key)
+    backward = scans.prefixes(per_block(choices, long, [forward]), chosen, key, reverse=True)
+    return scans.with_columns(rows, "state int, log_prob double", per_stack, key, [forward, backward], scans.applied_together)
 
 
 #: Restarts that advance together in one task, fewer where the series is long; further ones run beside it.

@@ -32,18 +32,23 @@ def kind_of(df: DataFrame, column: str) -> str:
     return f"`{column}` {df.schema[column].dataType.simpleString()}"
 
 
+def _changes(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; not for the first."""
+    change = np.zeros(len(frame), bool)
+    for c in keys:
+        now = frame[c]
+        change |= (now.ne(now.shift()) & ~(now.isna() & now.shift().isna())).to_numpy()
+    change[0] = False
+    return change
+
+
 def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Consecutive rows with equal keys, across frames; nulls equal each other. Only the run at hand is held."""
     parts: list[pd.DataFrame] = []
     for frame in frames:
         if frame.empty:
             continue
-        change = np.zeros(len(frame), bool)
-        for c in keys:
-            now = frame[c]
-            change |= (now.ne(now.shift()) & ~(now.isna() & now.shift().isna())).to_numpy()
-        change[0] = False
-        bounds = [0, *np.flatnonzero(change).tolist(), len(frame)]
+        bounds = [0, *np.flatnonzero(_changes(frame, keys)).tolist(), len(frame)]
         if parts and any(not (a == b or (pd.isna(a) and pd.isna(b))) for a, b in ((parts[-1][c].iloc[-1], frame[c].iloc[0]) for c in keys)):
             yield pd.concat(parts) if len(parts) > 1 else parts[0]
             parts = []
@@ -75,6 +80,39 @@ def by_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.Da
     return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(per_task, schema)
 
 
+def stacks(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Whole runs end to end, of some BLOCK_ROWS rows or one longer run, and where each begins."""
+    held: list[pd.DataFrame] = []
+    size, enough = 0, BLOCK_ROWS
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size < enough:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        starts = np.flatnonzero(_changes(rows, keys))
+        if len(starts):  # the last run may go on
+            last = int(starts[-1])
+            yield rows.iloc[:last], np.append(0, starts[:-1])
+            rows = rows.iloc[last:]
+        held, size = [rows], len(rows)
+        enough = max(BLOCK_ROWS, 2 * size)
+    if size:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows, np.append(0, np.flatnonzero(_changes(rows, keys)))
+
+
+def by_stacks(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """As by_runs, for an f that works through many groups at once: it takes their rows end to end and where each group begins."""
+
+    def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in stacks(frames, keys):
+            yield f(rows, starts)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(per_task, schema)
+
+
 def blocked(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """df with __block, the number of the block of time that its seq lies in."""
     return df.withColumn("__block", F.floor(F.col("seq") / rows))
@@ -161,11 +199,43 @@ def applied(df: DataFrame, f: Callable[..., pd.DataFrame], key: str, schema: str
     return by_runs(met, [key, "__block"], ["__kind", "seq"], per_block, schema)
 
 
-def with_columns(df: DataFrame, columns: str, f: Callable[..., pd.DataFrame], key: str, carries: list[DataFrame]) -> DataFrame:
-    """df, a blocked one, with more columns: f(rows, carries) gives the rows with them."""
+def applied_together(df: DataFrame, f: Callable[..., pd.DataFrame], key: str, schema: str, carries: list[DataFrame]) -> DataFrame:
+    """As applied, for an f that works through many blocks at once: f(rows of blocks end to end, where each begins, and for each of
+    carries a pair: which blocks have one, and an array with a row for each block, of zeros where it has none)."""
+    if not carries:
+        return by_stacks(df, [key, "__block"], ["seq"], f, schema)
+    names, count = df.columns, len(carries)
+    met = df.withColumn("__carry", F.lit(None).cast("array<double>")).withColumn("__kind", F.lit(count))
+    for k, carry in enumerate(carries):
+        empty = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names if c not in (key, "__block")]
+        met = met.unionByName(carry.select(key, "__block", *empty, "__carry", F.lit(k).alias("__kind")))
+    integers = {x.name: t for x in df.schema.fields if (t := {"bigint": "int64", "int": "int32"}.get(x.dataType.simpleString()))}
+
+    def per_stack(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        kind, begins = rows["__kind"].to_numpy(), []
+        block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        for k in range(count):
+            at = np.flatnonzero(kind == k)
+            given = np.zeros(len(starts), bool)
+            given[block[at]] = True
+            values = np.stack(rows["__carry"].iloc[at].tolist()) if len(at) else np.zeros((0, 0))
+            whole = np.zeros((len(starts), values.shape[1]))
+            whole[block[at]] = values
+            begins.append((given, whole))
+        own = np.flatnonzero(kind == count)
+        rows = rows.iloc[own].drop(columns=["__carry", "__kind"]).reset_index(drop=True)
+        # a carry's nulls make pandas read integers as doubles
+        whole = {c: t for c, t in integers.items() if rows[c].dtype.kind == "f" and not rows[c].isna().any()}
+        return f(rows.astype(whole) if whole else rows, np.searchsorted(block[own], np.arange(len(starts))), *begins)
+
+    return by_stacks(met, [key, "__block"], ["__kind", "seq"], per_stack, schema)
+
+
+def with_columns(df: DataFrame, columns: str, f: Callable[..., pd.DataFrame], key: str, carries: list[DataFrame], apply: Callable[..., DataFrame] = applied) -> DataFrame:
+    """df, a blocked one, with more columns: f(rows, carries) gives the rows with them. apply: applied or applied_together."""
     kept = [x for x in df.schema.fields if x.name != "__block"]
     made = {c.split()[0] for c in columns.split(", ")}
     kept = [x for x in kept if x.name not in made]
     names = [x.name for x in kept] + [c.split()[0] for c in columns.split(", ")]
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept), columns])
-    return applied(df, lambda *a: f(*a)[names], key, schema, carries)
+    return apply(df, lambda *a: f(*a)[names], key, schema, carries)
