@@ -20,6 +20,8 @@ import json
 import re
 import struct
 import zlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,20 @@ FILE_BYTES = 8 << 20
 _TABLES: dict[str, WordTable] = {}
 B.KEPT["token_blocks"] = [_TABLES]
 _TOKENIZERS: dict[str, tuple] = {}
+_CUTTINGS: dict[str, _Cutting | None] = {}
+#: A split of words at which `_runs` may cut too, the words that it cuts, by their bytes, and what it cuts them into. Letters outside
+#: ASCII are those of U+00C0 to U+024F (bytes C3 to C9) but for U+0130, which lower-cases to a letter and a mark; × and ÷ are none.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_RUN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+_LETTER, _DIGIT, _SIGN, _ODD = 1, 2, 3, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[0x20, *range(0x09, 0x0E)]], _KIND[0x27] = 0, _ODD
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_NO_LETTERS = [x.encode() for x in "×÷İ"]
+#: Runs that the tokenizer gets as one text.
+RUNS = 1024
 
 
 def pack_block(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
@@ -45,10 +61,10 @@ def pack_block(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     ids = ids.astype(np.uint32)
     low = int(ids.min()) if len(ids) else 0
     deltas = ids - np.uint32(low)
-    widths = np.frexp(deltas.astype(np.float64))[1]  # bits that each delta needs
-    width = int(np.sort(widths)[min(len(ids) - 1, len(ids) * percentile // 100)]) if len(ids) else 0
-    outlier = np.flatnonzero(widths > width)
-    bits = ((deltas[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+    at = min(len(ids) - 1, len(ids) * percentile // 100)
+    width = int(np.partition(deltas, at)[at]).bit_length() if len(ids) else 0
+    outlier = np.flatnonzero(deltas > np.uint32((1 << width) - 1))
+    bits = np.unpackbits(deltas.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     exceptions = np.zeros(len(outlier), np.dtype([("place", "<u2"), ("high", "<u4")]))
     exceptions["place"], exceptions["high"] = outlier, deltas[outlier].astype(np.uint64) >> np.uint64(width)
     return _BLOCK.pack(low, width, len(ids), len(outlier)) + np.packbits(bits.ravel(), bitorder="little").tobytes() + exceptions.tobytes()
@@ -58,10 +74,10 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     low, width, n, n_out = _BLOCK.unpack_from(data, at)
     at += _BLOCK.size
     size = -(-n * width // 8)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    deltas = bits @ (np.uint64(1) << np.arange(width, dtype=np.uint64)) if width else np.zeros(n, np.uint64)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+    deltas = np.packbits(bits.ravel(), bitorder="little").view("<u4").astype(np.uint64)
     exceptions = np.frombuffer(data, np.dtype([("place", "<u2"), ("high", "<u4")]), n_out, at + size)
-    deltas = deltas.astype(np.uint64)
     deltas[exceptions["place"]] |= exceptions["high"].astype(np.uint64) << np.uint64(width)
     return (deltas + np.uint64(low)).astype(np.uint32)
 
@@ -122,20 +138,120 @@ def _tokenizer(spec: str):
     return _TOKENIZERS[spec]
 
 
+class _Cutting(NamedTuple):
+    """Which ids are the last of a run, whether the tokenizer lower-cases, and byte strings whose words stay whole."""
+
+    ends: np.ndarray
+    lowers: bool
+    whole: list[bytes]
+
+
+def _cutting(spec: str) -> _Cutting | None:
+    """How words may be cut into runs, if they may: where the pre-tokenizer cuts by SPLIT and a BPE model marks the last id of each part."""
+    if spec not in _CUTTINGS:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        rules, found = json.loads(spec), None
+        model, added, normalizer = rules["model"], rules.get("added_tokens", []), rules.get("normalizer") or {}
+        steps = normalizer.get("normalizers", [normalizer])
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = model.get("type") == "BPE" and model.get("end_of_word_suffix")
+        normal = all(s["type"] != "Replace" or s["pattern"].get("Regex") == r"\s+" for s in steps) and not any(t["normalized"] for t in added)
+        levels = [s.get("type") for s in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == SPLIT and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
+        whole = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+        if _tokenizer(spec)[1] and suffix and normal and levels and whole and all(c + end in model["vocab"] for c in ByteLevel.alphabet() for end in ("", suffix)):
+            ends = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in added)]), bool)
+            ends[[k for token, k in model["vocab"].items() if token.endswith(suffix)]] = True
+            found = _Cutting(ends, any(s["type"] == "Lowercase" for s in steps), [*_NO_LETTERS, *(t["content"].encode() for t in added)])
+        _CUTTINGS[spec] = found
+    return _CUTTINGS[spec]
+
+
+def _places(raw: bytes, part: bytes) -> Iterator[int]:
+    at = raw.find(part)
+    while at >= 0:
+        yield at
+        at = raw.find(part, at + 1)
+
+
+def _runs(cutting: _Cutting, block: B.Block) -> tuple[np.ndarray, B.Words]:
+    """The words of a block cut into runs of letters, single digits and runs of signs, as SPLIT cuts them, and the block's bytes with
+    A to Z lower-cased if the tokenizer does so: far fewer of them differ than of words.
+
+    Words with other characters, an apostrophe or an added token stay whole and as they are: what is cut has no mark that normalising
+    could join to a letter, and no contraction.
+    """
+    data, words = block.data, B.find_words(block.data, block.starts)
+    if not len(words.begin):
+        return data, words
+    kind, raw = _KIND[data], data.tobytes()
+    odd = [np.flatnonzero(kind == _ODD), *(np.fromiter(_places(raw, x), np.int64) for x in cutting.whole)]
+    whole = np.zeros(len(words.begin), bool)
+    whole[np.searchsorted(words.begin, np.concatenate(odd), "right") - 1] = True
+    try:
+        raw.decode()
+    except UnicodeDecodeError:  # such bytes are replaced by a sign when they are decoded
+        whole[:] = True
+    opens, cuts = np.zeros(len(data), bool), kind == _DIGIT
+    opens[words.begin] = True
+    cuts[1:] |= kind[1:] != kind[:-1]
+    cuts &= kind != 0
+    begin = np.flatnonzero(opens | cuts)
+    heads = opens[begin]
+    word = np.cumsum(heads) - 1
+    if whole.any():
+        keep = heads | ~whole[word]
+        begin, word = begin[keep], word[keep]
+    end = np.minimum(np.append(begin[1:], len(data)), words.end[word])
+    if cutting.lowers:
+        data, first, size = B.lowered(data), words.begin[whole], (words.end - words.begin)[whole]
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        data[at] = block.data[at]
+    return data, B.Words(begin, end, np.searchsorted(begin, block.starts))
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *lists]), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def _encoded(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _ids_of_runs(tokenizer, cutting: _Cutting, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of runs and of whole words end to end, and how many each has. The tokenizer gets RUNS of the former as one text."""
+    single = np.fromiter((_RUN.fullmatch(w) is not None for w in words), bool, len(words))
+    runs, others = ([w for w, x in zip(words, single.tolist(), strict=True) if x == kind] for kind in (True, False))
+    ids, _ = _flat(_encoded(tokenizer, [" ".join(runs[k : k + RUNS]) for k in range(0, len(runs), RUNS)]))
+    last = np.flatnonzero(cutting.ends[ids]) + 1
+    if len(last) != len(runs):
+        raise ValueError("the tokenizer does not mark the ends of runs")
+    if not others:
+        return ids, np.diff(last, prepend=0)
+    size = np.zeros(len(words), np.int64)
+    size[single] = np.diff(last, prepend=0)
+    other_ids, size[~single] = _flat(_encoded(tokenizer, others))
+    out, of_run = np.empty(size.sum(), np.int32), np.repeat(single, size)
+    out[of_run], out[~of_run] = ids, other_ids
+    return out, size
+
+
 def encode(spec: str, block: B.Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a block end to end, each with end_id behind, and where each text's begin."""
     tokenizer, by_word = _tokenizer(spec)
-    batch = lambda texts: [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     if by_word:
         if spec not in _TABLES:
             _TABLES[spec] = WordTable()
-        words = B.find_words(block.data, block.starts)
-        flat = lambda lists: (np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists)))
-        plain, sizes = _TABLES[spec].ids(block.data, words, lambda new: flat(batch(new)))
+        cutting = _cutting(spec)
+        if cutting:
+            data, words = _runs(cutting, block)
+            plain, sizes = _TABLES[spec].ids(data, words, lambda new: _ids_of_runs(tokenizer, cutting, new))
+        else:
+            words = B.find_words(block.data, block.starts)
+            plain, sizes = _TABLES[spec].ids(block.data, words, lambda new: _flat(_encoded(tokenizer, new)))
         counts = B.sums_by_text(sizes, words.first)
     else:
-        lists = batch(B.texts_of(block))
-        plain, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+        plain, counts = _flat(_encoded(tokenizer, B.texts_of(block)))
     first = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int64)
     ids = np.full(first[-1], end_id, np.uint32)
     keep = np.ones(len(ids), bool)

@@ -61,7 +61,7 @@ class WordTable:
 
     def ids(self, data: np.ndarray, words: B.Words, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each has; encode gives those of words not met before."""
-        h = np.maximum(B.keyed_hashes(data, words, self.secret), np.uint64(1))
+        h = np.maximum(B.limb_hashes(data, words, self.secret), np.uint64(1))
         place = self.find(h)
         new = np.flatnonzero(place < 0)
         if len(new):

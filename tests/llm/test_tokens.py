@@ -76,6 +76,54 @@ def test_tokenizers_that_keep_white_space_get_whole_texts():
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(first)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 9] for t in texts]
 
 
+def ids_of_words(texts):
+    """What token_blocks makes of texts with the word vocabulary, and the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        spec = file.read()
+    found = []
+    for block in B.blocks(pa.array(texts)):
+        ids, first = token_blocks.encode(spec, block, 1)
+        found += [ids[a:b].tolist() for a, b in itertools.pairwise(first)]
+    return spec, found, [[*e.ids, 1] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_that_differ_in_case_and_signs_share_their_runs():
+    token_blocks._TABLES.clear()
+    stems = ["".join(x) for x in itertools.product("bdfgklmnp", "aeiouéö", "rst", "aeio")]
+    shapes = ["{}", "{}.", "{},", "({})", "{}!?", "{}-{}", "#{}%%", "{}7"]
+    texts = [" ".join(f.format(s, s) for f in shapes for s in (x, x[0].upper() + x[1:])) for x in stems]
+    spec, found, expected = ids_of_words(texts)
+    assert found == expected
+    assert token_blocks._TABLES[spec].count <= len(stems) + 10 < len({w for t in texts for w in t.split()}) / 10
+
+
+PARTS = [*"abzAZéÉßİıſΣςKÅ×÷09٣½.,'\u2019<|>#-_~`^\\", "'s", "'S", "'ll", "\u0301", "\u0338", "\u030a", "W", "A", "=", "漢", "한", "ᄒ", "ᅡ", "🎉", "ǅ", "ɏ", "Ⱥ", "\x07", "\x7f", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "</w>", " ", "\n", "\x0b"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS) | st.characters(codec="utf-8", max_codepoint=0x24F), max_size=12).map("".join), min_size=1, max_size=4))
+def test_cut_words_have_the_ids_of_whole_texts(texts):
+    _, found, expected = ids_of_words(texts)
+    assert found == expected
+
+
+def test_added_tokens_at_the_seam_of_two_texts():
+    _, found, expected = ids_of_words(["x<|endof", "text|>Y", "<|endoftext|>", "<|endoftext", "|>", "caf", "é.", ""])
+    assert found == expected
+
+
+def test_characters_that_may_be_cut_off_are_letters_of_one_form():
+    import unicodedata
+
+    for c in map(chr, range(0x80, 0x250)):
+        cut = all(token_blocks._KIND[b] == token_blocks._LETTER for b in c.encode()) and c.encode() not in token_blocks._NO_LETTERS
+        assert cut == (token_blocks._RUN.fullmatch(c) is not None), c
+        assert not cut or unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and unicodedata.category(c.lower())[0] == "L", c
+
+
 def encoded(model, texts):
     out = []
     for block in B.blocks(pa.array(texts)):
