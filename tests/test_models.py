@@ -238,6 +238,51 @@ def test_filters_of_trends_equal_the_full_ones(jumps):
             assert got[:n, k] == pytest.approx(want[:n, k], rel=1e-12, abs=1e-14)
 
 
+def test_a_search_reads_its_series_in_pieces():
+    """Filters and Sharpe ratios of pieces are those of the whole series, and no array has a row's points for all rows."""
+    import tracemalloc
+
+    rng, sets = np.random.default_rng(8), 4
+    obs = 100 + rng.normal(0, 1, 900).cumsum()
+    p = {"theta": np.array([-0.1, -0.5, -0.2, -1.0]), "sigma": np.full(4, 0.4), "sigma_obs": np.array([0.3, 2.0, 1.0, 1.0]), "lambda_J": np.full(4, 0.2), "mu_J": np.array([0.0, 0.1, 0.0, 0.0]), "sigma_J": np.full(4, 2.0)}
+    start, seeds, windows = SS.prior(np.full(sets, obs[0]), p), [[1, k] for k in range(sets)], np.array([1, 4, 4, 9])
+    cuts = np.split(obs, [1, 3, 4, 300, 556])
+    whole, parts = (np.concatenate([x[1] for x in N.rbpf_trends(y, p, 6, *start, seeds)]) for y in (obs, iter(cuts)))
+    assert np.array_equal(whole, parts)
+    for cost, lagged in ((0.0, True), (3.0, True), (3.0, False)):
+        want = SS.sharpe_of(*SS.trend_signals(whole, obs, windows, None), cost, lagged)
+        got = SS._streamed(iter(cuts), p, 6, obs[0], seeds, 1.0, SS._Sharpes(windows, cost, lagged, 252))
+        assert np.isfinite(want).all() and got == pytest.approx(want, rel=1e-9)
+    short = SS._streamed(iter([obs[:2]]), p, 6, obs[0], seeds, 1.0, SS._Sharpes(windows, 0.0, True, 252))
+    flat = SS._streamed(iter([np.full(50, 5.0)]), p | {"lambda_J": np.zeros(4)}, 6, 5.0, seeds, 1.0, SS._Sharpes(windows, 0.0, True, 252))
+    assert np.isnan(short).all() and np.isnan(flat).all()
+    rows, sets = 20_000, 64
+    p, made = {c: np.full(sets, x[0]) for c, x in p.items()} | {"lambda_J": np.zeros(sets)}, (100 + rng.normal(0, 1, 250) for _ in range(rows // 250))
+    tracemalloc.start()
+    SS._streamed(made, p, 2, 100.0, [[k] for k in range(sets)], 1.0, SS._Sharpes(np.full(sets, 4), 0.0, True, 252))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * rows * sets  # the whole series' trends have 8 bytes for each row and point, signals several times that
+
+
+def test_chunks_of_a_search_have_partitions_of_their_own(spark, monkeypatch):
+    """Each chunk of a series is a partition, whatever the keys' hashes; a null key is a series too."""
+    from tidemark.operators import regimes as R
+
+    p = {"theta": -0.2, "sigma": 0.4, "sigma_obs": 0.3, "lambda_J": 0.0, "mu_J": 0.0, "sigma_J": 0.0}
+    rows = [(s, k + 1, 100 + float(x)) for s in (1, 2, 3, 5, None) for k, x in enumerate(np.random.default_rng(s or 9).normal(0, 1, 40).cumsum())]
+    df = spark.createDataFrame(rows, "symbol long, seq int, price double")
+    monkeypatch.setattr(SS, "CELLS", 2)
+    grid = R.parameter_grid(spark, theta=[-0.1, -1.0, -2.0], lambda_J=[0.0, 0.3])
+    out = SS.evaluated(df, grid, p, n=5)
+    held = [{r.symbol for r in part} for part in out.rdd.glom().collect()]
+    assert len(held) == 10 and sorted(map(len, held)) == [1] * 10 and out.count() == 30
+    monkeypatch.setattr(SS, "SPREAD", 3)  # by hash where there are more series
+    hashed = SS.evaluated(df, grid, p, n=5)
+    by = lambda r: (str(r.symbol), r.grid_idx)
+    assert sorted(out.collect(), key=by) == sorted(hashed.collect(), key=by)
+
+
 def test_scores_of_a_grid_hold_a_byte_a_row_and_point():
     import tracemalloc
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -686,73 +686,118 @@ def rbpf_many(obs: np.ndarray, p: dict[str, np.ndarray], n: int, m0: np.ndarray,
     return out
 
 
-#: Particles times steps whose transitions are laid out at once.
-LAID_OUT = 1 << 15
+#: Random numbers that are held at once, and the exponent under which a weight counts for nothing.
+HELD, FAINT = 1 << 18, -500.0
 
 
-def rbpf_trends(obs: np.ndarray, p: dict[str, np.ndarray], n: int, m0: np.ndarray, c0: np.ndarray, seeds: list, dt: float = 1.0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The filters of rbpf_many(), a few steps at a time: (first step, trend, ll, n_eff), each (steps, sets).
+def jump_added(p: dict[str, np.ndarray], row: np.ndarray, tau: np.ndarray, dt: float) -> list[np.ndarray]:
+    """What a jump at the share tau of a step adds behind the usual one, in sets row: to the level's variance, its covariance with the
+    trend and the trend's variance, and to the means of level and trend where mu_J is not 0 everywhere."""
+    rest = transition(p["theta"][row, 0], 0.0, dt - tau * dt)
+    variance, mean = p["sigma_J"][row, 0] ** 2, p["mu_J"][row, 0]
+    added = [rest.reach**2 * variance, rest.reach * rest.decay * variance, rest.decay**2 * variance]
+    return [*added, rest.reach * mean, rest.decay * mean] if p["mu_J"].any() else added
 
-    Jumps do not hang on the state, so all transitions of some steps are found at once. Sets without jumps keep n equal particles,
-    so that one is enough; callers put such sets together.
+
+def _laid_out(uniform: np.ndarray, n: int, p: dict[str, np.ndarray], chance: np.ndarray, dt: float) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Jumps of (sets, steps, 2 n + 1) numbers, by steps: where each step's begin, their particles (sets * n), and what they add, a
+    column for each kind."""
+    steps = uniform.shape[1]
+    row, at = np.divmod(np.flatnonzero(uniform[:, :, :n] < chance[:, :, None]), steps * n)
+    step, place = np.divmod(at, n)
+    order = np.argsort(step, kind="stable")
+    row, step, place = row[order], step[order], place[order]
+    return np.searchsorted(step, np.arange(steps + 1)).tolist(), row * n + place, np.stack(jump_added(p, row, uniform[row, step, n + place], dt), axis=1)
+
+
+def rbpf_trends(obs: np.ndarray | Iterable[np.ndarray], p: dict[str, np.ndarray], n: int, m0: np.ndarray, c0: np.ndarray, seeds: list, dt: float = 1.0, told: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """The filters of rbpf_many(), a few steps at a time: (first step, trend, ll, n_eff), each (steps, sets); without `told` the last
+    two are None.
+
+    obs may also come in pieces of time, so that a series is never held whole. All particles take the usual step, and jumps, which
+    only add to means and covariances, are added where they happen. Sets without jumps keep n equal particles, so that one is
+    enough; callers put such sets together. Arrays are (sets * n), and are written to in place.
     """
-    sets, steps = len(seeds), obs.shape[-1]
+    sets, shown, at = len(seeds), n, 0
     p, usual, chance, dt = jump_model(p, sets, dt)
-    still, shown = not (chance > 0).any(), n
+    still = not (chance > 0).any()
     n = 1 if still else n
-    x = np.stack(started_particles(m0, c0, n)).reshape(5, sets, n)
-    generators = [np.random.default_rng(s) for s in seeds]
-    rows, r, places = np.broadcast_to(obs, (sets, steps)).T[:, :, None], p["sigma_obs"] ** 2, np.arange(sets * n)
-    usual = [np.broadcast_to(np.asarray(v, float), (sets, 1)) for v in usual]
-    together = min(DRAWN, max(1, LAID_OUT // (sets * n)))
-    for low in range(0, steps, DRAWN):
-        uniform = None if still else np.stack([g.random((DRAWN, 2 * n + 1)) for g in generators], axis=1)
-        for first in range(low, min(low + DRAWN, steps), together):
-            count = min(first + together, low + DRAWN, steps) - first
-            laid = usual
+    size = sets * n
+    full = lambda v: np.ascontiguousarray(np.broadcast_to(np.asarray(v, float), (sets, n))).ravel()
+    # planes: the level's variance, the level, their covariance, the trend, its variance
+    x0, x1, c00, c01, c11 = started_particles(m0, c0, n)
+    buffers = np.stack([c00, x0, c01, x1, c11]).reshape(5, size), np.empty((5, size))
+    held, spare = ((x, x.reshape(-1), x[0], x[1], x[2], x[3], x[4], x[2:], x[1:3], x[::2], x[:3:2], x[1:4:2], x[3].reshape(sets, n)) for x in buffers)
+    r, reach = full(p["sigma_obs"] ** 2), full(usual.reach)
+    fade, noise = np.stack([full(usual.decay), full(usual.decay), full(usual.decay**2)]), np.stack([full(usual.q00), full(usual.q01), full(usual.q11)])
+    # few buffers, each for several uses, so that a step's numbers stay in the cache
+    several, error, inverse, some, comb = np.empty((4, size)), *np.empty((4, size))
+    moved_by, gain, pair, errors, combs = several[:3], several[:2], several[2:], error.reshape(sets, n), comb.reshape(sets, n)
+    planes = np.array([0, 2, 4, 1, 3])[: 5 if p["mu_J"].any() else 3] * size
+    last, taken, copies, places, base = combs[:, -1], np.empty(size, np.intp), np.empty(size, np.intp), np.arange(size), np.repeat(np.arange(sets) * n, n)
+    ends = taken.reshape(sets, n)[:, -1]
+    generators = [np.random.default_rng(seed) for seed in seeds]
+    together = min(DRAWN, max(1, HELD // (sets * (2 * n + 1))))
+    uniform = None if still else np.empty((sets, together, 2 * n + 1))
+    for piece in (obs,) if isinstance(obs, np.ndarray) else obs:
+        rows = piece.tolist() if piece.ndim == 1 else piece.T
+        for low in range(0, len(rows), together):
+            count = min(together, len(rows) - low)
             if not still:
-                u = uniform[first - low : first - low + count]
-                at = np.nonzero(u[..., :n] < chance)
-                own = {c: v[at[1], 0] for c, v in p.items()}
-                laid = [np.broadcast_to(v, (count, sets, n)).copy() for v in usual]
-                for target, value in zip(laid, jump_transition(own["theta"], own["sigma"], dt, u[..., n : 2 * n][at] * dt, own["mu_J"], own["sigma_J"]), strict=True):
-                    target[at] = value
-            squared = laid[1] ** 2
+                for own, generator in zip(uniform, generators, strict=True):
+                    generator.random(out=own[:count])
+                bounds, jumped, added = _laid_out(uniform[:, :count], n, p, chance, dt)
+                jumped = jumped[:, None] + planes
+                unlike = np.ascontiguousarray((1 - uniform[:, :count, -1]).T)[:, :, None]
             trend, total, top, squares = (np.empty((count, sets)) for _ in range(4))
             for k in range(count):
-                x0, x1, c00, c01, c11 = x
-                if first + k:
-                    reach, decay, q00, q01, q11, shift0, shift1 = laid if still else [v[k] for v in laid]
-                    far = reach * c11
-                    x0, x1 = x0 + reach * x1 + shift0, decay * x1 + shift1
-                    c00, c01, c11 = c00 + reach * (2 * c01 + far) + q00, decay * (c01 + far) + q01, (squared if still else squared[k]) * c11 + q11
-                s = c00 + r
-                k0, k1, error = c00 / s, c01 / s, rows[first + k] - x0
-                ll = -0.5 * (LOG_2PI + np.log(s) + error * error / s)
-                keep = 1 - k0
-                x = np.empty((5, sets, n))
-                np.add(x0, k0 * error, out=x[0])
-                np.add(x1, k1 * error, out=x[1])
-                np.add(keep * keep * c00, k0 * k0 * r, out=x[2])
-                np.add(keep * (c01 - k1 * c00), k0 * k1 * r, out=x[3])
-                np.subtract(c11, k1 * (2 * c01 - k1 * s), out=x[4])
+                x, flat, c00, x0, c01, x1, c11, c01_x1_c11, x0_c01, covariances, c00_c01, x0_x1, trends = held
+                if at + k:
+                    np.multiply(c01_x1_c11, reach, out=moved_by)
+                    c00 += moved_by[0]
+                    x0_c01 += moved_by[1:]
+                    c00 += np.multiply(c01, reach, out=some)
+                    c01_x1_c11 *= fade
+                    covariances += noise
+                    if not still and bounds[k] < bounds[k + 1]:
+                        flat[jumped[bounds[k] : bounds[k + 1]]] += added[bounds[k] : bounds[k + 1]]
+                np.divide(1.0, np.add(c00, r, out=some), out=inverse)
+                np.multiply(c00_c01, inverse, out=gain)
+                np.subtract(rows[low + k] if piece.ndim == 1 else np.repeat(rows[low + k], n), x0, out=error)
+                x0_x1 += np.multiply(gain, error, out=pair)
+                c11 -= np.multiply(gain[1], c01, out=some)
+                c00_c01 *= np.multiply(inverse, r, out=some)
+                error *= error
+                error *= inverse
+                error *= -0.5
+                np.sqrt(inverse, out=some)
                 if still:
-                    trend[k], top[k], total[k], squares[k] = x[1, :, 0], ll[:, 0], 1.0, 1 / shown
+                    trend[k], total[k], top[k] = x1, some, error
                     continue
-                most = np.maximum.reduce(ll, axis=1, keepdims=True)
-                w = np.exp(ll - most)
-                whole = np.add.reduce(w, axis=1, keepdims=True)
-                w /= whole
-                trend[k], top[k], total[k], squares[k] = np.einsum("sn,sn->s", w, x[1]), most[:, 0], whole[:, 0], np.einsum("sn,sn->s", w, w)
-                if not np.isfinite(whole).all():  # weights of series that have ended are NaN
-                    w = np.where(np.isfinite(w), w, 1 / n)
-                comb = w.cumsum(axis=1)
-                comb = np.minimum(np.floor(comb * (n / comb[:, -1:]) - u[k, :, -1:]) + 1, n)
-                comb[:, -1] = n
-                copies = comb.copy()
-                copies[:, 1:] -= comb[:, :-1]
-                x = x.reshape(5, -1).take(places.repeat(copies.ravel().astype(np.int64)), axis=1).reshape(5, sets, n)
-            yield first, trend, np.log(total) + top - math.log(n), 1 / squares
+                np.maximum.reduce(errors, axis=1, out=top[k])
+                errors -= top[k][:, None]
+                np.exp(np.maximum(error, FAINT, out=error), out=error)
+                error *= some  # the weights
+                np.add.accumulate(errors, axis=1, out=combs)
+                total[k] = last
+                np.einsum("sn,sn->s", errors, trends, out=trend[k])
+                if told:
+                    np.einsum("sn,sn->s", errors, errors, out=squares[k])
+                if not np.minimum.reduce(last) > 0:  # weights of series that have ended are NaN
+                    np.add.accumulate(np.where(np.isfinite(errors), errors, 1 / n), axis=1, out=combs)
+                combs *= (n / last)[:, None]
+                combs += unlike[k]
+                np.copyto(taken, np.minimum(comb, n, out=comb), casting="unsafe")
+                ends.fill(n)
+                taken += base
+                copies[0] = taken[0]
+                np.subtract(taken[1:], taken[:-1], out=copies[1:])
+                np.take(x, places.repeat(copies), axis=1, out=spare[0], mode="clip")
+                held, spare = spare, held
+            if not still:
+                trend /= total
+            yield at, trend, np.log(total) + top - 0.5 * LOG_2PI - (0 if still else math.log(n)) if told else None, (np.full((count, sets), float(shown)) if still else total**2 / squares) if told else None
+            at += count
 
 
 def jump_model(p: dict[str, np.ndarray], sets: int, dt: float) -> tuple:
@@ -773,19 +818,20 @@ def rbpf_step(model: tuple, state: tuple[np.ndarray, ...], y: np.ndarray, u: np.
     sets, n = x0.shape
     row = at = np.zeros(0, int)
     if not is_first:
-        row, at, jump = _jumps(p, chance, u, tau, dt)
-        before = tuple(v[row, at] for v in state)
-        x0, x1, c00, c01, c11 = moved(usual, *state)
+        c00, x0, c01 = c00 + usual.reach * c01, x0 + usual.reach * x1, c01 + usual.reach * c11
+        c00, c01, x1, c11 = c00 + usual.reach * c01, c01 * usual.decay, x1 * usual.decay, c11 * usual.decay**2
+        c00, c01, c11 = c00 + usual.q00, c01 + usual.q01, c11 + usual.q11
+        row, at = np.nonzero(u < chance)
         if len(row):
-            for target, value in zip((x0, x1, c00, c01, c11), moved(jump, *before), strict=True):
-                target[row, at] = value
+            for target, value in zip((c00, c01, c11, x0, x1), jump_added(p, row, tau[row, at], dt), strict=False):
+                target[row, at] += value
     r = p["sigma_obs"] ** 2
     s = c00 + r
-    k0, k1, error = c00 / s, c01 / s, y[:, None] - x0
-    ll = -0.5 * (LOG_2PI + np.log(s) + error * error / s)
-    x0, x1 = x0 + k0 * error, x1 + k1 * error
-    keep = 1 - k0
-    c00, c01, c11 = keep * keep * c00 + k0 * k0 * r, keep * (c01 - k1 * c00) + k0 * k1 * r, c11 - k1 * (2 * c01 - k1 * (c00 + r))
+    inverse = 1 / s
+    k0, k1, error = c00 * inverse, c01 * inverse, y[:, None] - x0
+    ll = -0.5 * (LOG_2PI + np.log(s) + error * error * inverse)
+    x0, x1, c11, keep = x0 + k0 * error, x1 + k1 * error, c11 - k1 * c01, inverse * r
+    c00, c01 = c00 * keep, c01 * keep
     total, w, means = _weighted(ll, [x0, x1])
     spread = [np.sqrt(np.einsum("sn,sn->s", w, c + (x - mean[:, None]) ** 2)) for x, c, mean in ((x0, c00, means[0]), (x1, c11, means[1]))]
     out = {"mean": np.stack(means, axis=1), "std": np.stack(spread, axis=1), "ll": total, "n_eff": 1 / np.einsum("sn,sn->s", w, w), "jumped": np.bincount(row, w[row, at], sets)}

@@ -15,14 +15,16 @@ shuffle on (key, block), and tasks hold one block at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block, and elements that are scanned together.
-BLOCK_ROWS, WIDTH = 1 << 14, 1 << 10
+#: Rows of a block, elements that are scanned together, and values of a packed row (an Arrow batch has up to 10,000 rows).
+BLOCK_ROWS, WIDTH, PACKED_ROWS = 1 << 14, 1 << 10, 1 << 8
 
 Element = Callable[[pd.DataFrame], np.ndarray]
 Combine = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -118,6 +120,27 @@ def blocked(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return df.withColumn("__block", F.floor(F.col("seq") / rows))
 
 
+def packed(df: DataFrame, value: str, key: str, rows: int = PACKED_ROWS) -> DataFrame:
+    """(key, __block, obs): a row for each block with its values in order of seq, so that a series goes to many tasks as few rows and
+    can be read a piece at a time."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("seq"), F.col(value).cast("double").alias("value"))))
+    return blocked(df.select(key, "seq", value), rows).groupBy(key, "__block").agg(pairs.alias("__pairs")).select(key, "__block", F.col("__pairs.value").alias("obs"))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[np.ndarray]]]:
+    """For each run of equal keys, the first `keys` columns, their values and the arrays of the last column one after the other, nulls
+    as NaN. A batch is held at a time; arrays may be kept only as copies."""
+
+    def rows() -> Iterator[tuple[tuple, np.ndarray]]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            yield from zip(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True), map(values.__getitem__, map(slice, bounds[:-1], bounds[1:])), strict=True)
+
+    for name, run in groupby(rows(), lambda x: x[0]):
+        yield name, (x for _, x in run)
+
+
 def several(df: DataFrame, key: str) -> DataFrame:
     """The rows of a blocked df whose series has several blocks."""
     long = df.groupBy(F.col(key).alias("__of")).agg(F.min("__block").alias("__low"), F.max("__block").alias("__high")).where("__low < __high").select("__of")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.functions import numerics as N
 from tidemark.operators import scans
@@ -186,15 +190,81 @@ def sharpe_of(ret: np.ndarray, signal: np.ndarray, cost_bps: float = 0.0, lagged
     return np.where(deviation > 1e-12, np.sqrt(per_year) * net.mean(axis=0) / np.where(deviation > 1e-12, deviation, 1), np.nan)
 
 
-#: Grid points of a series that one task evaluates together; doubles of those that are scored together; partitions for each chunk of
-#: a grid, so that few chunks share one (groups are few and costly, and their rows so small that Spark would merge partitions).
-CELLS, SCORED, SPREAD = 64, 1 << 21, 32
-
-
-def _dealt(points: list[dict], base: dict[str, float], n: int) -> list[list[dict]]:
+class _Sharpes:
+    """What trend_signals() without alpha and sharpe_of() give, from pieces of a series in time order: only the last rows are kept."""
+
+    def __init__(self, windows: np.ndarray, cost_bps: float, lagged: bool, per_year: float):
+        sets = len(windows)
+        self.windows, self.cost, self.lagged, self.per_year, self.rows = windows, cost_bps / 1e4, lagged, per_year, 0
+        self.signs, self.signals, self.price = np.zeros((0, sets)), np.zeros((3, sets)), np.zeros(0)
+        self.n, self.mean, self.m2 = 0, np.zeros(sets), np.zeros(sets)
+        self.lost, self.flat = np.zeros(sets, bool), np.ones(sets, bool)
+
+    def add(self, prices: np.ndarray, trend: np.ndarray) -> None:
+        self.lost |= np.isnan(trend).any(axis=0)
+        ahead = len(self.signs)
+        signs = np.concatenate([self.signs, np.sign(np.nan_to_num(trend))])
+        total = np.concatenate([np.zeros((1, signs.shape[1])), np.cumsum(signs, axis=0)])
+        signal = np.zeros(trend.shape)
+        for w in np.unique(self.windows):
+            mine, begin = np.flatnonzero(self.windows == w), max(0, int(w) - 1 - ahead)
+            if begin < len(signal):
+                signal[begin:, mine] = (total[ahead + begin + 1 :, mine] - total[ahead + begin + 1 - int(w) : len(total) - int(w), mine]) / w
+        self.flat &= ~signal.any(axis=0)
+        known = np.concatenate([self.price, prices])
+        signals = np.concatenate([self.signals, signal])  # the first is that of the row three before the piece
+        ret, last = np.diff(known) / known[:-1], len(signals) - (2 if self.lagged else 1)
+        held, before = signals[last - len(ret) : last], signals[last - len(ret) - 1 : last - 1]
+        net = held * ret[:, None] - np.abs(held - before) * self.cost
+        if len(net):
+            mean, n = net.mean(axis=0), self.n + len(net)
+            away = mean - self.mean
+            self.m2 += ((net - mean) ** 2).sum(axis=0) + away**2 * (self.n * len(net) / n)
+            self.mean, self.n = self.mean + away * (len(net) / n), n
+        self.signs, self.signals, self.price, self.rows = signs[-int(max(self.windows)) :], signals[-3:], prices[-1:].copy(), self.rows + len(prices)
+
+    def ratios(self) -> np.ndarray:
+        """NaN without a result."""
+        deviation = np.sqrt(self.m2 / max(self.n, 1))
+        known = (deviation > 1e-12) & ~self.lost & ~self.flat & (self.rows >= 3)
+        return np.where(known, np.sqrt(self.per_year) * self.mean / np.where(known, deviation, 1), np.nan)
+
+
+#: Grid points of a series that one task evaluates together, and up to twice as many; doubles of those that are scored together;
+#: partitions for each chunk of a grid, so that few chunks share one (groups are few and costly, and their rows so small that Spark
+#: would merge partitions).
+CELLS, SCORED, SPREAD = 64, 1 << 21, 64
+
+
+def _dealt(points: list[dict], base: dict[str, float], n: int, cells: int | None = None) -> list[list[dict]]:
     """Points of a grid by tasks. Those without jumps need one particle in place of n, so that more of them go together."""
     alike = [[x for x in points if (float(x.get("lambda_J", base["lambda_J"])) > 0) == jumping] for jumping in (True, False)]
-    return [part[low : low + size] for part, size in zip(alike, (CELLS, CELLS * max(1, min(n, 8))), strict=True) for low in range(0, len(part), size)]
+    cells = cells or CELLS
+    return [part[low : low + size] for part, size in zip(alike, (cells, cells * max(1, min(n, 8))), strict=True) for low in range(0, len(part), size)]
+
+
+def _evenly(points: list[dict], base: dict[str, float], n: int) -> list[list[dict]]:
+    """_dealt() in chunks of CELLS to twice as many points with jumps, as alike as can be: a step costs as much as some 40 points."""
+    jumping = sum(float(x.get("lambda_J", base["lambda_J"])) > 0 for x in points)
+    return _dealt(points, base, n, -(-jumping // max(1, jumping // CELLS)) or None)
+
+
+def _streamed(pieces: Iterable[np.ndarray], p: dict[str, np.ndarray], n: int, first: float, seeds: list, dt: float, sharpes: _Sharpes) -> np.ndarray:
+    """Sharpe ratios of the filters' signals, while the series comes in pieces."""
+    now: list[np.ndarray] = []
+
+    def noted() -> Iterator[np.ndarray]:
+        for piece in pieces:
+            now[:] = [piece]
+            yield piece
+
+    found: list[np.ndarray] = []
+    for _, trend, _, _ in N.rbpf_trends(noted(), p, n, *prior(np.full(len(seeds), first), p), seeds, dt, told=False):
+        found.append(trend)
+        if sum(map(len, found)) == len(now[0]):  # scored by whole pieces, so that sums do not hang on the points beside
+            sharpes.add(now[0], np.concatenate(found))
+            found.clear()
+    return sharpes.ratios()
 
 
 def _scores(obs: np.ndarray, p: dict[str, np.ndarray], n: int, seeds: list, dt: float, windows: np.ndarray, alphas: np.ndarray | float | None, cost_bps: float, lagged: bool, per_year: float) -> np.ndarray:
@@ -220,36 +290,58 @@ def evaluated(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 2
     """
     names = [c for c in grid.columns if c not in ("grid_idx", key)]
     kind = df.schema[key].dataType.simpleString()
-    series = df.select(key, "seq", value)
+    series = scans.packed(df, value, key)
+    columns = [key, "grid_idx", *names, "sharpe"]
 
-    def per_points(rows: pd.DataFrame, points: list[dict]) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        obs, name = rows[value].to_numpy(float), rows[key].iloc[0]
-        scale = obs[0] / 100 if scaled and len(obs) else 1.0
+    def per_points(name, pieces: Iterator[np.ndarray], points: list[dict]) -> pd.DataFrame:
+        head = next(pieces)
+        pieces, first = chain([head], pieces), float(head[0])
+        scale = first / 100 if scaled else 1.0
         p = {c: np.array([float(x[c]) if c in names else base[c] for x in points]) * (scale if c in ("sigma", "sigma_obs", "sigma_J") else 1.0) for c in PARAMETERS}
-        score = np.full(len(points), np.nan)
-        if len(obs) >= 3:
-            windows = np.array([int(x["window"]) if "window" in names else window for x in points])
-            alphas = np.array([float(x["alpha"]) for x in points]) if "alpha" in names else alpha
-            score = _scores(obs, p, n, [seed_of(seed, name, int(x["grid_idx"])) for x in points], dt, windows, alphas, cost_bps, lagged, per_year)
-        return pd.DataFrame([{key: name, "grid_idx": int(x["grid_idx"]), **{c: float(x[c]) for c in names}, "sharpe": None if np.isnan(s) else float(s)} for x, s in zip(points, score, strict=True)])
+        windows = np.array([int(x["window"]) if "window" in names else window for x in points])
+        alphas = np.array([float(x["alpha"]) for x in points]) if "alpha" in names else alpha
+        seeds = [seed_of(seed, name, int(x["grid_idx"])) for x in points]
+        if alphas is None:
+            score = _streamed(pieces, p, n, first, seeds, dt, _Sharpes(windows, cost_bps, lagged, per_year))
+        else:  # signals are divided by their deviation over the whole series
+            obs = np.concatenate(list(map(np.array, pieces)))
+            score = _scores(obs, p, n, seeds, dt, windows, alphas, cost_bps, lagged, per_year) if len(obs) >= 3 else np.full(len(points), np.nan)
+        return pd.DataFrame([{key: name, "grid_idx": int(x["grid_idx"]), **{c: float(x[c]) for c in names}, "sharpe": None if np.isnan(s) else float(s)} for x, s in zip(points, score, strict=True)], columns=columns)
 
     schema = f"{key} {kind}, grid_idx int, {', '.join(f'{c} double' for c in names)}, sharpe double"
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if key in grid.columns:  # points and rows meet in the task, so that no row carries points
         cells = grid.select(*(F.col(c).alias(c) for c in (key, "grid_idx", *names)), F.floor(F.col("grid_idx") / CELLS).cast("int").alias("chunk"))
         held = cells.select(F.col(key).alias("__of"), F.col("chunk").alias("__chunk")).distinct()
-        paired = series.join(held, F.col(key) == F.col("__of")).select(key, "seq", value, F.col("__chunk").alias("chunk"))
+        paired = series.join(held, F.col(key) == F.col("__of")).select(key, "__block", "obs", F.col("__chunk").alias("chunk"))
 
         def per_own(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            return per_points(rows, own.sort_values("grid_idx").to_dict("records")) if len(rows) else pd.DataFrame(columns=[key, "grid_idx", *names, "sharpe"])
+            if not len(rows):
+                return pd.DataFrame(columns=columns)
+            rows = rows.sort_values("__block")
+            return per_points(rows[key].iloc[0], iter(rows["obs"]), own.sort_values("grid_idx").to_dict("records"))
 
         paired, cells = (x.repartition(max(tasks, SPREAD), key, "chunk").groupBy(key, "chunk") for x in (paired, cells))
         return paired.cogroup(cells).applyInPandas(per_own, schema)
     # the points are what a caller wrote down, so they go with the task and not through a join
-    chunks = _dealt([r.asDict() for r in grid.select("grid_idx", *names).orderBy("grid_idx").collect()], base, n)
-    dealt = series.withColumn("chunk", F.explode(F.array(*map(F.lit, range(len(chunks))))))
-    return dealt.repartition(max(tasks, SPREAD * len(chunks)), key, "chunk").groupBy(key, "chunk").applyInPandas(lambda rows: per_points(rows, chunks[int(rows["chunk"].iloc[0])]), schema)
+    chunks = _evenly([r.asDict() for r in grid.select("grid_idx", *names).orderBy("grid_idx").collect()], base, n)
+    # a partition for each chunk of a series, those of costly chunks first; where there are many series, they are dealt by hash
+    series = cut(series)
+    found, spread = [r[0] for r in series.select(key).distinct().limit(SPREAD + 1).collect()], max(tasks, SPREAD)
+    place = F.pmod(F.hash(key), F.lit(spread))
+    if len(found) <= SPREAD:
+        place, spread = F.lit(0), max(1, len(found))
+        for k, name in enumerate(found):
+            place = F.when(F.col(key).eqNullSafe(F.lit(name)), k).otherwise(place)
+    dealt = series.select(key, F.explode(F.array(*map(F.lit, range(len(chunks))))).alias("chunk"), "__block", "obs")
+    placed = dealt.repartitionById(spread * len(chunks), (F.col("chunk") * spread + place).cast("int"))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, chunk), pieces in scans.pieces(batches, 2):
+            yield pa.RecordBatch.from_pandas(per_points(name, pieces, chunks[chunk]), made, preserve_index=False)
+
+    made = to_arrow_schema(StructType.fromDDL(schema))
+    return placed.sortWithinPartitions("chunk", key, "__block").select(key, "chunk", "obs").mapInArrow(per_task, schema)
 
 
 def grid_search(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 20, seed: int = 42, train_fraction: float = 0.7, value: str = "price", key: str = "symbol", **options) -> DataFrame:
