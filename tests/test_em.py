@@ -33,6 +33,51 @@ def test_split_series_fit_alike(df, monkeypatch):
     assert best == {s: pytest.approx(max(whole.ll[whole.symbol.isna() if s is None else whole.symbol == s])) for s in ("a", "b", None)}
 
 
+def test_em_works_on_a_part_of_a_series_at_a_time(monkeypatch):
+    """Lanes and models in stacks of any size give what whole messages give, rows far from all states included; no array of a
+    number for each row and state is held."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    obs = np.concatenate([rng.normal(-0.01, 0.02, 700), [30.0, -40.0], rng.normal(0.01, 0.008, 300)])
+    for k, steps, stack in ((1, 8, 1 << 18), (2, 8, 60), (3, 30, 1 << 18), (3, 16, 500)):
+        monkeypatch.setattr(N, "LANE", steps)
+        monkeypatch.setattr(N, "LANES", 1)
+        monkeypatch.setattr(N, "WORKING_SET", stack)
+        for x in (obs, obs[:700], obs[:steps], obs[: steps + 1], obs[:5]):
+            lanes = N.Lanes.of(np.array_split(x, 3), len(x), 2)
+            A, pi, mu, sigma2 = N.started(lanes, k, [[1], [2]])
+            gamma, xi, ll = N.smoothed(N.emissions(x, mu, sigma2), A, pi)
+            got = N.expectation(lanes, A, pi, mu, sigma2)
+            away = x[:, None] - mu[:, None]
+            for one, other in zip(got, (ll, gamma[:, 0], gamma.sum(axis=1), (gamma * away).sum(axis=1), (gamma * away**2).sum(axis=1), xi), strict=True):
+                assert np.allclose(one, other, rtol=1e-10, atol=1e-12)
+            for one, other in zip(N.maximisation(A, mu, *got[1:]), N.m_step(x, gamma, xi), strict=True):
+                assert np.allclose(one, other, rtol=1e-9, atol=1e-12)
+    monkeypatch.undo()
+    rows = 1_000_000
+    lanes = N.Lanes.of((rng.normal(0, 1, 400) for _ in range(rows // 400)), rows, 1)
+    model = N.started(lanes, 3, [[1]])
+    tracemalloc.start()
+    N.expectation(lanes, *model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 3 * rows  # messages of whole series take several such arrays
+
+
+def test_a_series_goes_to_its_fits_as_packed_rows(spark):
+    """Rows of a series reach a task as a few rows of many values, and those of a null key are a series."""
+    rows = [(s, k + 1, float(x)) for s in (7, None) for k, x in enumerate(np.random.default_rng(s or 9).normal(0, 1, 600))]
+    frame = spark.createDataFrame(rows, "symbol long, seq int, ret double").repartition(5)
+    packed = scans.packed(frame, "ret", "symbol").collect()
+    assert sorted(len(r.obs) for r in packed) == [89, 89, 255, 255, 256, 256]
+    found = {(r.symbol, r.restart): r for r in H.fits(frame, [2], restarts=2, max_iter=5).collect()}
+    assert len(found) == 4
+    for s in (7, None):
+        want = N.em(np.array([x for name, _, x in rows if name == s]), 2, N.seed_list(H.seed_of(42, s, 2), 2), 5)
+        assert [found[s, k].ll for k in (0, 1)] == pytest.approx([m["ll"] for m in want], rel=1e-12)
+
+
 def test_a_split_series_is_dealt_by_blocks(df):
     blocks = em.packed(df, block_rows=32).collect()
     assert max(len(r.obs) for r in blocks) <= 32 and sorted(r.ahead for r in blocks if r.symbol == "a") == [0, *range(31, 400, 32)]

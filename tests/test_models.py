@@ -278,7 +278,10 @@ def test_chunks_of_a_search_have_partitions_of_their_own(spark, monkeypatch):
     held = [{r.symbol for r in part} for part in out.rdd.glom().collect()]
     assert len(held) == 10 and sorted(map(len, held)) == [1] * 10 and out.count() == 30
     monkeypatch.setattr(SS, "SPREAD", 3)  # by hash where there are more series
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     hashed = SS.evaluated(df, grid, p, n=5)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert hashed.rdd.getNumPartitions() == 2 * 3
     by = lambda r: (str(r.symbol), r.grid_idx)
     assert sorted(out.collect(), key=by) == sorted(hashed.collect(), key=by)
 

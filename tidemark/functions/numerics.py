@@ -45,8 +45,8 @@ def emissions(obs: np.ndarray, mu: np.ndarray, sigma2: np.ndarray) -> np.ndarray
     return log_normal(obs[:, None], mu[..., None, :], sigma2[..., None, :])
 
 
-#: Doubles of one array of messages that restarts are worked on together for.
-WORKING_SET = 1 << 22
+#: Doubles of one array of densities, which says how many lanes and models are worked on together.
+WORKING_SET = 1 << 18
 
 
 class Messages(NamedTuple):
@@ -241,31 +241,217 @@ def start_draws(n: int, k: int, seed) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return a / a.sum(axis=-1, keepdims=True), rng.integers(0, n, k), rng.uniform(0.5, 1.5, k)
 
 
-def started(obs: np.ndarray, k: int, seeds: list, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
+def started(lanes: Lanes, k: int, seeds: list, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
     """Random A, pi, mu, sigma2 of a model for each seed."""
-    A, at, factors = (np.array(x) for x in zip(*(start_draws(len(obs), k, seed) for seed in seeds), strict=True))
-    return A, np.full((len(seeds), k), 1 / k), np.sort(obs[at], axis=1), max(obs.var(), min_variance) * factors
+    A, at, factors = (np.array(x) for x in zip(*(start_draws(lanes.n, k, seed) for seed in seeds), strict=True))
+    return A, np.full((len(seeds), k), 1 / k), np.sort(lanes.at(at), axis=1), max(lanes.variance(), min_variance) * factors
 
 
-def em(obs: np.ndarray, k: int, seeds: list, max_iter: int = 200, tol: float = 1e-6, min_variance: float = 1e-8) -> list[dict]:
+#: Rows of a lane at most, and lanes, times models, that shorter ones are cut for.
+LANE, LANES = 64, 1024
+
+
+class Lanes(NamedTuple):
+    """A series cut into lanes of equal length that advance side by side: x (steps, lanes), zeros behind the end; n rows in all."""
+
+    x: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, pieces: Iterable[np.ndarray], n: int, models: int) -> Lanes:
+        """From n values in pieces of time, written to their places one after the other."""
+        steps = min(LANE, max(8, n * models // LANES))
+        x, at = np.zeros((steps, -(-n // steps))), 0
+        for piece in pieces:
+            x.T.flat[at : at + len(piece)] = piece
+            at += len(piece)
+        if at != n:
+            raise ValueError(f"there are {at} values in place of {n}")
+        return cls(x, n)
+
+    @property
+    def tail(self) -> int:
+        """Rows of the last lane."""
+        return self.n - (self.x.shape[1] - 1) * len(self.x)
+
+    def at(self, rows: np.ndarray) -> np.ndarray:
+        return self.x[rows % len(self.x), rows // len(self.x)]
+
+    def variance(self) -> float:
+        mean, lanes = self.x.sum() / self.n, self.x.shape[1]
+        return sum(((x[: lanes - (t >= self.tail)] - mean) ** 2).sum() for t, x in enumerate(self.x)) / self.n
+
+
+class Densities:
+    """Densities of lanes' rows under several models, (steps, models, K, lanes), up to a factor for each row.
+
+    It is the greatest density of any state, or, if a row may lie far from all states, the row's own greatest one.
+    """
+
+    def __init__(self, lanes: Lanes, mu: np.ndarray, sigma2: np.ndarray):
+        peak = -0.5 * (LOG_2PI + np.log(sigma2))
+        self.most = peak.max(axis=1)
+        self.lanes, self.mu, self.slope, self.level = lanes, mu[:, :, None], (-0.5 / sigma2)[:, :, None], (peak - self.most[:, None])[:, :, None]
+        ends = np.array([lanes.x.min(), lanes.x.max()])  # a state's density is least at one of them
+        self.far = bool(((ends - self.mu) ** 2 * self.slope + self.level).min(axis=2).max(axis=1).min() < -600)
+
+    def __call__(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of some lanes, ones behind the series' end; and the sum of the factors' logarithms that differ from `most`."""
+        last, tail = high == self.lanes.x.shape[1], self.lanes.tail
+        b = self.lanes.x[:, None, None, low:high] - self.mu
+        b *= b
+        b *= self.slope
+        b += self.level
+        more = np.zeros(len(self.most))
+        if self.far:
+            top = b.max(axis=2)
+            b -= top[:, :, None]
+            if last:
+                top[tail:, :, -1] = 0
+            more = top.sum(axis=(0, 2))
+        np.exp(b, out=b)
+        if last:
+            b[tail:, ..., -1] = 1
+        return b, more
+
+
+def _per_sum(x: np.ndarray, axis: tuple[int, ...] | int) -> np.ndarray:
+    return x / np.maximum(x.sum(axis=axis, keepdims=True), 1e-300)
+
+
+def _passed(products: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For products (models, K to, K from, lanes): vectors (models, K, lanes), `first` passed through all lanes before, sums of one.
+
+    Beyond a few lanes these are grouped: products of all groups side by side, what each begins with, and the lanes inside them.
+    """
+    models, k, _, lanes = products.shape
+    out = np.empty((models, k, lanes))
+    if lanes <= 32:
+        out[..., 0] = first
+        for j in range(1, lanes):
+            out[..., j] = _per_sum((products[..., j - 1] @ out[..., j - 1, None])[..., 0], 1)
+        return out
+    size = math.isqrt(lanes)
+    groups = -(-lanes // size)
+    grouped = np.empty((models, k, k, groups * size))
+    grouped[..., :lanes], grouped[..., lanes:] = products, np.eye(k)[:, :, None]
+    grouped = np.ascontiguousarray(grouped.reshape(models, k, k, groups, size).transpose(4, 0, 1, 2, 3))
+    whole = grouped[0]
+    for x in grouped[1:]:
+        whole = _per_sum((x[:, :, :, None] * whole[:, None]).sum(axis=2), (1, 2))
+    now, inside = _passed(whole, first), np.empty((models, k, groups, size))
+    for j, x in enumerate(grouped):
+        inside[..., j] = now
+        now = _per_sum((x * now[:, None]).sum(axis=2), 1)
+    return inside.reshape(models, k, -1)[..., :lanes]
+
+
+def expectation(lanes: Lanes, A: np.ndarray, pi: np.ndarray, mu: np.ndarray, sigma2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each model (leading axis): the log-likelihood; the state posteriors of the first row; their sums over time, and those times
+    the values' and squared distances from the states' means; and the sums of the posteriors of transitions.
+
+    A first pass multiplies each lane's transitions and densities, which gives what every lane begins and ends with; a second one
+    works through lanes on their own, some at a time, so that memory does not grow with the series but for the products, some
+    K K / LANE numbers a row and model.
+    """
+    (steps, count), (models, k) = lanes.x.shape, mu.shape
+    densities, tail, width = Densities(lanes, mu, sigma2), lanes.tail, max(1, WORKING_SET // (steps * models * k))
+    turned = np.ascontiguousarray(A.swapaxes(1, 2))
+    ends, behind = np.empty((models, k, count)), np.ones((models, k, count))
+    if count > 1:
+        products = np.empty((models, k, k, count))
+        for low in range(0, count, width):
+            high = min(low + width, count)
+            b, more = densities(low, high)
+            x = turned[..., None] * b[0][:, :, None]
+            if not low:  # no transition leads to the first row
+                x[..., 0] = np.eye(k) * b[0, ..., :1]
+            spare = np.empty_like(x)
+            for t in range(1, steps):
+                np.matmul(turned, x.reshape(models, k, -1), out=spare.reshape(models, k, -1))
+                np.multiply(spare, b[t][:, :, None], out=x)
+                if t % 4 == 3 or t == steps - 1:
+                    x /= np.maximum(x.max(axis=(1, 2), keepdims=True), 1e-300)
+            products[..., low:high] = x
+        ends = _passed(products, pi)
+        behind = _passed(products[..., ::-1].swapaxes(1, 2), np.ones((models, k)))[..., ::-1]
+        del products
+    ll, first = lanes.n * densities.most, np.zeros((models, k))
+    sums, moves = np.zeros((3, models, k)), np.zeros((models, k, k))
+    for low in range(0, count, width):
+        high = min(low + width, count)
+        if not 1 < count <= width:  # else those of the first pass are at hand
+            b, more = densities(low, high)
+        filtered, total = np.empty_like(b), np.empty((steps, models, 1, high - low))
+        before = ends[..., low:high].copy()
+        prior = turned @ before
+        if not low:
+            prior[..., 0], before[..., 0] = pi, 0
+        for t in range(steps):
+            joint = np.multiply(prior, b[t], out=filtered[t])
+            np.maximum(np.add.reduce(joint, axis=1, keepdims=True, out=total[t]), 1e-300, out=total[t])
+            joint /= total[t]
+            if t + 1 < steps:
+                np.matmul(turned, joint, out=prior)
+        if high == count:
+            total[tail:, ..., -1] = 1
+        ll = ll + more + np.log(total).sum(axis=(0, 2, 3))
+        # w: density of the row behind times its backward message; its product with the transitions is the message of the row at hand
+        raw, w, gamma, scale = np.ascontiguousarray(behind[..., low:high]), None, np.empty_like(prior), np.empty((models, 1, high - low))
+        for t in range(steps - 1, -1, -1):
+            if w is not None:
+                raw = np.matmul(A, w, out=prior)
+            at = filtered[t]
+            size = np.add.reduce(np.multiply(at, raw, out=gamma), axis=1, keepdims=True)
+            scale.fill(1.0)
+            np.divide(1.0, size, out=scale, where=size > 1e-300)
+            if w is not None:
+                w *= scale
+                if high == count and t + 1 >= tail:
+                    w[..., -1] = 0
+                moves += np.einsum("miw,mjw->mij", at, w)
+            raw *= scale
+            np.multiply(at, raw, out=gamma)
+            w = np.multiply(b[t], raw, out=b[t])
+            if high == count and t >= tail:
+                gamma[..., -1] = 0
+            if not (low or t):
+                first = gamma[..., 0].copy()
+            sums[0] += gamma.sum(axis=2)
+            away = lanes.x[t, low:high] - densities.mu
+            gamma *= away
+            sums[1] += gamma.sum(axis=2)
+            sums[2] += np.einsum("mkw,mkw->mk", gamma, away)
+        # transitions from the lanes before: their last rows' messages are scaled as those inside
+        size = np.maximum((before * np.matmul(A, w, out=prior)).sum(axis=1, keepdims=True), 1e-300)
+        moves += np.einsum("miw,mjw->mij", before, w / size)
+    return ll, first, *sums, A * moves
+
+
+def maximisation(A: np.ndarray, mu: np.ndarray, first: np.ndarray, weight: np.ndarray, y: np.ndarray, yy: np.ndarray, moves: np.ndarray, min_variance: float = 1e-8) -> tuple[np.ndarray, ...]:
+    """Parameters from expectation()'s sums."""
+    weight, total = np.maximum(weight, 1e-15), np.maximum(moves.sum(axis=-1, keepdims=True), 1e-300)
+    A = moves / total
+    return A / A.sum(axis=-1, keepdims=True), first / first.sum(axis=-1, keepdims=True), mu + y / weight, np.maximum(yy / weight - (y / weight) ** 2, min_variance)
+
+
+def em(obs: np.ndarray | Lanes, k: int, seeds: list, max_iter: int = 200, tol: float = 1e-6, min_variance: float = 1e-8) -> list[dict]:
     """EM from a random start for each seed, all advancing together; one that moves its likelihood by less than tol stops.
 
     Parameters are those after the last M-step; history holds the likelihoods before each, so its last entry belongs to
     the parameters before.
     """
-    if len(obs) < 2 or k < 1:
+    lanes = obs if isinstance(obs, Lanes) else Lanes.of([obs], len(obs), len(seeds))
+    if lanes.n < 2 or k < 1:
         raise ValueError("there must be two observations and one state at least")
-    together = max(1, WORKING_SET // (len(obs) * k))
-    if len(seeds) > together:
-        return [x for low in range(0, len(seeds), together) for x in em(obs, k, seeds[low : low + together], max_iter, tol, min_variance)]
-    A, pi, mu, sigma2 = started(obs, k, seeds, min_variance)
+    A, pi, mu, sigma2 = started(lanes, k, seeds, min_variance)
     history: list[list[float]] = [[] for _ in seeds]
     active = np.arange(len(seeds))
     for _ in range(max_iter):
-        gamma, xi, ll = smoothed(emissions(obs, mu[active], sigma2[active]), A[active], pi[active])
+        ll, *sums = expectation(lanes, A[active], pi[active], mu[active], sigma2[active])
         for r, x in zip(active.tolist(), ll.tolist(), strict=True):
             history[r].append(x)
-        A[active], pi[active], mu[active], sigma2[active] = m_step(obs, gamma, xi, min_variance)
+        A[active], pi[active], mu[active], sigma2[active] = maximisation(A[active], mu[active], *sums, min_variance)
         active = np.array([r for r in active.tolist() if len(history[r]) < 2 or abs(history[r][-1] - history[r][-2]) >= tol], int)
         if not len(active):
             break

@@ -4,12 +4,15 @@ series is a group of its own."""
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.functions import numerics as N
 from tidemark.operators import scans
@@ -260,21 +263,29 @@ def fits(df: DataFrame, ks: list[int], restarts: int = 10, max_iter: int = 200,
     """(key, k, restart, model, ll, n_iter, history) of every series, k and restart: groups of RESTARTS_TOGETHER are tasks of their own,
     of fewer restarts where they have more than ROWS_TOGETHER rows in all.
 
-    A restart draws from its own seed, so that results do not hang on the grouping.
+    A series goes to its tasks as rows of PACKED_ROWS values, of which a task keeps the values alone, once for its restarts. A restart
+    draws from its own seed, so that results do not hang on the grouping.
     """
-    together = F.greatest(F.lit(1), F.least(F.lit(RESTARTS_TOGETHER), F.floor(F.lit(ROWS_TOGETHER) / F.count("*").over(Window.partitionBy(key))))).cast("int")
-    dealt = df.select(key, "seq", value, together.alias("size")).withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1), F.col("size")))).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD * restarts * len(ks))
-    dealt = dealt.repartition(tasks, key, "k", "low")
-
-    def per_group(rows: pd.DataFrame) -> pd.DataFrame:
-        obs = rows.sort_values("seq", kind="stable")[value].to_numpy(float)
-        name, k, low, size = rows[key].iloc[0], *(int(rows[c].iloc[0]) for c in ("k", "low", "size"))
-        found = N.em(obs, k, N.seed_list(seed_of(seed, name, k), min(size, restarts - low), low), max_iter, tol)
-        out = [{key: name, "k": k, "restart": low + r, "ll": m["ll"], "n_iter": m["n_iter"], "history": m["history"], **{c: v.tolist() for c, v in N.sorted_states(m).items()}} for r, m in enumerate(found)]
-        return pd.DataFrame(out)[[key, "k", "restart", *(x.split()[0] for x in FIT.split(", "))]]
-
-    return dealt.groupBy(key, "k", "low").applyInPandas(per_group, f"{key} {df.schema[key].dataType.simpleString()}, k int, restart int, {FIT}")
+    series = cut(scans.packed(df, value, key))
+    n = F.sum(F.size("obs")).over(Window.partitionBy(key))
+    together = F.greatest(F.lit(1), F.least(F.lit(RESTARTS_TOGETHER), F.floor(F.lit(ROWS_TOGETHER) / F.col("n")))).cast("int")
+    dealt = series.withColumn("n", n).withColumn("size", together).withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1), F.col("size"))))
+    dealt = dealt.select(key, F.posexplode(F.array(*map(F.lit, ks))).alias("at", "k"), "low", "size", "n", "__block", "obs")
+    # a partition for each group, so that none waits for another; where there are many series, they are dealt by hash
+    groups = restarts * len(ks)
+    spread = max(SPREAD, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups))
+    place, _ = scans.places(series, key, spread)
+    placed = dealt.repartitionById(spread * groups, ((F.col("at") * restarts + F.col("low")) * spread + place).cast("int"))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, k, low, size, n), pieces in scans.pieces(batches, 5):
+            size = min(size, restarts - low)
+            found = N.em(N.Lanes.of(pieces, n, size), k, N.seed_list(seed_of(seed, name, k), size, low), max_iter, tol)
+            yield pa.RecordBatch.from_pylist([{key: name, "k": k, "restart": low + r, "ll": m["ll"], "n_iter": m["n_iter"], "history": m["history"], **{c: v.tolist() for c, v in N.sorted_states(m).items()}} for r, m in enumerate(found)], made)
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, k int, restart int, {FIT}"
+    made = to_arrow_schema(StructType.fromDDL(schema))
+    return placed.sortWithinPartitions(key, "k", "low", "__block").select(key, "k", "low", "size", "n", "obs").mapInArrow(per_task, schema)
 
 
 def fit(df: DataFrame, k: int = 3, restarts: int = 10, max_iter: int = 200, tol: float = 1e-6, seed: int = 42, value: str = "ret", key: str = "symbol") -> DataFrame:

@@ -20,7 +20,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block, elements that are scanned together, and values of a packed row (an Arrow batch has up to 10,000 rows).
@@ -141,6 +141,17 @@ def pieces(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield name, (x for _, x in run)
 
 
+def places(df: DataFrame, key: str, most: int) -> tuple[Column, int]:
+    """A number for each key, and how many there are: up to `most` keys have one each, more are dealt by hash. Runs a job on df."""
+    found = [r[0] for r in df.select(key).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        return F.pmod(F.hash(key), F.lit(most)), most
+    place = F.lit(0)
+    for k, name in enumerate(found):
+        place = F.when(F.col(key).eqNullSafe(F.lit(name)), k).otherwise(place)
+    return place, max(1, len(found))
+
+
 def several(df: DataFrame, key: str) -> DataFrame:
     """The rows of a blocked df whose series has several blocks."""
     long = df.groupBy(F.col(key).alias("__of")).agg(F.min("__block").alias("__low"), F.max("__block").alias("__high")).where("__low < __high").select("__of")

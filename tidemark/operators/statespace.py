@@ -327,12 +327,7 @@ def evaluated(df: DataFrame, grid: DataFrame, base: dict[str, float], n: int = 2
     chunks = _evenly([r.asDict() for r in grid.select("grid_idx", *names).orderBy("grid_idx").collect()], base, n)
     # a partition for each chunk of a series, those of costly chunks first; where there are many series, they are dealt by hash
     series = cut(series)
-    found, spread = [r[0] for r in series.select(key).distinct().limit(SPREAD + 1).collect()], max(tasks, SPREAD)
-    place = F.pmod(F.hash(key), F.lit(spread))
-    if len(found) <= SPREAD:
-        place, spread = F.lit(0), max(1, len(found))
-        for k, name in enumerate(found):
-            place = F.when(F.col(key).eqNullSafe(F.lit(name)), k).otherwise(place)
+    place, spread = scans.places(series, key, max(tasks, SPREAD))
     dealt = series.select(key, F.explode(F.array(*map(F.lit, range(len(chunks))))).alias("chunk"), "__block", "obs")
     placed = dealt.repartitionById(spread * len(chunks), (F.col("chunk") * spread + place).cast("int"))
 
