@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -247,39 +248,43 @@ def started(lanes: Lanes, k: int, seeds: list, min_variance: float = 1e-8) -> tu
     return A, np.full((len(seeds), k), 1 / k), np.sort(lanes.at(at), axis=1), max(lanes.variance(), min_variance) * factors
 
 
-#: Rows of a lane at most, and lanes, times models, that shorter ones are cut for.
-LANE, LANES = 64, 1024
+#: Rows of a lane, and lanes, times models, that shorter ones are cut for; lanes of a series, beyond which they get longer; bytes of
+#: values from which on a series lies in a file.
+LANE, LANES, MOST_LANES, IN_MEMORY = 64, 1024, 1 << 16, 1 << 24
 
 
-class Lanes(NamedTuple):
-    """A series cut into lanes of equal length that advance side by side: x (steps, lanes), zeros behind the end; n rows in all."""
+class Lanes:
+    """A series cut into lanes of equal length that advance side by side. Its n values lie in time order in memory or, if it is long,
+    in a file without a name, from which a stack of lanes is read at a time."""
 
-    x: np.ndarray
-    n: int
+    def __init__(self, pieces: Iterable[np.ndarray], n: int, models: int):
+        """From n values in pieces of time."""
+        self.n, self.steps = n, max(min(LANE, max(8, n * models // LANES)), n // MOST_LANES)
+        self.count = -(-n // self.steps)
+        self.tail = n - (self.count - 1) * self.steps  # rows of the last lane
+        self.file, self.least, self.greatest, total, found = tempfile.SpooledTemporaryFile(IN_MEMORY), math.inf, -math.inf, 0.0, 0
+        for piece in filter(len, pieces):
+            self.file.write(np.ascontiguousarray(piece, float).tobytes())
+            self.least, self.greatest, total, found = min(self.least, piece.min()), max(self.greatest, piece.max()), total + piece.sum(), found + len(piece)
+        if found != n:
+            raise ValueError(f"there are {found} values in place of {n}")
+        self.mean = total / n if n else math.nan
 
-    @classmethod
-    def of(cls, pieces: Iterable[np.ndarray], n: int, models: int) -> Lanes:
-        """From n values in pieces of time, written to their places one after the other."""
-        steps = min(LANE, max(8, n * models // LANES))
-        x, at = np.zeros((steps, -(-n // steps))), 0
-        for piece in pieces:
-            x.T.flat[at : at + len(piece)] = piece
-            at += len(piece)
-        if at != n:
-            raise ValueError(f"there are {at} values in place of {n}")
-        return cls(x, n)
-
-    @property
-    def tail(self) -> int:
-        """Rows of the last lane."""
-        return self.n - (self.x.shape[1] - 1) * len(self.x)
+    def values(self, low: int, high: int) -> np.ndarray:
+        self.file.seek(8 * low)
+        return np.frombuffer(self.file.read(8 * (min(high, self.n) - low)))
+
+    def part(self, low: int, high: int) -> np.ndarray:
+        """Lanes as columns, (steps, lanes), with zeros behind the series' end."""
+        x = self.values(low * self.steps, high * self.steps)
+        x = np.concatenate([x, np.zeros((high - low) * self.steps - len(x))]) if high == self.count else x
+        return np.ascontiguousarray(x.reshape(high - low, self.steps).T)
 
     def at(self, rows: np.ndarray) -> np.ndarray:
-        return self.x[rows % len(self.x), rows // len(self.x)]
+        return np.array([self.values(t, t + 1)[0] for t in rows.ravel().tolist()]).reshape(rows.shape)
 
     def variance(self) -> float:
-        mean, lanes = self.x.sum() / self.n, self.x.shape[1]
-        return sum(((x[: lanes - (t >= self.tail)] - mean) ** 2).sum() for t, x in enumerate(self.x)) / self.n
+        return sum(float(((self.values(low, low + WORKING_SET) - self.mean) ** 2).sum()) for low in range(0, self.n, WORKING_SET)) / self.n
 
 
 class Densities:
@@ -292,13 +297,14 @@ class Densities:
         peak = -0.5 * (LOG_2PI + np.log(sigma2))
         self.most = peak.max(axis=1)
         self.lanes, self.mu, self.slope, self.level = lanes, mu[:, :, None], (-0.5 / sigma2)[:, :, None], (peak - self.most[:, None])[:, :, None]
-        ends = np.array([lanes.x.min(), lanes.x.max()])  # a state's density is least at one of them
+        ends = np.array([lanes.least, lanes.greatest])  # a state's density is least at one of them
         self.far = bool(((ends - self.mu) ** 2 * self.slope + self.level).min(axis=2).max(axis=1).min() < -600)
 
-    def __call__(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of some lanes, ones behind the series' end; and the sum of the factors' logarithms that differ from `most`."""
-        last, tail = high == self.lanes.x.shape[1], self.lanes.tail
-        b = self.lanes.x[:, None, None, low:high] - self.mu
+    def __call__(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of some lanes; densities, ones behind the series' end; and the sum of the factors' logarithms that differ from `most`."""
+        last, tail = high == self.lanes.count, self.lanes.tail
+        values = self.lanes.part(low, high)
+        b = values[:, None, None] - self.mu
         b *= b
         b *= self.slope
         b += self.level
@@ -312,7 +318,7 @@ class Densities:
         np.exp(b, out=b)
         if last:
             b[tail:, ..., -1] = 1
-        return b, more
+        return values, b, more
 
 
 def _per_sum(x: np.ndarray, axis: tuple[int, ...] | int) -> np.ndarray:
@@ -351,10 +357,10 @@ def expectation(lanes: Lanes, A: np.ndarray, pi: np.ndarray, mu: np.ndarray, sig
     the values' and squared distances from the states' means; and the sums of the posteriors of transitions.
 
     A first pass multiplies each lane's transitions and densities, which gives what every lane begins and ends with; a second one
-    works through lanes on their own, some at a time, so that memory does not grow with the series but for the products, some
-    K K / LANE numbers a row and model.
+    works through lanes on their own, some at a time, so that memory does not grow with the series but for the products, K K
+    numbers for each lane and model, of which there are up to MOST_LANES.
     """
-    (steps, count), (models, k) = lanes.x.shape, mu.shape
+    steps, count, (models, k) = lanes.steps, lanes.count, mu.shape
     densities, tail, width = Densities(lanes, mu, sigma2), lanes.tail, max(1, WORKING_SET // (steps * models * k))
     turned = np.ascontiguousarray(A.swapaxes(1, 2))
     ends, behind = np.empty((models, k, count)), np.ones((models, k, count))
@@ -362,7 +368,7 @@ def expectation(lanes: Lanes, A: np.ndarray, pi: np.ndarray, mu: np.ndarray, sig
         products = np.empty((models, k, k, count))
         for low in range(0, count, width):
             high = min(low + width, count)
-            b, more = densities(low, high)
+            values, b, more = densities(low, high)
             x = turned[..., None] * b[0][:, :, None]
             if not low:  # no transition leads to the first row
                 x[..., 0] = np.eye(k) * b[0, ..., :1]
@@ -381,7 +387,7 @@ def expectation(lanes: Lanes, A: np.ndarray, pi: np.ndarray, mu: np.ndarray, sig
     for low in range(0, count, width):
         high = min(low + width, count)
         if not 1 < count <= width:  # else those of the first pass are at hand
-            b, more = densities(low, high)
+            values, b, more = densities(low, high)
         filtered, total = np.empty_like(b), np.empty((steps, models, 1, high - low))
         before = ends[..., low:high].copy()
         prior = turned @ before
@@ -418,7 +424,7 @@ def expectation(lanes: Lanes, A: np.ndarray, pi: np.ndarray, mu: np.ndarray, sig
             if not (low or t):
                 first = gamma[..., 0].copy()
             sums[0] += gamma.sum(axis=2)
-            away = lanes.x[t, low:high] - densities.mu
+            away = values[t] - densities.mu
             gamma *= away
             sums[1] += gamma.sum(axis=2)
             sums[2] += np.einsum("mkw,mkw->mk", gamma, away)
@@ -441,7 +447,7 @@ def em(obs: np.ndarray | Lanes, k: int, seeds: list, max_iter: int = 200, tol: f
     Parameters are those after the last M-step; history holds the likelihoods before each, so its last entry belongs to
     the parameters before.
     """
-    lanes = obs if isinstance(obs, Lanes) else Lanes.of([obs], len(obs), len(seeds))
+    lanes = obs if isinstance(obs, Lanes) else Lanes([obs], len(obs), len(seeds))
     if lanes.n < 2 or k < 1:
         raise ValueError("there must be two observations and one state at least")
     A, pi, mu, sigma2 = started(lanes, k, seeds, min_variance)

@@ -263,7 +263,8 @@ def fits(df: DataFrame, ks: list[int], restarts: int = 10, max_iter: int = 200,
     """(key, k, restart, model, ll, n_iter, history) of every series, k and restart: groups of RESTARTS_TOGETHER are tasks of their own,
     of fewer restarts where they have more than ROWS_TOGETHER rows in all.
 
-    A series goes to its tasks as rows of PACKED_ROWS values, of which a task keeps the values alone, once for its restarts. A restart
+    A series goes to its tasks as rows of PACKED_ROWS values, of which a task keeps the values alone, in a
+    file if they are many. A restart
     draws from its own seed, so that results do not hang on the grouping.
     """
     series = cut(scans.packed(df, value, key))
@@ -280,7 +281,7 @@ def fits(df: DataFrame, ks: list[int], restarts: int = 10, max_iter: int = 200,
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name, k, low, size, n), pieces in scans.pieces(batches, 5):
             size = min(size, restarts - low)
-            found = N.em(N.Lanes.of(pieces, n, size), k, N.seed_list(seed_of(seed, name, k), size, low), max_iter, tol)
+            found = N.em(N.Lanes(pieces, n, size), k, N.seed_list(seed_of(seed, name, k), size, low), max_iter, tol)
             yield pa.RecordBatch.from_pylist([{key: name, "k": k, "restart": low + r, "ll": m["ll"], "n_iter": m["n_iter"], "history": m["history"], **{c: v.tolist() for c, v in N.sorted_states(m).items()}} for r, m in enumerate(found)], made)
 
     schema = f"{key} {df.schema[key].dataType.simpleString()}, k int, restart int, {FIT}"
