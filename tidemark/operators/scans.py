@@ -122,9 +122,14 @@ def blocked(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
 def packed(df: DataFrame, value: str, key: str, rows: int = PACKED_ROWS) -> DataFrame:
     """(key, __block, obs): a row for each block with its values in order of seq, so that a series goes to many tasks as few rows and
-    can be read a piece at a time."""
+    can be read a piece at a time.
+
+    Blocks are dealt to all tasks first: in the task that made df by windows over a series, their sorts would share its memory.
+    """
     pairs = F.sort_array(F.collect_list(F.struct(F.col("seq"), F.col(value).cast("double").alias("value"))))
-    return blocked(df.select(key, "seq", value), rows).groupBy(key, "__block").agg(pairs.alias("__pairs")).select(key, "__block", F.col("__pairs.value").alias("obs"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocked(df.select(key, "seq", value), rows).repartition(tasks, key, "__block")
+    return dealt.groupBy(key, "__block").agg(pairs.alias("__pairs")).select(key, "__block", F.col("__pairs.value").alias("obs"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[np.ndarray]]]:
